@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import any_of
+from ..session import store
 
 # The printable characters that code page 1252 puts on the control codes 0x80 to 0x9F.
 CP1252 = dict(
@@ -94,6 +95,8 @@ def read_xes(
 
     events = traces.select(attributes("").alias("t"), F.posexplode("event").alias("n", "e"))
     events = events.select("t", "n", attributes("e.").alias("a"))
+    if trace_keys is None or event_keys is None:
+        events = store(events)
     if trace_keys is None or event_keys is None:
         keys = events.select(
             F.explode(F.concat(F.transform(F.map_keys("t"), lambda k: F.concat(F.lit("case:"), k)), F.map_keys("a"))).alias("k")
