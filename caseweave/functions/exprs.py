@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Microseconds per duration unit.
@@ -93,3 +93,11 @@ def period_label(ts: Column, grain: str) -> Column:
             F.lpad(F.weekofyear(ts).cast("string"), 2, "0"),
         )
     raise ValueError(f"unknown period {grain!r}")
+
+
+def text_rows(spark: SparkSession, rows: Sequence[Sequence[str]], names: Sequence[str]) -> DataFrame:
+    """A small lookup of text rows (labels of a norm, verb pairs) as a DataFrame."""
+    if not rows:
+        return spark.range(0).select(*[F.lit("").alias(n) for n in names])
+    items = [F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names, strict=True)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*items)))

@@ -18,12 +18,12 @@ from .exprs import all_of, join_on
 
 
 def bucket(value: Column, resolution: int = 512) -> Column:
-    """A non-decreasing integer function of a number: signed logarithmic buckets.
+    """A non-decreasing integer function of a number: signed logarithmic buckets, 0 alone in bucket 0.
 
     At most ``resolution * 70`` buckets per sign for values between 1e-6 and 1e15.
     """
     v = value.cast("double")
-    return (F.signum(v) * F.floor(F.log2(1 + F.abs(v) * 1e6) * resolution)).cast("bigint")
+    return (F.signum(v) * (F.floor(F.log2(1 + F.abs(v) * 1e6) * resolution) + 1)).cast("bigint")
 
 
 def time_bucket(micros: Column) -> Column:
@@ -134,7 +134,12 @@ def rank_rows(
     The table is stored first because it is read twice.
     """
     base = df if stored else store(df)
-    buckets = {f"__b{i}": -bucket(F.coalesce(F.col(c), F.lit(-1e15)), 16) for i, c in enumerate(descending)}
+    # Many groups tie at 0; only there the next column may cut further without leaving the order.
+    buckets, tied = {}, F.lit(True)
+    for i, c in enumerate(descending):
+        b = -bucket(F.coalesce(F.col(c), F.lit(-1e15)), 16)
+        buckets[f"__b{i}"] = F.when(tied, b).otherwise(F.lit(0).cast("bigint"))
+        tied = tied & (F.coalesce(F.col(c), F.lit(-1e15)) == 0)
     return running(base, keys, order, buckets, sums or {}, rank=name)
 
 

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import MICROS, elapsed, holds, join_on, micros, period_label
+from ..functions.exprs import MICROS, elapsed, holds, join_on, period_label, text_rows
 from ..functions.ordered import quantiles, sort_key
 from .filters import case_clause, needs, resolve
 from .norm import applies, rule_labels
@@ -189,7 +189,7 @@ def _clauses(rule: Mapping[str, Any]) -> list[Mapping[str, Any]]:
 
 def absent_flow_types(cases: DataFrame, names: Sequence[str]) -> DataFrame:
     """Rule names that no case carries."""
-    listed = cases.sparkSession.createDataFrame([(n,) for n in names], "flow_type string")
+    listed = text_rows(cases.sparkSession, [(n,) for n in names], ["flow_type"])
     return join_on(listed, cases.select("flow_type").distinct(), ["flow_type"], "left_anti")
 
 
@@ -272,7 +272,3 @@ def right_censored(closure_count: Column, end: Column, window_days: float = 60.0
     late = holds(F.col("last_ts") > from_)
     out = (closure_count == 0) & late
     return out & opened if opened is not None else out
-
-
-def span_micros(cases: DataFrame) -> DataFrame:
-    return cases.withColumns({"__first": micros(F.col("first_ts")), "__last": micros(F.col("last_ts"))})

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import elapsed, holds, join_on
+from ..functions.exprs import elapsed, holds, join_on, text_rows
 from ..functions.ordered import log_order, quantiles, sort_key, with_next
 from ..session import store
 from .norm import Norm
@@ -124,7 +124,7 @@ def violation_shares(scored: DataFrame, norm: Norm) -> DataFrame:
 def activity_violation(shares: DataFrame, norm: Norm) -> DataFrame:
     """Per activity: the largest share violated among the constraints that name it."""
     named = [(c.id, a) for c in norm.constraints for a in c.activities()]
-    lookup = shares.sparkSession.createDataFrame(named, "constraint_id string, activity string")
+    lookup = text_rows(shares.sparkSession, named, ["constraint_id", "activity"])
     joined = lookup.join(shares, "constraint_id")
     return joined.groupBy("activity").agg(F.max("share_violated").alias("violation_share"), F.count(F.lit(1)).alias("constraints"))
 
@@ -134,7 +134,7 @@ def constraint_arcs(shares: DataFrame, norm: Norm) -> DataFrame:
     arcs = [
         (c.id, a, b) for c in norm.constraints if c.type in ("lag", "precedence") for a in c.labels("a") for b in c.labels("b")
     ]
-    lookup = shares.sparkSession.createDataFrame(arcs, "constraint_id string, source string, target string")
+    lookup = text_rows(shares.sparkSession, arcs, ["constraint_id", "source", "target"])
     return lookup.join(shares, "constraint_id").select("constraint_id", "source", "target", "evaluated", "share_violated")
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import holds, join_on, micros, period_label
+from ..functions.exprs import holds, join_on, micros, period_label, text_rows
 from ..functions.ordered import quantiles
 from ..session import store
 from .prepare import PLACEHOLDER_DATES
@@ -392,7 +392,7 @@ def activity_pairs(labels: DataFrame) -> DataFrame:
         F.lower(F.element_at("w", 1)).alias("verb"),
         F.lower(F.array_join(F.slice("w", 2, F.size("w")), " ")).alias("stem"),
     )
-    verbs = labels.sparkSession.createDataFrame(list(VERB_PAIRS), "verb string, other string")
+    verbs = text_rows(labels.sparkSession, VERB_PAIRS, ["verb", "other"])
     left = words.join(verbs, "verb").select(F.col("activity").alias("setting"), "stem", F.col("other").alias("verb"))
     right = words.select(F.col("activity").alias("releasing"), "stem", "verb")
     return left.join(right, ["stem", "verb"]).select("setting", "releasing").distinct()
@@ -428,14 +428,14 @@ def logging_asymmetry(events: DataFrame, pairs: DataFrame, norm_labels: Sequence
 def norm_evidence(events: DataFrame, named: Mapping[str, Sequence[str]]) -> DataFrame:
     """Labels that constraints name but the log never carries."""
     rows = [(cid, label) for cid, labels in named.items() for label in labels]
-    wanted = events.sparkSession.createDataFrame(rows, "constraint_id string, activity string")
+    wanted = text_rows(events.sparkSession, rows, ["constraint_id", "activity"])
     return join_on(wanted, events.select("activity").distinct(), ["activity"], "left_anti")
 
 
 def norm_relevance(events: DataFrame, named: Mapping[str, Sequence[str]]) -> DataFrame:
     """Per constraint: events and distinct cases that carry one of its labels."""
     rows = [(cid, label) for cid, labels in named.items() for label in labels]
-    wanted = events.sparkSession.createDataFrame(rows, "constraint_id string, activity string")
+    wanted = text_rows(events.sparkSession, rows, ["constraint_id", "activity"])
     counts = events.groupBy("case_id", "activity").agg(F.count(F.lit(1)).alias("n"))
     hit = counts.join(wanted, "activity").groupBy("constraint_id", "case_id").agg(F.sum("n").alias("n"))
     hit = hit.groupBy("constraint_id").agg(F.sum("n").alias("events"), F.count(F.lit(1)).alias("cases"))

@@ -44,7 +44,7 @@ def register(name: str, sql: str | None = None, *, doubles: str = "", decimals:
         if sql is not None:
             ctes = ctes_for(with_)
             body = f"{ctes} {sql}" if ctes else sql
-            reps = ", ".join(f"round(CAST({c} AS DOUBLE), {decimals}) + 0.0 AS {c}" for c in doubles.split())
+            reps = ", ".join(f"{rounded_sql(c, decimals)} AS {c}" for c in doubles.split())
             text = f"SELECT * REPLACE ({reps}) FROM ({body}) AS q" if reps else body
         REGISTRY[name] = Entry(run, text)
         return fn
@@ -52,8 +52,17 @@ def register(name: str, sql: str | None = None, *, doubles: str = "", decimals:
     return wrap
 
 
+# Half-way values are common (amounts have two decimals), so the cut is moved off the half.
+CUT = 0.50037
+
+
+def rounded_sql(col: str, decimals: int) -> str:
+    return f"floor(CAST({col} AS DOUBLE) * 1e{decimals} + {CUT}) / 1e{decimals} + 0.0"
+
+
 def rounded(df: DataFrame, decimals: int) -> DataFrame:
-    cols = {n: F.round(F.col(f"`{n}`"), decimals) + F.lit(0.0) for n, t in df.dtypes if t == "double"}
+    unit = 10.0**decimals
+    cols = {n: F.floor(F.col(f"`{n}`") * unit + CUT).cast("double") / unit + F.lit(0.0) for n, t in df.dtypes if t == "double"}
     return df.withColumns(cols) if cols else df
 
 
