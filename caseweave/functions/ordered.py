@@ -31,21 +31,12 @@ def time_bucket(micros: Column) -> Column:
     return F.floor(micros / F.lit(3_600_000_000)).cast("bigint")
 
 
-def quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    *,
-    times: bool = False,
-) -> DataFrame:
-    """Exact linearly interpolated quantiles per key: one column per entry of ``probs``.
+def _candidates(df: DataFrame, keys: list[str], value: str, probs: Sequence[float], times: bool) -> DataFrame:
+    """The few distinct values that can hold a wanted rank, with the ranks ``[__from, __to)`` they cover.
 
-    Equal values are first counted map-side.  Bucket totals then tell which two
-    buckets hold each wanted rank, and only the rows of those buckets are sorted.
-    NULL and NaN values are left out; groups without values have no row.
+    Equal values are first counted map-side.  Bucket totals then tell which bucket
+    holds each wanted rank, and only the rows of those buckets are sorted.
     """
-    keys = list(keys)
     v = F.col(value)
     clean = df.where(v.isNotNull()) if times else df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
     hist = clean.groupBy(*keys, v.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
@@ -56,35 +47,64 @@ def quantiles(
     totals = totals.withColumn("__before", F.coalesce(before, F.lit(0))).withColumn(
         "__total", F.sum("__bn").over(in_key)
     )
-
-    def rank(p: float, up: bool) -> Column:
-        pos = F.lit(p) * (F.col("__total") - 1)
-        return (F.ceil(pos) if up else F.floor(pos)).cast("bigint")
-
-    wanted = [rank(p, up) for p in probs.values() for up in (False, True)]
-    hit = F.lit(False)
-    for r in wanted:
-        hit = hit | ((F.col("__before") <= r) & (r < F.col("__before") + F.col("__bn")))
-    needed = totals.where(hit).select(*keys, "__b", "__before", "__total")
+    low, end = F.col("__before"), F.col("__before") + F.col("__bn")
+    holds_rank = F.exists(
+        F.array(*[F.lit(float(p)) for p in probs]),
+        lambda p: ((low <= _rank(p, False)) & (_rank(p, False) < end)) | ((low <= _rank(p, True)) & (_rank(p, True) < end)),
+    )
+    needed = totals.where(holds_rank).select(*keys, "__b", "__before", "__total")
     rows = join_on(hist, needed, [*keys, "__b"])
     run = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__to", F.col("__before") + F.sum("__n").over(run)).withColumn(
-        "__from", F.col("__to") - F.col("__n")
-    )
+    rows = rows.withColumn("__to", F.col("__before") + F.sum("__n").over(run))
+    return rows.withColumn("__from", F.col("__to") - F.col("__n"))
+
+
+def _rank(p: Column, up: bool) -> Column:
+    pos = p * (F.col("__total") - 1)
+    return (F.ceil(pos) if up else F.floor(pos)).cast("bigint")
+
+
+def _covers(p: Column, up: bool) -> Column:
+    r = _rank(p, up)
+    return (F.col("__from") <= r) & (r < F.col("__to"))
+
+
+def _between(lo: Column, hi: Column, p: Column) -> Column:
+    """Linear interpolation between the two values around the wanted position."""
+    pos = p * (F.col("__total") - 1)
+    return lo.cast("double") + (hi.cast("double") - lo.cast("double")) * (pos - F.floor(pos))
+
+
+def quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], *, times: bool = False
+) -> DataFrame:
+    """Exact linearly interpolated quantiles per key: one column per entry of ``probs``.
+
+    NULL and NaN values are left out; groups without values have no row.
+    """
+    keys = list(keys)
+    rows = _candidates(df, keys, value, list(probs.values()), times)
     aggs = []
     for i, p in enumerate(probs.values()):
         for up in (False, True):
-            r = rank(p, up)
-            aggs.append(F.max(F.when((F.col("__from") <= r) & (r < F.col("__to")), F.col("__v"))).alias(f"__{i}{int(up)}"))
+            aggs.append(F.max(F.when(_covers(F.lit(p), up), F.col("__v"))).alias(f"__{i}{int(up)}"))
     picked = rows.groupBy(*keys).agg(F.max("__total").alias("__total"), *aggs)
-    out = []
-    for i, (name, p) in enumerate(probs.items()):
-        pos = F.lit(p) * (F.col("__total") - 1)
-        lo, hi = F.col(f"__{i}0").cast("double"), F.col(f"__{i}1").cast("double")
-        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
+    out = [_between(F.col(f"__{i}0"), F.col(f"__{i}1"), F.lit(p)).alias(n) for i, (n, p) in enumerate(probs.items())]
     return picked.select(*keys, *out)
 
 
+def quantile_rows(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """The same for many probabilities, as rows ``f, x``."""
+    keys = list(keys)
+    rows = _candidates(df, keys, value, probs, False)
+    hit = F.filter(F.array(*[F.lit(float(p)) for p in probs]), lambda p: _covers(p, False) | _covers(p, True))
+    rows = rows.withColumn("f", F.explode(hit))
+    found = rows.groupBy(*keys, "f").agg(
+        F.max("__total").alias("__total"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
+    )
+    return found.select(*keys, "f", _between(F.col("__lo"), F.col("__hi"), F.col("f")).alias("x"))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import elapsed, holds, join_on
 from ..functions.intervals import newcombe, z_of
-from ..functions.ordered import bucket, quantiles, running
+from ..functions.ordered import bucket, quantile_rows, quantiles, running
 from ..session import store
 from .backlog import GAMMA, _per_constraint, group_scores, overall, shortfall
 from .norm import Constraint, Norm, long_form
@@ -273,10 +273,7 @@ def lens_stats(values: DataFrame, c: Constraint) -> DataFrame:
 
 def lens_ecdf(values: DataFrame, points: int = 101) -> DataFrame:
     """The value at ``points`` equally spaced probabilities."""
-    probs = {f"q{i}": i / (points - 1) for i in range(points)}
-    q = quantiles(values, [], "x", probs)
-    rows = F.array(*[F.struct(F.lit(p).alias("f"), F.col(n).alias("x")) for n, p in probs.items()])
-    return q.select(F.inline(rows))
+    return quantile_rows(values, [], "x", [i / (points - 1) for i in range(points)])
 
 
 # --------------------------------------------------------------------------- headroom

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from ..functions.exprs import holds, join_on
 from ..functions.ordered import rank_rows
 from ..session import store
 from .backlog import GAMMA, _per_constraint, group_scores, label_keys, overall, ranked, shortfall
-from .norm import Norm, View, scale, violation, weights, with_scores, with_weights
+from .norm import Constraint, Norm, View, scale, violation, weights, with_weights
 
 # Fixed value: the largest prime below 2**28, the modulus of the replicate hash.
 PRIME = 268_435_399
@@ -158,6 +159,23 @@ def jitter_weights(norm: Norm, view: View, draws: int, spread: float, seed: int)
     return out
 
 
+def scaled_constraints(norm: Norm, factors: Sequence[float]) -> list[tuple[Constraint, str, float]]:
+    """Every graded constraint with threshold and width scaled, under an id of its own."""
+    out = []
+    for c in norm.constraints:
+        for i, f in enumerate(factors):
+            scaled = scale(c, f)
+            if scaled is not None:
+                out.append((replace(scaled, id=f"{c.id}_f{i}"), c.id, f))
+    return out
+
+
+def scaled_norm(norm: Norm, factors: Sequence[float] = (0.8, 1.25)) -> Norm:
+    """The norm extended by its scaled constraints, for gathering what their violations need."""
+    extra = [c for c, _, _ in scaled_constraints(norm, factors)]
+    return replace(norm, constraints=(*norm.constraints, *extra))
+
+
 def sensitivity(
     gathered: DataFrame,
     scored: DataFrame,
@@ -175,31 +193,24 @@ def sensitivity(
     """Rank range of every group over shrinkage, threshold and weight settings, and the settings themselves.
 
     All score variants are columns of one table and one grouped aggregate serves all
-    settings.  ``gathered`` holds the per-case quantities behind the constraints.
+    settings.  ``gathered`` holds the per-case quantities of ``scaled_norm``.
     """
     v = norm.view(view)
     with_w = with_weights(scored.select("case_id", *keys, f"score__{view}", *[f"v__{c}" for c in norm.ids()]), norm, v, "__j_")
     alternatives: dict[str, Column] = {}
-    helper = {}
-    for c in norm.constraints:
-        for f in factors:
-            scaled = scale(c, f)
-            if scaled is not None:
-                helper[f"__v_{c.id}_{f:g}"] = violation(scaled, norm)
+    variants = scaled_constraints(norm, factors)
+    helper = {f"__v_{c.id}": violation(c, norm) for c, _, _ in variants}
     probe = gathered.select("case_id", *[e.alias(n) for n, e in helper.items()])
     rows = join_on(with_w, probe, ["case_id"])
     s = F.col(f"score__{view}")
     settings: list[tuple[str, str, str, float]] = [("reference", "reference", "reference", gamma)]
     alternatives["reference"] = s
-    for c in norm.constraints:
-        for f in factors:
-            name = f"__v_{c.id}_{f:g}"
-            if name in helper:
-                old = F.col(f"v__{c.id}")
-                new = F.when(old.isNotNull(), F.coalesce(F.col(name), old))
-                change = F.coalesce((new - old) * F.col(f"__j_w_{c.id}"), F.lit(0.0))
-                alternatives[f"{c.id}×{f:g}"] = s - change
-                settings.append((f"{c.id}×{f:g}", "threshold", f"{c.id}×{f:g}", gamma))
+    for scaled, cid, f in variants:
+        old = F.col(f"v__{cid}")
+        new = F.when(old.isNotNull(), F.coalesce(F.col(f"__v_{scaled.id}"), old))
+        change = F.coalesce((new - old) * F.col(f"__j_w_{cid}"), F.lit(0.0))
+        alternatives[f"{cid}×{f:g}"] = s - change
+        settings.append((f"{cid}×{f:g}", "threshold", f"{cid}×{f:g}", gamma))
     out = rows
     for i, w in enumerate(jitter_weights(norm, v, draws, spread, seed)):
         out = with_weights(out, norm, View(f"j{i}", constraint_weights=w), f"__k{i}_")

@@ -24,7 +24,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 @dataclass(frozen=True)
 class Entry:
     run: Query
-    sql: str | None
+    make_sql: Callable[[], str | None]
+
+    @property
+    def sql(self) -> str | None:
+        return self.make_sql()
 
 
 REGISTRY: dict[str, Entry] = {}
@@ -40,12 +44,13 @@ def register(name: str, sql: str | None = None, *, doubles: str = "", decimals:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return rounded(fn(tune(spark), sf_dir), decimals)
 
-        text = None
-        if sql is not None:
-            ctes = ctes_for(with_)
-            body = f"{ctes} {sql}" if ctes else sql
+        def text() -> str | None:
+            if sql is None:
+                return None
+            body = f"{ctes_for(with_)} {sql}".strip()
             reps = ", ".join(f"{rounded_sql(c, decimals)} AS {c}" for c in doubles.split())
-            text = f"SELECT * REPLACE ({reps}) FROM ({body}) AS q" if reps else body
+            return f"SELECT * REPLACE ({reps}) FROM ({body}) AS q" if reps else body
+
         REGISTRY[name] = Entry(run, text)
         return fn
 
