@@ -80,6 +80,8 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
 def cte(name: str, sql: str, *uses: str) -> None:
+    if name in CTE:
+        raise ValueError(f"the name {name} is taken")
     CTE[name] = (uses, sql)
 
 

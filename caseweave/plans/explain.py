@@ -410,7 +410,7 @@ def _(spark, d):
 
 
 cte(
-    "ends",
+    "ends_o",
     "SELECT CASE WHEN n_ship = 0 AND n_return = 0 THEN 'neither' WHEN n_ship = 0 THEN 'missing_start' WHEN n_return = 0 THEN 'missing_end' WHEN n_ship > 1 OR n_return > 1 THEN 'repeated'"
     " WHEN t_return < t_ship THEN 'reversed' WHEN t_return = t_ship THEN 'tied' ELSE 'ordered' END AS status, (epoch_us(t_return) - epoch_us(t_ship)) / 86400000000.0 AS days FROM co WHERE " + PICK,
     "co",
@@ -421,16 +421,16 @@ def _ends(spark, d):
     return X.endpoint_partition(log_o(spark, d), cases_o(spark, d).where(PICK), ["Ship item"], ["Return item"])
 
 
-@register("X15_endpoint_partition", "SELECT status, count(*) AS cases FROM ends GROUP BY 1", with_=["ends"])
+@register("X15_endpoint_partition", "SELECT status, count(*) AS cases FROM ends_o GROUP BY 1", with_=["ends_o"])
 def _(spark, d):
     return _ends(spark, d)[0]
 
 
 @register(
     "X15_endpoint_days",
-    "SELECT quantile_cont(days, 0.5) AS median_days, quantile_cont(days, 0.9) AS p90_days FROM ends WHERE status IN ('ordered', 'tied')",
+    "SELECT quantile_cont(days, 0.5) AS median_days, quantile_cont(days, 0.9) AS p90_days FROM ends_o WHERE status IN ('ordered', 'tied')",
     doubles="median_days p90_days",
-    with_=["ends"],
+    with_=["ends_o"],
 )
 def _(spark, d):
     return _ends(spark, d)[1]

@@ -416,7 +416,7 @@ def _label(col: str) -> str:
 
 
 cte(
-    "edges",
+    "quart",
     "SELECT quantile_cont(exposure, 0.25) AS a, quantile_cont(exposure, 0.5) AS b, quantile_cont(exposure, 0.75) AS c FROM co",
     "co",
 )
@@ -425,8 +425,8 @@ cte(
 @register(
     "K37_bands",
     f"SELECT case_id, CASE WHEN exposure < a THEN '< ' || {_label('a')} WHEN exposure < b THEN {_label('a')} || ' – ' || {_label('b')}"
-    f" WHEN exposure < c THEN {_label('b')} || ' – ' || {_label('c')} ELSE '≥ ' || {_label('c')} END AS band FROM co, edges",
-    with_=["co", "edges"],
+    f" WHEN exposure < c THEN {_label('b')} || ' – ' || {_label('c')} ELSE '≥ ' || {_label('c')} END AS band FROM co, quart",
+    with_=["co", "quart"],
 )
 def _(spark, d):
     cases = cases_o(spark, d)
