@@ -6,7 +6,8 @@ the reports below only read the columns they need.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import holds, join_on, total
 from ..functions.ordered import bucket, quantiles, rank_rows, running
 from ..session import store
-from .norm import Norm
+from .norm import Constraint, Norm
 from .profile import average_rank, top_per_key
 
 # Shrinkage, smallest group, normal quantile of the lower bound, kind margin.
@@ -147,16 +148,39 @@ def layer_drivers(scored: DataFrame, keys: Sequence[str], view: str, norm: Norm)
     return out.select(*keys, "n_cases", *means, *[f"delta__{layer}" for layer in layers], "dominant_layer")
 
 
-def _per_constraint(norm: Norm, fields: Mapping[str, Any]) -> tuple[list[Column], Column]:
-    """Aggregates for every constraint side by side and the array that turns them into rows."""
-    aggs, rows = [], []
-    for i, c in enumerate(norm.constraints):
-        items = [F.lit(i).alias("position"), F.lit(c.id).alias("constraint_id"), F.lit(c.layer).alias("layer")]
-        for name, make in fields.items():
-            aggs.append(make(c).alias(f"__{name}_{i}"))
-            items.append(F.col(f"__{name}_{i}").alias(name))
-        rows.append(F.struct(*items))
-    return aggs, F.inline(F.array(*rows))
+# Aggregates in one pass are kept below the size where generated code stops compiling well.
+AGGREGATES_PER_PASS = 60
+
+
+def constraint_rows(
+    df: DataFrame,
+    norm: Norm,
+    fields: Mapping[str, Callable[[Constraint], Column]],
+    *,
+    keys: Sequence[str] = (),
+    extra: Sequence[Column] = (),
+) -> DataFrame:
+    """Aggregates of every constraint as rows ``position, constraint_id, layer, <fields>`` (per group).
+
+    Constraints are aggregated side by side, so cases are never multiplied by
+    constraints.  A long norm takes several passes, each reading its own columns.
+    """
+    size = max(1, AGGREGATES_PER_PASS // len(fields))
+    numbered = list(enumerate(norm.constraints))
+    out: DataFrame | None = None
+    for start in range(0, len(numbered), size):
+        aggs, rows = [], []
+        for i, c in numbered[start : start + size]:
+            items = [F.lit(i).alias("position"), F.lit(c.id).alias("constraint_id"), F.lit(c.layer).alias("layer")]
+            for name, make in fields.items():
+                aggs.append(make(c).alias(f"__{name}_{i}"))
+                items.append(F.col(f"__{name}_{i}").alias(name))
+            rows.append(F.struct(*items))
+        part = df.groupBy(*keys).agg(*extra, *aggs)
+        kept = [c for c in part.columns if not re.match(r"__.*_\d+$", c)]
+        part = part.select(*kept, F.inline(F.array(*rows)))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def constraint_drivers(scored: DataFrame, norm: Norm, view: str, where: Column) -> DataFrame:
@@ -174,10 +198,9 @@ def constraint_drivers(scored: DataFrame, norm: Norm, view: str, where: Column)
         "share_in_scope": lambda c: F.avg(only(F.col(f"s__{c.id}").cast("double"))),
         "share_evaluated": lambda c: F.avg(only(F.col(f"v__{c.id}").isNotNull().cast("double"))),
     }
-    aggs, rows = _per_constraint(norm, fields)
     score = F.col(f"score__{view}")
     gap = F.greatest(F.avg(score) - F.avg(F.when(inside, score)), F.lit(0.0)).alias("gap")
-    out = scored.where(score.isNotNull()).agg(gap, *aggs).select("gap", rows)
+    out = constraint_rows(scored.where(score.isNotNull()), norm, fields, extra=[gap])
     delta = F.col("mean_penalty") - F.col("mean_penalty_all")
     return out.withColumn("delta_gap", delta).withColumn(
         "share_of_shortfall", F.when(F.col("gap") > 0, F.col("delta_gap") / F.col("gap"))
@@ -196,9 +219,9 @@ def top_constraint(
         "hit": lambda c: F.count_if(F.col(f"v__{c.id}") > 0),
         "seen": lambda c: F.count(f"v__{c.id}"),
     }
-    aggs, rows = _per_constraint(norm, fields)
-    groups = label_keys(scored.where(F.col(f"score__{view}").isNotNull()), keys).groupBy(*keys).agg(*aggs)
-    long = groups.select(*keys, rows).where(F.col("seen") > 0).withColumn("share", F.col("hit") / F.col("seen"))
+    rows = label_keys(scored.where(F.col(f"score__{view}").isNotNull()), keys)
+    long = constraint_rows(rows, norm, fields, keys=keys)
+    long = long.where(F.col("seen") > 0).withColumn("share", F.col("hit") / F.col("seen"))
     long = join_on(long, lead, keys).where(F.col("layer") == F.col("dominant_layer"))
     plain = ~F.col("constraint_id").isin(list(demoted)) if demoted else F.lit(True)
     long = long.withColumn("plain", plain & (F.col("share") > 0))
@@ -222,8 +245,7 @@ def measurement(scored: DataFrame, norm: Norm, has_value: Mapping[str, Column])
         "measured": lambda c: F.count_if(F.col(f"s__{c.id}") & value(c)),
         "violated_without_value": lambda c: F.count_if(F.col(f"s__{c.id}") & (F.col(f"v__{c.id}") > 0) & ~value(c)),
     }
-    aggs, rows = _per_constraint(norm, fields)
-    out = scored.agg(*aggs).select(rows).drop("position")
+    out = constraint_rows(scored, norm, fields).drop("position")
     reason = (
         F.when(F.col("applies_to") == 0, F.lit(None).cast("string"))
         .when((F.col("violated") > 0) & (F.col("violated_without_value") / F.col("violated") > 0.5), "missing_partner")
@@ -555,12 +577,12 @@ def flow_comparison(scored: DataFrame, views: Sequence[str], norm: Norm) -> Data
     for v in views:
         first += [F.avg(f"score__{v}").alias(f"mean__{v}"), F.sum(f"score__{v}").alias(f"__s_{v}"), F.count(f"score__{v}").alias(f"__n_{v}")]
     fields = {"hit": lambda c: F.count_if(F.col(f"v__{c.id}") > 0), "seen": lambda c: F.count(f"v__{c.id}")}
-    aggs, rows = _per_constraint(norm, fields)
-    groups = store(label_keys(scored, ["flow_type"]).groupBy("flow_type").agg(*first, *aggs))
+    rows = label_keys(scored, ["flow_type"])
+    groups = store(rows.groupBy("flow_type").agg(*first))
     whole = groups.agg(
         F.struct(F.sum("cases").alias("cases"), *[(F.sum(f"__s_{v}") / F.sum(f"__n_{v}")).alias(v) for v in views])
     ).scalar()
-    missed = groups.select("flow_type", rows).where(F.col("seen") > 0)
+    missed = constraint_rows(rows, norm, fields, keys=["flow_type"]).where(F.col("seen") > 0)
     missed = missed.withColumn("missed_share", F.col("hit") / F.col("seen"))
     missed = top_per_key(missed, ["flow_type"], [F.desc("missed_share"), F.asc("position")], 1)
     missed = missed.select("flow_type", F.col("constraint_id").alias("most_missed"), "missed_share")
@@ -688,14 +710,11 @@ def grouping_discovery(
     from itertools import combinations
 
     combos = [c for w in widths for c in combinations(columns, w)]
-    blank = {c: F.col(c).isNull() | F.trim(F.col(c).cast("string")).isin("", MISSING) for c in columns}
-    rows = cases.select(
-        *[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in columns],
-        *[F.when(blank[c], 1).otherwise(0).alias(f"__b_{c}") for c in columns],
-    )
-    # Blank flags follow from the key values, so they are read from the grouped rows.
+    rows = label_keys(cases.select(*columns), columns)
+    # Equal rows are counted first: every combination then works on the counted rows.
+    rows = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("c"))
     sets = [[F.col(c) for c in combo] for combo in combos]
-    grouped = rows.groupingSets(sets, *columns).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
+    grouped = rows.groupingSets(sets, *columns).agg(F.sum("c").alias("n"), F.grouping_id().alias("gid"))
     full = (1 << len(columns)) - 1
     ids = {combo: full - sum(1 << (len(columns) - 1 - columns.index(c)) for c in combo) for combo in combos}
     missing = F.lit(False)

@@ -13,7 +13,7 @@ from ..functions.exprs import elapsed, holds, join_on
 from ..functions.intervals import newcombe, z_of
 from ..functions.ordered import bucket, quantile_rows, quantiles, running
 from ..session import store
-from .backlog import GAMMA, _per_constraint, group_scores, overall, shortfall
+from .backlog import constraint_rows, group_scores, label_keys, overall
 from .norm import Constraint, Norm, long_form
 from .profile import top_per_key
 
@@ -22,7 +22,7 @@ from .profile import top_per_key
 def contrast(scored: DataFrame, norm: Norm, view: str, where: Column, level: float = 0.95) -> DataFrame:
     """Per constraint: mean penalties of slice, all and rest, and the rates with their risk difference.
 
-    ``delta`` sums exactly to the slice's signed gap.  One aggregate over the scored cases.
+    ``delta`` sums exactly to the signed gap of the slice.
     """
     inside = holds(where)
 
@@ -38,10 +38,9 @@ def contrast(scored: DataFrame, norm: Norm, view: str, where: Column, level: flo
         fields[f"mean_violation_{side}"] = lambda c, s=side: F.avg(part(F.col(f"v__{c.id}"), s))
         fields[f"share_in_scope_{side}"] = lambda c, s=side: F.avg(part(F.col(f"s__{c.id}").cast("double"), s))
         fields[f"share_evaluated_{side}"] = lambda c, s=side: F.avg(part(F.col(f"v__{c.id}").isNotNull().cast("double"), s))
-    aggs, rows = _per_constraint(norm, fields)
     score = F.col(f"score__{view}")
     gap = (F.avg(score) - F.avg(F.when(inside, score))).alias("signed_gap")
-    out = scored.where(score.isNotNull()).agg(gap, *aggs).select("signed_gap", rows)
+    out = constraint_rows(scored.where(score.isNotNull()), norm, fields, extra=[gap])
     x1, n1 = F.col("n_violated_slice"), F.col("n_evaluated_slice")
     x2, n2 = F.col("n_violated_rest"), F.col("n_evaluated_rest")
     low, high = newcombe(x1, n1, x2, n2, z_of(level))
@@ -115,7 +114,11 @@ def hodges_lehmann(signals: DataFrame, max_pairs: int = 4_000_000) -> DataFrame:
     if big:
         keyed = signals.where(F.col("constraint_id").isin(big)).withColumn("__h", F.md5(F.col("case_id").cast("string")))
         order = [F.asc("__h"), F.asc("case_id")]
-        drawn = top_per_key(keyed, ["constraint_id", "in_slice"], order, int(math.sqrt(max_pairs)))
+        budget = int(math.sqrt(max_pairs))
+        # A side may hold most cases: the smallest of every salt first, then the smallest of those.
+        keyed = keyed.withColumn("__salt", F.substring("__h", -2, 2))
+        drawn = top_per_key(keyed, ["constraint_id", "in_slice", "__salt"], order, budget, "__first")
+        drawn = top_per_key(drawn, ["constraint_id", "in_slice"], order, budget)
         rows = rows.unionByName(drawn.select(*cols))
     schema = "constraint_id string, hl_shift double"
     return rows.groupBy("constraint_id").applyInPandas(_pairwise_median, schema)
@@ -291,9 +294,8 @@ def headroom(
         "share_violated": lambda c: F.avg((F.col(f"v__{c.id}") > 0).cast("double")),
         "mean_violation": lambda c: F.avg(f"v__{c.id}"),
     }
-    aggs, items = _per_constraint(norm, fields)
-    out = rows.where(holds(where)).agg(F.count(F.lit(1)).alias("__n"), F.avg(score).alias("__mu"), *aggs)
-    out = out.select("__n", "__mu", items).withColumn("__base", base)
+    slice_facts = [F.count(F.lit(1)).alias("__n"), F.avg(score).alias("__mu")]
+    out = constraint_rows(rows.where(holds(where)), norm, fields, extra=slice_facts).withColumn("__base", base)
     return _headroom_columns(out, F.col("__n").cast("double"), F.col("__n"), gamma).drop("__n", "__mu", "__base", "position")
 
 
@@ -315,10 +317,11 @@ def _headroom_columns(df: DataFrame, volume: Column, n: Column, gamma: float) ->
 
 def headroom_by(scored: DataFrame, norm: Norm, keys: Sequence[str], view: str, *, gamma: float = 0.0) -> DataFrame:
     """Headroom of every constraint in every group: one aggregate for all constraints."""
-    aggs, items = _per_constraint(norm, {"mean_penalty": lambda c: F.avg(f"p__{view}__{c.id}")})
-    groups = store(group_scores(scored, keys, view, extra=aggs))
-    out = groups.withColumn("__base", overall(groups)).withColumnRenamed("mean_score", "__mu")
-    out = out.select(*keys, "n_cases", "volume", "__mu", "__base", items)
+    groups = store(group_scores(scored, keys, view))
+    rows = label_keys(scored.where(F.col(f"score__{view}").isNotNull()), keys)
+    long = constraint_rows(rows, norm, {"mean_penalty": lambda c: F.avg(f"p__{view}__{c.id}")}, keys=keys)
+    base = groups.withColumn("__base", overall(groups)).withColumnRenamed("mean_score", "__mu")
+    out = join_on(long, base.select(*keys, "n_cases", "volume", "__mu", "__base"), keys)
     out = _headroom_columns(out, F.col("volume"), F.col("n_cases"), gamma)
     return out.select(*keys, "constraint_id", "mean_penalty", "headroom_PI", "stable_PI", "stable_PI_after", "PI_reduction")
 

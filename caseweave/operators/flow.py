@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import elapsed, holds, join_on, text_rows
 from ..functions.ordered import log_order, quantiles, sort_key, with_next
 from ..session import store
+from .backlog import constraint_rows
 from .norm import Norm
 from .profile import top_per_key
 
@@ -110,15 +111,12 @@ def abstraction(seq: DataFrame, share: float) -> tuple[DataFrame, DataFrame, Dat
 
 def violation_shares(scored: DataFrame, norm: Norm) -> DataFrame:
     """Per constraint: evaluated cases, share violated and mean violation."""
-    from .backlog import _per_constraint
-
     fields = {
         "evaluated": lambda c: F.count(f"v__{c.id}"),
         "share_violated": lambda c: F.avg((F.col(f"v__{c.id}") > 0).cast("double")),
         "mean_violation": lambda c: F.avg(f"v__{c.id}"),
     }
-    aggs, rows = _per_constraint(norm, fields)
-    return scored.agg(*aggs).select(rows).drop("position")
+    return constraint_rows(scored, norm, fields).drop("position")
 
 
 def activity_violation(shares: DataFrame, norm: Norm) -> DataFrame:

@@ -322,15 +322,16 @@ def gather(events: DataFrame, norm: Norm, case_aggregates: Mapping[str, Column])
         cases = cases.withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in counts})
     for c in norm.constraints:
         if c.type == "lag" and c.params.get("activation") == "each":
-            cases = join_on(cases, _each_lag(events, c, norm), ["case_id"], "left")
+            sizes = cases.select("case_id", "n_events") if later and "n_events" in cases.columns else None
+            cases = join_on(cases, _each_lag(events, c, norm, sizes), ["case_id"], "left")
     return cases
 
 
-def _each_lag(events: DataFrame, c: Constraint, norm: Norm) -> DataFrame:
+def _each_lag(events: DataFrame, c: Constraint, norm: Norm, sizes: DataFrame | None = None) -> DataFrame:
     """Mean lag and mean violation over every activation of an ``each`` lag."""
     a, b = c.labels("a"), c.labels("b")
     rows = events.where(F.col("activity").isin(a + b) & F.col("ts").isNotNull())
-    rows = next_time(rows.select("case_id", "activity", "ts", "seq"), F.col("activity").isin(b), "tb")
+    rows = next_time(rows.select("case_id", "activity", "ts", "seq"), F.col("activity").isin(b), "tb", sizes=sizes)
     rows = rows.where(F.col("activity").isin(a))
     lag = elapsed(F.col("ts"), F.col("tb"), c.params.get("unit", "D"))
     late = _missing_b(c, F.col("ts"), norm)
@@ -382,9 +383,12 @@ def signal(c: Constraint) -> Column:
     return F.col(c.params["attribute"]).cast("double")
 
 
-def violation(c: Constraint, norm: Norm) -> Column:
-    """The graded violation in [0, 1]; NULL where the constraint cannot be evaluated."""
-    x, p = signal(c), c.params
+def violation(c: Constraint, norm: Norm, x: Column | None = None) -> Column:
+    """The graded violation in [0, 1]; NULL where the constraint cannot be evaluated.
+
+    ``x`` may name a column that already holds the signal.
+    """
+    x, p = signal(c) if x is None else x, c.params
     if c.type == "presence":
         return F.when(x < p.get("m", 1), 1.0).otherwise(0.0)
     if c.type == "exclusion":
@@ -427,12 +431,13 @@ def raw_signals(gathered: DataFrame, norm: Norm) -> DataFrame:
 
 def evaluate(gathered: DataFrame, norm: Norm, keep: Sequence[str]) -> DataFrame:
     """Scope, signal and violation columns next to the kept case columns."""
-    cols = {}
+    out = gathered.withColumns({f"x__{c.id}": signal(c) for c in norm.constraints})
+    out = out.withColumns({f"s__{c.id}": applies(c.applicability) for c in norm.constraints})
+    cols = []
     for c in norm.constraints:
-        cols[f"s__{c.id}"] = applies(c.applicability)
-        cols[f"x__{c.id}"] = signal(c)
-        cols[f"v__{c.id}"] = F.when(applies(c.applicability), violation(c, norm))
-    return gathered.select("case_id", *keep, *[e.alias(n) for n, e in cols.items()])
+        v = violation(c, norm, F.col(f"x__{c.id}"))
+        cols += [F.col(f"s__{c.id}"), F.col(f"x__{c.id}"), F.when(F.col(f"s__{c.id}"), v).alias(f"v__{c.id}")]
+    return out.select("case_id", *keep, *cols)
 
 
 def with_scores(evaluated: DataFrame, norm: Norm, views: Sequence[View] | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.exprs import join_on
 from ..functions.ordered import quantiles, running
 
 # Aggregates of one pass are kept below the size where generated code stops compiling well.
-COLUMNS_PER_PASS = 50
+COLUMNS_PER_PASS = 12
 
 # The share of parsable values that decides a type, and the longest category text.
 PARSE_SHARE = 0.95

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import holds, join_on
 from ..functions.ordered import rank_rows
 from ..session import store
-from .backlog import GAMMA, _per_constraint, group_scores, label_keys, overall, ranked, shortfall
+from .backlog import GAMMA, group_scores, label_keys, overall, ranked, shortfall
 from .norm import Constraint, Norm, View, scale, violation, weights, with_weights
 
 # Fixed value: the largest prime below 2**28, the modulus of the replicate hash.

@@ -14,8 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exprs import join_on
 from ..operators.cases import build_cases, case_aggregates, right_censored
-from ..operators.norm import Norm, load_norm, score
+from ..operators.norm import Norm, count_name, evaluate, gather, load_norm, with_scores
 from ..session import store, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -322,13 +323,17 @@ def scored_o(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _STORED[key]
 
 
-def score_table(events: DataFrame, norm: Norm, extra: Sequence[str] = ()) -> DataFrame:
-    from ..operators.norm import count_name, evaluate, gather, with_scores
+def stamps(events: DataFrame) -> DataFrame:
+    """Distinct timestamps per case; kept apart from the other case aggregates, which need no distinct step."""
+    per_stamp = events.where(F.col("ts").isNotNull()).groupBy("case_id", "ts").agg(F.lit(1).alias("one"))
+    return per_stamp.groupBy("case_id").agg(F.sum("one").alias("n_stamps"))
+
 
-    aggs = {**aggregates_o(events), "n_stamps": F.count_distinct("ts")}
+def score_table(events: DataFrame, norm: Norm, extra: Sequence[str] = ()) -> DataFrame:
+    aggs = aggregates_o(events)
     ship = count_name(["Ship item"])
     aggs.setdefault(ship, F.count_if(F.col("activity") == "Ship item"))
-    rows = gather(events, norm, aggs)
+    rows = join_on(gather(events, norm, aggs), stamps(events), ["case_id"], "left")
     open_ = right_censored(F.col(ship), F.lit(WINDOW_END).cast("timestamp_ntz"), CENSOR_DAYS)
     rows = rows.withColumns(
         {"censored": open_, "replicated": F.coalesce(F.col("n_events") / F.col("n_stamps") > 2.0, F.lit(False))}

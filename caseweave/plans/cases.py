@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.exprs import join_on
 from ..operators import cases as C
 from ..operators import flow, prepare
 from .base import (
@@ -16,6 +17,7 @@ from .base import (
     log_w,
     log_wd,
     register,
+    stamps,
 )
 
 NTZ = F.lit(WINDOW_END).cast("timestamp_ntz")
@@ -165,8 +167,9 @@ cte(
 
 def typed_o(spark, d):
     events = log_o(spark, d)
-    aggs = {**aggregates_o(events), "n_stamps": F.count_distinct("ts"), "n_ship": F.count_if(F.col("activity") == "Ship item")}
+    aggs = {**aggregates_o(events), "n_ship": F.count_if(F.col("activity") == "Ship item")}
     cases = C.flow_types(events, FLOW_RULES, "standard", aggs)
+    cases = join_on(cases, stamps(events), ["case_id"], "left")
     return cases.withColumn("censored", C.right_censored(F.col("n_ship"), NTZ, CENSOR_DAYS))
 
 

@@ -7,7 +7,6 @@ import uuid
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions.exprs import any_of, join_on
 from ..operators import prepare, profile
 from ..session import shared_dir
 from ..sources import readers, sinks
