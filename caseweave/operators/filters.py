@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import all_of, elapsed, holds, join_on, ntz
 from ..functions.ordered import sort_key, with_next
+from ..session import store
 
 # The clause kinds with the fields each may carry, and their options.
 FIELDS = {
@@ -170,6 +171,8 @@ def resolve(events: DataFrame, clauses: Sequence[Mapping[str, Any]], aggregates:
     cases = events.groupBy("case_id").agg(*[e.alias(n) for n, e in aggs.items()])
     responses = {n: c for n, c in wanted.items() if n.startswith("__to:")}
     if responses:
+        # Read twice: as anchors for the responses and as the result.
+        cases = store(cases)
         b = sorted({x for c in responses.values() for x in _labels(c["b"])})
         starts = [_pair(c, "from") for c in responses.values()]
         rows = events.where(act.isin(b) & ts.isNotNull()).select("case_id", "activity", "ts")

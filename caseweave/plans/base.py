@@ -133,21 +133,28 @@ cte(
 
 
 # --------------------------------------------------------------------------- log o
-def log_o(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log_o(spark: SparkSession, sf_dir: str, attributes: bool = True) -> DataFrame:
+    """The orders log; without ``attributes`` the customer join is left out."""
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    who = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
-    placed = orders.join(who, orders.o_custkey == who.c_custkey, "left").select(
+    if attributes:
+        customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+        who = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
+        orders = orders.join(who, orders.o_custkey == who.c_custkey, "left")
+    case_columns = {"priority": "o_orderpriority", "status": "o_orderstatus", "segment": "c_mktsegment", "nation": "n_name"}
+    case_columns = case_columns if attributes else {}
+    placed = orders.select(
         F.col("o_orderkey").alias("case_id"),
         F.lit("Place order").alias("activity"),
         F.col("o_orderdate").alias("ts"),
-        F.struct(F.lit(0).alias("line"), F.lit(0).cast("bigint").alias("part"), F.lit(0).cast("bigint").alias("supp")).alias("seq"),
+        F.struct(
+            F.lit(0).alias("line"),
+            F.lit(0).cast("bigint").alias("part"),
+            F.lit(0).cast("bigint").alias("supp"),
+            F.lit(0.0).alias("price"),
+        ).alias("seq"),
         F.col("o_totalprice").alias("amount"),
         F.col("o_totalprice").alias("exposure"),
-        F.col("o_orderpriority").alias("priority"),
-        F.col("o_orderstatus").alias("status"),
-        F.col("c_mktsegment").alias("segment"),
-        F.col("n_name").alias("nation"),
+        *[F.col(c).alias(n) for n, c in case_columns.items()],
         F.lit(None).cast("string").alias("resource"),
         F.lit(None).cast("string").alias("linestatus"),
     )
@@ -156,10 +163,15 @@ def log_o(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("case_id"),
         F.when(F.col("l_returnflag") == "R", "Return item").otherwise("Ship item").alias("activity"),
         F.col("l_shipdate").alias("ts"),
-        F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp")).alias("seq"),
+        F.struct(
+            F.col("l_linenumber").alias("line"),
+            F.col("l_partkey").alias("part"),
+            F.col("l_suppkey").alias("supp"),
+            F.col("l_extendedprice").alias("price"),
+        ).alias("seq"),
         F.col("l_extendedprice").alias("amount"),
         none.cast("double").alias("exposure"),
-        *[none.cast("string").alias(c) for c in ("priority", "status", "segment", "nation")],
+        *[none.cast("string").alias(c) for c in case_columns],
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("resource"),
         F.col("l_linestatus").alias("linestatus"),
     )
@@ -169,12 +181,12 @@ def log_o(spark: SparkSession, sf_dir: str) -> DataFrame:
 cte(
     "o",
     "SELECT o_orderkey AS case_id, 'Place order' AS activity, o_orderdate AS ts,"
-    " {'line': 0, 'part': 0::BIGINT, 'supp': 0::BIGINT} AS seq, o_totalprice AS amount, o_totalprice AS exposure,"
+    " {'line': 0, 'part': 0::BIGINT, 'supp': 0::BIGINT, 'price': 0.0::DOUBLE} AS seq, o_totalprice AS amount, o_totalprice AS exposure,"
     " o_orderpriority AS priority, o_orderstatus AS status, c_mktsegment AS segment, n_name AS nation,"
     " NULL::VARCHAR AS resource, NULL::VARCHAR AS linestatus"
     " FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey"
     " UNION ALL SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'Return item' ELSE 'Ship item' END, l_shipdate,"
-    " {'line': l_linenumber, 'part': l_partkey, 'supp': l_suppkey}, l_extendedprice, NULL, NULL, NULL, NULL, NULL,"
+    " {'line': l_linenumber, 'part': l_partkey, 'supp': l_suppkey, 'price': l_extendedprice}, l_extendedprice, NULL, NULL, NULL, NULL, NULL,"
     " 'S' || l_suppkey, l_linestatus FROM lineitem",
 )
 
@@ -312,17 +324,25 @@ def norm_o() -> Norm:
     return load_norm(NORM_DOC)
 
 
-_STORED: dict[tuple[str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def scored_o(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scored order log, stored once per application; every report reads it from there."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Query) -> DataFrame:
+    """An artefact that many reports read: written once per application, then scanned by column."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
-        _STORED[key] = store(score_table(log_o(spark, sf_dir), norm_o()))
+        _STORED[key] = store(make(spark, sf_dir))
     return _STORED[key]
 
 
+def case_table_o(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "cases", cases_o)
+
+
+def scored_o(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "scored", lambda s, d: score_table(log_o(s, d), norm_o()))
+
+
 def stamps(events: DataFrame) -> DataFrame:
     """Distinct timestamps per case; kept apart from the other case aggregates, which need no distinct step."""
     per_stamp = events.where(F.col("ts").isNotNull()).groupBy("case_id", "ts").agg(F.lit(1).alias("one"))

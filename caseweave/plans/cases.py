@@ -18,6 +18,7 @@ from .base import (
     log_wd,
     register,
     stamps,
+    stored,
 )
 
 NTZ = F.lit(WINDOW_END).cast("timestamp_ntz")
@@ -166,6 +167,11 @@ cte(
 
 
 def typed_o(spark, d):
+    """The case table with flow types, written once."""
+    return stored(spark, d, "typed", make_typed_o)
+
+
+def make_typed_o(spark, d):
     events = log_o(spark, d)
     aggs = {**aggregates_o(events), "n_ship": F.count_if(F.col("activity") == "Ship item")}
     cases = C.flow_types(events, FLOW_RULES, "standard", aggs)
@@ -175,7 +181,7 @@ def typed_o(spark, d):
 
 @register("C8_flow_types", "SELECT case_id, flow_type FROM ft_o", with_=["ft_o"])
 def _(spark, d):
-    return typed_o(spark, d).select("case_id", "flow_type")
+    return make_typed_o(spark, d).select("case_id", "flow_type")
 
 
 @register(
@@ -201,7 +207,7 @@ def _(spark, d):
     with_=["co"],
 )
 def _(spark, d):
-    cases = C.build_cases(log_o(spark, d), {"t_ship": C.stamp(["Ship item"])})
+    cases = C.build_cases(log_o(spark, d, False), {"t_ship": C.stamp(["Ship item"])})
     return cases.select(
         "case_id",
         C.period_attribute(F.col("first_ts"), "year").alias("y"),
@@ -233,7 +239,7 @@ RECIPES = {
     with_=["o"],
 )
 def _(spark, d):
-    return C.build_cases(log_o(spark, d), C.recipe_aggregates({"n_moves": RECIPES["n_moves"]})).select("case_id", "n_moves")
+    return C.build_cases(log_o(spark, d, False), C.recipe_aggregates({"n_moves": RECIPES["n_moves"]})).select("case_id", "n_moves")
 
 
 @register(
@@ -248,7 +254,7 @@ def _(spark, d):
     with_=["o", "co"],
 )
 def _(spark, d):
-    cases = C.build_cases(log_o(spark, d), C.recipe_aggregates(RECIPES), exposure="exposure")
+    cases = C.build_cases(log_o(spark, d, False), C.recipe_aggregates(RECIPES), exposure="exposure")
     out = C.recipe_columns(cases, RECIPES)
     return out.select("case_id", "exposure", "n_events", *RECIPES)
 
@@ -271,7 +277,7 @@ def _(spark, d):
     with_=["o", "ft_o"],
 )
 def _(spark, d):
-    out = C.attach(log_o(spark, d), typed_o(spark, d), ["flow_type"])
+    out = C.attach(log_o(spark, d, False), typed_o(spark, d), ["flow_type"])
     return out.groupBy("case_id", "activity", "ts", "flow_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -282,7 +288,7 @@ def _(spark, d):
 )
 def _(spark, d):
     cases = typed_o(spark, d).where((F.col("flow_type") == "returned") & (F.col("segment") == "BUILDING"))
-    return C.scope_log(log_o(spark, d), cases).groupBy("activity").agg(F.count(F.lit(1)).alias("n"))
+    return C.scope_log(log_o(spark, d, False), cases).groupBy("activity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(
@@ -307,7 +313,7 @@ def _(spark, d):
     with_=["o", "ft_o"],
 )
 def _(spark, d):
-    events = C.attach(log_o(spark, d), typed_o(spark, d), ["flow_type"])
+    events = C.attach(log_o(spark, d, False), typed_o(spark, d), ["flow_type"])
     return flow.edges(flow.sequence(events, ["flow_type"]), ["flow_type"])
 
 
@@ -341,7 +347,7 @@ def _(spark, d):
     with_=["o"],
 )
 def _(spark, d):
-    return C.header_replication(log_o(spark, d), ["Return item"])
+    return C.header_replication(log_o(spark, d, False), ["Return item"])
 
 
 @register(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cases as C
 from ..operators import eda
 from ..session import store
-from .base import cases_o, cte, log_o, log_wd, register
+from .base import case_table_o, cte, log_o, log_wd, register
 
 # A selection with every kind of part.
 REQUEST = {
@@ -55,7 +55,7 @@ def marked_sql() -> str:
 
 
 def marked(spark, d):
-    cases = eda.with_keys(eda.prepared(cases_o(spark, d)), ["nation", "segment"])
+    cases = eda.with_keys(eda.prepared(case_table_o(spark, d)), ["nation", "segment"])
     return store(eda.mark(cases, REQUEST))
 
 
@@ -70,14 +70,14 @@ def _ev(name: str, body: str, fn, doubles: str = "", decimals: int = 6, extra=()
 _ev(
     "D1_prepared",
     "SELECT case_id, events, first_ts, last_ts, span_days FROM marked",
-    lambda s, d: eda.prepared(cases_o(s, d)).select("case_id", "events", "first_ts", "last_ts", "span_days"),
+    lambda s, d: eda.prepared(case_table_o(s, d)).select("case_id", "events", "first_ts", "last_ts", "span_days"),
     "span_days",
 )
-_ev("D2_category_domain", "SELECT category, n, key FROM dn", lambda s, d: eda.domain(cases_o(s, d), "nation"))
+_ev("D2_category_domain", "SELECT category, n, key FROM dn", lambda s, d: eda.domain(case_table_o(s, d), "nation"))
 _ev(
     "D2_category_keys",
     "SELECT case_id, key_nation, key_segment FROM marked",
-    lambda s, d: eda.with_keys(eda.prepared(cases_o(s, d)), ["nation", "segment"]).select(
+    lambda s, d: eda.with_keys(eda.prepared(case_table_o(s, d)), ["nation", "segment"]).select(
         "case_id", F.col("key__nation").alias("key_nation"), F.col("key__segment").alias("key_segment")
     ),
 )
@@ -162,7 +162,7 @@ _ev(
 _ev(
     "D9_comparison_choice",
     "SELECT 'segment' AS name, count(DISTINCT segment) AS \"distinct\" FROM marked",
-    lambda s, d: eda.comparison_choice(cases_o(s, d).withColumn("region_id", F.col("priority")), ["region_id", "nation", "segment", "status"], "priority"),
+    lambda s, d: eda.comparison_choice(case_table_o(s, d).withColumn("region_id", F.col("priority")), ["region_id", "nation", "segment", "status"], "priority"),
 )
 _ev(
     "D10_value_search",
@@ -226,8 +226,8 @@ cte(
 
 
 def endpoints_o(spark, d):
-    cases = eda.prepared(cases_o(spark, d)).withColumn("selected", F.col("exposure") >= 100000)
-    return eda.endpoint_pairs(log_o(spark, d), cases, "Place order", "Return item")
+    cases = eda.prepared(case_table_o(spark, d)).withColumn("selected", F.col("exposure") >= 100000)
+    return eda.endpoint_pairs(log_o(spark, d, False), cases, "Place order", "Return item")
 
 
 @register(

@@ -16,7 +16,7 @@ from .base import (
     CIDS,
     aggregates_o,
     backlog_sql,
-    cases_o,
+    case_table_o,
     cte,
     log_o,
     norm_o,
@@ -138,7 +138,7 @@ def _(spark, d):
 )
 def _(spark, d):
     cases = scored_o(spark, d).join(
-        log_o(spark, d).where("activity = 'Return item'").select("case_id", F.lit(1).alias("r")).distinct(), "case_id", "left"
+        log_o(spark, d, False).where("activity = 'Return item'").select("case_id", F.lit(1).alias("r")).distinct(), "case_id", "left"
     )
     f, r = F.col("status") == "F", F.col("r").isNotNull()
     counts = cases.groupBy("nation").agg(
@@ -406,7 +406,7 @@ PICK = "exposure >= 200000"
     with_=["co"],
 )
 def _(spark, d):
-    return X.activity_coverage(log_o(spark, d), cases_o(spark, d).where(PICK), ["Return item"])
+    return X.activity_coverage(log_o(spark, d, False), case_table_o(spark, d).where(PICK), ["Return item"])
 
 
 cte(
@@ -418,7 +418,7 @@ cte(
 
 
 def _ends(spark, d):
-    return X.endpoint_partition(log_o(spark, d), cases_o(spark, d).where(PICK), ["Ship item"], ["Return item"])
+    return X.endpoint_partition(log_o(spark, d, False), case_table_o(spark, d).where(PICK), ["Ship item"], ["Return item"])
 
 
 @register("X15_endpoint_partition", "SELECT status, count(*) AS cases FROM ends_o GROUP BY 1", with_=["ends_o"])
@@ -444,7 +444,7 @@ def _(spark, d):
     with_=["o", "co"],
 )
 def _(spark, d):
-    return X.day_of_month(log_o(spark, d), cases_o(spark, d).where(PICK), ["Return item"])
+    return X.day_of_month(log_o(spark, d, False), case_table_o(spark, d).where(PICK), ["Return item"])
 
 
 # --------------------------------------------------------------------------- X7, X9

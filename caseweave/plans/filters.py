@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import cases as C
 from ..operators import eda, filters
 from ..operators.norm import applies, count_name
-from .base import CENSOR_DAYS, WINDOW_END, aggregates_o, cases_o, log_o, log_wd, norm_o, register
+from .base import CENSOR_DAYS, WINDOW_END, aggregates_o, case_table_o, log_o, log_wd, norm_o, register
 from .eda import REQUEST, marked_sql
 
 # Clause -> the condition it must equal, over one row per case of log o.
@@ -139,7 +139,7 @@ def _(spark, d):
 )
 def _(spark, d):
     mask = filters.slice_mask({"priority": ["5-LOW", "1-URGENT"], "segment": "BUILDING"})
-    return cases_o(spark, d).select("case_id", mask.alias("inside"))
+    return case_table_o(spark, d).select("case_id", mask.alias("inside"))
 
 
 RULES = {
@@ -166,5 +166,5 @@ def _(spark, d):
 
 @register("F14_exploratory_predicates", f"SELECT * FROM ({marked_sql()} SELECT case_id, selected FROM marked)", with_=["co"])
 def _(spark, d):
-    cases = eda.with_keys(eda.prepared(cases_o(spark, d)), ["nation", "segment"])
+    cases = eda.with_keys(eda.prepared(case_table_o(spark, d)), ["nation", "segment"])
     return eda.mark(cases, REQUEST).select("case_id", "selected")

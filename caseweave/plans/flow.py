@@ -49,7 +49,7 @@ def _(spark, d):
 
 @register("G1_edges_orders", f"SELECT activity AS source, nxt AS target, count(*) AS n, count(DISTINCT case_id) AS cases, quantile_cont({HOURS}, 0.5) AS median_hours FROM (SELECT *, lead(activity) OVER x AS nxt, lead(ts) OVER x AS nts FROM o WINDOW x AS (PARTITION BY case_id ORDER BY ts, seq)) WHERE nxt IS NOT NULL GROUP BY 1, 2", doubles="median_hours", with_=["o"])
 def _(spark, d):
-    return G.edges(G.sequence(log_o(spark, d)))
+    return G.edges(G.sequence(log_o(spark, d, False)))
 
 
 @register("G1_boundaries", "SELECT * FROM ends", with_=["ends"])
@@ -90,7 +90,7 @@ cte(
 def focus(spark, d):
     violated = any_of(F.coalesce(F.col(f"v__{c}") > 0, F.lit(False)) for c in ("c_noret", "c_single", "c_bal"))
     flags = scored_o(spark, d).select("case_id", violated.alias("violated"))
-    return G.focus_paths(G.sequence(log_o(spark, d)), "Ship item", flags)
+    return G.focus_paths(G.sequence(log_o(spark, d, False)), "Ship item", flags)
 
 
 @register("G2_focus_paths", "SELECT * FROM paths", doubles="violation_share median_hours", with_=["paths"])
@@ -106,7 +106,7 @@ def _(spark, d):
     with_=["paths", "seqo", "so"],
 )
 def _(spark, d):
-    _, drawn, _ = G.abstraction(G.sequence(log_o(spark, d)), 0.6)
+    _, drawn, _ = G.abstraction(G.sequence(log_o(spark, d, False)), 0.6)
     return G.hidden_paths(focus(spark, d), "Ship item", drawn)
 
 
@@ -182,7 +182,7 @@ def _(spark, d):
     with_=["o", "co", "named", "vsh", "seqo"],
 )
 def _(spark, d):
-    seq = G.sequence(log_o(spark, d))
+    seq = G.sequence(log_o(spark, d, False))
     shares = G.activity_violation(G.violation_shares(scored_o(spark, d), norm_o()), norm_o())
     links = G.edges(seq)
     ends = links.select(F.col("source").alias("activity")).unionByName(links.select(F.col("target").alias("activity")))
@@ -214,7 +214,7 @@ def _variants(events):
 
 @register("G6_variants", _variant_sql("o"), doubles="share median_hours", with_=["o"])
 def _(spark, d):
-    return _variants(log_o(spark, d))
+    return _variants(log_o(spark, d, False))
 
 
 cte("wshort", "SELECT * FROM wd WHERE activity IS NULL OR activity IN ('signup', 'purchase') OR k < 10", "wd")
@@ -233,7 +233,7 @@ def _(spark, d):
     with_=["o"],
 )
 def _(spark, d):
-    events = log_o(spark, d)
+    events = log_o(spark, d, False)
     example = G.case_sequences(events).groupBy("variant").agg(F.min("case_id").alias("case_id"))
     return G.variant_steps(events, example)
 

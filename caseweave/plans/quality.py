@@ -14,7 +14,7 @@ from .base import (
     CENSOR_DAYS,
     WINDOW_END,
     backlog_sql,
-    cases_o,
+    case_table_o,
     cte,
     log_o,
     log_wd,
@@ -91,7 +91,7 @@ def _(spark, d):
 )
 def _(spark, d):
     n = {k: F.count_if(F.col("activity") == a) for k, a in (("n_ship", "Ship item"), ("n_return", "Return item"))}
-    cases = C.build_cases(log_o(spark, d), n)
+    cases = C.build_cases(log_o(spark, d, False), n)
     end = F.lit(WINDOW_END).cast("timestamp_ntz")
     return cases.select(
         "case_id",
@@ -191,7 +191,7 @@ cte(
 
 def log_od(spark, d):
     """Log o with a label that appears in 2000 and one that stops in spring 2001."""
-    o = log_o(spark, d)
+    o = log_o(spark, d, False)
 
     def since(day: str):
         return F.col("ts") >= F.lit(day).cast("timestamp_ntz")
@@ -271,7 +271,7 @@ def _(spark, d):
 
 # Setting and releasing labels for the pair checks.
 def log_pairs(spark, d):
-    o = log_o(spark, d)
+    o = log_o(spark, d, False)
     label = (
         F.when(F.col("activity") == "Place order", "Set delivery block")
         .when(F.col("activity") == "Return item", "Release Delivery Block")
@@ -330,7 +330,7 @@ def _(spark, d):
 )
 def _(spark, d):
     wrong_unit = (F.col("case_id") % 5 == 0) & (F.col("segment") == "BUILDING")
-    cases = cases_o(spark, d)
+    cases = case_table_o(spark, d)
     cases = cases.withColumn("exposure", F.when(wrong_unit, F.col("exposure") * 1_000_000).otherwise(F.col("exposure")))
     return Q.exposure_sanity(cases, "segment")
 
@@ -398,7 +398,7 @@ def _(spark, d):
     with_=["o"],
 )
 def _(spark, d):
-    return Q.cross_case_replication(log_o(spark, d), "resource")
+    return Q.cross_case_replication(log_o(spark, d, False), "resource")
 
 
 # --------------------------------------------------------------------------- caveats and the report
@@ -497,7 +497,7 @@ NAMED = {"c1": ["Place order", "Approve order"], "c2": ["Ship item", "Return ite
     with_=["o"],
 )
 def _(spark, d):
-    return Q.norm_evidence(log_o(spark, d), NAMED)
+    return Q.norm_evidence(log_o(spark, d, False), NAMED)
 
 
 @register(
@@ -507,7 +507,7 @@ def _(spark, d):
     with_=["o"],
 )
 def _(spark, d):
-    return Q.norm_relevance(log_o(spark, d), NAMED)
+    return Q.norm_relevance(log_o(spark, d, False), NAMED)
 
 
 def _report(spark, d):

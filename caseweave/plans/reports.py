@@ -15,7 +15,7 @@ from .base import (
     CIDS,
     LAYERS,
     backlog_sql,
-    cases_o,
+    case_table_o,
     cte,
     log_o,
     long_sql,
@@ -429,7 +429,7 @@ cte(
     with_=["co", "quart"],
 )
 def _(spark, d):
-    cases = cases_o(spark, d)
+    cases = case_table_o(spark, d)
     return cases.select("case_id", K.band("exposure", K.band_edges(cases, "exposure", 4)).alias("band"))
 
 
@@ -439,7 +439,7 @@ def _(spark, d):
     with_=["co"],
 )
 def _(spark, d):
-    cases = cases_o(spark, d).withColumn("band", K.band("n_events", [3, 6]))
+    cases = case_table_o(spark, d).withColumn("band", K.band("n_events", [3, 6]))
     return cases.groupBy("band").agg(F.count(F.lit(1)).alias("cases"))
 
 
@@ -471,7 +471,7 @@ def _(spark, d):
     with_=["co"],
 )
 def _(spark, d):
-    cases = cases_o(spark, d).withColumn("customer", F.concat(F.lit("c"), F.col("case_id").cast("string")))
+    cases = case_table_o(spark, d).withColumn("customer", F.concat(F.lit("c"), F.col("case_id").cast("string")))
     return K.grouping_options(cases, ["segment", "exposure", "customer", "n_events"])
 
 
@@ -500,7 +500,7 @@ def _discovery_sql() -> str:
 @register("K40_grouping_discovery", _discovery_sql(), doubles="relevance score", decimals=5, with_=["co"])
 def _(spark, d):
     hidden = F.when(F.col("case_id") % 4 == 0, F.lit(None).cast("string")).otherwise(F.col("segment"))
-    cases = cases_o(spark, d).withColumn("segment", hidden)
+    cases = case_table_o(spark, d).withColumn("segment", hidden)
     return K.grouping_discovery(cases, _COLUMNS, 100, {"segment": 0.5, "status": 0.3})
 
 

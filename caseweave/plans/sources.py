@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import prepare, profile
 from ..session import shared_dir
 from ..sources import readers, sinks
-from .base import cases_o, cases_w, log_o, log_w, log_wd, register, table, text_w
+from .base import case_table_o, cases_w, log_o, log_w, log_wd, register, table, text_w
 
 
 def _path(spark, name: str) -> str:
@@ -154,7 +154,7 @@ def _(spark, d):
     with_=["o"],
 )
 def _(spark, d):
-    return profile.log_profile(log_o(spark, d))
+    return profile.log_profile(log_o(spark, d, False))
 
 
 @register("S9_distinct_keys", "SELECT event, lifecycle, count(*) AS n FROM tw GROUP BY event, lifecycle", with_=["tw"])
@@ -251,7 +251,7 @@ def _field_sql() -> str:
 )
 def _(spark, d):
     hidden = F.col("nation").isin("FRANCE", "NATION_03") | (F.col("case_id") % 9 == 0)
-    cases = cases_o(spark, d).withColumn("nation", F.when(hidden, "(missing)").otherwise(F.col("nation")))
+    cases = case_table_o(spark, d).withColumn("nation", F.when(hidden, "(missing)").otherwise(F.col("nation")))
     marked = cases.withColumn("selected", F.col("n_events") >= 4)
     return profile.field_profiles(marked, ["segment", "nation", "exposure", "n_events"])
 
@@ -267,7 +267,7 @@ def _(spark, d):
     with_=["co"],
 )
 def _(spark, d):
-    return profile.attribute_inventory(cases_o(spark, d), ["segment", "exposure"])
+    return profile.attribute_inventory(case_table_o(spark, d), ["segment", "exposure"])
 
 
 @register(
@@ -279,7 +279,7 @@ def _(spark, d):
     with_=["co"],
 )
 def _(spark, d):
-    return profile.top_values(cases_o(spark, d), ["segment", "nation"], 5)
+    return profile.top_values(case_table_o(spark, d), ["segment", "nation"], 5)
 
 
 @register(

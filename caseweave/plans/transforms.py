@@ -12,7 +12,7 @@ from .base import (
     BACKLOG_DOUBLES,
     NORM_DOC,
     backlog_sql,
-    cases_o,
+    case_table_o,
     cte,
     log_o,
     register,
@@ -24,7 +24,7 @@ COLS = "case_id, activity, ts, seq.line AS line, seq.part AS part, amount"
 
 
 def picked(spark, d):
-    return cases_o(spark, d).where(PICK)
+    return case_table_o(spark, d).where(PICK)
 
 
 def shown(events):
@@ -48,36 +48,36 @@ cte(
 _t(
     "T1_cap_lag",
     f"SELECT * EXCLUDE (old, lim) REPLACE (CASE WHEN activity = 'Ship item' AND ts = old THEN lim ELSE ts END AS ts) FROM (SELECT {COLS}, old, lim FROM o LEFT JOIN late USING (case_id))",
-    lambda s, d: shown(T.cap_lag(log_o(s, d), "Place order", "Ship item", 100, "D")),
+    lambda s, d: shown(T.cap_lag(log_o(s, d, False), "Place order", "Ship item", 100, "D")),
     ("o", "late"),
 )
 _t(
     "T1_cap_lag_shift",
     f"SELECT case_id, activity, CASE WHEN activity = 'Ship item' AND ts = old THEN lim WHEN ts > old THEN ts - (old - lim) ELSE ts END AS ts, line, part, amount FROM (SELECT {COLS}, old, lim FROM o LEFT JOIN"
     " (SELECT * FROM late WHERE case_id IN (SELECT case_id FROM sel)) USING (case_id))",
-    lambda s, d: shown(T.cap_lag(log_o(s, d), "Place order", "Ship item", 100, "D", shift_following=True, selected=picked(s, d))),
+    lambda s, d: shown(T.cap_lag(log_o(s, d, False), "Place order", "Ship item", 100, "D", shift_following=True, selected=picked(s, d))),
     ("o", "late", "sel"),
 )
 _t(
     "T2_delete_activity",
     f"SELECT {COLS} FROM o WHERE NOT (activity = 'Return item' AND case_id IN (SELECT case_id FROM sel))",
-    lambda s, d: shown(T.delete_activity(log_o(s, d), "Return item", picked(s, d))),
+    lambda s, d: shown(T.delete_activity(log_o(s, d, False), "Return item", picked(s, d))),
 )
 _t(
     "T3_keep_first",
     f"SELECT {COLS} FROM (SELECT *, row_number() OVER (PARTITION BY case_id, activity ORDER BY ts, seq) AS r FROM o) WHERE activity = 'Place order' OR r = 1",
-    lambda s, d: shown(T.keep_first(log_o(s, d), ["Ship item", "Return item"])),
+    lambda s, d: shown(T.keep_first(log_o(s, d, False), ["Ship item", "Return item"])),
 )
 _t(
     "T4_move_all",
     f"SELECT * REPLACE (CASE WHEN activity = 'Return item' AND case_id IN (SELECT case_id FROM sel) THEN ts - INTERVAL 36 HOUR ELSE ts END AS ts) FROM (SELECT {COLS} FROM o)",
-    lambda s, d: shown(T.move_event(log_o(s, d), "Return item", -36, "h", "all", picked(s, d))),
+    lambda s, d: shown(T.move_event(log_o(s, d, False), "Return item", -36, "h", "all", picked(s, d))),
 )
 _t(
     "T4_move_first",
     f"SELECT case_id, activity, CASE WHEN r = 1 THEN ts + INTERVAL 2 DAY ELSE ts END AS ts, line, part, amount FROM (SELECT {COLS}, CASE WHEN activity <> 'Place order' THEN row_number() OVER"
     " (PARTITION BY case_id, activity <> 'Place order' ORDER BY ts, seq) END AS r FROM o)",
-    lambda s, d: shown(T.move_event(log_o(s, d), ["Ship item", "Return item"], 2, "D", "first")),
+    lambda s, d: shown(T.move_event(log_o(s, d, False), ["Ship item", "Return item"], 2, "D", "first")),
 )
 
 
@@ -108,7 +108,7 @@ cte(
 cte("c2", "SELECT * EXCLUDE (lim, old) REPLACE (CASE WHEN activity = 'Ship item' AND ts = old THEN lim ELSE ts END AS ts) FROM c1 LEFT JOIN c2l USING (case_id)", "c1", "c2l")
 cte("c3", "SELECT * FROM c2 WHERE activity <> 'Return item'", "c2")
 
-_t("T6_chain", f"SELECT {COLS} FROM c3", lambda s, d: shown(T.chain(log_o(s, d), SPECS)[0]), ("c3",))
+_t("T6_chain", f"SELECT {COLS} FROM c3", lambda s, d: shown(T.chain(log_o(s, d, False), SPECS)[0]), ("c3",))
 
 
 @register(
@@ -120,7 +120,7 @@ _t("T6_chain", f"SELECT {COLS} FROM c3", lambda s, d: shown(T.chain(log_o(s, d),
     with_=["o", "c3", "c2l", "c1", "c2"],
 )
 def _(spark, d):
-    return T.chain(log_o(spark, d), SPECS)[1]
+    return T.chain(log_o(spark, d, False), SPECS)[1]
 
 
 # --------------------------------------------------------------------------- T7: edited norm on the transformed log
