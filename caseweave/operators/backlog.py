@@ -226,7 +226,8 @@ def top_constraint(
     plain = ~F.col("constraint_id").isin(list(demoted)) if demoted else F.lit(True)
     long = long.withColumn("plain", plain & (F.col("share") > 0))
     best = top_per_key(long, keys, [F.desc("plain"), F.desc("share"), F.asc("position")], 1)
-    return best.select(*keys, "dominant_layer", "constraint_id", "share", (~F.col("plain")).alias("measures_logging"))
+    flagged = ~F.col("plain") & F.col("constraint_id").isin(list(demoted)) if demoted else F.lit(False)
+    return best.select(*keys, "dominant_layer", "constraint_id", "share", flagged.alias("measures_logging"))
 
 
 def measurement(scored: DataFrame, norm: Norm, has_value: Mapping[str, Column]) -> DataFrame:

@@ -187,6 +187,18 @@ def _clauses(rule: Mapping[str, Any]) -> list[Mapping[str, Any]]:
     return [rule] if "kind" in rule else []
 
 
+def assignment_preview(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Per newly assigned flow type: its cases, and the cases and events whose type would change."""
+    old = before.select("case_id", F.col("flow_type").alias("__old"))
+    rows = join_on(after.select("case_id", "flow_type", "n_events"), old, ["case_id"], "left")
+    changed = ~F.col("flow_type").eqNullSafe(F.col("__old"))
+    return rows.groupBy("flow_type").agg(
+        F.count(F.lit(1)).alias("cases"),
+        F.count_if(changed).alias("changed_cases"),
+        F.coalesce(F.sum(F.when(changed, F.col("n_events"))), F.lit(0)).alias("changed_events"),
+    )
+
+
 def absent_flow_types(cases: DataFrame, names: Sequence[str]) -> DataFrame:
     """Rule names that no case carries."""
     listed = text_rows(cases.sparkSession, [(n,) for n in names], ["flow_type"])

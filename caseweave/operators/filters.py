@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Mapping, Sequence
-from datetime import datetime
+from datetime import UTC, datetime
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -109,6 +109,12 @@ def _iso(text: Any, i: int) -> datetime:
         raise FilterError(f"clause {i}: {text!r} is no ISO time") from exc
 
 
+def _stamp(text: str) -> Column:
+    """A time bound on the log's clock; a bound with a zone is taken in UTC."""
+    t = datetime.fromisoformat(text)
+    return ntz((t.astimezone(UTC).replace(tzinfo=None) if t.tzinfo else t).isoformat(sep=" "))
+
+
 def parse(text: str) -> dict[str, Any]:
     """A filter from its JSON text: a conjunction or a single clause."""
     try:
@@ -198,17 +204,19 @@ def case_clause(c: Mapping[str, Any]) -> Column:
     kind = c["kind"]
     if kind == "time":
         col = F.col("first_ts" if c.get("field", "case_start") in START_FIELDS else "last_ts")
-        conds = [col >= ntz(c["from"])] if "from" in c else []
-        conds += [col <= ntz(c["to"])] if "to" in c else []
+        conds = [col >= _stamp(c["from"])] if "from" in c else []
+        conds += [col <= _stamp(c["to"])] if "to" in c else []
         return holds(all_of(conds))
     if kind == "attribute":
         col = F.col(f"`{c['field']}`")
+        # Booleans are spelled True and False in filters.
+        text = F.when(F.typeof(col) == "boolean", F.initcap(col.cast("string"))).otherwise(col.cast("string"))
         if "in" in c:
             wanted = [str(v) for v in c["in"]]
-            hit = holds(col.cast("string").isin(wanted))
+            hit = holds(text.isin(wanted))
             return hit | col.isNull() if {"(missing)", ""} & set(wanted) else hit
         if "eq" in c:
-            return holds(col.cast("string") == F.lit(str(c["eq"])))
+            return holds(text == F.lit(str(c["eq"])))
         return _between(F.expr(f"try_cast(`{c['field']}` as double)"), c)
     if kind == "activity":
         op = c.get("op", "contains")

@@ -147,18 +147,16 @@ def _digest(labels: Column) -> Column:
 def case_sequences(events: DataFrame, *, chunk: int = CHUNK_STEPS, hot_events: int = 1_000_000) -> DataFrame:
     """Per case: the digest of its full label sequence, its length and, up to ``chunk`` steps, the labels.
 
-    Ordinary cases are sorted inside their group.  Longer ones are cut into chunks of
-    positions whose digests are digested again, so no group holds a long case.
-    Three rounds cover ``chunk`` to the third power steps.
+    Ordinary cases are sorted inside their group and identified by the SHA-256 of the
+    JSON list of their labels.  Longer ones are cut into chunks of positions whose
+    digests are digested again, so no group holds a long case.  Three rounds cover
+    ``chunk`` to the third power steps.
     """
     rows = _keyed(events)
     sizes = rows.groupBy("case_id").agg(F.count(F.lit(1)).alias("__n"))
     long_ids = sizes.where(F.col("__n") > chunk).select("case_id")
     out_cols = ["case_id", "n_steps", "labels", "variant"]
 
-    def nested(digest: Column) -> Column:
-        return F.sha2(F.sha2(digest, 256), 256)
-
     if long_ids.isEmpty():
         short = rows
     else:
@@ -168,7 +166,7 @@ def case_sequences(events: DataFrame, *, chunk: int = CHUNK_STEPS, hot_events: i
     packed = short.groupBy("case_id").agg(F.array_sort(F.collect_list(item)).alias("steps"))
     packed = packed.withColumn("labels", F.transform("steps", lambda s: s["activity"]))
     result = packed.select(
-        "case_id", F.size("labels").cast("bigint").alias("n_steps"), "labels", nested(_digest(F.col("labels"))).alias("variant")
+        "case_id", F.size("labels").cast("bigint").alias("n_steps"), "labels", _digest(F.col("labels")).alias("variant")
     )
     if short is rows:
         return result
@@ -202,6 +200,14 @@ def variants(events: DataFrame, total_cases: Column, *, examples: int = 3, chunk
     return out.withColumn("share", F.col("n_cases") / total_cases)
 
 
+def top_variants(table: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` most frequent variants, ties by their JSON form, with the share of cases they cover together."""
+    top = table.orderBy(F.desc("n_cases"), F.to_json("labels", {"ignoreNullFields": "false"}).asc_nulls_last()).limit(k)
+    total = table.agg(F.struct(F.sum("n_cases").alias("n"), F.count(F.lit(1)).alias("v"))).scalar()
+    covered = top.agg(F.sum("n_cases")).scalar()
+    return top.withColumns({"coverage": covered / total["n"], "total_variants": total["v"]})
+
+
 def variant_steps(events: DataFrame, example_cases: DataFrame, *, hot_events: int = 1_000_000) -> DataFrame:
     """Long form of variants of any length: ``variant, pos, activity`` read off one example case each."""
     rows = join_on(_keyed(events), example_cases.select("case_id"), ["case_id"], "left_semi")

@@ -12,7 +12,7 @@ from ..functions.exprs import holds
 from ..functions.ordered import sort_key
 
 # Placeholder dates that systems write for "no date".
-PLACEHOLDER_DATES = ("1900-01-01", "1970-01-01", "9999-12-31", "2099-12-31")
+PLACEHOLDER_DATES = ("1900-01-01", "1900-12-31", "1970-01-01", "1999-12-31", "2099-12-31", "9999-12-31")
 
 
 @dataclass(frozen=True)

@@ -540,7 +540,7 @@ def caveats_long(groups: DataFrame, by: Sequence[str], kinds: Sequence[str], min
     return groups.select(*by, "n_cases", F.inline(F.array(*items))).where(F.col("share") > min_share)
 
 
-def caveat_summary(long: DataFrame, groups: DataFrame, factor: float = 2.0) -> DataFrame:
+def caveat_summary(long: DataFrame, groups: DataFrame, factor: float = 1.5) -> DataFrame:
     """Per caveat: case-weighted share over the page, the largest share, groups that carry it, display threshold."""
     weight = groups.agg(F.sum("n_cases")).scalar()
     out = long.groupBy("caveat").agg(

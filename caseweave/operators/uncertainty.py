@@ -71,11 +71,13 @@ def bootstrap_backlog(
     level: float = 0.90,
     min_support: int = 10,
     baseline: float | None = None,
+    volume: str | None = None,
 ) -> DataFrame:
     """Intervals of gap, priority and rank per group, chance to be in the top, and a stability badge."""
     s = F.col(f"score__{view}")
     rows = label_keys(scored.where(s.isNotNull()), keys)
-    sums = {"n": F.lit(1).cast("double"), "ssum": s}
+    size = F.coalesce(F.col(volume).cast("double"), F.lit(0.0)) if volume else F.lit(1).cast("double")
+    sums = {"n": F.lit(1).cast("double"), "ssum": s, "vol": size}
     unit = [cluster] if cluster in keys else []
     rows = rows.withColumn("__unit", F.col(cluster).cast("string")) if unit else rows.withColumnRenamed(cluster, "__unit")
     draws = store(replicate_sums(rows, keys, "__unit", sums, replicates, seed))
@@ -85,9 +87,10 @@ def bootstrap_backlog(
     shrink = n / (n + F.lit(float(gamma))) if gamma > 0 else F.lit(1.0)
     d = draws.join(per_b, "b")
     d = d.withColumn("gap", F.greatest(mean - F.col("ssum") / n, F.lit(0.0)))
-    d = d.withColumns({"PI": n * F.col("gap"), "stable_gap": shrink * F.col("gap"), "stable_PI": n * shrink * F.col("gap")})
+    vol = F.col("vol")
+    d = d.withColumns({"PI": vol * F.col("gap"), "stable_gap": shrink * F.col("gap"), "stable_PI": vol * shrink * F.col("gap")})
     order = [F.desc("stable_PI"), F.desc("n"), *[F.asc(k) for k in keys]]
-    d = rank_rows(d.drop("mu_bar", "ssum"), order, ["stable_PI", "n"], keys=["b"], name="rank_b")
+    d = rank_rows(d.drop("mu_bar", "ssum", "vol"), order, ["stable_PI", "n"], keys=["b"], name="rank_b")
     tail = (1.0 - level) / 2.0
     metrics = {"gap": "gap", "stable_gap": "stable_gap", "PI": "PI", "stable_PI": "stable_PI", "rank": "rank_b"}
     aggs = []
@@ -97,7 +100,7 @@ def bootstrap_backlog(
     for k in top:
         aggs.append((F.count_if((F.col("rank_b") <= k) & (F.col("stable_PI") > 0)) / replicates).alias(f"p_top{k}"))
     stats = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_draws"), *aggs)
-    groups = store(group_scores(scored, keys, view))
+    groups = store(group_scores(scored, keys, view, volume))
     point = ranked(shortfall(groups, F.lit(baseline) if baseline is not None else overall(groups), gamma), keys)
     out = point.select(*keys, "n_cases", "stable_gap", "stable_PI", "rank").join(stats, list(keys), "left")
     k = max(top)

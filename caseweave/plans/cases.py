@@ -184,6 +184,18 @@ def _(spark, d):
     return make_typed_o(spark, d).select("case_id", "flow_type")
 
 
+@register(
+    "C8_assignment_preview",
+    "SELECT t AS flow_type, count(*) AS cases, count(*) FILTER (WHERE t <> flow_type) AS changed_cases, CAST(coalesce(sum(n_events) FILTER (WHERE t <> flow_type), 0) AS BIGINT) AS changed_events FROM"
+    " (SELECT *, CASE WHEN n_return > 0 AND n_ship <= 1 THEN 'returned' ELSE 'standard' END AS t FROM ft_o) GROUP BY 1",
+    with_=["ft_o"],
+)
+def _(spark, d):
+    events = log_o(spark, d)
+    after = C.flow_types(events, [FLOW_RULES[2]], "standard", {"n_events": F.count(F.lit(1))})
+    return C.assignment_preview(typed_o(spark, d), after)
+
+
 @register(
     "C9_date_difference",
     "SELECT case_id, (epoch_us(max(ts) FILTER (WHERE activity = 'purchase')) - epoch_us(min(ts) FILTER (WHERE activity = 'signup'))) / 3600000000.0 AS hours,"

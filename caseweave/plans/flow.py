@@ -8,6 +8,7 @@ from ..functions.exprs import any_of, join_on
 from ..operators import cases as C
 from ..operators import flow as G
 from ..operators import match as M
+from ..session import store
 from .base import CIDS, cte, log_o, log_wd, norm_o, register, scored_o, vcol
 
 # The dirty log has ties, missing labels and missing stamps.
@@ -201,7 +202,7 @@ def _variant_sql(source: str) -> str:
         "SELECT variant, count(*) AS n_cases, max(len) AS n_steps, count(h) AS duration_cases, count(*) / (SELECT count(DISTINCT case_id) FROM "
         + source
         + ") AS share, quantile_cont(h, 0.5) AS median_hours, array_to_string((list(CAST(case_id AS VARCHAR) ORDER BY CAST(case_id AS VARCHAR)))[1:3], ',') AS examples, any_value(steps) AS labels FROM"
-        " (SELECT case_id, len, h, array_to_string(list_transform(steps0, lambda x: coalesce(x, '∅')), '|') AS steps, sha256(sha256(sha256('[' || array_to_string(list_transform(steps0, lambda x: coalesce('\"' || x || '\"', 'null')), ',') || ']'))) AS variant FROM"
+        " (SELECT case_id, len, h, array_to_string(list_transform(steps0, lambda x: coalesce(x, '∅')), '|') AS steps, sha256('[' || array_to_string(list_transform(steps0, lambda x: coalesce('\"' || x || '\"', 'null')), ',') || ']') AS variant FROM"
         f" (SELECT case_id, count(*) AS len, CASE WHEN count(ts) = count(*) THEN (epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000.0 END AS h, {_STEPS} AS steps0 FROM {source} GROUP BY case_id)) GROUP BY variant"
     )
 
@@ -226,9 +227,23 @@ def _(spark, d):
     return _variants(log_wd(spark, d).where(keep))
 
 
+@register(
+    "G6_top_variants",
+    "SELECT * FROM (WITH v AS (SELECT labels, count(*) AS n_cases FROM (SELECT array_to_string(list(activity ORDER BY ts, seq), '|') AS labels, '[' || string_agg('\"' || activity || '\"', ',' ORDER BY ts, seq) || ']' AS j, case_id FROM o GROUP BY case_id) GROUP BY labels, j"
+    " ORDER BY n_cases DESC, j LIMIT 10) SELECT labels, n_cases, (SELECT sum(n_cases) FROM v) / (SELECT count(DISTINCT case_id) FROM o) AS coverage, (SELECT count(DISTINCT s) FROM (SELECT string_agg(activity, '|' ORDER BY ts, seq) AS s FROM o GROUP BY case_id)) AS total_variants FROM v)",
+    doubles="coverage",
+    with_=["o"],
+)
+def _(spark, d):
+    events = log_o(spark, d, False)
+    table = store(G.variants(events, events.agg(F.count_distinct("case_id")).scalar()))
+    out = G.top_variants(table, 10)
+    return out.select(F.array_join("labels", "|").alias("labels"), "n_cases", "coverage", "total_variants")
+
+
 @register(
     "G6_variant_steps",
-    "SELECT sha256(sha256(sha256('[' || string_agg('\"' || activity || '\"', ',' ORDER BY ts, seq) OVER (PARTITION BY case_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) || ']'))) AS variant,"
+    "SELECT sha256('[' || string_agg('\"' || activity || '\"', ',' ORDER BY ts, seq) OVER (PARTITION BY case_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) || ']') AS variant,"
     " row_number() OVER (PARTITION BY case_id ORDER BY ts, seq) - 1 AS pos, activity FROM o WHERE case_id IN (SELECT min(case_id) FROM (SELECT case_id, string_agg(activity, '|' ORDER BY ts, seq) AS s FROM o GROUP BY 1) GROUP BY s)",
     with_=["o"],
 )

@@ -170,7 +170,7 @@ def _(spark, d):
 @register(
     "W8_placeholder_stamps",
     "SELECT * FROM (WITH w2 AS (SELECT ts, count(*) AS n_events FROM wd, win2 WHERE epoch_us(ts) < start_us OR epoch_us(ts) > end_us GROUP BY ts), rep AS ("
-    "SELECT ts, n_events, 'repeated stamp outside the window' AS reason FROM w2 WHERE n_events >= 5 OR strftime(ts, '%Y-%m-%d') IN ('1900-01-01', '1970-01-01', '9999-12-31', '2099-12-31')"
+    "SELECT ts, n_events, 'repeated stamp outside the window' AS reason FROM w2 WHERE n_events >= 5 OR strftime(ts, '%Y-%m-%d') IN ('1900-01-01', '1900-12-31', '1970-01-01', '1999-12-31', '2099-12-31', '9999-12-31')"
     " ORDER BY n_events DESC, ts LIMIT 10) SELECT * FROM rep UNION ALL SELECT w2.ts, n_events, reason FROM w2 JOIN (SELECT min(ts) AS ts, 'earliest timestamp' AS reason FROM wd"
     " UNION ALL SELECT max(ts), 'latest timestamp' FROM wd) x USING (ts) WHERE ts NOT IN (SELECT ts FROM rep))",
     with_=["wd", "win2"],
@@ -478,7 +478,7 @@ def _(spark, d):
 @register(
     "W22_caveat_summary",
     "SELECT caveat, sum(share * n_cases) / (SELECT sum(n_cases) FROM cav) AS page_share, max(share) AS max_share, count(*) AS groups,"
-    " 2 * sum(share * n_cases) / (SELECT sum(n_cases) FROM cav) AS threshold FROM cavl GROUP BY caveat",
+    " 1.5 * sum(share * n_cases) / (SELECT sum(n_cases) FROM cav) AS threshold FROM cavl GROUP BY caveat",
     doubles="page_share max_share threshold",
     with_=["cav", "cavl"],
 )

@@ -125,8 +125,8 @@ def _(spark, d):
 
 @register(
     "K21_top_constraint",
-    "SELECT nation, dominant_layer, constraint_id, share, measures_logging FROM (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY NOT measures_logging DESC, share DESC, position) AS r FROM"
-    " (SELECT l.nation, d.dominant_layer, constraint_id, position, count(*) FILTER (WHERE v > 0) / count(v) AS share, constraint_id = 'c_lag' OR count(*) FILTER (WHERE v > 0) = 0 AS measures_logging"
+    "SELECT nation, dominant_layer, constraint_id, share, measures_logging FROM (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY plain DESC, share DESC, position) AS r FROM"
+    " (SELECT l.nation, d.dominant_layer, constraint_id, position, count(*) FILTER (WHERE v > 0) / count(v) AS share, constraint_id <> 'c_lag' AND count(*) FILTER (WHERE v > 0) > 0 AS plain, constraint_id = 'c_lag' AS measures_logging"
     " FROM long_o l JOIN drv d ON d.nation = l.nation AND d.dominant_layer = l.layer WHERE v IS NOT NULL GROUP BY l.nation, d.dominant_layer, constraint_id, position)) WHERE r = 1",
     doubles="share",
     with_=["long_o", "drv"],
