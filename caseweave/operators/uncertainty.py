@@ -141,11 +141,12 @@ def bootstrap_contrast(
 def estimate_gamma(groups: DataFrame) -> Column:
     """Shrinkage by moments: within-group variance over the variance between group means."""
     n, sd, mean = F.col("n_cases"), F.coalesce(F.col("sd_score"), F.lit(0.0)), F.col("mean_score")
-    within = F.sum((n - 1) * sd * sd) / F.sum(n - 1)
-    total = F.sum(n * mean * mean) - F.sum(n * mean) * F.sum(n * mean) / F.sum(n)
-    k = F.count(F.lit(1))
-    size = (F.sum(n) - F.sum((n * n).cast("double")) / F.sum(n)) / (k - 1)
-    between = (total / (k - 1) - within) / size
+    within = F.try_divide(F.sum((n - 1) * sd * sd), F.sum(n - 1))
+    total = F.sum(n * mean * mean) - F.try_divide(F.sum(n * mean) * F.sum(n * mean), F.sum(n))
+    # A single group has no variance between groups: the result is then NULL.
+    others = F.count(F.lit(1)) - 1
+    size = F.try_divide(F.sum(n) - F.try_divide(F.sum((n * n).cast("double")), F.sum(n)), others)
+    between = F.try_divide(F.try_divide(total, others) - within, size)
     return groups.where(n > 1).agg(F.when(between > 0, within / between)).scalar()
 
 

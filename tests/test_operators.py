@@ -319,6 +319,29 @@ def test_labels_match_their_activity(spark):
     assert "zzz" not in got
 
 
+def test_a_label_that_is_only_a_code(spark):
+    texts = spark.createDataFrame([("block", "MRBR", "code"), ("the", "of the", "name")], "activity_id string, text string, method string")
+    seen = spark.createDataFrame([("MRBR",), ("the",)], "label string")
+    assert [(r["label"], r["activity_id"]) for r in match.match(seen, texts).collect()] == [("MRBR", "block")]
+
+
+def test_one_group_has_no_shrinkage_estimate(spark):
+    one = spark.createDataFrame([(5, 0.1, 0.5)], "n_cases bigint, sd_score double, mean_score double")
+    assert spark.range(1).select(uncertainty.estimate_gamma(one)).first()[0] is None
+
+
+def test_bounds_with_a_zone_are_taken_in_utc(relations):
+    clause = {"kind": "time", "field": "case_start", "from": "2024-01-05T01:00:00+01:00"}
+    rows = filters.select_cases(relations, {"and": [clause]}, {"first_ts": F.min("ts"), "last_ts": F.max("ts")})
+    assert {r["case_id"] for r in rows.collect() if r["selected"]} == {"tie"}
+
+
+def test_boolean_attributes_are_spelled_true_and_false(spark):
+    cases = spark.createDataFrame([("a", True), ("b", False), ("c", None)], "case_id string, flag boolean")
+    hit = cases.where(filters.case_clause({"kind": "attribute", "field": "flag", "eq": True})).collect()
+    assert [r["case_id"] for r in hit] == ["a"]
+
+
 def test_band_edges_drop_degenerate_quantiles(spark):
     cases = spark.createDataFrame([(float(x),) for x in [1, 1, 1, 1, 2, 9]], "x double")
     edges = backlog.band_edges(cases, "x", 4)
