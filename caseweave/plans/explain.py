@@ -178,13 +178,13 @@ def _(spark, d):
     with_=["sm"],
 )
 def _(spark, d):
-    return X.hodges_lehmann(signals(spark, d), 250_000)
+    return X.hodges_lehmann(signals(spark, d))
 
 
 cte(
     "sm",
     "SELECT constraint_id, x, in_slice FROM (SELECT *, row_number() OVER (PARTITION BY constraint_id, in_slice ORDER BY md5(CAST(case_id AS VARCHAR)), case_id) AS r,"
-    " count(*) FILTER (WHERE in_slice) OVER (PARTITION BY constraint_id) * count(*) FILTER (WHERE NOT in_slice) OVER (PARTITION BY constraint_id) AS pairs FROM sg) WHERE pairs <= 250000 OR r <= 500",
+    " count(*) FILTER (WHERE in_slice) OVER (PARTITION BY constraint_id) * count(*) FILTER (WHERE NOT in_slice) OVER (PARTITION BY constraint_id) AS pairs FROM sg) WHERE pairs <= 4000000 OR r <= 2000",
     "sg",
 )
 
@@ -448,7 +448,7 @@ def _(spark, d):
 
 
 # --------------------------------------------------------------------------- X7, X9
-B = 40
+B = 200
 
 
 def _poisson_sql(u: str) -> str:

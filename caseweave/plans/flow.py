@@ -218,13 +218,9 @@ def _(spark, d):
     return _variants(log_o(spark, d, False))
 
 
-cte("wshort", "SELECT * FROM wd WHERE activity IS NULL OR activity IN ('signup', 'purchase') OR k < 10", "wd")
-
-
-@register("G6_variants_missing_labels", _variant_sql("wshort"), doubles="share median_hours", with_=["wshort"])
+@register("G6_variants_missing_labels", _variant_sql("wd"), doubles="share median_hours", with_=["wd"])
 def _(spark, d):
-    keep = F.col("activity").isNull() | F.col("activity").isin("signup", "purchase") | (F.col("k") < 10)
-    return _variants(log_wd(spark, d).where(keep))
+    return _variants(log_wd(spark, d))
 
 
 @register(
