@@ -21,7 +21,9 @@ from .base import (
     stored,
 )
 
-NTZ = F.lit(WINDOW_END).cast("timestamp_ntz")
+
+def window_end():
+    return F.lit(WINDOW_END).cast("timestamp_ntz")
 
 
 @register(
@@ -98,7 +100,7 @@ def _(spark, d):
     events = log_o(spark, d)
     ship = F.count_if(F.col("activity") == "Ship item")
     cases = C.build_cases(events, {"n_ship": ship}, exposure="exposure")
-    open_ = C.right_censored(F.col("n_ship"), NTZ, CENSOR_DAYS)
+    open_ = C.right_censored(F.col("n_ship"), window_end(), CENSOR_DAYS)
     dropped = cases.where(open_ | (F.coalesce("exposure", F.lit(0.0)) <= 10000))
     return C.exclude_cases(events, dropped).groupBy("case_id").agg(F.count(F.lit(1)).alias("n_events"))
 
@@ -176,7 +178,7 @@ def make_typed_o(spark, d):
     aggs = {**aggregates_o(events), "n_ship": F.count_if(F.col("activity") == "Ship item")}
     cases = C.flow_types(events, FLOW_RULES, "standard", aggs)
     cases = join_on(cases, stamps(events), ["case_id"], "left")
-    return cases.withColumn("censored", C.right_censored(F.col("n_ship"), NTZ, CENSOR_DAYS))
+    return cases.withColumn("censored", C.right_censored(F.col("n_ship"), window_end(), CENSOR_DAYS))
 
 
 @register("C8_flow_types", "SELECT case_id, flow_type FROM ft_o", with_=["ft_o"])

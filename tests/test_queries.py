@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from oracle import compare, connect
 
@@ -25,6 +29,14 @@ def test_query_equals_sql(spark, con, name):
     assert difference in (None, "no rows")
 
 
+def test_queries_and_sql_load_without_a_session():
+    code = "import __spark_entry__ as e; assert set(e.queries()) == set(e.oracle_sql()); print(len(e.queries()))"
+    root = Path(__file__).resolve().parents[1]
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) == len(ENTRIES)
+
+
 def test_entry_has_rows(spark):
     from __spark_entry__ import entry, oracle_sql, queries
 
