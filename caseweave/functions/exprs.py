@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -95,6 +97,12 @@ def period_label(ts: Column, grain: str) -> Column:
     raise ValueError(f"unknown period {grain!r}")
 
 
+def label_tag(*groups: str | Sequence[str]) -> str:
+    """A column-name part that stands for groups of labels, whatever characters the labels contain."""
+    parts = [[g] if isinstance(g, str) else sorted(g) for g in groups]
+    return hashlib.md5(json.dumps(parts).encode()).hexdigest()[:16]
+
+
 def text_rows(spark: SparkSession, rows: Sequence[Sequence[str]], names: Sequence[str]) -> DataFrame:
     """A small lookup of text rows (labels of a norm, verb pairs) as a DataFrame."""
     if not rows:

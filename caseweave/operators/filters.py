@@ -17,7 +17,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import all_of, elapsed, holds, join_on, ntz
+from ..functions.exprs import all_of, elapsed, holds, join_on, label_tag, ntz
 from ..functions.ordered import sort_key, with_next
 from ..session import store
 
@@ -131,16 +131,12 @@ def _labels(value: Any) -> list[str]:
     return [value] if isinstance(value, str) else list(value)
 
 
-def _tag(*parts: Any) -> str:
-    return "|".join(",".join(_labels(p)) if not isinstance(p, str) else p for p in parts).replace(".", "_")
-
-
 def _count(c: Mapping[str, Any]) -> str:
-    return f"__n:{_tag(c['activity'])}"
+    return f"__n:{label_tag(c['activity'])}"
 
 
 def _pair(c: Mapping[str, Any], what: str) -> str:
-    return f"__{what}:{_tag(c['a'])}>{_tag(c['b'])}"
+    return f"__{what}:{label_tag(c['a'], c['b'])}"
 
 
 def needs(clauses: Sequence[Mapping[str, Any]]) -> dict[str, Mapping[str, Any]]:

@@ -26,7 +26,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import MICROS, all_of, any_of, clip01, elapsed, holds, join_on, total
+from ..functions.exprs import MICROS, all_of, any_of, clip01, elapsed, holds, join_on, label_tag, total
 from ..functions.ordered import next_time
 from ..session import store
 
@@ -219,20 +219,16 @@ def rule_labels(rule: Mapping[str, Any] | None) -> list[tuple[str, ...]]:
     return out
 
 
-def _tag(labels: Sequence[str]) -> str:
-    return "|".join(sorted(labels))
-
-
 def count_name(labels: Sequence[str]) -> str:
-    return f"n__{_tag(labels)}".replace(".", "_")
+    return f"n__{label_tag(labels)}"
 
 
 def _first_name(labels: Sequence[str]) -> str:
-    return f"t__{_tag(labels)}".replace(".", "_")
+    return f"t__{label_tag(labels)}"
 
 
 def _last_name(labels: Sequence[str]) -> str:
-    return f"u__{_tag(labels)}".replace(".", "_")
+    return f"u__{label_tag(labels)}"
 
 
 # --------------------------------------------------------------------------- first and second pass
