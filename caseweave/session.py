@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,10 @@ RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+SHARED = "spark.checkpoint.dir"
+# Tables that each session stored, by application id.
+_STORED: dict[str, list[str]] = {}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME.items():
@@ -25,15 +28,11 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is named."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="caseweave-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+    """The folder that driver and executors share, as the session names it."""
+    configured = spark.conf.get(SHARED, None) or spark.sparkContext.getCheckpointDir()
+    if not configured:
+        raise ValueError(f"set {SHARED} to a folder that driver and executors share")
+    return configured
 
 
 def store(df: DataFrame) -> DataFrame:
@@ -46,4 +45,15 @@ def store(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/caseweave-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    _STORED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Remove the tables that this session stored; results that still read them must be done."""
+    paths = _STORED.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
