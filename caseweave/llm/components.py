@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import store
 
 
+class Forest:
+    """Smallest reachable node of each node."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            x, y = self.root[a], self.root[b]
+            if (x == y).all():
+                return
+            np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` (smallest node reachable) for every node of ``links`` (columns ``a, b``).
 

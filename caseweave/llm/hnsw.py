@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, store
-from .components import components
+from .components import Forest, components
 
 SIMILAR = 0.98
 SHARD = 4096
@@ -202,22 +202,6 @@ def hits(graph: Graph, queries: np.ndarray, similar: float) -> Iterator[tuple[np
             part, places, width = part[full], places[full], width * 4
 
 
-class _Forest:
-    """Smallest reachable node of each node."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            x, y = self.root[a], self.root[b]
-            if (x == y).all():
-                return
-            np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
-            while (self.root[self.root] != self.root).any():
-                self.root = self.root[self.root]
-
-
 def usable(label: Column, embedding: Column) -> Column:
     """Whether a vector can link: a label, no missing or non-finite part, not all zero."""
     finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -275,7 +259,7 @@ def near_vectors(vectors: DataFrame, *, similar: float = SIMILAR, shard: int = S
                 ids, copies = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["copies"], np.int64)
                 own, own_copies = np.frombuffer(row["own_ids"], np.int64), np.frombuffer(row["own_copies"], np.int64)
                 same = row["owner"] == row["asking"]
-                n_links, forest = np.zeros(len(own), np.int64), _Forest(len(ids) + (0 if same else len(own)))
+                n_links, forest = np.zeros(len(own), np.int64), Forest(len(ids) + (0 if same else len(own)))
                 for q, m in hits(graph, _unpacked(row["own_x"], int(sizes[1]), float), similar):
                     other = ids[m] != own[q]
                     q, m = q[other], m[other]

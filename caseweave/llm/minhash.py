@@ -9,9 +9,10 @@ Only ranks below ``t / weight`` are looked at, where about ``t = k ln k + 2k`` d
 fall; if a coordinate stays empty, the limit doubles.
 
 Equal texts are one class.  Classes that share a band of coordinates are candidates.  In each band
-bucket the class with the most company leads; its links to the others are verified exactly, linked
-classes merge, and members of a bucket that are still apart are then verified pair by pair, so no
-link between different components of a bucket is left out.
+bucket the class with the most company leads; its links to the others are verified exactly and
+linked classes merge.  Members of a bucket that are still apart are verified with each other: in
+small buckets pair by pair, in large ones in blocks, whose tasks compare all their texts and return
+a spanning forest instead of pairs.  So no link between different components of a bucket is left out.
 """
 
 from __future__ import annotations
@@ -28,13 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, plain, store
-from .components import components
+from .components import Forest, components
 
 RUN = 5
 SIMILAR = 0.8
 BANDS, ROWS = 30, 5
 # Share of equal sketch bytes below which a candidate cannot be similar: six deviations under the limit of 0.8.
 HOPEFUL = 0.6
+# Buckets with more members that are still apart are compared in blocks of this many texts.
+SMALL_BUCKET, BLOCK = 24, 256
+# Columns of a block's table of texts and runs at a time.
+COLUMNS = 16_384
 WORD = re.compile(r"\w+")
 U64 = np.uint64
 
@@ -192,11 +197,74 @@ def verified(pairs: DataFrame, texts: DataFrame, *, run: int, counted: bool, sim
     return map_batches(both.select("a", "b", "text_a", "text_b"), compare, "a long, b long, similarity double")
 
 
+def members(text: str, run: int, counted: bool) -> np.ndarray:
+    """The runs as a plain set: with ``counted`` each repetition is a member of its own."""
+    elements, n = weighted(text, run, counted)
+    nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n.astype(int))
+    return np.sort(np.repeat(elements, n.astype(int)) + _mixed(nth.astype(U64)) * (nth > 0).astype(U64))
+
+
+def _linked(sets: list[np.ndarray], similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of sets that are similar enough, exactly."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = times[column] > 1
+    owner, column = owner[common], np.unique(column[common], return_inverse=True)[1]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for at in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        table = np.zeros((len(sets), COLUMNS), np.float32)
+        table[owner[lo:hi], column[lo:hi] - at] = 1
+        shared += table @ table.T
+    sizes = np.array([len(s) for s in sets], float)
+    share = shared / np.maximum(sizes[:, None] + sizes - shared, 1e-9)
+    return np.nonzero(np.triu(share >= similar, 1))
+
+
+def _in_blocks(large: DataFrame, texts: DataFrame, *, run: int, counted: bool, similar: float) -> DataFrame:
+    """Links ``a, b`` among the ids that share a bucket, as a spanning forest of each pair of blocks.
+
+    Ids joined by shared buckets are one family; its texts are dealt to blocks of bounded size, and
+    each pair of blocks is one row, compared as a whole.
+    """
+    family = components(large.select(F.col("bucket").alias("a"), F.col("id").alias("b"))).withColumnsRenamed({"node": "id", "component": "family"})
+    family = family.join(large.select("id").distinct(), "id")
+    sizes = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = family.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+    def pack(key: tuple, group: pa.Table) -> pa.Table:
+        sets = [members(t, run, counted) for t in group.column("text").to_pylist()]
+        packed = [np.array([len(s) for s in sets], np.int64), group.column("id").to_numpy(), np.concatenate(sets)]
+        columns = [group.column("family")[:1], group.column("block")[:1], *(pa.array([x.tobytes()], pa.binary()) for x in packed)]
+        return pa.table(dict(zip(["family", "block", "sizes", "ids", "runs"], columns, strict=True)))
+
+    blocks = store(dealt.select("family", "block", "id").join(texts, "id").groupBy("family", "block").applyInArrow(pack, "family long, block int, sizes binary, ids binary, runs binary"))
+    right = blocks.select("family", *[F.col(c).alias(f"{c}_b") for c in ("block", "sizes", "ids", "runs")])
+    both = blocks.join(right, "family").where("block <= block_b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                ids, sets = [], []
+                for side in ("", "_b") if row["block"] != row["block_b"] else ("",):
+                    ends = np.cumsum(np.frombuffer(row[f"sizes{side}"], np.int64))
+                    ids.append(np.frombuffer(row[f"ids{side}"], np.int64))
+                    sets += np.split(np.frombuffer(row[f"runs{side}"], U64), ends[:-1])
+                forest = Forest(len(sets))
+                forest.add(*_linked(sets, similar))
+                child, names = np.flatnonzero(forest.root != np.arange(len(sets))), np.concatenate(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(names[child]), pa.array(names[forest.root[child]])], ["a", "b"])
+
+    return map_batches(both, compare, "a long, b long")
+
+
 NO_ID = 2**63 - 1
 
 
 def _groups(rows: DataFrame, *, bands: int, rows_per_band: int, run: int, similar: float, counted: bool) -> DataFrame:
-    """``row, doc_id, class_id, component_id, n_links, kept`` from ``row, doc_id, text``."""
+    """``row, doc_id, class_id, component_id, kept`` from ``row, doc_id, text``."""
     check = {"run": run, "counted": counted, "similar": similar}
     signed = store(classes(rows, bands=bands, rows=rows_per_band, run=run, counted=counted))
     place = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("row").alias("row"))
@@ -218,32 +286,32 @@ def _groups(rows: DataFrame, *, bands: int, rows_per_band: int, run: int, simila
     texts = store(rows.select("row", "text").join(wanted, "row").select("id", "text"))
     links = store(verified(_hopeful(led, sketches), texts, **check))
 
-    # Members of a bucket that are still in different components meet in pairs.
+    # Members of a bucket that are still in different components meet.
     found = components(links).withColumnRenamed("node", "id")
     member = store(shared.select("bucket", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    split = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    apart = member.join(split, "bucket")
-    other = apart.select("bucket", F.col("id").alias("other"), F.col("component").alias("there"))
-    crossing = apart.join(other, "bucket").where("component < there").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    split = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi")
+    apart = store(member.join(split.select("bucket", "members"), "bucket"))
+    small, large = apart.where(F.col("members") <= SMALL_BUCKET), apart.where(F.col("members") > SMALL_BUCKET)
+    other = small.select("bucket", F.col("id").alias("other"), F.col("component").alias("there"))
+    crossing = small.join(other, "bucket").where("component < there").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     crossing = crossing.join(led, ["a", "b"], "left_anti")
-    links = store(links.unionByName(verified(_hopeful(crossing, sketches), texts, **check)))
+    paired = verified(_hopeful(crossing, sketches), texts, **check).select("a", "b")
+    links = store(links.select("a", "b").unionByName(paired).unionByName(_in_blocks(large.select("bucket", "id"), texts, **check)))
 
-    ends = links.select(F.explode(F.array("a", "b")).alias("id"))
-    degree = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     joined = components(links).withColumnsRenamed({"node": "id", "component": "root"})
-    table = grouped.select("id", "digest", "first").join(joined, "id", "left").join(degree, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    table = grouped.select("id", "digest", "first").join(joined, "id", "left").withColumn("root", F.coalesce("root", "id"))
     heads = table.groupBy("root").agg(F.min("first").alias("head"))
-    table = table.join(heads, "root").select("digest", "first", "head", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    table = table.join(heads, "root").select("digest", "first", "head")
     shown = lambda c, name: F.when(F.col(f"{c}.doc_id") != NO_ID, F.col(f"{c}.doc_id")).alias(name)
-    return signed.select("row", "doc_id", "digest").join(table, "digest").select("row", "doc_id", shown("first", "class_id"), shown("head", "component_id"), "n_links", (F.col("row") == F.col("head.row")).alias("kept"))
+    return signed.select("row", "doc_id", "digest").join(table, "digest").select("row", "doc_id", shown("first", "class_id"), shown("head", "component_id"), (F.col("row") == F.col("head.row")).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, run: int = RUN, similar: float = SIMILAR, counted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, class_id, component_id, n_links, kept``: one row per row of ``docs``.
+    """``doc_id, class_id, component_id, kept``: one row per row of ``docs``.
 
     ``class_id`` is the smallest id with the same text, ``component_id`` the smallest id of the
-    group, ``n_links`` the verified links of the class to other classes.  One row of each group is
-    kept: one with the smallest id.  NULL texts equal empty ones; texts without words are similar
+    group: the texts that a chain of links at least ``similar`` joins.  One row of each group is kept:
+    one with the smallest id.  NULL texts equal empty ones; texts without words are similar
     only to equal texts; a text shorter than a run is one run.  Missing ids come after all others.
     ``counted`` weighs runs by how often they occur.  ``docs`` must be a stored table (or as stable
     as one), since its rows are numbered where they are read.
