@@ -94,11 +94,11 @@ def in_order(docs: DataFrame, *, guests: Callable[[DataFrame], DataFrame] | None
 def part_offsets(rows: DataFrame, amount: Column) -> DataFrame:
     """``part, part_start``: the sum of ``amount`` over all earlier parts; one row per part.
 
-    The first pass sums each part, the second sums the part totals; a part is a range
-    of many documents, so the second pass sees a few rows per gigabyte.
+    The first pass sums each part, the second sums the part totals.  There are as many rows as
+    shuffle partitions, so the result may be broadcast: its size does not depend on the data.
     """
     from pyspark.sql import Window
 
     totals = rows.groupBy("part").agg(F.sum(amount).cast("long").alias("part_total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select("part", F.coalesce(F.sum("part_total").over(before), F.lit(0)).cast("long").alias("part_start"))
+    return F.broadcast(totals.select("part", F.coalesce(F.sum("part_total").over(before), F.lit(0)).cast("long").alias("part_start")))
