@@ -32,9 +32,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, *, length: int = LENGTH,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column("ids")
-            bounds, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-            sizes, at = np.diff(bounds), b.column("start").to_numpy()
+            packed = b.column("ids").to_pylist()
+            sizes, at = b.column("n").to_numpy(), b.column("start").to_numpy()
             first = at // length
             n = (at + sizes - 1) // length - first + 1
             doc = np.repeat(np.arange(len(n)), n)
@@ -42,17 +41,16 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, *, length: int = LENGTH,
             lo = np.maximum(at[doc], sequence * length)
             hi = np.minimum((at + sizes)[doc], (sequence + 1) * length)
             start = lo - at[doc]
-            froms = bounds[doc] + start
-            parts = [values[i:j] for i, j in zip(froms, froms + hi - lo, strict=True)]
-            numbers = [start, hi - lo, [zlib.crc32(p.tobytes()) for p in parts], sizes[doc], sequence, lo - sequence * length]
+            parts = [packed[d][4 * i : 4 * j] for d, i, j in zip(doc, start, start + hi - lo, strict=True)]
+            numbers = [start, hi - lo, [zlib.crc32(p) for p in parts], sizes[doc], sequence, lo - sequence * length]
             out = [b.column("doc_id").take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in numbers), pa.array(start == 0), pa.array(hi == (at + sizes)[doc])]
             names = PIECE.replace(" long", "").replace(" boolean", "").split(", ")
             if with_ids:
-                out, names = [*out, int_lists(parts)], [*names, "ids"]
+                out, names = [*out, int_lists([np.frombuffer(p, "<u4") for p in parts])], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(out, names)
 
-    rows = store(ordered_ids(docs, tokenizer, end_id, **columns))
-    placed = rows.join(part_offsets(rows, F.size("ids")), "part").select("doc_id", (F.col("part_start") + F.col("start_in_part")).alias("start"), "ids")
+    rows = store(ordered_ids(docs, tokenizer, end_id, packed=True, **columns))
+    placed = rows.join(part_offsets(rows, F.col("n")), "part").select("doc_id", (F.col("part_start") + F.col("start_in_part")).alias("start"), "n", "ids")
     return map_batches(placed, cut, PIECE + ", ids array<int>" * with_ids)
 
 

@@ -32,7 +32,7 @@ OPTIONS = {
 
 def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, **columns: str) -> None:
     """Encode all documents and write ``doc_id, part, start_in_part, ids`` in ascending order."""
-    ordered_ids(docs, tokenizer, end_id, **columns).write.options(**OPTIONS).orc(path)
+    ordered_ids(docs, tokenizer, end_id, **columns).drop("n").write.options(**OPTIONS).orc(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

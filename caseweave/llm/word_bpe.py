@@ -8,19 +8,41 @@ as packed integers; the tokenizers library encodes the words it meets for the fi
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import int_lists, map_batches, plain, in_order
+from .common import in_order, int_lists, map_batches, plain
 
 # Words kept by a worker; beyond it the memory starts anew.
 KEPT_WORDS = 400_000
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself if printable, else the next one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def _stem(word: str) -> str | None:
+    """The lower-case form of a word of Latin letters, which is one pre-token; ``None`` for any other word."""
+    if word.isascii():
+        return word.lower() if word.isalpha() else None
+    if not word.isalpha() or max(word) >= "\u0250" or not is_normalized("NFC", word):
+        return None
+    low = word.lower()
+    return low if len(low) == len(word) else None
+
+
 class Encoder:
     def __init__(self, path: str, kept: int = KEPT_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -29,12 +51,32 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         # The texts of the special tokens are ordinary text in a document.
         self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
         self.kept = kept
         self.ids: dict[str, bytes] = {"": b""}
 
-    def _learn(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.ids[w] = np.asarray(e.ids, "<u4").tobytes()
+    def _learn(self, words: set[str]) -> None:
+        """A word of Latin letters is one pre-token, which the model merges at once; so is a mark after it."""
+        known, merge, others, marked = self.ids, self.merge, [], []
+        for w in words:
+            stem, mark = (_stem(w[:-1]), w[-1]) if w[-1] in ".,;:!?" and len(w) > 1 else (_stem(w), "")
+            if stem is None:
+                others.append(w)
+                continue
+            ids = known.get(stem)
+            if ids is None:
+                letters = stem if stem.isascii() else stem.encode().decode("latin-1").translate(BYTE_LETTERS)
+                ids = known[stem] = array("I", [t.id for t in merge(letters)]).tobytes()
+            if mark:
+                marked.append((w, ids, mark))
+            else:
+                known[w] = ids
+        others += {m for _, _, m in marked}.difference(known)
+        if others:
+            for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+                known[w] = array("I", e.ids).tobytes()
+        for w, ids, mark in marked:
+            known[w] = ids + known[mark]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian 32-bit ids of each text."""
@@ -44,18 +86,8 @@ class Encoder:
             known[""] = b""
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         new = set().union(*split).difference(known)
-        # ASCII words differ from their lower-case stem only by a final mark, which is a pre-token of its own.
-        stems: dict[str, tuple[str, str]] = {}
-        for w in new:
-            if w.isascii():
-                stem, mark = (w[:-1], w[-1]) if w[-1] in ".,;:!?" else (w, "")
-                if stem.isalpha():
-                    stems[w] = (stem.lower(), mark)
-        wanted = new.difference(stems).union(*stems.values()).difference(known)
-        if wanted:
-            self._learn(list(wanted))
-        for w, (stem, mark) in stems.items():
-            known[w] = known[stem] + known[mark]
+        if new:
+            self._learn(new)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
@@ -64,21 +96,23 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def ordered_ids(docs: DataFrame, path: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, part, start_in_part, ids`` in ascending document order; ``end_id`` closes each document.
+def ordered_ids(docs: DataFrame, path: str, end_id: int, *, packed: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, part, start_in_part, n, ids`` in ascending document order; ``end_id`` closes each document.
 
     Ids of NULL documents come first; rows with the same id are ordered by a hash of their text.
+    ``packed`` gives the ids as little-endian 32-bit integers in one binary value.
     """
     end = np.asarray([end_id], "<u4").tobytes()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, at = encoder(path), 0
         for b in batches:
-            ids = [np.frombuffer(x + end, "<u4").astype(np.int32) for x in enc.encode(b.column("text").to_pylist())]
-            starts = at + np.cumsum([0, *map(len, ids)])
+            raw = [x + end for x in enc.encode(b.column("text").to_pylist())]
+            starts = at + np.cumsum([0, *(len(x) >> 2 for x in raw)])
             at = int(starts[-1])
-            columns = [b.column("doc_id"), b.column("part"), pa.array(starts[:-1], pa.int64()), int_lists(ids)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "start_in_part", "ids"])
+            ids = pa.array(raw, pa.binary()) if packed else int_lists([np.frombuffer(x, "<u4") for x in raw])
+            columns = [b.column("doc_id"), b.column("part"), pa.array(starts[:-1], pa.int64()), pa.array(np.diff(starts), pa.int64()), ids]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "start_in_part", "n", "ids"])
 
     rows = in_order(plain(docs, id_col, text_col)).select("doc_id", "part", "text")
-    return map_batches(rows, encoded, "doc_id long, part int, start_in_part long, ids array<int>")
+    return map_batches(rows, encoded, f"doc_id long, part int, start_in_part long, n long, ids {'binary' if packed else 'array<int>'}")
