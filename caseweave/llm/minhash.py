@@ -50,7 +50,7 @@ def words(text: str) -> list[str]:
 
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

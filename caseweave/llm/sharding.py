@@ -104,10 +104,11 @@ def assign(docs: DataFrame, shards: int = 16, *, vnodes: int = VNODES, bits: int
     room = F.greatest(F.col("cap") - F.coalesce(F.sum("n").over(earlier), F.lit(0)), F.lit(0))
     home = store(totals.withColumn("home", F.least("n", room)))
 
-    per_shard = home.groupBy("shard").agg((F.max("cap") - F.sum("home")).alias("room"))
-    rooms = per_shard.agg(F.transform(F.sort_array(F.collect_list(F.struct("shard", "room"))), lambda x: x["room"]).alias("rooms"))
-    left = home.agg(F.sort_array(F.collect_list(F.struct("arc", (F.col("n") - F.col("home")).alias("left"), "nexts"))).alias("arcs"))
-    dealt = left.select(F.posexplode(_overflow(F.col("arcs"), rooms.scalar())).alias("turn", "x"))
+    listed = F.sort_array(F.collect_list(F.struct("arc", (F.col("n") - F.col("home")).alias("left"), "nexts", "shard", "cap", "home")))
+    placed_home = lambda s: F.aggregate(F.filter("arcs", lambda x: x["shard"] == s), F.lit(0).cast("long"), lambda t, x: t + x["home"])
+    full = lambda s: F.coalesce(F.filter("arcs", lambda x: x["shard"] == s)[0]["cap"], F.lit(0))
+    left = home.agg(listed.alias("arcs")).withColumn("rooms", F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: full(s) - placed_home(s)))
+    dealt = left.select(F.posexplode(_overflow(F.col("arcs"), F.col("rooms"))).alias("turn", "x"))
     segments = home.where("home > 0").select("arc", F.lit(-1).alias("turn"), "shard", F.col("home").alias("n")).unionByName(dealt.select("x.arc", "turn", "x.shard", "x.n"))
     before_in = lambda key: F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy("turn", "arc").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     segments = segments.select("arc", "shard", "n", before_in("arc").alias("lo"), before_in("shard").alias("base"))

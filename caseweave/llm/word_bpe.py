@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from .common import in_order, int_lists, map_batches, plain
 
 # Words kept by a worker; beyond it the memory starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -43,52 +43,42 @@ def _stem(word: str) -> str | None:
     return low if len(low) == len(word) else None
 
 
-class Encoder:
+class Encoder(dict):
+    """Packed little-endian 32-bit ids of words, learnt when they are first asked for."""
+
     def __init__(self, path: str, kept: int = KEPT_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         # The texts of the special tokens are ordinary text in a document.
         self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
         self.kept = kept
-        self.ids: dict[str, bytes] = {"": b""}
 
-    def _learn(self, words: set[str]) -> None:
+    def __missing__(self, word: str) -> bytes:
         """A word of Latin letters is one pre-token, which the model merges at once; so is a mark after it."""
-        known, merge, others, marked = self.ids, self.merge, [], []
-        for w in words:
-            stem, mark = (_stem(w[:-1]), w[-1]) if w[-1] in ".,;:!?" and len(w) > 1 else (_stem(w), "")
-            if stem is None:
-                others.append(w)
-                continue
-            ids = known.get(stem)
-            if ids is None:
-                letters = stem if stem.isascii() else stem.encode().decode("latin-1").translate(BYTE_LETTERS)
-                ids = known[stem] = array("I", [t.id for t in merge(letters)]).tobytes()
-            if mark:
-                marked.append((w, ids, mark))
-            else:
-                known[w] = ids
-        others += {m for _, _, m in marked}.difference(known)
-        if others:
-            for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-        for w, ids, mark in marked:
-            known[w] = ids + known[mark]
+        if word[-1] in ".,;:!?" and _stem(word[:-1]) is not None and len(word) > 1:
+            ids = self[word[:-1]] + self[word[-1]]
+        elif (stem := _stem(word)) is None:
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        elif stem != word:
+            ids = self[stem]
+        else:
+            letters = stem if stem.isascii() else stem.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = array("I", [t.id for t in self.merge(letters)]).tobytes()
+        self[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed little-endian 32-bit ids of each text."""
-        known = self.ids
-        if len(known) > self.kept:
-            known.clear()
-            known[""] = b""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(known)
-        if new:
-            self._learn(new)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        """Packed ids of each text."""
+        if len(self) > self.kept:
+            self.clear()
+            self[""] = b""
+        # An ASCII text may be lowered at once: no letter changes its ids by that.
+        split = [(t.lower() if t.isascii() else t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
 @lru_cache(maxsize=2)
