@@ -31,8 +31,9 @@ def ring(spark, shards: int, vnodes: int, bits: int) -> DataFrame:
 
     One row per virtual node, whatever the data.
     """
-    points = spark.range(shards * vnodes, numPartitions=1).select((F.col("id") % shards).cast("int").alias("shard"), F.col("id").alias("point"))
-    points = points.withColumn("h", F.xxhash64("point", "shard", F.lit("virtual node")))
+    points = spark.range(shards * vnodes, numPartitions=1).select((F.col("id") % shards).cast("int").alias("shard"), F.floor(F.col("id") / shards).alias("copy"))
+    # A point depends on its shard and copy only, so more shards add points and move none.
+    points = points.withColumn("h", F.xxhash64("shard", "copy", F.lit("virtual node")))
     placed = F.sort_array(F.collect_list(F.struct(_cell(F.col("h"), bits).alias("cell"), "h", "shard")))
     listed = points.agg(placed.alias("ring")).select("ring", F.posexplode("ring").alias("arc", "point"))
     turned = F.concat(F.slice("ring", F.col("arc") + 1, F.lit(shards * vnodes)), F.slice("ring", F.lit(1), F.col("arc")))
