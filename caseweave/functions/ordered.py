@@ -22,7 +22,7 @@ def bucket(value: Column, resolution: int = 512) -> Column:
 
     At most ``resolution * 70`` buckets per sign for values between 1e-6 and 1e15.
     """
-    v = value.cast("double")
+    v = F.greatest(F.least(value.cast("double"), F.lit(1e300)), F.lit(-1e300))
     return (F.signum(v) * (F.floor(F.log2(1 + F.abs(v) * 1e6) * resolution) + 1)).cast("bigint")
 
 
@@ -72,7 +72,8 @@ def _covers(p: Column, up: bool) -> Column:
 def _between(lo: Column, hi: Column, p: Column) -> Column:
     """Linear interpolation between the two values around the wanted position."""
     pos = p * (F.col("__total") - 1)
-    return lo.cast("double") + (hi.cast("double") - lo.cast("double")) * (pos - F.floor(pos))
+    step = (hi.cast("double") - lo.cast("double")) * (pos - F.floor(pos))
+    return F.when(lo == hi, lo.cast("double")).when(pos == F.floor(pos), lo.cast("double")).otherwise(lo.cast("double") + step)
 
 
 def quantiles(

@@ -604,37 +604,34 @@ def flow_top_groups(scored: DataFrame, keys: Sequence[str], view: str, k: int =
 
 
 # --------------------------------------------------------------------------- bands and grouping design
+# The units of edge texts.
+EDGE_UNITS = {"": 1.0, "k": 1e3, "M": 1e6}
+
+
 def short_number(x: float) -> str:
-    """Edge text: thousands as k, millions as M, three digits otherwise."""
-    for limit, unit in ((1e6, "M"), (1e3, "k")):
-        if abs(x) >= limit:
-            return f"{x / limit:.3g}{unit}"
-    return str(int(x)) if x == int(x) else f"{x:.3g}"
+    """Edge text with a unit; whole numbers below a thousand in full, others with three digits."""
+    unit = max((u for u, size in EDGE_UNITS.items() if abs(x) >= size), key=EDGE_UNITS.get, default="")
+    scaled = x / EDGE_UNITS[unit]
+    return f"{scaled:.0f}" if not unit and scaled.is_integer() else f"{scaled:.3g}{unit}"
 
 
 def band_edges(cases: DataFrame, attribute: str, q: int = 4, cuts: Sequence[float] | None = None) -> list[float]:
-    """Inner band edges: given cuts, or the distinct inner quantiles between minimum and maximum."""
+    """Inner band edges: given cuts, or the distinct inner quantiles strictly between minimum and maximum."""
     if cuts is not None:
         return [float(c) for c in cuts]
-    num = cases.select(F.expr(f"try_cast(cast(`{attribute}` as string) as double)").alias("x"))
-    probs = {f"q{i}": i / q for i in range(q + 1)}
-    row = quantiles(num, [], "x", probs).first()
-    if row is None:
+    numbers = cases.select(F.col(f"`{attribute}`").cast("string").try_cast("double").alias("x"))
+    found = quantiles(numbers, [], "x", {f"q{i}": i / q for i in range(q + 1)}).first()
+    if found is None:
         raise ValueError(f"{attribute!r} has no numeric values to band")
-    lo, hi = row["q0"], row[f"q{q}"]
-    inner = sorted({row[f"q{i}"] for i in range(1, q)})
-    inner = [e for e in inner if lo < e <= hi]
-    if inner and inner[-1] >= hi:
-        inner.pop()
-    return inner
+    return sorted({e for e in found[1:-1] if found[0] < e < found[-1]})
 
 
 def band_labels(edges: Sequence[float]) -> list[str]:
+    """A label below the first edge, one for each pair of neighbours, one from the last edge on."""
     if not edges:
         return ["all"]
-    text = [short_number(e) for e in edges]
-    middle = [f"{a} – {b}" for a, b in zip(text, text[1:], strict=False)]
-    return [f"< {text[0]}", *middle, f"≥ {text[-1]}"]
+    texts = list(map(short_number, edges))
+    return [f"< {texts[0]}"] + [" – ".join(texts[i : i + 2]) for i in range(len(texts) - 1)] + [f"≥ {texts[-1]}"]
 
 
 def band(attribute: str, edges: Sequence[float]) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import ast
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -75,20 +76,69 @@ def alias_attribute(df: DataFrame, source: str, name: str) -> DataFrame:
     return df if name in df.columns or source not in df.columns else df.withColumn(name, F.col(source))
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots or backticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _where(where: str | Mapping[str, str] | None) -> Column:
+    if not where:
+        return F.lit(True)
+    column, regex = ("activity", where) if isinstance(where, str) else (where["column"], where["regex"])
+    return F.col(quoted(column)).cast("string").rlike(regex)
+
+
+OPERATORS: dict[type, Callable[[Column, Column], Column]] = {
+    ast.Add: lambda a, b: a + b,
+    ast.Sub: lambda a, b: a - b,
+    ast.Mult: lambda a, b: a * b,
+    ast.Div: lambda a, b: F.when(b != 0, a / b),
+    ast.Lt: lambda a, b: a < b,
+    ast.LtE: lambda a, b: a <= b,
+    ast.Gt: lambda a, b: a > b,
+    ast.GtE: lambda a, b: a >= b,
+    ast.Eq: lambda a, b: a == b,
+    ast.NotEq: lambda a, b: a != b,
+}
+
+
+def arithmetic(text: str, names: Sequence[str]) -> Column:
+    """A Column from names, numbers, ``+ - * /`` and comparisons; anything else is an error."""
+
+    def column(node: ast.expr) -> Column:
+        match node:
+            case ast.Name(id=name) if name in names:
+                return F.col(quoted(name))
+            case ast.Constant(value=value) if isinstance(value, int | float):
+                return F.lit(value)
+            case ast.UnaryOp(op=ast.USub(), operand=x):
+                return -column(x)
+            case ast.BinOp(left=a, op=op, right=b) if type(op) in OPERATORS:
+                return OPERATORS[type(op)](column(a), column(b))
+            case ast.Compare(left=a, ops=[op], comparators=[b]) if type(op) in OPERATORS:
+                return OPERATORS[type(op)](column(a), column(b))
+        raise ValueError(f"{ast.unparse(node)!r} cannot be resolved in an expression")
+
+    return column(ast.parse(text, mode="eval").body)
+
+
 def recipe_aggregates(recipes: Mapping[str, Mapping[str, Any]]) -> dict[str, Column]:
-    """Event-level recipes as case aggregates: ``count``, ``count_events``, ``nunique``, ``cv``."""
+    """Event-level recipes as case aggregates: ``count``, ``count_events``, ``nunique``, ``cv``.
+
+    ``where`` is a pattern for the activity, or an object with a ``column`` of the events and a ``regex``.
+    """
     out: dict[str, Column] = {}
     for name, r in recipes.items():
-        where = F.col("activity").rlike(r["where"]) if r.get("where") else F.lit(True)
+        where = _where(r.get("where"))
         kind = r["kind"]
         if kind == "count":
             out[name] = F.count_if(F.col("activity").isin(list(r["activities"])))
         elif kind == "count_events":
             out[name] = F.count_if(holds(where))
         elif kind == "nunique":
-            out[name] = F.count_distinct(F.when(holds(where), F.col(r["column"])))
+            out[name] = F.count_distinct(F.when(holds(where), F.col(quoted(r["column"]))))
         elif kind == "cv":
-            x = F.when(holds(where), F.col(r["column"]).cast("double"))
+            x = F.when(holds(where), F.col(quoted(r["column"])).cast("double"))
             mean = F.avg(x)
             out[name] = F.when(mean != 0, F.stddev_samp(x) / mean)
         elif kind == "indicator_times":
@@ -102,26 +152,23 @@ def recipe_aggregates(recipes: Mapping[str, Mapping[str, Any]]) -> dict[str, Col
 def recipe_columns(cases: DataFrame, recipes: Mapping[str, Mapping[str, Any]]) -> DataFrame:
     """Case-level recipes: ``eval``, ``ratio``, ``quantile_scale``, ``indicator_times``.
 
-    An ``eval`` expression may only name columns of the case table.
+    An ``eval`` expression may only use columns of the case table, numbers, arithmetic and comparisons.
     """
     out = cases
     for name, r in recipes.items():
         kind = r["kind"]
         if kind == "eval":
-            col = F.expr(r["expr"])
-            probe = out.select(*[F.lit(None).cast(t).alias(c) for c, t in out.dtypes]).limit(0)
-            probe.select(col)
-            out = out.withColumn(name, col)
+            out = out.withColumn(name, arithmetic(r["expr"], out.columns))
         elif kind == "ratio":
-            den = F.col(r["denominator"]).cast("double")
-            out = out.withColumn(name, F.when(den != 0, F.col(r["numerator"]).cast("double") / den))
+            den = F.col(quoted(r["denominator"])).cast("double")
+            out = out.withColumn(name, F.when(den != 0, F.col(quoted(r["numerator"])).cast("double") / den))
         elif kind == "indicator_times":
-            value = F.when(F.col(f"__hit_{name}"), F.col(r["attribute"])).otherwise(F.lit(0.0))
+            value = F.when(F.col(f"__hit_{name}"), F.col(quoted(r["attribute"]))).otherwise(F.lit(0.0))
             out = out.withColumn(name, value).drop(f"__hit_{name}")
         elif kind == "quantile_scale":
             q = quantiles(out, [], r["attribute"], {"q": r["q"]})
             top = q.select("q").scalar()
-            scaled = F.when(top > 0, F.least(F.col(r["attribute"]).cast("double") / top, F.lit(1.0)))
+            scaled = F.when(top > 0, F.least(F.col(quoted(r["attribute"])).cast("double") / top, F.lit(1.0)))
             out = out.withColumn(name, scaled)
     return out
 

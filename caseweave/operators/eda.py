@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import all_of, any_of, elapsed, holds, join_on, ntz
 from ..functions.ordered import log_order, quantiles
-from .profile import LONGEST_CATEGORY, category, is_numeric
+from .profile import category, is_numeric
 
-# Category and period limits, and the cuts of the two histograms.
+# The category limit and the cuts of the two histograms.
 TOP_CATEGORIES = 20
-MAX_PERIODS = 120
 SPAN_CUTS = (0.0, 1.0, 3.0, 7.0, 14.0, 30.0, 60.0, 90.0, 180.0, 365.0)
+# Words that mark a field as an identifier.
+IDENTIFIER_WORDS = ("id", "uuid", "guid", "identifier", "case")
 EVENT_CUTS = (0, 1, 2, 3, 5, 10, 20, 50, 100, 200, 500)
 PAGE = 40
 
@@ -46,7 +47,7 @@ def field_category(df: DataFrame, field: str, missing_label: str = "(missing)")
 def domain(cases: DataFrame, field: str, missing_label: str = "(missing)") -> DataFrame:
     """The most frequent categories of a field over the whole table, keyed ``v1``, ``v2``, …"""
     value = field_category(cases, field, missing_label)
-    rows = cases.select(value.alias("category")).where(F.col("category").isNotNull() & (F.length("category") <= LONGEST_CATEGORY))
+    rows = cases.select(value.alias("category")).where(F.col("category").isNotNull())
     counts = rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     top = counts.orderBy(F.desc("n"), F.asc("category")).limit(TOP_CATEGORIES)
     place = F.row_number().over(Window.orderBy(F.desc("n"), F.asc("category")))
@@ -172,29 +173,27 @@ def _month(ts: Column) -> Column:
     return F.year(ts) * 12 + F.month(ts) - 1
 
 
-def trend(marked: DataFrame) -> DataFrame:
-    """Cases per start month, at most 120 periods; unknown starts as their own row.
-
-    All calendar months when they fit, else the occupied months, else a fixed
-    stride of months.  The choice depends on all cases, never on the selection.
-    """
+def trend(marked: DataFrame, stride: int = 1) -> DataFrame:
+    """Cases per start period of ``stride`` months over the whole calendar; unknown starts as their own row."""
     months = marked.where(F.col("first_ts").isNotNull()).groupBy(_month(F.col("first_ts")).alias("month")).agg(*_counts())
     unknown = marked.where(F.col("first_ts").isNull()).agg(*_counts()).where(F.col("total") > 0)
     unknown = unknown.select(F.lit(None).cast("int").alias("month"), "total", "selected")
-    shape = months.agg(F.min("month").alias("a"), F.max("month").alias("b"), F.count(F.lit(1)).alias("n")).first()
-    if shape["a"] is None:
+    ends = months.agg(F.min("month").alias("a"), F.max("month").alias("b")).first()
+    if ends["a"] is None:
         return unknown
-    first, last, occupied = shape["a"], shape["b"], shape["n"]
-    calendar = last - first + 1
-    if occupied <= MAX_PERIODS and calendar > MAX_PERIODS:
-        return months.select("month", "total", "selected").unionByName(unknown)
-    stride = 1 if occupied <= MAX_PERIODS else math.ceil(calendar / MAX_PERIODS)
+    first, last = ends["a"], ends["b"]
     start = (F.floor((F.col("month") - first) / stride) * stride + first).cast("int")
     binned = months.groupBy(start.alias("month")).agg(F.sum("total").alias("total"), F.sum("selected").alias("selected"))
     every = marked.sparkSession.range(first, last + 1, stride).select(F.col("id").cast("int").alias("month"))
     return every.join(binned, "month", "left").fillna(0, ["total", "selected"]).unionByName(unknown)
 
 
+def stride_for(marked: DataFrame, periods: int) -> int:
+    """Months per period for at most ``periods`` periods over the calendar of all cases."""
+    ends = marked.agg(F.min(_month(F.col("first_ts"))).alias("a"), F.max(_month(F.col("first_ts"))).alias("b")).first()
+    return 1 if ends["a"] is None else math.ceil((ends["b"] - ends["a"] + 1) / periods)
+
+
 def cut_key(col: Column, cuts: Sequence[float]) -> Column:
     """Number of the cut interval as text, ``missing`` for NULL."""
     out = F.lit(str(len(cuts) - 1))
@@ -246,12 +245,18 @@ def concentration_by(marked: DataFrame, field: str) -> DataFrame:
     return join_on(out, q, ["key"], "left")
 
 
+def _names_an_identifier(name: Column) -> Column:
+    """Whether a word of the name says identifier; words end at signs, digits and a change of case."""
+    spaced = F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "[^A-Za-z]+", " ")
+    return F.arrays_overlap(F.split(F.lower(spaced), " "), F.lit(list(IDENTIFIER_WORDS)))
+
+
 def comparison_choice(cases: DataFrame, fields: Sequence[str], primary: str | None) -> DataFrame:
     """The attribute offered for comparison: the first with 2 to 20 values, identifiers last."""
     names = [f for f in fields if f != primary]
     items = [F.struct(F.lit(i).alias("i"), F.lit(f).alias("name"), field_category(cases, f).alias("v")) for i, f in enumerate(names)]
     counts = cases.select(F.inline(F.array(*items))).groupBy("i", "name").agg(F.count_distinct("v").alias("distinct"))
-    identifier = F.col("name").rlike(r"(?:(^|[_\W])(id|uuid|guid|identifier|case)([_\W]|$)|Id$|ID$)")
+    identifier = _names_an_identifier(F.col("name"))
     useful = F.col("distinct").between(2, 20)
     order = [F.desc(useful & ~identifier), F.desc(useful), F.asc("i")]
     return counts.orderBy(*order).limit(1).select("name", "distinct")

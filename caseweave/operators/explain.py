@@ -169,10 +169,10 @@ def quantile_shifts(signals: DataFrame, widths: Mapping[str, float], min_evaluat
     )
 
 
-def ecdf_pair(signals: DataFrame, max_points: int = 512) -> DataFrame:
+def ecdf_pair(signals: DataFrame, max_points: int | None = None) -> DataFrame:
     """Both distribution functions of a constraint on the union of its values.
 
-    A grid above ``max_points`` values is thinned to that many quantiles of the distinct values.
+    ``max_points`` thins a longer curve to that many quantiles of the distinct values; the default keeps all.
     """
     hist = store(_histogram(signals))
     totals = hist.groupBy("constraint_id").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.count(F.lit(1)).alias("d"))
@@ -184,6 +184,9 @@ def ecdf_pair(signals: DataFrame, max_points: int = 512) -> DataFrame:
         {"__a": F.col("a"), "__b": F.col("b")},
         rank="r",
     )
+    shares = (F.when(F.col("n_a") > 0, F.col("__a") / F.col("n_a")).alias("f_slice"), F.when(F.col("n_b") > 0, F.col("__b") / F.col("n_b")).alias("f_rest"))
+    if max_points is None:
+        return join_on(run, totals, ["constraint_id"]).select("constraint_id", "x", *shares)
     rows = store(join_on(run, totals, ["constraint_id"]))
     after = rows.select("constraint_id", (F.col("r") - 1).alias("r"), F.col("x").alias("x_next"))
     rows = rows.join(after, ["constraint_id", "r"], "left")
@@ -192,12 +195,7 @@ def ecdf_pair(signals: DataFrame, max_points: int = 512) -> DataFrame:
     offset = point * step - (F.col("r") - 1)
     thin = F.col("d") > max_points
     x = F.when(thin & (offset > 1e-9), F.col("x") + (F.col("x_next") - F.col("x")) * offset).otherwise(F.col("x"))
-    return rows.where(~thin | (offset < 1 - 1e-9)).select(
-        "constraint_id",
-        x.alias("x"),
-        F.when(F.col("n_a") > 0, F.col("__a") / F.col("n_a")).alias("f_slice"),
-        F.when(F.col("n_b") > 0, F.col("__b") / F.col("n_b")).alias("f_rest"),
-    )
+    return rows.where(~thin | (offset < 1 - 1e-9)).select("constraint_id", x.alias("x"), *shares)
 
 
 # --------------------------------------------------------------------------- distribution lens

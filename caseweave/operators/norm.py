@@ -91,19 +91,27 @@ class Norm:
 
 
 def load_norm(doc: Mapping[str, Any]) -> Norm:
-    """A norm from its JSON document."""
+    """A norm from its JSON document.
+
+    Layers are ids or objects with an ``id``; derived attributes are a mapping by name or a list of
+    recipes with a ``name``.
+    """
+    layers = [x if isinstance(x, str) else x["id"] for x in doc["layers"]]
+    derived = doc.get("derived_attributes") or {}
+    if not isinstance(derived, Mapping):
+        derived = {r["name"]: {k: v for k, v in r.items() if k != "name"} for r in derived}
     views = [View(v["name"], v.get("layer_weights"), v.get("constraint_weights")) for v in doc.get("views", [])]
     constraints = [
         Constraint(c["id"], c["layer"], c["type"], c.get("params", {}), c.get("weight", 1.0), c.get("applicability"))
         for c in doc["constraints"]
     ]
     return Norm(
-        tuple(doc["layers"]),
+        tuple(layers),
         tuple(views),
         tuple(constraints),
         doc.get("scoring_mode", "layer_balanced"),
         doc.get("window_end"),
-        doc.get("derived_attributes", {}),
+        derived,
     )
 
 

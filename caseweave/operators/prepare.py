@@ -31,17 +31,18 @@ class Mapped:
     exposure_abs: bool = True
     attributes: Sequence[str] = field(default_factory=tuple)
     missing_label: str | None = "(missing)"
+    day_first: bool = False
 
 
-def check_mapping(raw: DataFrame, mapping: Mapped, sample: int = 1000) -> DataFrame:
-    """Fail on missing columns; report rows and parsed timestamps of a sample."""
+def check_mapping(raw: DataFrame, mapping: Mapped) -> DataFrame:
+    """Fail on missing columns; report rows, parsed timestamps, cases and activities of the whole log."""
     roles = [mapping.case_id, mapping.activity, mapping.timestamp, mapping.lifecycle, mapping.order]
     wanted = [c for c in [*roles, mapping.exposure, *mapping.attributes] if c]
     absent = sorted(set(wanted) - set(raw.columns))
     if absent:
         raise ValueError(f"columns not in the log: {absent}")
     parsed = parse_timestamp(F.col(mapping.timestamp), raw, mapping)
-    return raw.limit(sample).agg(
+    return raw.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count(parsed).alias("n_parsed"),
         F.count_distinct(mapping.case_id).alias("n_cases"),
@@ -50,11 +51,17 @@ def check_mapping(raw: DataFrame, mapping: Mapped, sample: int = 1000) -> DataFr
 
 
 def parse_timestamp(col: Column, raw: DataFrame, mapping: Mapped) -> Column:
+    """Wall-clock time of a column; texts that do not parse are NULL."""
     if dict(raw.dtypes)[mapping.timestamp].startswith("timestamp"):
         return col
     if mapping.timestamp_format:
         return F.try_to_timestamp(col, F.lit(mapping.timestamp_format)).cast("timestamp_ntz")
-    return F.expr(f"try_cast(`{mapping.timestamp}` as timestamp_ntz)")
+    if mapping.day_first:
+        col = F.regexp_replace(col, r"^\s*(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})(.*)$", "$3-$2-$1$4")
+    # A text with a zone becomes UTC; one without keeps its wall clock.
+    zoned = col.rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})\s*$") & col.rlike(r":")
+    utc = F.convert_timezone(None, F.lit("UTC"), col.try_cast("timestamp").cast("timestamp_ntz"))
+    return F.when(zoned, utc).otherwise(col.try_cast("timestamp_ntz"))
 
 
 def fill_missing(df: DataFrame, attributes: Sequence[str], label: str) -> DataFrame:

@@ -15,7 +15,6 @@ COLUMNS_PER_PASS = 12
 
 # The share of parsable values that decides a type, and the longest category text.
 PARSE_SHARE = 0.95
-LONGEST_CATEGORY = 512
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 

@@ -127,7 +127,7 @@ def change_record(before: DataFrame, after: DataFrame, step: int, kind: str) ->
     """Events moved and removed and cases touched by one step, compared on the event identity."""
     left = before.select("case_id", "seq", "activity", F.col("ts").alias("__t0"))
     right = after.select("case_id", "seq", "activity", F.col("ts").alias("__t1"), F.lit(True).alias("__kept"))
-    both = left.join(right, ["case_id", "seq", "activity"], "left")
+    both = join_on(left, right, ["case_id", "seq", "activity"], "left")
     gone = F.col("__kept").isNull()
     moved = ~gone & ~F.col("__t0").eqNullSafe(F.col("__t1"))
     per_case = both.groupBy("case_id").agg(F.count_if(moved).alias("m"), F.count_if(gone).alias("r"))

@@ -119,7 +119,7 @@ _ev(
     " SELECT unnest(range(a, b + 1, CAST(ceil((b - a + 1) / 120.0) AS BIGINT))) AS m FROM x) b LEFT JOIN (SELECT CAST(floor((month - a) / st) * st + a AS BIGINT) AS m,"
     " count(*) AS total, count(*) FILTER (WHERE selected) AS sel FROM mm, (SELECT min(month) AS a, CAST(ceil((max(month) - min(month) + 1) / 120.0) AS BIGINT) AS st FROM mm)"
     " GROUP BY 1) c USING (m))",
-    lambda s, d: eda.trend(_sparse(s, d)),
+    lambda s, d: eda.trend(_sparse(s, d), eda.stride_for(_sparse(s, d), 120)),
 )
 
 

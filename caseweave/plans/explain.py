@@ -217,10 +217,8 @@ def _(spark, d):
 
 @register(
     "X6_ecdf_pair",
-    "SELECT * FROM (WITH h AS (SELECT constraint_id, x, count(*) FILTER (WHERE in_slice) AS a, count(*) FILTER (WHERE NOT in_slice) AS b FROM sg GROUP BY 1, 2), c AS (SELECT constraint_id, x,"
-    " sum(a) OVER w / sum(a) OVER t AS fa, sum(b) OVER w / sum(b) OVER t AS fb, row_number() OVER w - 1 AS i, count(*) OVER t AS n, lead(x) OVER w AS nx FROM h"
-    " WINDOW w AS (PARTITION BY constraint_id ORDER BY x), t AS (PARTITION BY constraint_id)), g AS (SELECT *, ceil(i * 511.0 / (n - 1) - 1e-9) * (n - 1) / 511.0 - i AS off FROM c)"
-    " SELECT constraint_id, CASE WHEN n > 512 AND off > 1e-9 THEN x + (nx - x) * off ELSE x END AS x, fa AS f_slice, fb AS f_rest FROM g WHERE n <= 512 OR off < 1 - 1e-9)",
+    "SELECT * FROM (WITH h AS (SELECT constraint_id, x, count(*) FILTER (WHERE in_slice) AS a, count(*) FILTER (WHERE NOT in_slice) AS b FROM sg GROUP BY 1, 2) SELECT constraint_id, x,"
+    " sum(a) OVER w / sum(a) OVER t AS f_slice, sum(b) OVER w / sum(b) OVER t AS f_rest FROM h WINDOW w AS (PARTITION BY constraint_id ORDER BY x), t AS (PARTITION BY constraint_id))",
     doubles="x f_slice f_rest",
     decimals=5,
     with_=["sg"],

@@ -218,11 +218,11 @@ def _(spark, d):
 
 @register(
     "P5_mapping_check",
-    "SELECT least(count(*), 1000) AS n_rows, least(count(*), 1000) AS n_parsed FROM tw",
+    "SELECT count(*) AS n_rows, count(TRY_CAST(time AS TIMESTAMP)) AS n_parsed, count(DISTINCT \"user\") AS n_cases, count(DISTINCT event) AS n_activities FROM tw",
     with_=["tw"],
 )
 def _(spark, d):
-    return prepare.check_mapping(text_w(spark, d), MAPPED, sample=1000).select("n_rows", "n_parsed")
+    return prepare.check_mapping(text_w(spark, d), MAPPED)
 
 
 def _field_sql() -> str:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import any_of
 from ..session import store
 
 # The printable characters that code page 1252 puts on the control codes 0x80 to 0x9F.
@@ -28,22 +27,20 @@ def _stripped(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, *, sep: str = ",") -> DataFrame:
     """A CSV file with a header; every column stays text, names are stripped.
 
-    UTF-8 is kept unless a cell or a name shows the replacement character; then the
-    file is read as code page 1252.
+    Quotes follow RFC 4180: a quote inside a quoted cell is doubled.  One look at the raw lines
+    decides two things.  Lines that are not valid UTF-8 make the file code page 1252 (a replacement
+    character that is written in the file is ordinary text).  A line with an odd number of quotes
+    holds the start of a cell with a line break; such files are read one file per task.
     """
-
-    def scan(encoding: str) -> DataFrame:
-        reader = spark.read.option("header", True).option("inferSchema", False).option("sep", sep)
-        return reader.option("encoding", encoding).csv(path)
-
-    df = scan("UTF-8")
-    broken = any("�" in c for c in df.columns)
-    if not broken and df.columns:
-        broken = not df.where(any_of(F.col(f"`{c}`").contains("�") for c in df.columns)).isEmpty()
-    if broken:
+    lines = spark.read.text(path)
+    quotes = F.octet_length("value") - F.octet_length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    look = lines.agg(F.coalesce(F.bool_or(~F.is_valid_utf8("value")), F.lit(False)).alias("foreign"), F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)).alias("broken")).first()
+    reader = spark.read.option("header", True).option("inferSchema", False).option("sep", sep)
+    reader = reader.option("quote", '"').option("escape", '"').option("multiLine", look["broken"])
+    df = reader.option("encoding", "ISO-8859-1" if look["foreign"] else "UTF-8").csv(path)
+    if look["foreign"]:
         # Latin-1 maps every byte to one character; the few that differ are replaced.
         source, target = "".join(CP1252), "".join(CP1252.values())
-        df = scan("ISO-8859-1")
         df = df.select(
             *[F.translate(F.col(f"`{c}`"), source, target).alias(c.translate(str.maketrans(CP1252))) for c in df.columns]
         )
