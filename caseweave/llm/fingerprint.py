@@ -133,12 +133,15 @@ def _compared(a: Text, b: Text) -> tuple:
 
 
 def _first_of_next(rows: DataFrame) -> DataFrame:
-    """The first row of each range, as a guest of the range before it (of the last one: the very first row)."""
+    """The first row of each range, as a guest of the range before it (of the last one: the very first row).
+
+    There are as many first rows as shuffle partitions; their keys are sent to the texts.
+    """
     firsts = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")).alias("first"))
     by_part = Window.orderBy("part")
     before = F.coalesce(F.lag("part").over(by_part), F.last("part").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     firsts = firsts.select(F.col("part").alias("own"), "first", before.alias("part"))
-    same = rows.withColumnRenamed("part", "own").join(firsts, "own").where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie")))
+    same = rows.withColumnRenamed("part", "own").join(F.broadcast(firsts), "own").where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie")))
     return same.select("doc_id", "text", "tie", "part").dropDuplicates(["part"])
 
 
