@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import elapsed, holds, join_on
@@ -15,7 +15,9 @@ from ..functions.ordered import bucket, quantile_rows, quantiles, running
 from ..session import store
 from .backlog import constraint_rows, group_scores, label_keys, overall
 from .norm import Constraint, Norm, long_form
-from .profile import top_per_key
+
+# Differences tried per constraint and pass.
+TRIALS = 16
 
 
 # --------------------------------------------------------------------------- waterfall
@@ -99,38 +101,92 @@ def cliffs_delta(signals: DataFrame) -> DataFrame:
     return out.select("constraint_id", "n_slice", "n_rest", F.when(pairs > 0, F.col("w") / pairs).alias("cliffs_delta"))
 
 
-def hodges_lehmann(signals: DataFrame, max_pairs: int = 4_000_000) -> DataFrame:
-    """Median of the pairwise differences slice - rest per constraint.
+def hodges_lehmann(signals: DataFrame) -> DataFrame:
+    """Median of the pairwise differences slice - rest per constraint, over all pairs.
 
-    Exact up to ``max_pairs`` pairs.  Above that each side is a sample of at most
-    sqrt(max_pairs) cases, the ones with the smallest MD5 of their id; the budget is
-    part of the estimator.  The pairs are formed inside one task per constraint and
-    never become rows.
+    Works on counted values and never forms pairs: each pass counts, for a few trial differences
+    per constraint, the pairs above them, and narrows the bracket around the median rank.  The
+    bracket ends at an actual difference, or at 1e-12 of the range.  Non-finite signals are left
+    out; a constraint with an empty side has a NULL shift.
     """
-    sizes = signals.groupBy("constraint_id").agg(F.count_if("in_slice").alias("a"), F.count_if(~F.col("in_slice")).alias("b"))
-    big = [r["constraint_id"] for r in sizes.where(F.col("a") * F.col("b") > max_pairs).collect()]
-    cols = ["constraint_id", "x", "in_slice"]
-    rows = signals.where(~F.col("constraint_id").isin(big)).select(*cols)
-    if big:
-        keyed = signals.where(F.col("constraint_id").isin(big)).withColumn("__h", F.md5(F.col("case_id").cast("string")))
-        order = [F.asc("__h"), F.asc("case_id")]
-        budget = int(math.sqrt(max_pairs))
-        # A side may hold most cases: the smallest of every salt first, then the smallest of those.
-        keyed = keyed.withColumn("__salt", F.substring("__h", -2, 2))
-        drawn = top_per_key(keyed, ["constraint_id", "in_slice", "__salt"], order, budget, "__first")
-        drawn = top_per_key(drawn, ["constraint_id", "in_slice"], order, budget)
-        rows = rows.unionByName(drawn.select(*cols))
-    schema = "constraint_id string, hl_shift double"
-    return rows.groupBy("constraint_id").applyInPandas(_pairwise_median, schema)
-
-
-def _pairwise_median(pdf: pd.DataFrame) -> pd.DataFrame:
-    import numpy as np
-
-    a = pdf.loc[pdf["in_slice"], "x"].to_numpy(dtype=float)
-    b = pdf.loc[~pdf["in_slice"], "x"].to_numpy(dtype=float)
-    shift = float(np.median(np.subtract.outer(a, b))) if len(a) and len(b) else None
-    return pd.DataFrame({"constraint_id": [pdf["constraint_id"].iloc[0]], "hl_shift": [shift]})
+    x = F.col("x").cast("double")
+    hist = store(_histogram(signals.withColumn("x", x).where(F.abs("x") < float("inf"))))
+    low = [F.min(F.when(F.col(c) > 0, F.col("x"))).alias(f"min_{c}") for c in "ab"]
+    high = [F.max(F.when(F.col(c) > 0, F.col("x"))).alias(f"max_{c}") for c in "ab"]
+    ends = hist.groupBy("constraint_id").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), *low, *high)
+    brackets = {r["constraint_id"]: _Bracket.around(r) for r in ends.where("n_a > 0 and n_b > 0").collect()}
+    while trials := {c: b.trials() for c, b in brackets.items() if not b.done}:
+        found: dict[str, list] = {}
+        for r in _pairs_above(hist, trials).collect():
+            found.setdefault(r["constraint_id"], []).append((r["d"], int(r["above"]), r["next_d"]))
+        for c, rows in found.items():
+            brackets[c].narrow(rows)
+    shift = F.lit(None).cast("double")
+    for c, b in brackets.items():
+        shift = F.when(F.col("constraint_id") == c, F.lit(b.median)).otherwise(shift)
+    return signals.select("constraint_id").distinct().withColumn("hl_shift", shift)
+
+
+@dataclass
+class _Bracket:
+    """Where the middle ranks of the sorted differences lie: at most half are ``<= lo``, more than half ``<= hi``."""
+
+    pairs: int
+    lo: float
+    hi: float
+    width: float
+    # Pairs above ``hi``, and the smallest differences above ``lo`` and ``hi``.
+    above_hi: int = 0
+    after_lo: float | None = None
+    after_hi: float | None = None
+    done: bool = False
+
+    @classmethod
+    def around(cls, r: Row) -> _Bracket:
+        lo, hi = r["min_a"] - r["max_b"], r["max_a"] - r["min_b"]
+        width = 1e-12 * max(abs(lo), abs(hi), hi - lo)
+        return cls(r["n_a"] * r["n_b"], lo - width, hi + width, width, after_lo=lo, done=lo == hi)
+
+    def trials(self) -> list[float]:
+        """Evenly spaced differences, and one just above the smallest that the bracket holds."""
+        step = (self.hi - self.lo) / TRIALS
+        points = {self.lo + step * i for i in range(1, TRIALS)} | {self.after_lo + self.width}
+        return sorted(p for p in points if self.lo < p < self.hi) or [self.hi]
+
+    def narrow(self, rows: list[tuple[float, int, float | None]]) -> None:
+        before = self.lo, self.hi
+        for d, above, after in sorted(rows, reverse=True):
+            if self.pairs - above > (self.pairs - 1) // 2:
+                self.hi, self.above_hi, self.after_hi = d, above, after
+            else:
+                self.lo, self.after_lo = d, after
+                break
+        self.done = self.hi <= self.after_lo + 2 * self.width or (self.lo, self.hi) == before
+
+    @property
+    def median(self) -> float:
+        both = self.pairs - self.above_hi > self.pairs // 2 or self.after_hi is None
+        return self.after_lo if both else (self.after_lo + self.after_hi) / 2
+
+
+def _pairs_above(hist: DataFrame, trials: Mapping[str, list[float]]) -> DataFrame:
+    """``constraint_id, d, above, next_d``: pairs with a difference above ``d``, and the smallest such difference."""
+    of = F.create_map(*[e for c, ds in trials.items() for e in (F.lit(c), F.array(*map(F.lit, ds)))])
+    rows = hist.select("constraint_id", "x", "a", "b", F.explode(F.try_element_at(of, F.col("constraint_id"))).alias("d"))
+    # A slice value x exceeds the rest values below x - d by more than d.
+    rest = rows.where("b > 0").select("constraint_id", "d", F.col("x").alias("at"), F.lit(True).alias("rest"), "x", F.col("b").alias("n"))
+    inside = rows.where("a > 0").select("constraint_id", "d", (F.col("x") - F.col("d")).alias("at"), F.lit(False).alias("rest"), "x", F.col("a").alias("n"))
+    points = rest.unionByName(inside).withColumn("__bk", bucket(F.col("at")))
+    n, v = F.when(F.col("rest"), F.col("n")), F.when(F.col("rest"), F.col("x"))
+    keys = ["constraint_id", "d"]
+    totals = points.groupBy(*keys, "__bk").agg(F.sum(n).alias("n"), F.max(v).alias("v"))
+    earlier = Window.partitionBy(*keys).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "__bk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__n"), F.max("v").over(earlier).alias("__v"))
+    before = Window.partitionBy(*keys, "__bk").orderBy("at", "rest").rowsBetween(Window.unboundedPreceding, -1)
+    placed = points.withColumns({"__m": F.coalesce(F.sum(n).over(before), F.lit(0)), "__w": F.max(v).over(before)}).where(~F.col("rest"))
+    placed = join_on(placed, offsets, [*keys, "__bk"])
+    above = F.sum(F.col("n").cast("decimal(19,0)") * (F.col("__n") + F.col("__m")).cast("decimal(19,0)"))
+    return placed.groupBy(*keys).agg(above.alias("above"), F.min(F.col("x") - F.greatest("__v", "__w")).alias("next_d"))
 
 
 def quantile_shifts(signals: DataFrame, widths: Mapping[str, float], min_evaluated: int = 20) -> DataFrame:

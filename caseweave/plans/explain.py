@@ -172,21 +172,18 @@ def _(spark, d):
 
 @register(
     "X4_hodges_lehmann",
-    "SELECT constraint_id, median(a.x - b.x) AS hl_shift FROM (SELECT * FROM sm WHERE in_slice) a JOIN (SELECT * FROM sm WHERE NOT in_slice) b USING (constraint_id) GROUP BY 1",
+    "SELECT constraint_id, (min(d) FILTER (WHERE upto > (pairs - 1) // 2) + min(d) FILTER (WHERE upto > pairs // 2)) / 2 AS hl_shift FROM (SELECT constraint_id, d,"
+    " sum(n) OVER (PARTITION BY constraint_id ORDER BY d) AS upto, sum(n) OVER (PARTITION BY constraint_id) AS pairs FROM (SELECT constraint_id, a.x - b.x AS d, sum(a.n * b.n) AS n"
+    " FROM (SELECT * FROM sn WHERE in_slice) a JOIN (SELECT * FROM sn WHERE NOT in_slice) b USING (constraint_id) GROUP BY 1, 2)) GROUP BY 1",
     doubles="hl_shift",
     decimals=4,
-    with_=["sm"],
+    with_=["sn"],
 )
 def _(spark, d):
     return X.hodges_lehmann(signals(spark, d))
 
 
-cte(
-    "sm",
-    "SELECT constraint_id, x, in_slice FROM (SELECT *, row_number() OVER (PARTITION BY constraint_id, in_slice ORDER BY md5(CAST(case_id AS VARCHAR)), case_id) AS r,"
-    " count(*) FILTER (WHERE in_slice) OVER (PARTITION BY constraint_id) * count(*) FILTER (WHERE NOT in_slice) OVER (PARTITION BY constraint_id) AS pairs FROM sg) WHERE pairs <= 4000000 OR r <= 2000",
-    "sg",
-)
+cte("sn", "SELECT constraint_id, x, in_slice, count(*) AS n FROM sg GROUP BY 1, 2, 3", "sg")
 
 
 def _width(c: str) -> float:

@@ -188,6 +188,31 @@ def test_cliffs_delta_and_shift_equal_brute_force(scored):
         assert shift[cid] == pytest.approx(np.median(d), abs=1e-6)
 
 
+def test_shift_of_small_empty_and_infinite_sides(spark):
+    rows = [
+        ("empty", 1.0, True), ("one", 1.0, True), ("one", 3.5, False), ("even", 2.0, True), ("even", 4.0, True), ("even", 0.0, False), ("even", 0.0, False),
+        ("far", -1e15, True), ("far", 1e15, True), ("far", 0.25, False), ("nan", float("nan"), True), ("nan", 1.0, False), ("inf", float("inf"), True), ("inf", 5.0, True), ("inf", 1.0, False),
+    ]
+    df = spark.createDataFrame(rows, "constraint_id string, x double, in_slice boolean")
+    got = {r["constraint_id"]: r["hl_shift"] for r in explain.hodges_lehmann(df).collect()}
+    assert got.pop("far") == pytest.approx(-0.25, abs=1e4)
+    assert got == {"empty": None, "one": -2.5, "even": 3.0, "nan": None, "inf": 4.0}
+    assert explain.hodges_lehmann(df.where("x is null")).count() == 0
+
+
+def test_shift_equals_brute_force_on_unequal_sides(spark):
+    rng = np.random.default_rng(5)
+    sizes = {"wide": (3, 4000), "ties": (700, 900), "small": (40, 41)}
+    values = {"wide": lambda n: rng.lognormal(3, 4, n), "ties": lambda n: rng.integers(-3, 4, n).astype(float), "small": lambda n: rng.normal(0, 1e-5, n)}
+    sides = {c: (values[c](n), values[c](m)) for c, (n, m) in sizes.items()}
+    rows = [(c, float(x), i == 0) for c, ab in sides.items() for i, side in enumerate(ab) for x in side]
+    df = spark.createDataFrame(rows, "constraint_id string, x double, in_slice boolean")
+    for r in explain.hodges_lehmann(df).collect():
+        a, b = sides[r["constraint_id"]]
+        d = np.subtract.outer(a, b)
+        assert r["hl_shift"] == pytest.approx(np.median(d), rel=1e-9, abs=1e-11 * np.ptp(d))
+
+
 def test_bootstrap_weights_are_poisson_and_reproducible(spark):
     units = spark.range(4000).select(F.col("id").alias("u"))
     h1, h2 = uncertainty.unit_hash(F.col("u"), 5)
