@@ -31,7 +31,8 @@ SAMPLE_CHARS = 50_000
 WORDS = 8
 # Longer runs without white space are cut, so that a window stays a window.
 WORD_CHARS = 64
-LEVEL = 3
+# The fast levels index a dictionary sparsely and miss short matches that a lazy search finds.
+LEVEL = 9
 ORDINARY_BYTES, TOXIC_BYTES = 13_800, 1_200
 # Characters in a row that the toxic dictionary is chosen by.
 RUN = 5
@@ -143,8 +144,7 @@ def _telling(toxic: Sequence[str], runs: set[str]) -> list[bytes]:
 def _repeated(snippets: list[bytes], size: int) -> bytes:
     """Content of exactly ``size`` bytes, the most common snippets last and at several alignments.
 
-    The compressor indexes a dictionary at every third byte; the fixed size keeps the places of the
-    ordinary content, so that only toxic runs change a window's length.
+    The fixed size keeps the places of the ordinary content, so that only toxic runs change a window's length.
     """
     rounds: list[bytes] = []
     while snippets and sum(map(len, rounds)) < size + 3 * len(snippets[0]):
