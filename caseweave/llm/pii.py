@@ -54,7 +54,7 @@ def _between(n: Column, lo: int, hi: int) -> Column:
 @dataclass(frozen=True)
 class Kind:
     name: str
-    # Texts without this cannot hold a match.
+    # Texts without a match of this cannot hold one of ``pattern``.
     hint: str
     pattern: str
     confirmed: Callable[[Column], Column]
@@ -67,13 +67,12 @@ class Kind:
 
 KINDS = (
     Kind("email", "@", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda m: F.lit(True), 0.8, "mail|contact|write to|reach"),
-    Kind("ip", ".", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda m: m.rlike(r"^0*(25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})(\.0*(25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})){3}$"), 0.6, "ip|address|host|server|login"),
-    Kind("card", "", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])", luhn, 0.7, "card|visa|credit|payment|carte|tarjeta|karte"),
-    Kind("phone", "+", r"\+[0-9][ ().0-9-]+[0-9]", lambda m: _between(F.length(_digits(m)), 9, 15), 0.7, "phone|call|tel|mobile|fax"),
-    Kind("iban", "", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", mod97, 0.8, "iban|account|bank|konto|cuenta|compte", base=False),
+    Kind("ip", r"\.", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda m: m.rlike(r"^0*(25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})(\.0*(25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})){3}$"), 0.6, "ip|address|host|server|login"),
+    Kind("card", "[0-9][ -]?[0-9]", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])", luhn, 0.7, "card|visa|credit|payment|carte|tarjeta|karte"),
+    Kind("phone", r"\+", r"\+[0-9][ ().0-9-]+[0-9]", lambda m: _between(F.length(_digits(m)), 9, 15), 0.7, "phone|call|tel|mobile|fax"),
+    Kind("iban", "[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", mod97, 0.8, "iban|account|bank|konto|cuenta|compte", base=False),
     Kind("ssn", "-", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda m: F.lit(True), 0.4, "ssn|social security|social-security", base=False),
 )
-ANY_DIGITS = "[0-9]{2}"
 
 
 def _matches(text: Column, kind: Kind) -> Column:
@@ -90,8 +89,7 @@ def _matches(text: Column, kind: Kind) -> Column:
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(listed).alias("out")).cast(state)
     spans = F.aggregate(F.arrays_zip(found.alias("m"), between.alias("b")), zero, step)["out"]
-    possible = F.contains(text, F.lit(kind.hint)) if kind.hint else text.rlike(ANY_DIGITS)
-    return F.when(possible, spans).otherwise(F.array().cast(listed))
+    return F.when(text.rlike(kind.hint), spans).otherwise(F.array().cast(listed))
 
 
 def _scored(text: Column, kind: Kind) -> Column:

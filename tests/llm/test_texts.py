@@ -74,6 +74,18 @@ def test_base_spans_equal_the_plain_patterns(stored):
         assert [got[i][f"n_{k}"] for k, _, _ in BASE] == [sum(s[0] == k for s in spans) for k, _, _ in BASE]
 
 
+def test_cards_without_adjacent_digits(stored):
+    """A separator may follow every digit; no other pair of digits in the text."""
+    rows = [(i, f"pin {sep.join('4111111111111111'[:15] + last)} end") for i, (sep, last) in enumerate([(" ", "1"), ("-", "1"), (" ", "2")])] + [(3, "1 2 3"), (4, "0-" * 12 + "0")]
+    docs = stored(rows)
+    got = {r["doc_id"]: r for r in pii.report(pii.detect(docs)).collect()}
+    for i, text in rows:
+        spans = [(k, m.start(), m.end()) for k, p, f in BASE for m in re.finditer(p, text) if f(m.group())]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest(), text
+    assert [got[i]["n_card"] for i in range(5)] == [1, 1, 0, 0, 1]
+    assert docs.where("doc_id = 0").select(pii.redacted(F.col("text")).alias("t")).first()["t"] == "pin [CARD] end"
+
+
 def test_added_spans_and_redaction(stored):
     rows = [(1, "iban GB82 WEST 1234 5698 7654 32 end"), (2, "GB82 WEST 1234 5698 7654 33"), (3, "ssn 123-45-6789"), (4, "number 123-45-6789"), (5, "mail é@x a@b.c, 1.2.3.4."), (6, None)]
     out = {r["doc_id"]: r for r in stored(rows).select("doc_id", pii.redacted(F.col("text")).alias("t"), pii.spans(F.col("text")).alias("s")).collect()}
