@@ -4,8 +4,10 @@ A text up to ``chunk`` characters is encoded at once.  A longer one is cut into
 overlap on both sides; every chunk is pre-tokenised by itself, in parallel.  A chunk that starts
 inside a match finds wrong boundaries at first, but from the first boundary that it shares with
 the chunk before it both agree, because a match depends only on the text from its start on.  The
-pieces between these shared boundaries are encoded in parallel and joined.  A text in which some
-overlap holds no shared boundary (one match longer than the overlap) is encoded whole.
+pieces between these shared boundaries are encoded in parallel and joined.  A piece never ends in
+white space, since how a run of white space is matched depends on whether text follows it.  A text
+in which some overlap holds no such boundary (one match longer than the overlap, or white space
+only) is encoded whole.
 """
 
 from __future__ import annotations
@@ -92,7 +94,8 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
                 starts = base + np.fromiter((m.start() for m in find(text)), np.int64)
                 near = lambda at: starts[(starts >= at - overlap) & (starts <= at + overlap)]
                 left.append(near(idx * chunk) if idx else np.empty(0, np.int64))
-                right.append(near((idx + 1) * chunk) if idx + 1 < n else np.empty(0, np.int64))
+                ends = near((idx + 1) * chunk) if idx + 1 < n else ()
+                right.append(np.array([s for s in ends if not text[s - base - 1].isspace()], np.int64))
             yield pa.RecordBatch.from_arrays([*b.columns, int_lists(left, "int64"), int_lists(right, "int64")], [*CHUNK_NAMES, "lefts", "rights"])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,6 +35,14 @@ def test_byte_bpe_equals_the_library(stored, odd, chunk, overlap):
     assert Counter(tuple(r) for r in out) == want
 
 
+def test_byte_bpe_of_paragraphs_cut_at_any_place(stored):
+    """Cuts that fall after a blank line, a CRLF or a space and a line end."""
+    enc = bpe._encoder(RANKS, public_tokenizers.PATTERN)
+    rows = [(100 * k + i, "x" * i + gap.join(["para graph."] * 40)) for k, gap in enumerate(["\n\n", "\r\n", " \n", "\n \n", " " * 30 + "\n"]) for i in range(45)]
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(stored(rows), RANKS, public_tokenizers.PATTERN, chunk=120, overlap=15).collect()}
+    assert got == {i: enc.encode_ordinary(t) for i, t in rows}
+
+
 def test_word_ids_equal_the_library(odd):
     enc = word_bpe.Encoder(WORDS, kept=5)
     texts = [t or "" for _, t in odd] + ["ﬁ ſt ΣΑΣ á x\x1cy z\x85q ...! a.. 's we've DON'T", "Été, été. ß ẞ Å ŉ"]
