@@ -1,17 +1,17 @@
 """A probabilistic suffix tree over word tokens.
 
 The root is the distribution of single tokens over all training texts.  A context (the last one or
-more tokens) is a candidate if it makes up at least the share ``p_min`` of all training tokens, and
-stays in the tree only if its next-token distribution diverges from that of the longest shorter
-context in the tree by more than chance explains.  Next tokens whose joint share with the context
-is at least ``p_min`` are kept with the context, smoothed towards the shorter context; all others
-share what is left in proportion to the shorter context.  A text is scored from the longest
-context that the tree holds at each place.
-
-``p_min`` is a share, so the tree has at most ``1 / p_min`` contexts of each length and as many
-kept next tokens, whatever the corpus; it fits in memory.  The token counts of the root grow with
-the corpus and never leave the executors: texts are read in blocks, each block asks for the counts
-of its distinct words by one join, and meets the answers again in one task per block.
+more tokens) is a candidate if it occurs at least ``MIN_COUNT`` times in them, and stays in the
+tree only if its next-token distribution diverges from that of the longest shorter context in the
+tree by more than chance explains.  Next tokens that follow the context at least ``MIN_COUNT``
+times are kept with it, smoothed towards the shorter context; all others share what is left in
+proportion to the shorter context.  A text is scored from the longest context that the tree holds
+at each place.
+
+The count is fixed, so the tree grows with the corpus.  Words, contexts and next tokens are stored
+tables and never leave the executors: texts are read in blocks, each block asks for its distinct
+words and, length by length, for its distinct pairs of context and next token by one join, and
+meets the answers again in one task per block.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, plain, store
 
-P_MIN = 5e-5
-DEPTH = 2
+# A context, and a next token kept with it, occurs so often in the training texts.
+MIN_COUNT = 5
+# Longest context.  A length without any diverging context does not end the tree: longer ones may diverge again.
+DEPTH = 4
 # Pseudo-count of the shorter context's distribution.
 SMOOTH = 5.0
 # A block is closed when it holds this many tokens (one text is never cut).
@@ -102,49 +105,59 @@ def blocks(docs: DataFrame, held_out: Column, *, block_tokens: int = BLOCK_TOKEN
 
 @dataclass
 class Level:
-    """The contexts of one length that are in the tree, as places in the sorted candidate keys."""
+    """Next tokens of the contexts of one length; each is also a context one longer."""
 
-    # Sorted candidate keys: number of the context one shorter, times the vocabulary, plus the newest word.
+    # Sorted: number of the context times ``base``, plus the next token.
     keys: np.ndarray
-    inside: np.ndarray
-    # Log10 of the share left to all other next tokens, over what the shorter context gives them.
+    ids: np.ndarray
+    # Log10 probability over the root's; NaN if the context is not in the tree.
+    logs: np.ndarray
+    # As a context: log10 of the share left to all other next tokens, over what the shorter context
+    # gives them; NaN if it is not in the tree.
     rest: np.ndarray
-    # Sorted keys (context number times vocabulary plus next word) with their log10 probability over the root's.
-    next_keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    next_logs: np.ndarray = field(default_factory=lambda: np.empty(0))
 
 
 @dataclass
 class Tree:
-    """Numbers of the frequent words (from 1; 0 is any other) and the levels of contexts."""
+    """A tree, or the part that a block asks for.  Tokens and contexts are numbered from 1; 0 is any other."""
 
-    words: dict[bytes, int]
+    codes: np.ndarray
+    rest: np.ndarray
     levels: list[Level] = field(default_factory=list)
+    words: dict[bytes, int] = field(default_factory=dict)
 
     @property
     def base(self) -> int:
-        return len(self.words) + 1
-
-    def contexts(self, codes: np.ndarray, starts: np.ndarray, depth: int) -> list[np.ndarray]:
-        """For each place the number (from 1; 0: none) of the context of each length that ends there."""
-        out = [codes]
-        for level in self.levels[1:depth]:
-            earlier = np.concatenate([[0], out[-1][:-1]])
-            earlier[starts] = 0
-            out.append(_place(level.keys, np.where((earlier > 0) & (codes > 0), earlier * self.base + codes, -1)) + 1)
-        return out
+        return len(self.codes) + 1
+
+    def number(self, codes: np.ndarray) -> np.ndarray:
+        return _place(self.codes, codes) + 1
+
+    def add(self, a: np.ndarray, b: np.ndarray, ids: np.ndarray, logs: np.ndarray, rest: np.ndarray) -> None:
+        """A level of next tokens ``b`` of the contexts ``a``."""
+        earlier = self.levels[-1].ids if self.levels else self.codes
+        order = np.argsort(earlier)
+        keys = (order[np.searchsorted(earlier, a, sorter=order)] + 1) * self.base + self.number(b) if len(a) else np.empty(0, np.int64)
+        by_key = np.argsort(keys)
+        self.levels.append(Level(keys[by_key], ids[by_key], logs[by_key], rest[by_key]))
+
+    def walk(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of the longest kind of context before each token, and the gain of each token."""
+        gain, ends, rest = np.zeros(len(codes)), codes, self.rest
+        for level in [*self.levels, None]:
+            state = np.concatenate([[0], ends[:-1]])
+            state[starts] = 0
+            if level is None:
+                return state, gain
+            left = np.concatenate([[np.nan], rest])[state]
+            at = _place(level.keys, np.where((state > 0) & (codes > 0), state * self.base + codes, -1))
+            kept = np.concatenate([level.logs, [np.nan]])[at]
+            gain = np.where(np.isnan(left), gain, np.where(at >= 0, kept, gain + left))
+            ends, rest = at + 1, level.rest
 
     def gains(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Log10 probability of each token over what the root gives it."""
-        gain = np.zeros(len(codes))
-        for level, ends in zip(self.levels, self.contexts(codes, starts, len(self.levels)), strict=True):
-            state = np.concatenate([[0], ends[:-1]])
-            state[starts] = 0
-            known = np.flatnonzero(state)
-            known = known[level.inside[state[known] - 1]]
-            at = _place(level.next_keys, np.where(codes[known] > 0, state[known] * self.base + codes[known], -1))
-            gain[known] = np.where(at >= 0, level.next_logs[at] if len(level.next_logs) else 0.0, gain[known] + level.rest[state[known] - 1])
-        return gain
+        return self.walk(codes, starts)[1]
 
 
 def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -155,148 +168,177 @@ def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def next_counts(docs: DataFrame, tree: Tree, depth: int) -> DataFrame:
-    """``key, n``: how often each frequent token follows each candidate context of ``depth`` tokens."""
+# What a block is answered: its words (level 0: local number, count, code) and its kept pairs of
+# context and next token.
+ANSWERS = "of long, level int, a long, b long, id long, log double, rest double"
+PAIRS = "block long, a long, b long, n long"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, keys, n, held = tree.words.get, np.empty(0, np.int64), np.empty(0, np.int64), []
 
-        def summed() -> tuple[np.ndarray, np.ndarray]:
-            new, times = np.unique(np.concatenate(held), return_counts=True)
-            merged, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            return merged, np.bincount(place, np.concatenate([n, times]), len(merged)).astype(np.int64)
+def _answers(rows: DataFrame, level: int) -> DataFrame:
+    """Answers with all columns; a missing one is NULL."""
+    columns = [F.lit(level).cast(t).alias(c) if c == "level" else (F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in map(str.split, ANSWERS.split(", "))]
+    return rows.select(*columns)
 
-        for b in batches:
-            lists = [[number(t, 0) for t in tokens(text)] for text in b.column("text").to_pylist()]
-            starts = np.cumsum([0, *map(len, lists)])[:-1]
-            codes = np.fromiter((c for x in lists for c in x), np.int64)
-            ends = tree.contexts(codes, starts, depth)[depth - 1]
-            state = np.concatenate([[0], ends[:-1]])
-            state[starts] = 0
-            both = (state > 0) & (codes > 0)
-            held.append(state[both] * tree.base + codes[both])
-            if sum(map(len, held)) > 2_000_000:
-                keys, n = summed()
-                held = []
-        if held:
-            keys, n = summed()
-        for i in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000], pa.int64()), pa.array(n[i : i + 100_000], pa.int64())], ["key", "n"])
 
-    return map_batches(docs.select("text"), count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def _numpy(rows: pa.Table, level: int) -> list[np.ndarray]:
+    part = rows.filter(pa.compute.equal(rows.column("level"), level))
+    return [part.column(c).to_numpy() for c in ("a", "b", "id", "log", "rest")]
 
 
-def grow(tree: Tree, counts: dict[int, int], followed: np.ndarray, root: np.ndarray, keys: np.ndarray) -> Level:
-    """A level from the kept next-token counts.
+def _part(rows: pa.Table, depth: int) -> tuple[Tree, np.ndarray, np.ndarray]:
+    """The part of the tree that a block was answered, and the number and count of each of its words."""
+    local, c, code, _, rest = _numpy(rows, 0)
+    count, number = np.zeros(len(local)), np.zeros(len(local), np.int64)
+    known = np.flatnonzero(code)
+    known = known[np.argsort(code[known])]
+    tree = Tree(code[known], rest[known].astype(float))
+    count[local] = c
+    number[local] = np.where(code > 0, tree.number(code), 0)
+    for level in range(1, depth + 1):
+        a, b, ids, log, rest = _numpy(rows, level)
+        tree.add(a, b, ids, log.astype(float), rest.astype(float))
+    return tree, number, count
 
-    ``followed`` has the count of each candidate context, ``root`` the root's probability of each frequent word.
+
+def _texts(texts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The local word numbers of all texts of a block, one after the other, and where each text starts."""
+    unpack, ns = zstandard.ZstdDecompressor().decompress, texts.column("n").to_pylist()
+    ids = [np.frombuffer(unpack(x, max_output_size=4 * n), np.uint32) for n, x in zip(ns, texts.column("ids").to_pylist(), strict=True)]
+    return np.concatenate(ids), np.cumsum([0, *ns])[:-1]
+
+
+def pairs(texts: DataFrame, answers: DataFrame, depth: int) -> DataFrame:
+    """Each block's distinct pairs of a context of ``depth`` tokens and its next token; ``n`` counts the training texts."""
+
+    def count(key: tuple, rows: pa.Table, answered: pa.Table) -> pa.Table:
+        names = [c.split()[0] for c in PAIRS.split(", ")]
+        if not rows.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in names})
+        tree, number, _ = _part(answered, depth - 1)
+        ids, starts = _texts(rows)
+        codes = number[ids]
+        state, _ = tree.walk(codes, starts)
+        both = (state > 0) & (codes > 0)
+        trained = np.repeat(~rows.column("held_out").to_numpy().astype(bool), rows.column("n").to_numpy())
+        found, place = np.unique(state[both] * tree.base + codes[both], return_inverse=True)
+        contexts = tree.levels[-1].ids if tree.levels else tree.codes
+        a, b = contexts[found // tree.base - 1], tree.codes[found % tree.base - 1]
+        n = np.bincount(place, trained[both], len(found)).astype(np.int64)
+        return pa.table(dict(zip(names, [pa.array(np.full(len(found), key[0].as_py()), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n)], strict=True)))
+
+    return texts.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(count, PAIRS)
+
+
+def tested(rows: DataFrame) -> DataFrame:
+    """Add ``p`` and ``log`` (NULL if the context ``a`` is not in the tree) and ``rest`` of the context.
+
+    ``rows`` has the next tokens: ``a, total`` (count of the context), ``n, shorter, root`` (probabilities).
     """
-    level = Level(keys, np.zeros(len(followed), bool), np.zeros(len(followed)))
-    by_context: dict[int, list[tuple[int, int]]] = {}
-    for key, n in counts.items():
-        by_context.setdefault(key // tree.base, []).append((key % tree.base, n))
-    kept: list[tuple[int, float]] = []
-    for context, nexts in by_context.items():
-        total = float(followed[context - 1])
-        symbols = np.array([w for w, _ in nexts])
-        n = np.array([c for _, c in nexts], float)
-        shorter = _shorter(tree, keys, context, symbols, root)
-        left, left_shorter = max(total - n.sum(), 0.0), max(1 - shorter.sum(), 1e-12)
-        divergence = float((n / total * np.log(n / total / shorter)).sum())
-        if left:
-            divergence += left / total * math.log(left / total / left_shorter)
-        if total * divergence <= (len(n) + 1) * math.log(total):
-            continue
-        p = (n + SMOOTH * shorter) / (total + SMOOTH)
-        level.inside[context - 1] = True
-        level.rest[context - 1] = math.log10(max(1 - p.sum(), 1e-12) / left_shorter)
-        kept += [(context * tree.base + int(w), math.log10(x / root[w])) for w, x in zip(symbols, p, strict=True)]
-    kept.sort()
-    level.next_keys = np.array([k for k, _ in kept], np.int64)
-    level.next_logs = np.array([x for _, x in kept])
-    return level
-
-
-def _shorter(tree: Tree, keys: np.ndarray, context: int, symbols: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """Probabilities of next tokens from the longest shorter context in the tree."""
-    if not tree.levels:
-        return root[symbols]
-    recent = _words(tree, keys, context)[1:]
-    codes = np.concatenate([[*recent, int(w)] for w in symbols])
-    length = len(recent) + 1
-    gains = tree.gains(codes, np.arange(0, len(codes), length))[length - 1 :: length]
-    return root[symbols] * np.power(10.0, gains)
-
-
-def _words(tree: Tree, keys: np.ndarray, context: int) -> list[int]:
-    """The words of a candidate context, oldest first."""
-    out = []
-    for level_keys in [keys, *[level.keys for level in tree.levels[:0:-1]]]:
-        earlier, word = divmod(int(level_keys[context - 1]), tree.base)
-        out.append(word)
-        context = earlier
-    return [context, *out[::-1]]
-
-
-def learn(trained: DataFrame, counts: DataFrame, total: int, vocabulary: int, *, p_min: float = P_MIN, depth: int = DEPTH) -> Tree:
-    """The tree of training texts; ``counts`` has ``word, c`` of all their tokens."""
-    least = max(2, math.ceil(p_min * total))
-    frequent = sorted((r["c"], bytes(r["word"])) for r in counts.where(F.col("c") >= least).collect())[::-1]
-    tree = Tree({w: i + 1 for i, (_, w) in enumerate(frequent)})
-    root = np.array([1.0, *((c + 0.5) / (total + 0.5 * (vocabulary + 1)) for c, _ in frequent)])
-    # The end token is never a context.
-    followed, keys = np.array([c if w != END else 0 for c, w in frequent], np.int64), np.arange(1, len(frequent) + 1)
-    for d in range(1, depth + 1):
-        if not len(followed):
+    n, total, shorter = F.col("n"), F.col("total"), F.col("shorter")
+    p = (n + SMOOTH * shorter) / (total + SMOOTH)
+    sums = rows.groupBy("a").agg(
+        F.first("total").alias("t"),
+        F.count(F.lit(1)).alias("k"),
+        F.sum("n").alias("followed"),
+        F.sum("shorter").alias("given"),
+        F.sum(p).alias("kept"),
+        F.sum(n / total * F.log(n / total / shorter)).alias("gain"),
+    )
+    left, left_shorter = F.greatest(F.col("t") - F.col("followed"), F.lit(0)), F.greatest(1 - F.col("given"), F.lit(1e-12))
+    divergence = F.col("gain") + F.when(left > 0, left / F.col("t") * F.log(left / F.col("t") / left_shorter)).otherwise(0.0)
+    inside = F.col("t") * divergence > (F.col("k") + 1) * F.log(F.col("t"))
+    rest = F.when(inside, F.log10(F.greatest(1 - F.col("kept"), F.lit(1e-12)) / left_shorter))
+    out = rows.join(sums.select("a", rest.alias("rest")), "a")
+    out = out.withColumn("p", F.when(F.col("rest").isNotNull(), p).otherwise(shorter))
+    return out.withColumn("log", F.when(F.col("rest").isNotNull(), F.log10(F.col("p") / F.col("root"))))
+
+
+def coded(counts: DataFrame) -> DataFrame:
+    """``word, c, id`` as a stored table."""
+    return store(counts.select("word", "c", (F.monotonically_increasing_id() + 1).alias("id")))
+
+
+def grow(numbered: DataFrame, counts: DataFrame, total: int, vocabulary: int, *, p_min: float, depth: int) -> list[DataFrame]:
+    """The answers to the blocks, by length of context from 0 (the words); ``counts`` as of ``coded``."""
+    least = max(MIN_COUNT, math.ceil(p_min * total))
+    words = numbered.where(F.col("word").isNotNull()).select(F.col("block").alias("of"), "local", "word")
+    texts = numbered.where(F.col("ids").isNotNull()).select("block", "held_out", "n", "ids")
+    known = counts.withColumn("id", F.when(F.col("c") >= least, F.col("id")).otherwise(0))
+    asked = words.join(known, "word", "left").select("of", F.col("local").alias("a"), F.coalesce("c", F.lit(0)).alias("b"), F.coalesce("id", F.lit(0)).alias("id"))
+    levels, prior = [store(asked)], None
+    root = (F.col("c") + 0.5) / (total + 0.5 * (vocabulary + 1))
+    for length in range(1, depth + 1):
+        answers = _answers(levels[0], 0)
+        for i, x in enumerate(levels[1:], 1):
+            answers = answers.unionByName(_answers(x, i))
+        met = store(pairs(texts, answers, length))
+        n = met.where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        kept = store(n.withColumn("id", F.monotonically_increasing_id() + 1))
+        if length == 1:
+            single = known.where("id > 0")
+            of_context = single.select(F.col("id").alias("a"), F.col("c").alias("total"))
+            of_next = single.select(F.col("id").alias("b"), root.alias("root"))
+            # The context without its oldest token, one longer, ends in the next token alone.
+            rows = kept.join(of_context, "a").join(of_next, "b").withColumns({"shorter": F.col("root"), "suffix": F.col("b")})
+        else:
+            of_context = prior.select(F.col("id").alias("a"), F.col("n").alias("total"), F.col("suffix").alias("short"))
+            twin = prior.select(F.col("a").alias("short"), "b", F.col("p").alias("shorter"), "root", F.col("id").alias("suffix"))
+            rows = kept.join(of_context, "a").join(twin, ["short", "b"]).drop("short")
+        prior = store(tested(rows))
+        if prior.isEmpty():
             break
-        # For counting, the new level only needs its candidate keys.
-        tree.levels.append(Level(keys, np.zeros(len(keys), bool), np.zeros(len(keys))))
-        found = {r["key"]: r["n"] for r in next_counts(trained, tree, d).where(F.col("n") >= least).collect()}
-        tree.levels.pop()
-        tree.levels.append(grow(tree, found, followed, root, keys))
-        end = tree.words.get(END, -1)
-        longer = sorted((k, n) for k, n in found.items() if k % tree.base != end)
-        keys, followed = np.array([k for k, _ in longer], np.int64), np.array([n for _, n in longer], np.int64)
+        rests = prior.where("rest IS NOT NULL").groupBy(F.col("a").alias("id")).agg(F.first("rest").alias("rest"))
+        levels[-1] = levels[-1].join(rests, "id", "left")
+        levels.append(store(met.select(F.col("block").alias("of"), "a", "b").join(prior.select("a", "b", "id", "log"), ["a", "b"])))
+    return levels
+
+
+def learn(trained: DataFrame, counts: DataFrame, total: int, vocabulary: int, *, p_min: float = 0.0, depth: int = DEPTH) -> Tree:
+    """The whole tree of a few training texts in memory; ``counts`` has ``word, c`` of all their tokens."""
+    counts = coded(counts)
+    levels = grow(store(blocks(trained, F.lit(False))), counts, total, vocabulary, p_min=p_min, depth=depth)
+    first, *longer = [_answers(x, i).drop("of").distinct().toArrow() for i, x in enumerate(levels)]
+    rest = dict(zip(first.column("id").to_pylist(), first.column("rest").to_numpy().astype(float), strict=True))
+    codes = np.array(sorted(x for x in rest if x), np.int64)
+    tree = Tree(codes, np.array([rest[x] for x in codes]))
+    for i, x in enumerate(longer, 1):
+        a, b, ids, log, left = _numpy(x, i)
+        tree.add(a, b, ids, log.astype(float), left.astype(float))
+    number = {int(x): i for i, x in enumerate(codes, 1)}
+    tree.words = {bytes(r["word"]): number[r["id"]] for r in counts.collect() if r["id"] in number}
     return tree
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", p_min: float = P_MIN, depth: int = DEPTH, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", p_min: float = 0.0, depth: int = DEPTH, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Learn from the rows that are not held out and score all rows; columns as in ``SCORED``.
 
     ``held_out`` is a condition on ``doc_id``.  A NULL or empty text is its end token alone.
-    Repeated rows are counted and scored each.
+    Repeated rows are counted and scored each.  ``p_min`` asks for contexts and next tokens of
+    at least this share of all training tokens besides their least count.
     """
     rows = plain(docs, id_col, text_col)
     numbered = store(blocks(rows, held_out, block_tokens=block_tokens))
-    vocabulary = numbered.where(F.col("word").isNotNull()).select("block", "local", "word", "trained")
-    counts = store(vocabulary.where("trained > 0").groupBy("word").agg(F.sum("trained").alias("c")))
+    counts = coded(numbered.where("word IS NOT NULL AND trained > 0").groupBy("word").agg(F.sum("trained").alias("c")))
     seen = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = int(seen["n"]), int(seen["v"])
-    tree = learn(rows.where(~held_out), counts, total, distinct, p_min=p_min, depth=depth)
-    over = math.log10(total + 0.5 * (distinct + 1))
-
-    def scored(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
-        local = words.column("local").to_numpy()
-        c = np.zeros(len(local))
-        c[local] = words.column("c").to_numpy()
-        code = np.zeros(len(local), np.int64)
-        get = tree.words.get
-        code[local] = [get(w, 0) for w in words.column("word").to_pylist()]
-        log, unpack = np.log10(c + 0.5) - over, zstandard.ZstdDecompressor().decompress
-        n_known, base, gain = [], [], []
-        ns = texts.column("n").to_pylist()
-        for n, packed in zip(ns, texts.column("ids").to_pylist(), strict=True):
-            ids = np.frombuffer(unpack(packed, max_output_size=4 * n), np.uint32)
-            n_known.append(int((c[ids] > 0).sum()))
-            base.append(float(log[ids].sum()))
-            gain.append(float(tree.gains(code[ids], np.array([0])).sum()))
-        base_score = np.array(base)
-        columns = [texts.column("doc_id"), texts.column("held_out"), pa.array(ns, pa.int64()), pa.array(n_known, pa.int64()), pa.array([total] * len(ns), pa.int64()), pa.array(base_score), pa.array(base_score + np.array(gain))]
-        return pa.table(dict(zip([x.split()[0] for x in SCORED.split(", ")], columns, strict=True)))
-
+    levels = grow(numbered, counts, total, distinct, p_min=p_min, depth=depth)
+    longest, over = len(levels) - 1, math.log10(total + 0.5 * (distinct + 1))
+
+    def scored(key: tuple, texts: pa.Table, answered: pa.Table) -> pa.Table:
+        names = [x.split()[0] for x in SCORED.split(", ")]
+        tree, number, c = _part(answered, longest)
+        ids, starts = _texts(texts)
+        base = np.add.reduceat(np.log10(c + 0.5)[ids] - over, starts)
+        gain = np.add.reduceat(tree.gains(number[ids], starts), starts)
+        n_known = np.add.reduceat((c[ids] > 0).astype(np.int64), starts)
+        columns = [texts.column("doc_id"), texts.column("held_out"), texts.column("n"), pa.array(n_known), pa.array([total] * len(starts), pa.int64()), pa.array(base), pa.array(base + gain)]
+        return pa.table(dict(zip(names, columns, strict=True)))
+
+    answers = _answers(levels[0], 0)
+    for i, x in enumerate(levels[1:], 1):
+        answers = answers.unionByName(_answers(x, i))
     texts = numbered.where(F.col("ids").isNotNull()).select("block", "doc_id", "held_out", "n", "ids")
-    asked = vocabulary.select("block", "local", "word").join(counts, "word", "left").select(F.col("block").alias("of"), "local", "word", F.coalesce("c", F.lit(0)).alias("c"))
-    return texts.groupBy("block").cogroup(asked.groupBy("of")).applyInArrow(scored, SCORED)
+    return texts.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(scored, SCORED)

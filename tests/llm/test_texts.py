@@ -181,6 +181,17 @@ def test_next_token_probabilities_sum_to_one(stored):
         assert sum(p) + unseen == pytest.approx(1, abs=1e-6)
 
 
+def test_contexts_do_not_depend_on_the_size_of_the_corpus(stored):
+    """Rare words and contexts of three tokens count, however many other tokens there are."""
+    rng = random.Random(11)
+    rare = [f"{x} q r {y}" for x, y in (("a", "one"), ("b", "two"))]
+    rows = [(i, " ".join(rng.choice(rare) for _ in range(6))) for i in range(12)]
+    rows += [(100 + i, " ".join(f"w{rng.randrange(400)}" for _ in range(1500))) for i in range(200)]
+    docs = rows + [(5000, "a q r one"), (5001, "a q r two"), (5002, "q r one")]
+    got = {r["doc_id"]: r["score"] - r["base_score"] for r in suffix_tree.score(stored(docs), F.col("doc_id") >= 5000, block_tokens=20_000).collect()}
+    assert got[5000] > got[5001] + 1 and got[5000] > got[5002] + 1
+
+
 # ------------------------------------------------------------------ near duplicates
 def groups_of(pairs, nodes):
     root = {x: x for x in nodes}
