@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from .backlog import constraint_rows
 from .norm import Norm
 from .profile import top_per_key
 
-# A step list longer than this is identified in chunks and listed in long form only.
+# The labels of a longer case are not listed per case, only per variant.
 CHUNK_STEPS = 10_000
 
 
@@ -137,20 +139,24 @@ def constraint_arcs(shares: DataFrame, norm: Norm) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- variants
+def _quoted(label: Column) -> Column:
+    """A label in JSON form."""
+    listed = F.coalesce(F.to_json(F.array(label)), F.lit("[null]"))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
 def _digest(labels: Column) -> Column:
     """SHA-256 of a label list in JSON form; NULL steps stay in the list."""
-    quoted = F.transform(labels, lambda x: F.coalesce(F.to_json(F.array(x)), F.lit("[null]")))
-    inner = F.transform(quoted, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
+    inner = F.transform(labels, _quoted)
     return F.sha2(F.concat(F.lit("["), F.array_join(inner, ","), F.lit("]")), 256)
 
 
 def case_sequences(events: DataFrame, *, chunk: int = CHUNK_STEPS, hot_events: int = 1_000_000) -> DataFrame:
     """Per case: the digest of its full label sequence, its length and, up to ``chunk`` steps, the labels.
 
-    Ordinary cases are sorted inside their group and identified by the SHA-256 of the
-    JSON list of their labels.  Longer ones are cut into chunks of positions whose
-    digests are digested again, so no group holds a long case.  Three rounds cover
-    ``chunk`` to the third power steps.
+    Every case is identified by the SHA-256 of the JSON list of its labels.  Ordinary cases are
+    sorted inside their group; the steps of longer ones are sorted in their task and digested as
+    a stream, so no group or list holds a long case.
     """
     rows = _keyed(events)
     sizes = rows.groupBy("case_id").agg(F.count(F.lit(1)).alias("__n"))
@@ -171,20 +177,43 @@ def case_sequences(events: DataFrame, *, chunk: int = CHUNK_STEPS, hot_events: i
     if short is rows:
         return result
     placed = with_next(join_on(rows, long_ids, ["case_id"], "left_semi"), ("activity",), hot_events=hot_events)
-    level = placed.select("case_id", F.floor(F.col("pos") / chunk).alias("g"), F.struct("pos", "activity").alias("s"))
-    level = level.groupBy("case_id", "g").agg(F.array_sort(F.collect_list("s")).alias("s"), F.count(F.lit(1)).alias("n"))
-    level = level.select("case_id", "g", "n", _digest(F.transform("s", lambda s: s["activity"])).alias("h"))
-    for _ in range(2):
-        level = level.select("case_id", F.floor(F.col("g") / chunk).alias("p"), F.struct("g", "h").alias("s"), "n")
-        level = level.groupBy("case_id", "p").agg(F.array_sort(F.collect_list("s")).alias("s"), F.sum("n").alias("n"))
-        joined = F.array_join(F.transform("s", lambda s: s["h"]), "")
-        level = level.select("case_id", F.col("p").alias("g"), "n", F.sha2(joined, 256).alias("h"))
-    longer = level.select("case_id", F.col("n").alias("n_steps"), F.lit(None).cast("array<string>").alias("labels"), F.col("h").alias("variant"))
+    steps = placed.select("case_id", "pos", _quoted(F.col("activity")).alias("step")).repartition("case_id").sortWithinPartitions("case_id", "pos")
+    case_type = rows.schema["case_id"].dataType.simpleString()
+    longer = steps.select("case_id", "step").mapInArrow(_stream_digests, f"case_id {case_type}, n_steps bigint, variant string")
+    longer = longer.withColumn("labels", F.lit(None).cast("array<string>"))
     return result.select(*out_cols).unionByName(longer.select(*out_cols))
 
 
+def _stream_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``case_id, n_steps, variant`` of sorted steps, each in JSON form; holds one batch at a time."""
+
+    def row() -> pa.RecordBatch:
+        digest.update(b"]")
+        return pa.RecordBatch.from_arrays([case, pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], ["case_id", "n_steps", "variant"])
+
+    case, n, digest = None, 0, hashlib.sha256()
+    for b in batches:
+        ids, steps, at = b.column("case_id"), b.column("step").to_pylist(), 0
+        keys = ids.to_pylist()
+        while at < len(steps):
+            if case is None or keys[at] != case[0].as_py():
+                if case is not None:
+                    yield row()
+                case, n, digest = ids.slice(at, 1), 0, hashlib.sha256()
+            end = at
+            while end < len(steps) and keys[end] == keys[at]:
+                end += 1
+            digest.update((("," if n else "[") + ",".join(steps[at:end])).encode())
+            n, at = n + end - at, end
+    if case is not None:
+        yield row()
+
+
 def variants(events: DataFrame, total_cases: Column, *, examples: int = 3, chunk: int = CHUNK_STEPS, hot_events: int = 1_000_000) -> DataFrame:
-    """Distinct sequences: cases, share, median span in hours (cases with every stamp), example ids."""
+    """Distinct sequences: cases, share, median span in hours (cases with every stamp), example ids.
+
+    ``labels`` is whole for every variant; long ones are read off one example case each.
+    """
     seqs = case_sequences(events, chunk=chunk, hot_events=hot_events)
     spans = events.groupBy("case_id").agg(
         F.min("ts").alias("lo"), F.max("ts").alias("hi"), (F.count("ts") == F.count(F.lit(1))).alias("complete")
@@ -196,13 +225,19 @@ def variants(events: DataFrame, total_cases: Column, *, examples: int = 3, chunk
     )
     shown = top_per_key(rows.withColumn("id", F.col("case_id").cast("string")), ["variant"], [F.asc("id")], examples)
     shown = shown.groupBy("variant").agg(F.sort_array(F.collect_list("id")).alias("examples"), F.max_by("labels", -F.col("rank")).alias("labels"))
+    long_ = rows.where(F.col("labels").isNull()).groupBy("variant").agg(F.min("case_id").alias("case_id"))
+    if not long_.isEmpty():
+        steps = variant_steps(events, long_, hot_events=hot_events)
+        listed = steps.groupBy("variant").agg(F.array_sort(F.collect_list(F.struct("pos", "activity"))).alias("steps"))
+        listed = listed.select("variant", F.transform("steps", lambda s: s["activity"]).alias("all_labels"))
+        shown = join_on(shown, listed, ["variant"], "left").withColumn("labels", F.coalesce("labels", "all_labels")).drop("all_labels")
     out = join_on(join_on(groups, quantiles(rows, ["variant"], "hours", {"median_hours": 0.5}), ["variant"], "left"), shown, ["variant"])
     return out.withColumn("share", F.col("n_cases") / total_cases)
 
 
 def top_variants(table: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` most frequent variants, ties by their JSON form, with the share of cases they cover together."""
-    top = table.orderBy(F.desc("n_cases"), F.to_json("labels", {"ignoreNullFields": "false"}).asc_nulls_last()).limit(k)
+    top = table.orderBy(F.desc("n_cases"), F.to_json("labels", {"ignoreNullFields": "false"}).asc_nulls_last(), "variant").limit(k)
     total = table.agg(F.struct(F.sum("n_cases").alias("n"), F.count(F.lit(1)).alias("v"))).scalar()
     covered = top.agg(F.sum("n_cases")).scalar()
     return top.withColumns({"coverage": covered / total["n"], "total_variants": total["v"]})

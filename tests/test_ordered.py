@@ -11,8 +11,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from caseweave.functions.ordered import next_time, quantile_rows, quantiles, rank_rows, with_next
-from caseweave.operators.flow import case_sequences, variant_steps
+from caseweave.operators.flow import case_sequences, top_variants, variant_steps, variants
 from caseweave.operators.profile import average_rank
+from caseweave.session import store
 
 
 def frame(spark, values):
@@ -113,3 +114,17 @@ def test_long_variants_keep_their_identity(spark, make_log):
     example = case_sequences(log, chunk=4, hot_events=7).where("case_id = 'y'")
     steps = sorted((r["pos"], r["activity"]) for r in variant_steps(log, example, hot_events=7).collect())
     assert steps == list(enumerate(shapes["y"]))
+
+
+def test_long_variants_have_the_identity_and_labels_of_short_ones(make_log):
+    """Neither the digest, the labels nor the choice among ties depends on the length from which cases are cut."""
+    rng = random.Random(5)
+    shapes = {f"c{k}": [rng.choice(["A", "é\"", None]) for _ in range(rng.choice([3, 9, 14]))] for k in range(12)}
+    log = make_log([(c, a, f"2024-01-{i + 1:02d}") for c, seq in shapes.items() for i, a in enumerate(seq)])
+    found = []
+    for chunk, hot in ((1000, 1_000_000), (5, 4)):
+        ids = {r["case_id"]: (r["variant"], r["n_steps"]) for r in case_sequences(log, chunk=chunk, hot_events=hot).collect()}
+        table = store(variants(log, F.lit(12), chunk=chunk, hot_events=hot))
+        top = [(r["labels"], r["n_cases"], r["variant"]) for r in top_variants(table, 4).collect()]
+        found.append((ids, sorted(top, key=str)))
+    assert found[0] == found[1] and all(labels for labels, *_ in found[1][1])
