@@ -180,7 +180,8 @@ def fit(rows: Sequence[tuple[str, int]], share: float | None = None) -> Model:
     """A model from labelled texts; ``share`` is the share of toxic ones among all labelled texts.
 
     Calibration sees each text through dictionaries trained without it (three folds); the
-    dictionaries of the model are trained on all of them.
+    dictionaries of the model are trained on all of them.  Without a toxic text every text scores
+    below ``REJECT``, so that none is dropped.
     """
     rows = list(dict.fromkeys(rows))
     sides = {y: _apart([t for t, label in rows if label == y]) for y in (0, 1)}
@@ -194,6 +195,8 @@ def fit(rows: Sequence[tuple[str, int]], share: float | None = None) -> Model:
     y, both = np.array(y, float), _dictionaries(sides[1], sides[0])
     if y.sum() in (0, len(y)):
         rate = (y.sum() + 0.5) / (len(y) + 1)
+        if not y.sum():
+            rate = min(rate, REJECT / 2)
         return Model(*both, 4, (math.log(rate / (1 - rate)), 0.0, 0.0, 0.0, 0.0), (0.0,) * 4, (1.0,) * 4)
     best = np.array([g.max(initial=0) for g in gains])
     parts = [(best[y == 1] >= t).mean() - (best[y == 0] >= t).mean() for t in range(1, 13)]

@@ -148,6 +148,13 @@ def test_toxicity_finds_marked_texts(spark, stored):
     assert all(0 <= r["score"] <= 1 for r in toxicity.score(docs, none).collect())
 
 
+def test_nothing_is_toxic_without_toxic_examples(spark, stored):
+    docs = stored([(1, "some text"), (2, None), (3, "word " * 400)])
+    none = toxicity.trained(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert toxicity.accepted(docs, none).count() == 3
+    assert all(0 <= r["score"] < toxicity.REJECT for r in toxicity.score(docs, none).collect())
+
+
 # ------------------------------------------------------------------ language model
 def test_suffix_tree(stored, odd):
     rng = random.Random(6)
