@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, fingerprint, hnsw, minhash, mixing, packing, pii, sharding, suffix_tree, token_files, toxicity
+from . import align, bpe, fingerprint, hnsw, minhash, mixing, packing, pii, sharding, suffix_tree, token_files, toxicity, trie
 from .common import documents, remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.detect(documents(spark, sf_dir)))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -70,7 +74,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_byte_bpe, op2_sharding, op3_toxicity, op4_suffix_tree, op5_fingerprint, op6_hnsw, op7_minhash, op8_token_files, op9_packing, op10_personal_data, op12_mixing, op13_alignment)
+    own = (op1_byte_bpe, op2_sharding, op3_toxicity, op4_suffix_tree, op5_fingerprint, op6_hnsw, op7_minhash, op8_token_files, op9_packing, op10_personal_data, op11_prefix_trie, op12_mixing, op13_alignment)
     return {q.__name__: q for q in own}
 
 
