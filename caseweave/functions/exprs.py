@@ -14,6 +14,20 @@ from pyspark.sql import functions as F
 MICROS = {"s": 1e6, "S": 1e6, "min": 6e7, "M": 6e7, "h": 3.6e9, "H": 3.6e9, "D": 8.64e10, "W": 6.048e11}
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots or backticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def named(name: str | Column) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return name if isinstance(name, Column) else F.col(quoted(name))
+
+
+def all_named(names: Iterable[str | Column]) -> list[Column]:
+    return [named(n) for n in names]
+
+
 def elapsed(start: Column, end: Column, unit: str = "D") -> Column:
     """``end - start`` as a number in ``unit``; works on both timestamp types."""
     return F.timestamp_diff("MICROSECOND", start, end) / F.lit(MICROS[unit])
@@ -74,7 +88,7 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
         return left.join(right, "case_id", how)
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     cond = all_of(
-        left[k] == renamed[f"__r_{k}"] if k == "case_id" else left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys
+        left[k] == renamed[f"__r_{k}"] if k == "case_id" else left[quoted(k)].eqNullSafe(renamed[quoted(f"__r_{k}")]) for k in keys
     )
     joined = left.join(renamed, cond, how)
     return joined.drop(*[f"__r_{k}" for k in keys]) if how not in ("left_semi", "left_anti") else joined

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import store
-from .exprs import join_on
+from .exprs import all_named, join_on, named
 
 
 def bucket(value: Column, resolution: int = 512) -> Column:
@@ -39,10 +39,10 @@ def _candidates(df: DataFrame, keys: list[str], value: str, probs: Sequence[floa
     """
     v = F.col(value)
     clean = df.where(v.isNotNull()) if times else df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
-    hist = clean.groupBy(*keys, v.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    hist = clean.groupBy(*all_named(keys), v.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
     hist = hist.withColumn("__b", time_bucket(F.col("__v")) if times else bucket(F.col("__v")))
-    totals = hist.groupBy(*keys, "__b").agg(F.sum("__n").alias("__bn"))
-    in_key = Window.partitionBy(*keys)
+    totals = hist.groupBy(*all_named(keys), "__b").agg(F.sum("__n").alias("__bn"))
+    in_key = Window.partitionBy(*all_named(keys))
     before = F.sum("__bn").over(in_key.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.withColumn("__before", F.coalesce(before, F.lit(0))).withColumn(
         "__total", F.sum("__bn").over(in_key)
@@ -52,9 +52,9 @@ def _candidates(df: DataFrame, keys: list[str], value: str, probs: Sequence[floa
         F.array(*[F.lit(float(p)) for p in probs]),
         lambda p: ((low <= _rank(p, False)) & (_rank(p, False) < end)) | ((low <= _rank(p, True)) & (_rank(p, True) < end)),
     )
-    needed = totals.where(holds_rank).select(*keys, "__b", "__before", "__total")
+    needed = totals.where(holds_rank).select(*all_named(keys), "__b", "__before", "__total")
     rows = join_on(hist, needed, [*keys, "__b"])
-    run = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*all_named(keys), "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("__to", F.col("__before") + F.sum("__n").over(run))
     return rows.withColumn("__from", F.col("__to") - F.col("__n"))
 
@@ -89,9 +89,9 @@ def quantiles(
     for i, p in enumerate(probs.values()):
         for up in (False, True):
             aggs.append(F.max(F.when(_covers(F.lit(p), up), F.col("__v"))).alias(f"__{i}{int(up)}"))
-    picked = rows.groupBy(*keys).agg(F.max("__total").alias("__total"), *aggs)
-    out = [_between(F.col(f"__{i}0"), F.col(f"__{i}1"), F.lit(p)).alias(n) for i, (n, p) in enumerate(probs.items())]
-    return picked.select(*keys, *out)
+    picked = rows.groupBy(*all_named(keys)).agg(F.max("__total").alias("__total"), *aggs)
+    out = [_between(named(f"__{i}0"), named(f"__{i}1"), F.lit(p)).alias(n) for i, (n, p) in enumerate(probs.items())]
+    return picked.select(*all_named(keys), *out)
 
 
 def quantile_rows(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
@@ -100,10 +100,10 @@ def quantile_rows(df: DataFrame, keys: Sequence[str], value: str, probs: Sequenc
     rows = _candidates(df, keys, value, probs, False)
     hit = F.filter(F.array(*[F.lit(float(p)) for p in probs]), lambda p: _covers(p, False) | _covers(p, True))
     rows = rows.withColumn("f", F.explode(hit))
-    found = rows.groupBy(*keys, "f").agg(
+    found = rows.groupBy(*all_named(keys), "f").agg(
         F.max("__total").alias("__total"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
     )
-    return found.select(*keys, "f", _between(F.col("__lo"), F.col("__hi"), F.col("f")).alias("x"))
+    return found.select(*all_named(keys), "f", _between(F.col("__lo"), F.col("__hi"), F.col("f")).alias("x"))
 
 
 def running(
@@ -126,15 +126,15 @@ def running(
     if rank:
         cols[rank] = F.lit(1)
     base = df.withColumns(buckets).withColumns({f"__in_{n}": c for n, c in cols.items()})
-    totals = base.groupBy(*keys, *names).agg(*[F.sum(f"__in_{n}").alias(f"__s_{n}") for n in cols])
-    earlier = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    totals = base.groupBy(*all_named(keys), *all_named(names)).agg(*[F.sum(named(f"__in_{n}")).alias(f"__s_{n}") for n in cols])
+    earlier = Window.partitionBy(*all_named(keys)).orderBy(*all_named(names)).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, *names, *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__o_{n}") for n in cols]
+        *all_named(keys), *all_named(names), *[F.coalesce(F.sum(named(f"__s_{n}")).over(earlier), F.lit(0)).alias(f"__o_{n}") for n in cols]
     )
-    within = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = base.withColumns({f"__w_{n}": F.sum(f"__in_{n}").over(within) for n in cols})
+    within = Window.partitionBy(*all_named(keys), *all_named(names)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = base.withColumns({f"__w_{n}": F.sum(named(f"__in_{n}")).over(within) for n in cols})
     out = join_on(inner, offsets, [*keys, *names])
-    out = out.withColumns({n: F.col(f"__o_{n}") + F.col(f"__w_{n}") for n in cols})
+    out = out.withColumns({n: named(f"__o_{n}") + named(f"__w_{n}") for n in cols})
     drop = [*names] + [f"__{p}_{n}" for n in cols for p in ("in", "w", "o")]
     return out.drop(*drop)
 
@@ -158,9 +158,9 @@ def rank_rows(
     # Many groups tie at 0; only there the next column may cut further without leaving the order.
     buckets, tied = {}, F.lit(True)
     for i, c in enumerate(descending):
-        b = -bucket(F.coalesce(F.col(c), F.lit(-1e15)), 16)
+        b = -bucket(F.coalesce(named(c), F.lit(-1e15)), 16)
         buckets[f"__b{i}"] = F.when(tied, b).otherwise(F.lit(0).cast("bigint"))
-        tied = tied & (F.coalesce(F.col(c), F.lit(-1e15)) == 0)
+        tied = tied & (F.coalesce(named(c), F.lit(-1e15)) == 0)
     return running(base, keys, order, buckets, sums or {}, rank=name)
 
 
@@ -169,8 +169,8 @@ def log_order(df: DataFrame, *, descending: bool = False) -> list[Column]:
     """The one event order: timestamp (missing last), mapped order column, ``seq``."""
     cols = ["ts"] + (["ord"] if "ord" in df.columns else []) + ["seq"]
     if descending:
-        return [F.desc_nulls_first(c) if c == "ts" else F.desc_nulls_last(c) for c in cols]
-    return [F.asc_nulls_last(c) if c == "ts" else F.asc_nulls_first(c) for c in cols]
+        return [F.desc_nulls_first(named(c)) if c == "ts" else F.desc_nulls_last(named(c)) for c in cols]
+    return [F.asc_nulls_last(named(c)) if c == "ts" else F.asc_nulls_first(named(c)) for c in cols]
 
 
 def sort_key(df: DataFrame) -> Column:
@@ -216,11 +216,11 @@ def with_next(
     data, cut = chunked(events, hot_events)
     w = Window.partitionBy("case_id", CHUNK).orderBy(*log_order(events))
     data = data.withColumn("pos", (F.row_number().over(w) - 1).cast("bigint")).withColumn(
-        "__nxt", F.lead(F.struct(*columns)).over(w)
+        "__nxt", F.lead(F.struct(*all_named(columns))).over(w)
     )
     if cut:
         firsts = data.groupBy("case_id", CHUNK).agg(
-            F.count(F.lit(1)).alias("__c"), F.min_by(F.struct(*columns), F.col("pos")).alias("__first")
+            F.count(F.lit(1)).alias("__c"), F.min_by(F.struct(*all_named(columns)), F.col("pos")).alias("__first")
         )
         per_case = Window.partitionBy("case_id").orderBy(CHUNK)
         earlier = F.sum("__c").over(per_case.rowsBetween(Window.unboundedPreceding, -1))
@@ -233,7 +233,7 @@ def with_next(
         data = join_on(data, firsts, ["case_id", CHUNK])
         data = data.withColumn("pos", F.col("pos") + F.col("__off"))
         data = data.withColumn("__nxt", F.coalesce("__nxt", "__carry")).drop("__off", "__carry")
-    out = {f"nxt_{c}": F.col(f"__nxt.{c}") for c in columns}
+    out = {f"nxt_{c}": F.col("__nxt").getField(c) for c in columns}
     out["has_next"] = F.col("__nxt").isNotNull()
     out["is_first"] = F.col("pos") == 0
     return data.withColumns(out).drop("__nxt", CHUNK)
@@ -262,5 +262,5 @@ def next_time(
         )
         data = join_on(data, sides, ["case_id", CHUNK])
         tied = F.when(F.col("__before") == F.col("ts"), F.col("ts"))
-        data = data.withColumn(name, F.least(F.col(name), F.col("__after"), tied)).drop("__after", "__before")
-    return data.withColumn(name, F.when(F.col("ts").isNotNull(), F.col(name))).drop("__t", CHUNK)
+        data = data.withColumn(name, F.least(named(name), F.col("__after"), tied)).drop("__after", "__before")
+    return data.withColumn(name, F.when(F.col("ts").isNotNull(), named(name))).drop("__t", CHUNK)

@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import holds, join_on, total
+from ..functions.exprs import all_named, holds, join_on, named, quoted, total
 from ..functions.ordered import bucket, quantiles, rank_rows, running
 from ..session import store
 from .norm import Constraint, Norm
@@ -29,21 +29,21 @@ MISSING = "(missing)"
 
 def label_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """NULL keys become a labelled group; keys are text from here on."""
-    return df.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit(MISSING)) for k in keys})
+    return df.withColumns({k: F.coalesce(named(k).cast("string"), F.lit(MISSING)) for k in keys})
 
 
 def group_scores(
     scored: DataFrame, keys: Sequence[str], view: str, volume: str | None = None, extra: Sequence[Column] = ()
 ) -> DataFrame:
     """Counts, score sums and volume per group, over scored cases."""
-    s = F.col(f"score__{view}")
+    s = named(f"score__{view}")
     vol = F.sum(F.coalesce(F.col(volume).cast("double"), F.lit(0.0))) if volume else F.count(F.lit(1)).cast("double")
     rows = label_keys(scored.where(s.isNotNull()), keys)
-    return rows.groupBy(*keys).agg(
+    return rows.groupBy(*all_named(keys)).agg(
         F.count(F.lit(1)).alias("n_cases"),
-        F.sum(s).alias("sum_score"),
-        F.avg(s).alias("mean_score"),
-        F.stddev_samp(s).alias("sd_score"),
+        F.sum(named(s)).alias("sum_score"),
+        F.avg(named(s)).alias("mean_score"),
+        F.stddev_samp(named(s)).alias("sd_score"),
         vol.alias("volume"),
         *extra,
     )
@@ -75,7 +75,7 @@ def overall(groups: DataFrame) -> Column:
 def ranked(groups: DataFrame, keys: Sequence[str], min_cases: int = 1, within: Sequence[str] = ()) -> DataFrame:
     """Rank by stabilised priority, then size, then key."""
     kept = groups.where(F.col("n_cases") >= min_cases)
-    order = [F.desc("stable_PI"), F.desc("n_cases"), *[F.asc(k) for k in keys]]
+    order = [F.desc("stable_PI"), F.desc("n_cases"), *[F.asc(named(k)) for k in keys]]
     return rank_rows(kept, order, ["stable_PI", "n_cases"], keys=within)
 
 
@@ -112,15 +112,15 @@ def page(
         raise ValueError(f"cannot sort by {name!r}")
     out = table
     for column, value in (filters or {}).items():
-        out = out.where(F.col(column) == F.lit(value))
+        out = out.where(named(column) == F.lit(value))
     if min_cases is not None:
         out = out.where(F.col("n_cases") >= min_cases)
     if search:
         hit = F.lit(False)
         for c in search_columns:
-            hit = hit | F.contains(F.lower(F.col(c).cast("string")), F.lit(search.lower()))
+            hit = hit | F.contains(F.lower(named(c).cast("string")), F.lit(search.lower()))
         out = out.where(hit)
-    order = [F.desc_nulls_last(name) if down else F.asc_nulls_last(name)]
+    order = [F.desc_nulls_last(named(name)) if down else F.asc_nulls_last(named(name))]
     if name != "rank" and "rank" in out.columns:
         order.append(F.asc("rank"))
     return out.orderBy(*order).offset((number - 1) * size).limit(size)
@@ -133,19 +133,19 @@ def layer_drivers(scored: DataFrame, keys: Sequence[str], view: str, norm: Norm)
     The earlier layer of the norm leads on ties.
     """
     layers = list(norm.layers)
-    sums = [F.sum(f"contrib__{view}__{layer}").alias(f"__{layer}") for layer in layers]
+    sums = [F.sum(named(f"contrib__{view}__{layer}")).alias(f"__{layer}") for layer in layers]
     groups = store(group_scores(scored, keys, view, extra=sums))
-    whole = groups.agg(*[(F.sum(f"__{layer}") / F.sum("n_cases")).alias(layer) for layer in layers])
-    whole = whole.select(F.struct(*layers)).scalar()
-    means = {f"mean__{layer}": F.col(f"__{layer}") / F.col("n_cases") for layer in layers}
+    whole = groups.agg(*[(F.sum(named(f"__{layer}")) / F.sum("n_cases")).alias(layer) for layer in layers])
+    whole = whole.select(F.struct(*all_named(layers))).scalar()
+    means = {f"mean__{layer}": named(f"__{layer}") / F.col("n_cases") for layer in layers}
     out = groups.withColumns(means)
-    out = out.withColumns({f"delta__{layer}": F.col(f"mean__{layer}") - whole[layer] for layer in layers})
-    best = F.greatest(*[F.col(f"delta__{layer}") for layer in layers]) if len(layers) > 1 else F.col(f"delta__{layers[0]}")
+    out = out.withColumns({f"delta__{layer}": named(f"mean__{layer}") - whole[layer] for layer in layers})
+    best = F.greatest(*[named(f"delta__{layer}") for layer in layers]) if len(layers) > 1 else named(f"delta__{layers[0]}")
     lead = F.lit(None).cast("string")
     for layer in reversed(layers):
-        lead = F.when(F.col(f"delta__{layer}") == best, F.lit(layer)).otherwise(lead)
+        lead = F.when(named(f"delta__{layer}") == best, F.lit(layer)).otherwise(lead)
     out = out.withColumn("dominant_layer", lead)
-    return out.select(*keys, "n_cases", *means, *[f"delta__{layer}" for layer in layers], "dominant_layer")
+    return out.select(*all_named(keys), "n_cases", *all_named(means), *all_named(f"delta__{layer}" for layer in layers), "dominant_layer")
 
 
 # Aggregates in one pass are kept below the size where generated code stops compiling well.
@@ -174,11 +174,11 @@ def constraint_rows(
             items = [F.lit(i).alias("position"), F.lit(c.id).alias("constraint_id"), F.lit(c.layer).alias("layer")]
             for name, make in fields.items():
                 aggs.append(make(c).alias(f"__{name}_{i}"))
-                items.append(F.col(f"__{name}_{i}").alias(name))
+                items.append(named(f"__{name}_{i}").alias(name))
             rows.append(F.struct(*items))
-        part = df.groupBy(*keys).agg(*extra, *aggs)
+        part = df.groupBy(*all_named(keys)).agg(*extra, *aggs)
         kept = [c for c in part.columns if not re.match(r"__.*_\d+$", c)]
-        part = part.select(*kept, F.inline(F.array(*rows)))
+        part = part.select(*all_named(kept), F.inline(F.array(*rows)))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -191,15 +191,15 @@ def constraint_drivers(scored: DataFrame, norm: Norm, view: str, where: Column)
         return F.when(inside, c)
 
     fields = {
-        "mean_penalty": lambda c: F.avg(only(F.col(f"p__{view}__{c.id}"))),
-        "mean_penalty_all": lambda c: F.avg(f"p__{view}__{c.id}"),
-        "mean_violation": lambda c: F.avg(only(F.col(f"v__{c.id}"))),
-        "share_violated": lambda c: F.avg(only((F.col(f"v__{c.id}") > 0).cast("double"))),
-        "share_in_scope": lambda c: F.avg(only(F.col(f"s__{c.id}").cast("double"))),
-        "share_evaluated": lambda c: F.avg(only(F.col(f"v__{c.id}").isNotNull().cast("double"))),
+        "mean_penalty": lambda c: F.avg(only(named(f"p__{view}__{c.id}"))),
+        "mean_penalty_all": lambda c: F.avg(named(f"p__{view}__{c.id}")),
+        "mean_violation": lambda c: F.avg(only(named(f"v__{c.id}"))),
+        "share_violated": lambda c: F.avg(only((named(f"v__{c.id}") > 0).cast("double"))),
+        "share_in_scope": lambda c: F.avg(only(named(f"s__{c.id}").cast("double"))),
+        "share_evaluated": lambda c: F.avg(only(named(f"v__{c.id}").isNotNull().cast("double"))),
     }
-    score = F.col(f"score__{view}")
-    gap = F.greatest(F.avg(score) - F.avg(F.when(inside, score)), F.lit(0.0)).alias("gap")
+    score = named(f"score__{view}")
+    gap = F.greatest(F.avg(named(score)) - F.avg(F.when(inside, score)), F.lit(0.0)).alias("gap")
     out = constraint_rows(scored.where(score.isNotNull()), norm, fields, extra=[gap])
     delta = F.col("mean_penalty") - F.col("mean_penalty_all")
     return out.withColumn("delta_gap", delta).withColumn(
@@ -214,12 +214,12 @@ def top_constraint(
 
     A demoted constraint leads only where no other one of the layer is missed.
     """
-    lead = layer_drivers(scored, keys, view, norm).select(*keys, "dominant_layer")
+    lead = layer_drivers(scored, keys, view, norm).select(*all_named(keys), "dominant_layer")
     fields = {
-        "hit": lambda c: F.count_if(F.col(f"v__{c.id}") > 0),
-        "seen": lambda c: F.count(f"v__{c.id}"),
+        "hit": lambda c: F.count_if(named(f"v__{c.id}") > 0),
+        "seen": lambda c: F.count(named(f"v__{c.id}")),
     }
-    rows = label_keys(scored.where(F.col(f"score__{view}").isNotNull()), keys)
+    rows = label_keys(scored.where(named(f"score__{view}").isNotNull()), keys)
     long = constraint_rows(rows, norm, fields, keys=keys)
     long = long.where(F.col("seen") > 0).withColumn("share", F.col("hit") / F.col("seen"))
     long = join_on(long, lead, keys).where(F.col("layer") == F.col("dominant_layer"))
@@ -227,7 +227,7 @@ def top_constraint(
     long = long.withColumn("plain", plain & (F.col("share") > 0))
     best = top_per_key(long, keys, [F.desc("plain"), F.desc("share"), F.asc("position")], 1)
     flagged = ~F.col("plain") & F.col("constraint_id").isin(list(demoted)) if demoted else F.lit(False)
-    return best.select(*keys, "dominant_layer", "constraint_id", "share", flagged.alias("measures_logging"))
+    return best.select(*all_named(keys), "dominant_layer", "constraint_id", "share", flagged.alias("measures_logging"))
 
 
 def measurement(scored: DataFrame, norm: Norm, has_value: Mapping[str, Column]) -> DataFrame:
@@ -237,14 +237,14 @@ def measurement(scored: DataFrame, norm: Norm, has_value: Mapping[str, Column])
     """
 
     def value(c) -> Column:
-        return holds(has_value[c.id]) if c.id in has_value else F.col(f"v__{c.id}").isNotNull()
+        return holds(has_value[c.id]) if c.id in has_value else named(f"v__{c.id}").isNotNull()
 
     fields = {
-        "applies_to": lambda c: F.count_if(F.col(f"s__{c.id}")),
-        "evaluated": lambda c: F.count(f"v__{c.id}"),
-        "violated": lambda c: F.count_if(F.col(f"v__{c.id}") > 0),
-        "measured": lambda c: F.count_if(F.col(f"s__{c.id}") & value(c)),
-        "violated_without_value": lambda c: F.count_if(F.col(f"s__{c.id}") & (F.col(f"v__{c.id}") > 0) & ~value(c)),
+        "applies_to": lambda c: F.count_if(named(f"s__{c.id}")),
+        "evaluated": lambda c: F.count(named(f"v__{c.id}")),
+        "violated": lambda c: F.count_if(named(f"v__{c.id}") > 0),
+        "measured": lambda c: F.count_if(named(f"s__{c.id}") & value(c)),
+        "violated_without_value": lambda c: F.count_if(named(f"s__{c.id}") & (named(f"v__{c.id}") > 0) & ~value(c)),
     }
     out = constraint_rows(scored, norm, fields).drop("position")
     reason = (
@@ -271,11 +271,11 @@ def uncalibrated(measured: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- penalty mass
 def mass_table(rows: DataFrame, keys: Sequence[str], penalty: Column) -> DataFrame:
     """Penalty mass per ``value`` (within ``keys``) with shares, cumulative shares and ranks."""
-    groups = rows.groupBy(*keys, "value").agg(
-        F.count(F.lit(1)).alias("n_cases"), F.sum(penalty).alias("penalty_mass"), F.avg(penalty).alias("mean_penalty")
+    groups = rows.groupBy(*all_named(keys), "value").agg(
+        F.count(F.lit(1)).alias("n_cases"), F.sum(named(penalty)).alias("penalty_mass"), F.avg(named(penalty)).alias("mean_penalty")
     )
     groups = store(groups)
-    whole = groups.groupBy(*keys).agg(F.sum("penalty_mass").alias("__all"))
+    whole = groups.groupBy(*all_named(keys)).agg(F.sum("penalty_mass").alias("__all"))
     order = [F.desc("penalty_mass"), F.desc("n_cases"), F.asc("value")]
     out = rank_rows(
         groups, order, ["penalty_mass", "n_cases"], keys=keys, sums={"__cum": F.col("penalty_mass")}, stored=True
@@ -292,9 +292,9 @@ def mass_table(rows: DataFrame, keys: Sequence[str], penalty: Column) -> DataFra
 
 
 def penalty_mass(scored: DataFrame, view: str, by: str, where: Column | None = None) -> DataFrame:
-    s = F.col(f"score__{view}")
+    s = named(f"score__{view}")
     rows = scored.where(s.isNotNull() if where is None else s.isNotNull() & holds(where))
-    rows = rows.withColumn("value", F.coalesce(F.col(by).cast("string"), F.lit(MISSING)))
+    rows = rows.withColumn("value", F.coalesce(named(by).cast("string"), F.lit(MISSING)))
     return mass_table(rows, [], 1 - s)
 
 
@@ -313,7 +313,7 @@ def subgroups(
     For the attribute named by ``period`` the open share and whether the period
     reaches ``partial_from`` (a period label) are added.
     """
-    s = F.col(f"score__{view}")
+    s = named(f"score__{view}")
     inside = scored.where(s.isNotNull() & holds(where))
     pairs = [
         F.struct(F.lit(n).alias("attribute"), F.coalesce(c.cast("string"), F.lit(MISSING)).alias("value"))
@@ -344,16 +344,16 @@ def values_for_share(mass: DataFrame, target: float = 0.8) -> DataFrame:
 
 def worst_cases(scored: DataFrame, norm: Norm, view: str, n: int, where: Column | None = None) -> DataFrame:
     """The ``n`` lowest scores with the ids of the violated constraints."""
-    s = F.col(f"score__{view}")
+    s = named(f"score__{view}")
     rows = scored.where(s.isNotNull() if where is None else s.isNotNull() & holds(where))
-    missed = F.array_compact(F.array(*[F.when(F.col(f"v__{c.id}") > 0, F.lit(c.id)) for c in norm.constraints]))
+    missed = F.array_compact(F.array(*[F.when(named(f"v__{c.id}") > 0, F.lit(c.id)) for c in norm.constraints]))
     return rows.orderBy(s.asc(), F.asc("case_id")).limit(n).select("case_id", s.alias("score"), missed.alias("violated"))
 
 
 # --------------------------------------------------------------------------- kinds
 def problem_kind(table: DataFrame, keys: Sequence[str], margin: float = KIND_MARGIN) -> DataFrame:
     """acute / systematic / widespread / none from the percentile ranks of gap and size."""
-    rows = store(table.select(*keys, "n_cases", "stable_gap"))
+    rows = store(table.select(*all_named(keys), "n_cases", "stable_gap"))
     total_groups = rows.agg(F.count(F.lit(1))).scalar()
     positive = rows.where(F.col("stable_gap") > 0)
     n_positive = positive.agg(F.count(F.lit(1))).scalar()
@@ -366,7 +366,7 @@ def problem_kind(table: DataFrame, keys: Sequence[str], margin: float = KIND_MAR
         .when(F.col("size_pct") - F.col("gap_pct") >= margin, "widespread")
         .otherwise("systematic")
     )
-    return out.select(*keys, "n_cases", "stable_gap", "gap_pct", "size_pct", kind.alias("kind"))
+    return out.select(*all_named(keys), "n_cases", "stable_gap", "gap_pct", "size_pct", kind.alias("kind"))
 
 
 def problem_kinds(scored: DataFrame, keys: Sequence[str], views: Sequence[str], gamma: float = GAMMA) -> DataFrame:
@@ -376,12 +376,12 @@ def problem_kinds(scored: DataFrame, keys: Sequence[str], views: Sequence[str],
         groups = store(group_scores(scored, keys, v))
         table = shortfall(groups, overall(groups), gamma)
         part = problem_kind(table, keys).select(
-            *keys, F.col("kind").alias(f"kind__{v}"), F.col("stable_gap").alias(f"gap__{v}")
+            *all_named(keys), F.col("kind").alias(f"kind__{v}"), F.col("stable_gap").alias(f"gap__{v}")
         )
         out = part if out is None else join_full(out, part, keys)
-    kinds = [F.coalesce(F.col(f"kind__{v}"), F.lit("none")) for v in views]
+    kinds = [F.coalesce(named(f"kind__{v}"), F.lit("none")) for v in views]
     chosen = F.coalesce(*[F.when(k != "none", k) for k in kinds], F.lit("none"))
-    positive = [holds(F.col(f"gap__{v}") > 0) for v in views]
+    positive = [holds(named(f"gap__{v}") > 0) for v in views]
     some = total([p.cast("int") for p in positive])
     return out.withColumns({f"kind__{v}": k for v, k in zip(views, kinds, strict=True)}).withColumns(
         {"kind": chosen, "changes_sign": (some > 0) & (some < len(views))}
@@ -402,8 +402,8 @@ def points_below(mean: Column, baseline: Column) -> tuple[Column, Column]:
 # --------------------------------------------------------------------------- comparing backlogs
 def top_k_overlap(a: DataFrame, b: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     """Jaccard overlap of the two top-k key sets."""
-    left = a.where(F.col("rank") <= k).select(*keys, F.lit(1).alias("__a"))
-    right = b.where(F.col("rank") <= k).select(*keys, F.lit(1).alias("__b"))
+    left = a.where(F.col("rank") <= k).select(*all_named(keys), F.lit(1).alias("__a"))
+    right = b.where(F.col("rank") <= k).select(*all_named(keys), F.lit(1).alias("__b"))
     both = join_full(left, right, keys)
     inter = F.count_if(F.col("__a").isNotNull() & F.col("__b").isNotNull())
     return both.agg(inter.alias("common"), F.count(F.lit(1)).alias("either")).select(
@@ -413,7 +413,7 @@ def top_k_overlap(a: DataFrame, b: DataFrame, keys: Sequence[str], k: int) -> Da
 
 def rank_correlation(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Spearman correlation of the two ranks over the groups both rank; NULL below three groups."""
-    both = a.select(*keys, F.col("rank").alias("__a")).join(b.select(*keys, F.col("rank").alias("__b")), list(keys))
+    both = a.select(*all_named(keys), F.col("rank").alias("__a")).join(b.select(*all_named(keys), F.col("rank").alias("__b")), list(keys))
     d = F.col("__a") - F.col("__b")
     return both.agg(F.count(F.lit(1)).alias("n"), F.sum((d * d).cast("double")).alias("d2")).select(
         "n", F.when(F.col("n") >= 3, 1 - 6 * F.col("d2") / (F.col("n").cast("double") * (F.col("n") * F.col("n") - 1))).alias("rank_correlation")
@@ -422,7 +422,7 @@ def rank_correlation(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFra
 
 def view_agreement(scored: DataFrame, keys: Sequence[str], views: Sequence[str], k: int = 20, gamma: float = GAMMA) -> DataFrame:
     """Per pair of views: top-k overlap and rank correlation of their backlogs."""
-    tables = {v: store(backlog(scored, keys, v, gamma=gamma).select(*keys, "rank")) for v in views}
+    tables = {v: store(backlog(scored, keys, v, gamma=gamma).select(*all_named(keys), "rank")) for v in views}
     out: DataFrame | None = None
     for i, x in enumerate(views):
         for y in views[i + 1 :]:
@@ -437,12 +437,12 @@ def view_agreement(scored: DataFrame, keys: Sequence[str], views: Sequence[str],
 
 def concentration(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cumulative share of the priority over the ranked groups."""
-    rows = store(table.select(*keys, "rank", "PI", "n_cases"))
+    rows = store(table.select(*all_named(keys), "rank", "PI", "n_cases"))
     whole = rows.agg(F.sum("PI")).scalar()
     n = rows.agg(F.sum("n_cases")).scalar()
     out = running(rows, [], [F.asc("rank")], {"__bk": bucket(F.col("rank"), 16)}, {"__p": F.col("PI"), "__n": F.col("n_cases")})
     return out.select(
-        *keys,
+        *all_named(keys),
         "rank",
         "PI",
         F.when(whole > 0, F.col("__p") / whole).otherwise(0.0).alias("cum_share_PI"),
@@ -453,8 +453,8 @@ def concentration(table: DataFrame, keys: Sequence[str]) -> DataFrame:
 def compare(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Two backlogs side by side: entered, left or changed, and the differences."""
     cols = ("n_cases", "mean_score", "stable_PI", "rank")
-    a = before.select(*keys, *[F.col(c).alias(f"{c}_before") for c in cols])
-    b = after.select(*keys, *[F.col(c).alias(f"{c}_after") for c in cols])
+    a = before.select(*all_named(keys), *[named(c).alias(f"{c}_before") for c in cols])
+    b = after.select(*all_named(keys), *[named(c).alias(f"{c}_after") for c in cols])
     out = join_full(a, b, keys)
     state = F.when(F.col("rank_before").isNull(), "entered").when(F.col("rank_after").isNull(), "left").otherwise("changed")
     out = out.withColumns(
@@ -497,7 +497,7 @@ def validation(scored: DataFrame, keys: Sequence[str], view: str, gamma: float =
     Each gap is measured against the mean of its own population.  ``scored``
     carries boolean columns ``censored`` and ``replicated``.
     """
-    s = F.col(f"score__{view}")
+    s = named(f"score__{view}")
     kept = ~F.col("censored")
     extra = [
         F.avg(F.col("censored").cast("double")).alias("censored_share"),
@@ -513,19 +513,19 @@ def validation(scored: DataFrame, keys: Sequence[str], view: str, gamma: float =
     out = out.withColumn("stable_gap_closed", F.when(n > 0, n / (n + F.lit(float(gamma))) * gap))
     retained = F.when(F.col("stable_gap") > 0, F.col("stable_gap_closed") / F.col("stable_gap"))
     return out.withColumn("retained", retained).select(
-        *keys, "n_cases", "censored_share", "replicated_share", "stable_gap", "stable_gap_closed", "retained", "stable_PI"
+        *all_named(keys), "n_cases", "censored_share", "replicated_share", "stable_gap", "stable_gap_closed", "retained", "stable_PI"
     )
 
 
 def facets(scored: DataFrame, value: Column, view: str, baseline: Column, gamma: float = GAMMA) -> DataFrame:
     """Board row per facet value: cases, shares, gap, priority, open share and exposure."""
-    s = F.col(f"score__{view}")
+    s = named(f"score__{view}")
     rows = scored.withColumn("value", F.coalesce(value.cast("string"), F.lit(MISSING)))
     n_total = scored.agg(F.count(F.lit(1))).scalar()
     groups = rows.groupBy("value").agg(
-        F.count(s).alias("n_cases"),
-        F.avg(s).alias("mean_score"),
-        F.stddev_samp(s).alias("sd_score"),
+        F.count(named(s)).alias("n_cases"),
+        F.avg(named(s)).alias("mean_score"),
+        F.stddev_samp(named(s)).alias("sd_score"),
         F.count_if(s < 1.0).alias("cases_below"),
         F.count_if(F.col("censored")).alias("open_cases"),
         F.avg(F.col("censored").cast("double")).alias("open_share"),
@@ -549,15 +549,15 @@ def facets(scored: DataFrame, value: Column, view: str, baseline: Column, gamma:
 
 def tiles(scored: DataFrame, selected: Column, keys: Sequence[str], view: str, baseline: Column, gamma: float = GAMMA) -> DataFrame:
     """The board's numbers for a selection: items, share below expectation, priority, open share, score."""
-    s = F.col(f"score__{view}")
+    s = named(f"score__{view}")
     pick = scored.where(holds(selected))
     groups = shortfall(group_scores(pick, keys, view), baseline, gamma)
     sums = groups.agg(F.struct(F.sum("stable_PI").alias("p"), F.count(F.lit(1)).alias("g"))).scalar()
     out = pick.agg(
         F.count(F.lit(1)).alias("cases"),
-        F.count(s).alias("scored"),
+        F.count(named(s)).alias("scored"),
         F.count_if(s < 1.0).alias("cases_below"),
-        F.avg(s).alias("mean_score"),
+        F.avg(named(s)).alias("mean_score"),
         F.count_if(F.col("censored")).alias("open_cases"),
     )
     return out.select(
@@ -576,22 +576,22 @@ def flow_comparison(scored: DataFrame, views: Sequence[str], norm: Norm) -> Data
     """Per flow type: cases, means and gaps per view, and the most-missed constraint."""
     first: list[Column] = [F.count(F.lit(1)).alias("cases"), F.avg(F.col("censored").cast("double")).alias("censored_share")]
     for v in views:
-        first += [F.avg(f"score__{v}").alias(f"mean__{v}"), F.sum(f"score__{v}").alias(f"__s_{v}"), F.count(f"score__{v}").alias(f"__n_{v}")]
-    fields = {"hit": lambda c: F.count_if(F.col(f"v__{c.id}") > 0), "seen": lambda c: F.count(f"v__{c.id}")}
+        first += [F.avg(named(f"score__{v}")).alias(f"mean__{v}"), F.sum(named(f"score__{v}")).alias(f"__s_{v}"), F.count(named(f"score__{v}")).alias(f"__n_{v}")]
+    fields = {"hit": lambda c: F.count_if(named(f"v__{c.id}") > 0), "seen": lambda c: F.count(named(f"v__{c.id}"))}
     rows = label_keys(scored, ["flow_type"])
     groups = store(rows.groupBy("flow_type").agg(*first))
     whole = groups.agg(
-        F.struct(F.sum("cases").alias("cases"), *[(F.sum(f"__s_{v}") / F.sum(f"__n_{v}")).alias(v) for v in views])
+        F.struct(F.sum("cases").alias("cases"), *[(F.sum(named(f"__s_{v}")) / F.sum(named(f"__n_{v}"))).alias(v) for v in views])
     ).scalar()
     missed = constraint_rows(rows, norm, fields, keys=["flow_type"]).where(F.col("seen") > 0)
     missed = missed.withColumn("missed_share", F.col("hit") / F.col("seen"))
     missed = top_per_key(missed, ["flow_type"], [F.desc("missed_share"), F.asc("position")], 1)
     missed = missed.select("flow_type", F.col("constraint_id").alias("most_missed"), "missed_share")
     out = groups.withColumn("share", F.col("cases") / whole["cases"])
-    out = out.withColumns({f"gap__{v}": F.greatest(whole[v] - F.col(f"mean__{v}"), F.lit(0.0)) for v in views})
+    out = out.withColumns({f"gap__{v}": F.greatest(whole[v] - named(f"mean__{v}"), F.lit(0.0)) for v in views})
     out = join_on(out, missed, ["flow_type"], "left")
     return out.select(
-        "flow_type", "cases", "share", *[c for v in views for c in (f"mean__{v}", f"gap__{v}")], "censored_share", "most_missed", "missed_share"
+        "flow_type", "cases", "share", *all_named(c for v in views for c in (f"mean__{v}", f"gap__{v}")), "censored_share", "most_missed", "missed_share"
     )
 
 
@@ -599,8 +599,8 @@ def flow_top_groups(scored: DataFrame, keys: Sequence[str], view: str, k: int =
     """The top groups inside each flow type, measured against the overall score."""
     groups = store(group_scores(scored, ["flow_type", *keys], view))
     out = shortfall(groups, overall(groups), gamma)
-    order = [F.desc("stable_PI"), F.desc("n_cases"), *[F.asc(c) for c in keys]]
-    return top_per_key(out, ["flow_type"], order, k).select("flow_type", *keys, "n_cases", "gap", "stable_PI", "rank")
+    order = [F.desc("stable_PI"), F.desc("n_cases"), *[F.asc(named(c)) for c in keys]]
+    return top_per_key(out, ["flow_type"], order, k).select("flow_type", *all_named(keys), "n_cases", "gap", "stable_PI", "rank")
 
 
 # --------------------------------------------------------------------------- bands and grouping design
@@ -619,7 +619,7 @@ def band_edges(cases: DataFrame, attribute: str, q: int = 4, cuts: Sequence[floa
     """Inner band edges: given cuts, or the distinct inner quantiles strictly between minimum and maximum."""
     if cuts is not None:
         return [float(c) for c in cuts]
-    numbers = cases.select(F.col(f"`{attribute}`").cast("string").try_cast("double").alias("x"))
+    numbers = cases.select(named(attribute).cast("string").try_cast("double").alias("x"))
     found = quantiles(numbers, [], "x", {f"q{i}": i / q for i in range(q + 1)}).first()
     if found is None:
         raise ValueError(f"{attribute!r} has no numeric values to band")
@@ -636,7 +636,7 @@ def band_labels(edges: Sequence[float]) -> list[str]:
 
 def band(attribute: str, edges: Sequence[float]) -> Column:
     """Band label of a value; bands are closed on the left."""
-    x = F.expr(f"try_cast(cast(`{attribute}` as string) as double)")
+    x = F.expr(f"try_cast(cast({quoted(attribute)} as string) as double)")
     labels = band_labels(edges)
     out = F.lit(labels[-1])
     for edge, label in reversed(list(zip(edges, labels, strict=False))):
@@ -646,7 +646,7 @@ def band(attribute: str, edges: Sequence[float]) -> Column:
 
 def slicing_preview(scored: DataFrame, keys: Sequence[str], min_cases: int = MIN_CASES) -> DataFrame:
     """Number and sizes of the groups a slicing would give."""
-    groups = store(label_keys(scored, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    groups = store(label_keys(scored, keys).groupBy(*all_named(keys)).agg(F.count(F.lit(1)).alias("n")))
     out = groups.agg(
         F.count(F.lit(1)).alias("groups"),
         F.sum("n").alias("cases"),
@@ -659,8 +659,8 @@ def slicing_preview(scored: DataFrame, keys: Sequence[str], min_cases: int = MIN
 
 
 def largest_groups(scored: DataFrame, keys: Sequence[str], k: int = 10) -> DataFrame:
-    groups = label_keys(scored, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cases"))
-    return groups.orderBy(F.desc("n_cases"), *[F.asc(c) for c in keys]).limit(k)
+    groups = label_keys(scored, keys).groupBy(*all_named(keys)).agg(F.count(F.lit(1)).alias("n_cases"))
+    return groups.orderBy(F.desc("n_cases"), *[F.asc(named(c)) for c in keys]).limit(k)
 
 
 def grouping_options(cases: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -668,9 +668,9 @@ def grouping_options(cases: DataFrame, names: Sequence[str]) -> DataFrame:
     types = dict(cases.dtypes)
     items = []
     for n in names:
-        text = F.trim(F.col(f"`{n}`").cast("string"))
-        number = F.expr(f"try_cast(cast(`{n}` as string) as double)")
-        blank = F.col(f"`{n}`").isNull() | text.isin("", MISSING)
+        text = F.trim(named(n).cast("string"))
+        number = F.expr(f"try_cast(cast({quoted(n)} as string) as double)")
+        blank = named(n).isNull() | text.isin("", MISSING)
         items.append(
             F.struct(
                 F.lit(n).alias("name"),
@@ -708,16 +708,16 @@ def grouping_discovery(
     from itertools import combinations
 
     combos = [c for w in widths for c in combinations(columns, w)]
-    rows = label_keys(cases.select(*columns), columns)
+    rows = label_keys(cases.select(*all_named(columns)), columns)
     # Equal rows are counted first: every combination then works on the counted rows.
-    rows = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("c"))
-    sets = [[F.col(c) for c in combo] for combo in combos]
-    grouped = rows.groupingSets(sets, *columns).agg(F.sum("c").alias("n"), F.grouping_id().alias("gid"))
+    rows = rows.groupBy(*all_named(columns)).agg(F.count(F.lit(1)).alias("c"))
+    sets = [[named(c) for c in combo] for combo in combos]
+    grouped = rows.groupingSets(sets, *all_named(columns)).agg(F.sum("c").alias("n"), F.grouping_id().alias("gid"))
     full = (1 << len(columns)) - 1
     ids = {combo: full - sum(1 << (len(columns) - 1 - columns.index(c)) for c in combo) for combo in combos}
     missing = F.lit(False)
     for c in columns:
-        missing = missing | holds(F.trim(F.col(c)).isin("", MISSING))
+        missing = missing | holds(F.trim(named(c)).isin("", MISSING))
     per_set = grouped.groupBy("gid").agg(
         F.count(F.lit(1)).alias("groups"),
         F.sum("n").alias("cases"),

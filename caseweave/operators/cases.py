@@ -1,16 +1,16 @@
-"""The case table and everything derived per case."""
+"""The case table and everything derived per case; recipes of derived attributes are in ``derived``."""
 
 from __future__ import annotations
 
-import ast
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import MICROS, elapsed, holds, join_on, period_label, text_rows
-from ..functions.ordered import quantiles, sort_key
+from ..functions.exprs import MICROS, all_named, elapsed, holds, join_on, named, period_label, quoted, text_rows
+from ..functions.ordered import sort_key
+from .derived import arithmetic, recipe_aggregates, recipe_columns
 from .filters import case_clause, needs, resolve
 from .norm import applies, rule_labels
 
@@ -34,7 +34,7 @@ def case_aggregates(
     if exposure:
         if exposure_agg not in EXPOSURE:
             raise ValueError(f"exposure aggregate must be one of {EXPOSURE}")
-        x = F.col(exposure)
+        x = named(exposure)
         known = F.when(x.isNotNull(), key)
         out["exposure"] = {
             "max": F.max(x),
@@ -45,7 +45,7 @@ def case_aggregates(
             "last": F.max_by(x, known),
         }[exposure_agg]
     for a in attributes:
-        out[a] = F.min_by(F.col(a), F.when(F.col(a).isNotNull(), key))
+        out[a] = F.min_by(named(a), F.when(named(a).isNotNull(), key))
     return out
 
 
@@ -73,104 +73,7 @@ def period_attribute(ts: Column, grain: str = "month") -> Column:
 
 def alias_attribute(df: DataFrame, source: str, name: str) -> DataFrame:
     """A second name for a column; an existing column of that name wins."""
-    return df if name in df.columns or source not in df.columns else df.withColumn(name, F.col(source))
-
-
-def quoted(name: str) -> str:
-    """A column name that may hold dots or backticks."""
-    return "`" + name.replace("`", "``") + "`"
-
-
-def _where(where: str | Mapping[str, str] | None) -> Column:
-    if not where:
-        return F.lit(True)
-    column, regex = ("activity", where) if isinstance(where, str) else (where["column"], where["regex"])
-    return F.col(quoted(column)).cast("string").rlike(regex)
-
-
-OPERATORS: dict[type, Callable[[Column, Column], Column]] = {
-    ast.Add: lambda a, b: a + b,
-    ast.Sub: lambda a, b: a - b,
-    ast.Mult: lambda a, b: a * b,
-    ast.Div: lambda a, b: F.when(b != 0, a / b),
-    ast.Lt: lambda a, b: a < b,
-    ast.LtE: lambda a, b: a <= b,
-    ast.Gt: lambda a, b: a > b,
-    ast.GtE: lambda a, b: a >= b,
-    ast.Eq: lambda a, b: a == b,
-    ast.NotEq: lambda a, b: a != b,
-}
-
-
-def arithmetic(text: str, names: Sequence[str]) -> Column:
-    """A Column from names, numbers, ``+ - * /`` and comparisons; anything else is an error."""
-
-    def column(node: ast.expr) -> Column:
-        match node:
-            case ast.Name(id=name) if name in names:
-                return F.col(quoted(name))
-            case ast.Constant(value=value) if isinstance(value, int | float):
-                return F.lit(value)
-            case ast.UnaryOp(op=ast.USub(), operand=x):
-                return -column(x)
-            case ast.BinOp(left=a, op=op, right=b) if type(op) in OPERATORS:
-                return OPERATORS[type(op)](column(a), column(b))
-            case ast.Compare(left=a, ops=[op], comparators=[b]) if type(op) in OPERATORS:
-                return OPERATORS[type(op)](column(a), column(b))
-        raise ValueError(f"{ast.unparse(node)!r} cannot be resolved in an expression")
-
-    return column(ast.parse(text, mode="eval").body)
-
-
-def recipe_aggregates(recipes: Mapping[str, Mapping[str, Any]]) -> dict[str, Column]:
-    """Event-level recipes as case aggregates: ``count``, ``count_events``, ``nunique``, ``cv``.
-
-    ``where`` is a pattern for the activity, or an object with a ``column`` of the events and a ``regex``.
-    """
-    out: dict[str, Column] = {}
-    for name, r in recipes.items():
-        where = _where(r.get("where"))
-        kind = r["kind"]
-        if kind == "count":
-            out[name] = F.count_if(F.col("activity").isin(list(r["activities"])))
-        elif kind == "count_events":
-            out[name] = F.count_if(holds(where))
-        elif kind == "nunique":
-            out[name] = F.count_distinct(F.when(holds(where), F.col(quoted(r["column"]))))
-        elif kind == "cv":
-            x = F.when(holds(where), F.col(quoted(r["column"])).cast("double"))
-            mean = F.avg(x)
-            out[name] = F.when(mean != 0, F.stddev_samp(x) / mean)
-        elif kind == "indicator_times":
-            hit = F.count_if(F.col("activity").isin(list(r["activities"]))) > 0
-            out[f"__hit_{name}"] = hit
-        elif kind not in ("eval", "ratio", "quantile_scale"):
-            raise ValueError(f"unknown recipe kind {kind!r}")
-    return out
-
-
-def recipe_columns(cases: DataFrame, recipes: Mapping[str, Mapping[str, Any]]) -> DataFrame:
-    """Case-level recipes: ``eval``, ``ratio``, ``quantile_scale``, ``indicator_times``.
-
-    An ``eval`` expression may only use columns of the case table, numbers, arithmetic and comparisons.
-    """
-    out = cases
-    for name, r in recipes.items():
-        kind = r["kind"]
-        if kind == "eval":
-            out = out.withColumn(name, arithmetic(r["expr"], out.columns))
-        elif kind == "ratio":
-            den = F.col(quoted(r["denominator"])).cast("double")
-            out = out.withColumn(name, F.when(den != 0, F.col(quoted(r["numerator"])).cast("double") / den))
-        elif kind == "indicator_times":
-            value = F.when(F.col(f"__hit_{name}"), F.col(quoted(r["attribute"]))).otherwise(F.lit(0.0))
-            out = out.withColumn(name, value).drop(f"__hit_{name}")
-        elif kind == "quantile_scale":
-            q = quantiles(out, [], r["attribute"], {"q": r["q"]})
-            top = q.select("q").scalar()
-            scaled = F.when(top > 0, F.least(F.col(quoted(r["attribute"])).cast("double") / top, F.lit(1.0)))
-            out = out.withColumn(name, scaled)
-    return out
+    return df if name in df.columns or source not in df.columns else df.withColumn(name, named(source))
 
 
 def calendar_fields(cases: DataFrame, native: Sequence[str] = ()) -> DataFrame:
@@ -192,7 +95,7 @@ def any_event(rules: Sequence[Mapping[str, Any]], event_columns: Sequence[str])
         rule = item["rule"]
         if rule.get("kind") == "attribute" and rule.get("field") in event_columns and ("in" in rule or "eq" in rule):
             wanted = [str(v).strip() for v in (rule["in"] if "in" in rule else [rule["eq"]])]
-            hit = F.trim(F.col(rule["field"]).cast("string")).isin(wanted)
+            hit = F.trim(named(rule["field"]).cast("string")).isin(wanted)
             out[f"__any{i}"] = F.bool_or(holds(hit))
     return out
 
@@ -216,7 +119,7 @@ def flow_types(
     for i, item in reversed(list(enumerate(rules))):
         rule = item["rule"]
         if f"__any{i}" in extra:
-            hit = F.col(f"__any{i}")
+            hit = named(f"__any{i}")
         elif _clauses(rule):
             hit = F.lit(True)
             for c in _clauses(rule):
@@ -254,7 +157,7 @@ def absent_flow_types(cases: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def attach(events: DataFrame, cases: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Case values copied onto every event of the case."""
-    return join_on(events, cases.select("case_id", *columns), ["case_id"], "left")
+    return join_on(events, cases.select("case_id", *all_named(columns)), ["case_id"], "left")
 
 
 def scope_log(events: DataFrame, cases: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import all_of, any_of, elapsed, holds, join_on, ntz
+from ..functions.exprs import all_named, all_of, any_of, elapsed, holds, join_on, named, ntz
 from ..functions.ordered import log_order, quantiles
 from .profile import category, is_numeric
 
@@ -41,7 +41,7 @@ def prepared(cases: DataFrame) -> DataFrame:
 
 
 def field_category(df: DataFrame, field: str, missing_label: str = "(missing)") -> Column:
-    return category(F.col(f"`{field}`"), dict(df.dtypes)[field], missing_label)
+    return category(named(field), dict(df.dtypes)[field], missing_label)
 
 
 def domain(cases: DataFrame, field: str, missing_label: str = "(missing)") -> DataFrame:
@@ -60,8 +60,8 @@ def with_keys(cases: DataFrame, fields: Sequence[str], missing_label: str = "(mi
     for f in fields:
         keys = domain(cases, f, missing_label).select(F.col("category").alias(f"__c_{f}"), F.col("key").alias(f"__k_{f}"))
         out = out.withColumn(f"__v_{f}", field_category(cases, f, missing_label))
-        out = out.join(keys, F.col(f"__v_{f}") == F.col(f"__c_{f}"), "left")
-        key = F.when(F.col(f"__v_{f}").isNull(), "missing").otherwise(F.coalesce(F.col(f"__k_{f}"), F.lit("other")))
+        out = out.join(keys, named(f"__v_{f}") == named(f"__c_{f}"), "left")
+        key = F.when(named(f"__v_{f}").isNull(), "missing").otherwise(F.coalesce(named(f"__k_{f}"), F.lit("other")))
         out = out.withColumn(f"key__{f}", key).drop(f"__v_{f}", f"__c_{f}", f"__k_{f}")
     return out
 
@@ -111,16 +111,16 @@ def selection(df: DataFrame, request: Mapping[str, Any], missing_label: str = "(
     def facet(f: Mapping[str, Any]) -> Column:
         hits = []
         if f.get("keys"):
-            hits.append(F.col(f"key__{f['field']}").isin(list(f["keys"])))
+            hits.append(named(f"key__{f['field']}").isin(list(f["keys"])))
         if f.get("values"):
-            hits.append(holds(category(F.col(f["field"]), types[f["field"]], missing_label).isin(list(f["values"]))))
+            hits.append(holds(category(named(f["field"]), types[f["field"]], missing_label).isin(list(f["values"]))))
         return any_of(hits)
 
     parts: list[Column] = [facet(f) for f in request.get("facets", [])]
     if request.get("joint_any"):
         parts.append(any_of(all_of(facet(f) for f in branch) for branch in request["joint_any"]))
     for n in request.get("numeric", []):
-        col, dtype = F.col(n["field"]), types[n["field"]]
+        col, dtype = named(n["field"]), types[n["field"]]
         if not is_numeric(dtype):
             raise ValueError(f"{n['field']!r} is not numeric")
         known = col.isNotNull()
@@ -166,7 +166,7 @@ def totals(marked: DataFrame) -> DataFrame:
 
 
 def category_counts(marked: DataFrame, field: str) -> DataFrame:
-    return marked.groupBy(F.col(f"key__{field}").alias("key")).agg(*_counts())
+    return marked.groupBy(named(f"key__{field}").alias("key")).agg(*_counts())
 
 
 def _month(ts: Column) -> Column:
@@ -204,7 +204,7 @@ def cut_key(col: Column, cuts: Sequence[float]) -> Column:
 
 def histogram(marked: DataFrame, column: str, cuts: Sequence[float]) -> DataFrame:
     """Counts over fixed cuts, zero bins kept; unknown values as ``missing`` when there are any."""
-    counts = marked.groupBy(cut_key(F.col(column), cuts).alias("key")).agg(*_counts())
+    counts = marked.groupBy(cut_key(named(column), cuts).alias("key")).agg(*_counts())
     every = marked.sparkSession.range(len(cuts)).select(F.col("id").cast("string").alias("key"))
     return every.join(counts, "key", "full_outer").fillna(0, ["total", "selected"])
 
@@ -217,7 +217,7 @@ def _grid(df: DataFrame, left: Column, right: Column, names: tuple[str, str]) ->
 
 def joint_counts(marked: DataFrame, left: str, right: str) -> DataFrame:
     """Cross-tab of two fields with every pair of their keys."""
-    counts = marked.groupBy(F.col(f"key__{left}").alias("left_key"), F.col(f"key__{right}").alias("right_key")).agg(*_counts())
+    counts = marked.groupBy(named(f"key__{left}").alias("left_key"), named(f"key__{right}").alias("right_key")).agg(*_counts())
     grid = _grid(marked, domain_keys(marked, left), domain_keys(marked, right), ("left_key", "right_key"))
     return grid.join(counts, ["left_key", "right_key"], "left").fillna(0, ["total", "selected"])
 
@@ -225,7 +225,7 @@ def joint_counts(marked: DataFrame, left: str, right: str) -> DataFrame:
 def density(marked: DataFrame) -> DataFrame:
     """Span by event-count grid, zero cells kept."""
     keys = [cut_key(F.col("span_days"), SPAN_CUTS).alias("span_key"), cut_key(F.col("events"), EVENT_CUTS).alias("event_key")]
-    counts = marked.groupBy(*keys).agg(*_counts())
+    counts = marked.groupBy(*all_named(keys)).agg(*_counts())
     sides = [F.array(*[F.lit(str(i)) for i in range(len(c))]) for c in (SPAN_CUTS, EVENT_CUTS)]
     grid = _grid(marked, *sides, ("span_key", "event_key"))
     return grid.join(counts, ["span_key", "event_key"], "full_outer").fillna(0, ["total", "selected"])
@@ -234,7 +234,7 @@ def density(marked: DataFrame) -> DataFrame:
 def concentration_by(marked: DataFrame, field: str) -> DataFrame:
     """Per category: cases, known and unknown spans, median and p90 span, events of the selection."""
     pick = F.col("selected")
-    rows = marked.withColumn("key", F.col(f"key__{field}"))
+    rows = marked.withColumn("key", named(f"key__{field}"))
     out = rows.groupBy("key").agg(
         *_counts(),
         F.count(F.when(pick, F.col("span_days"))).alias("known_spans"),
@@ -258,7 +258,7 @@ def comparison_choice(cases: DataFrame, fields: Sequence[str], primary: str | No
     counts = cases.select(F.inline(F.array(*items))).groupBy("i", "name").agg(F.count_distinct("v").alias("distinct"))
     identifier = _names_an_identifier(F.col("name"))
     useful = F.col("distinct").between(2, 20)
-    order = [F.desc(useful & ~identifier), F.desc(useful), F.asc("i")]
+    order = [F.desc(useful & ~identifier), F.desc(named(useful)), F.asc("i")]
     return counts.orderBy(*order).limit(1).select("name", "distinct")
 
 
@@ -272,9 +272,9 @@ def value_page(marked: DataFrame, field: str, text: str, page: int = 1) -> DataF
 
 def hierarchy(marked: DataFrame, fields: Sequence[str], *, levels: bool = False) -> DataFrame:
     """Counts per combination of the chosen fields; with ``levels`` also for every prefix of them."""
-    keys = [F.col(f"key__{f}").alias(f) for f in fields]
-    rows = marked.select("selected", *keys)
-    return (rows.rollup(*fields) if levels else rows.groupBy(*fields)).agg(*_counts())
+    keys = [named(f"key__{f}").alias(f) for f in fields]
+    rows = marked.select("selected", *all_named(keys))
+    return (rows.rollup(*all_named(fields)) if levels else rows.groupBy(*all_named(fields))).agg(*_counts())
 
 
 def detail_page(marked: DataFrame, page: int = 1, size: int = 50) -> DataFrame:
@@ -313,7 +313,7 @@ def endpoint_pairs(events: DataFrame, marked: DataFrame, start: str, end: str) -
         F.count_if(a).alias("na"), F.count_if(b).alias("nb"), F.min(F.when(a, F.col("ts"))).alias("ta"), F.min(F.when(b, F.col("ts"))).alias("tb")
     )
     rows = join_on(marked.where("selected").select("case_id"), per_case, ["case_id"], "left").fillna(0, ["na", "nb"])
-    na, nb, ta, tb = (F.col(c) for c in ("na", "nb", "ta", "tb"))
+    na, nb, ta, tb = (named(c) for c in ("na", "nb", "ta", "tb"))
     state = (
         F.when((na == 0) & (nb == 0), "neither")
         .when(nb == 0, "startOnly")

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import elapsed, holds, join_on
+from ..functions.exprs import all_named, elapsed, holds, join_on, named
 from ..functions.intervals import newcombe, z_of
 from ..functions.ordered import bucket, quantile_rows, quantiles, running
 from ..session import store
@@ -33,15 +33,15 @@ def contrast(scored: DataFrame, norm: Norm, view: str, where: Column, level: flo
 
     fields = {}
     for side in ("slice", "all", "rest"):
-        fields[f"mean_penalty_{side}"] = lambda c, s=side: F.avg(part(F.col(f"p__{view}__{c.id}"), s))
+        fields[f"mean_penalty_{side}"] = lambda c, s=side: F.avg(part(named(f"p__{view}__{c.id}"), s))
     for side in ("slice", "rest"):
-        fields[f"n_evaluated_{side}"] = lambda c, s=side: F.count(part(F.col(f"v__{c.id}"), s))
-        fields[f"n_violated_{side}"] = lambda c, s=side: F.count(part(F.when(F.col(f"v__{c.id}") > 0, 1), s))
-        fields[f"mean_violation_{side}"] = lambda c, s=side: F.avg(part(F.col(f"v__{c.id}"), s))
-        fields[f"share_in_scope_{side}"] = lambda c, s=side: F.avg(part(F.col(f"s__{c.id}").cast("double"), s))
-        fields[f"share_evaluated_{side}"] = lambda c, s=side: F.avg(part(F.col(f"v__{c.id}").isNotNull().cast("double"), s))
-    score = F.col(f"score__{view}")
-    gap = (F.avg(score) - F.avg(F.when(inside, score))).alias("signed_gap")
+        fields[f"n_evaluated_{side}"] = lambda c, s=side: F.count(part(named(f"v__{c.id}"), s))
+        fields[f"n_violated_{side}"] = lambda c, s=side: F.count(part(F.when(named(f"v__{c.id}") > 0, 1), s))
+        fields[f"mean_violation_{side}"] = lambda c, s=side: F.avg(part(named(f"v__{c.id}"), s))
+        fields[f"share_in_scope_{side}"] = lambda c, s=side: F.avg(part(named(f"s__{c.id}").cast("double"), s))
+        fields[f"share_evaluated_{side}"] = lambda c, s=side: F.avg(part(named(f"v__{c.id}").isNotNull().cast("double"), s))
+    score = named(f"score__{view}")
+    gap = (F.avg(named(score)) - F.avg(F.when(inside, score))).alias("signed_gap")
     out = constraint_rows(scored.where(score.isNotNull()), norm, fields, extra=[gap])
     x1, n1 = F.col("n_violated_slice"), F.col("n_evaluated_slice")
     x2, n2 = F.col("n_violated_rest"), F.col("n_evaluated_rest")
@@ -66,13 +66,13 @@ def contrast(scored: DataFrame, norm: Norm, view: str, where: Column, level: flo
 
 def contrast_layers(waterfall: DataFrame) -> DataFrame:
     cols = ("mean_penalty_slice", "mean_penalty_all", "mean_penalty_rest", "delta", "delta_vs_rest")
-    return waterfall.groupBy("layer").agg(*[F.sum(c).alias(c) for c in cols])
+    return waterfall.groupBy("layer").agg(*[F.sum(named(c)).alias(c) for c in cols])
 
 
 # --------------------------------------------------------------------------- effect sizes on raw signals
 def sides(scored: DataFrame, norm: Norm, view: str, where: Column) -> DataFrame:
     """Defined raw signals of scored cases: ``constraint_id, x, in_slice, case_id``."""
-    rows = scored.where(F.col(f"score__{view}").isNotNull()).withColumn("in_slice", holds(where))
+    rows = scored.where(named(f"score__{view}").isNotNull()).withColumn("in_slice", holds(where))
     return long_form(rows, norm, view, ["case_id", "in_slice"]).where(F.col("x").isNotNull()).select(
         "constraint_id", "x", "in_slice", "case_id"
     )
@@ -111,8 +111,8 @@ def hodges_lehmann(signals: DataFrame) -> DataFrame:
     """
     x = F.col("x").cast("double")
     hist = store(_histogram(signals.withColumn("x", x).where(F.abs("x") < float("inf"))))
-    low = [F.min(F.when(F.col(c) > 0, F.col("x"))).alias(f"min_{c}") for c in "ab"]
-    high = [F.max(F.when(F.col(c) > 0, F.col("x"))).alias(f"max_{c}") for c in "ab"]
+    low = [F.min(F.when(named(c) > 0, F.col("x"))).alias(f"min_{c}") for c in "ab"]
+    high = [F.max(F.when(named(c) > 0, F.col("x"))).alias(f"max_{c}") for c in "ab"]
     ends = hist.groupBy("constraint_id").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), *low, *high)
     brackets = {r["constraint_id"]: _Bracket.around(r) for r in ends.where("n_a > 0 and n_b > 0").collect()}
     while trials := {c: b.trials() for c, b in brackets.items() if not b.done}:
@@ -179,14 +179,14 @@ def _pairs_above(hist: DataFrame, trials: Mapping[str, list[float]]) -> DataFram
     points = rest.unionByName(inside).withColumn("__bk", bucket(F.col("at")))
     n, v = F.when(F.col("rest"), F.col("n")), F.when(F.col("rest"), F.col("x"))
     keys = ["constraint_id", "d"]
-    totals = points.groupBy(*keys, "__bk").agg(F.sum(n).alias("n"), F.max(v).alias("v"))
-    earlier = Window.partitionBy(*keys).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "__bk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__n"), F.max("v").over(earlier).alias("__v"))
-    before = Window.partitionBy(*keys, "__bk").orderBy("at", "rest").rowsBetween(Window.unboundedPreceding, -1)
-    placed = points.withColumns({"__m": F.coalesce(F.sum(n).over(before), F.lit(0)), "__w": F.max(v).over(before)}).where(~F.col("rest"))
+    totals = points.groupBy(*all_named(keys), "__bk").agg(F.sum(named(n)).alias("n"), F.max(v).alias("v"))
+    earlier = Window.partitionBy(*all_named(keys)).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*all_named(keys), "__bk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__n"), F.max("v").over(earlier).alias("__v"))
+    before = Window.partitionBy(*all_named(keys), "__bk").orderBy("at", "rest").rowsBetween(Window.unboundedPreceding, -1)
+    placed = points.withColumns({"__m": F.coalesce(F.sum(named(n)).over(before), F.lit(0)), "__w": F.max(v).over(before)}).where(~F.col("rest"))
     placed = join_on(placed, offsets, [*keys, "__bk"])
     above = F.sum(F.col("n").cast("decimal(19,0)") * (F.col("__n") + F.col("__m")).cast("decimal(19,0)"))
-    return placed.groupBy(*keys).agg(above.alias("above"), F.min(F.col("x") - F.greatest("__v", "__w")).alias("next_d"))
+    return placed.groupBy(*all_named(keys)).agg(above.alias("above"), F.min(F.col("x") - F.greatest("__v", "__w")).alias("next_d"))
 
 
 def quantile_shifts(signals: DataFrame, widths: Mapping[str, float], min_evaluated: int = 20) -> DataFrame:
@@ -201,7 +201,7 @@ def quantile_shifts(signals: DataFrame, widths: Mapping[str, float], min_evaluat
     q = join_on(q, n, ["constraint_id", "in_slice"])
 
     def side(flag: bool, tag: str) -> DataFrame:
-        return q.where(F.col("in_slice") == flag).select("constraint_id", *[F.col(c).alias(f"{c}_{tag}") for c in ("q50", "q90", "n")])
+        return q.where(F.col("in_slice") == flag).select("constraint_id", *[named(c).alias(f"{c}_{tag}") for c in ("q50", "q90", "n")])
 
     pooled = quantiles(signals, ["constraint_id"], "x", {"q25": 0.25, "q75": 0.75})
     out = side(True, "slice").join(side(False, "rest"), "constraint_id").join(pooled, "constraint_id")
@@ -338,17 +338,17 @@ def headroom(
     scored: DataFrame, norm: Norm, view: str, where: Column, *, gamma: float = 0.0, baseline: Column | None = None
 ) -> DataFrame:
     """Per constraint: the exact rise of the slice mean and fall of its priority without its violations."""
-    score = F.col(f"score__{view}")
+    score = named(f"score__{view}")
     rows = scored.where(score.isNotNull())
-    base = baseline if baseline is not None else rows.agg(F.avg(score)).scalar()
+    base = baseline if baseline is not None else rows.agg(F.avg(named(score))).scalar()
     fields = {
-        "mean_penalty": lambda c: F.avg(f"p__{view}__{c.id}"),
-        "n_evaluated": lambda c: F.count(f"v__{c.id}"),
-        "share_in_scope": lambda c: F.avg(F.col(f"s__{c.id}").cast("double")),
-        "share_violated": lambda c: F.avg((F.col(f"v__{c.id}") > 0).cast("double")),
-        "mean_violation": lambda c: F.avg(f"v__{c.id}"),
+        "mean_penalty": lambda c: F.avg(named(f"p__{view}__{c.id}")),
+        "n_evaluated": lambda c: F.count(named(f"v__{c.id}")),
+        "share_in_scope": lambda c: F.avg(named(f"s__{c.id}").cast("double")),
+        "share_violated": lambda c: F.avg((named(f"v__{c.id}") > 0).cast("double")),
+        "mean_violation": lambda c: F.avg(named(f"v__{c.id}")),
     }
-    slice_facts = [F.count(F.lit(1)).alias("__n"), F.avg(score).alias("__mu")]
+    slice_facts = [F.count(F.lit(1)).alias("__n"), F.avg(named(score)).alias("__mu")]
     out = constraint_rows(rows.where(holds(where)), norm, fields, extra=slice_facts).withColumn("__base", base)
     return _headroom_columns(out, F.col("__n").cast("double"), F.col("__n"), gamma).drop("__n", "__mu", "__base", "position")
 
@@ -372,12 +372,12 @@ def _headroom_columns(df: DataFrame, volume: Column, n: Column, gamma: float) ->
 def headroom_by(scored: DataFrame, norm: Norm, keys: Sequence[str], view: str, *, gamma: float = 0.0) -> DataFrame:
     """Headroom of every constraint in every group: one aggregate for all constraints."""
     groups = store(group_scores(scored, keys, view))
-    rows = label_keys(scored.where(F.col(f"score__{view}").isNotNull()), keys)
-    long = constraint_rows(rows, norm, {"mean_penalty": lambda c: F.avg(f"p__{view}__{c.id}")}, keys=keys)
+    rows = label_keys(scored.where(named(f"score__{view}").isNotNull()), keys)
+    long = constraint_rows(rows, norm, {"mean_penalty": lambda c: F.avg(named(f"p__{view}__{c.id}"))}, keys=keys)
     base = groups.withColumn("__base", overall(groups)).withColumnRenamed("mean_score", "__mu")
-    out = join_on(long, base.select(*keys, "n_cases", "volume", "__mu", "__base"), keys)
+    out = join_on(long, base.select(*all_named(keys), "n_cases", "volume", "__mu", "__base"), keys)
     out = _headroom_columns(out, F.col("volume"), F.col("n_cases"), gamma)
-    return out.select(*keys, "constraint_id", "mean_penalty", "headroom_PI", "stable_PI", "stable_PI_after", "PI_reduction")
+    return out.select(*all_named(keys), "constraint_id", "mean_penalty", "headroom_PI", "stable_PI", "stable_PI_after", "PI_reduction")
 
 
 # --------------------------------------------------------------------------- temporal evidence of a driver
@@ -405,7 +405,7 @@ def endpoint_partition(events: DataFrame, cases: DataFrame, a: Sequence[str], b:
         aggs += [F.count_if(hit).alias(f"n{tag}"), F.min(F.when(hit, F.col("ts"))).alias(f"t{tag}")]
     per_case = events.where(F.col("activity").isin([*a, *b])).groupBy("case_id").agg(*aggs)
     rows = join_on(cases.select("case_id"), per_case, ["case_id"], "left").fillna(0, ["na", "nb"])
-    na, nb, ta, tb = (F.col(c) for c in ("na", "nb", "ta", "tb"))
+    na, nb, ta, tb = (named(c) for c in ("na", "nb", "ta", "tb"))
     state = (
         F.when((na == 0) & (nb == 0), "neither")
         .when(na == 0, "missing_start")

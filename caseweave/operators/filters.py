@@ -17,7 +17,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import all_of, elapsed, holds, join_on, label_tag, ntz
+from ..functions.exprs import all_of, elapsed, holds, join_on, label_tag, named, ntz, quoted
 from ..functions.ordered import sort_key, with_next
 from ..session import store
 
@@ -180,7 +180,7 @@ def resolve(events: DataFrame, clauses: Sequence[Mapping[str, Any]], aggregates:
         rows = events.where(act.isin(b) & ts.isNotNull()).select("case_id", "activity", "ts")
         rows = join_on(rows, cases.select("case_id", *starts), ["case_id"])
         first = [
-            F.min(F.when(act.isin(_labels(c["b"])) & (ts >= F.col(f"`{_pair(c, 'from')}`")), ts)).alias(n)
+            F.min(F.when(act.isin(_labels(c["b"])) & (ts >= named(_pair(c, 'from'))), ts)).alias(n)
             for n, c in responses.items()
         ]
         cases = join_on(cases, rows.groupBy("case_id").agg(*first), ["case_id"], "left")
@@ -204,7 +204,7 @@ def case_clause(c: Mapping[str, Any]) -> Column:
         conds += [col <= _stamp(c["to"])] if "to" in c else []
         return holds(all_of(conds))
     if kind == "attribute":
-        col = F.col(f"`{c['field']}`")
+        col = named(c['field'])
         # Booleans are spelled True and False in filters.
         text = F.when(F.typeof(col) == "boolean", F.initcap(col.cast("string"))).otherwise(col.cast("string"))
         if "in" in c:
@@ -213,21 +213,21 @@ def case_clause(c: Mapping[str, Any]) -> Column:
             return hit | col.isNull() if {"(missing)", ""} & set(wanted) else hit
         if "eq" in c:
             return holds(text == F.lit(str(c["eq"])))
-        return _between(F.expr(f"try_cast(`{c['field']}` as double)"), c)
+        return _between(F.expr(f"try_cast({quoted(c['field'])} as double)"), c)
     if kind == "activity":
         op = c.get("op", "contains")
         if op in ("contains", "never"):
-            n = F.col(f"`{_count(c)}`")
+            n = named(_count(c))
             return n > 0 if op == "contains" else n == 0
         return holds(F.col("__first_label" if op == "starts_with" else "__last_label").isin(_labels(c["activity"])))
     if kind == "follows":
-        seen = holds(F.col(f"`{_pair(c, 'direct')}`")) if c.get("directly") else F.col(f"`{_pair(c, 'to')}`").isNotNull()
+        seen = holds(named(_pair(c, 'direct'))) if c.get("directly") else named(_pair(c, 'to')).isNotNull()
         return ~seen if c.get("never") else seen
     if kind == "lag":
         unit = c.get("unit", "D")
-        return _between(elapsed(F.col(f"`{_pair(c, 'from')}`"), F.col(f"`{_pair(c, 'to')}`"), unit), c)
+        return _between(elapsed(named(_pair(c, 'from')), named(_pair(c, 'to')), unit), c)
     if kind == "count":
-        return _between(F.col(f"`{_count(c)}`"), c)
+        return _between(named(_count(c)), c)
     return holds(F.col("censored")) if c.get("value", True) else ~holds(F.col("censored"))
 
 
@@ -260,7 +260,7 @@ def preview(cases: DataFrame, clauses: Sequence[Mapping[str, Any]], scopes: Mapp
         items[("in_scope", cid)] = every & s
     aggs = [F.count_if(m).alias(f"m{i}") for i, m in enumerate(items.values())]
     rows = [
-        F.struct(F.lit(a).alias("measure"), F.lit(b).alias("item"), F.col(f"m{i}").alias("cases"))
+        F.struct(F.lit(a).alias("measure"), F.lit(b).alias("item"), named(f"m{i}").alias("cases"))
         for i, (a, b) in enumerate(items)
     ]
     return cases.agg(*aggs).select(F.inline(F.array(*rows)))
@@ -273,6 +273,6 @@ def slice_mask(where: Mapping[str, Any]) -> Column:
         values = value if isinstance(value, list | tuple) else [value]
         hit = F.lit(False)
         for v in values:
-            hit = hit | F.col(name).eqNullSafe(F.lit(v))
+            hit = hit | named(name).eqNullSafe(F.lit(v))
         conds.append(hit)
     return all_of(conds)

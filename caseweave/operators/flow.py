@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import elapsed, holds, join_on, text_rows
+from ..functions.exprs import all_named, elapsed, holds, join_on, named, text_rows
 from ..functions.ordered import log_order, quantiles, sort_key, with_next
 from ..session import store
 from .backlog import constraint_rows
@@ -33,15 +33,15 @@ def sequence(events: DataFrame, extra: Sequence[str] = (), *, hot_events: int =
 # --------------------------------------------------------------------------- directly-follows graph
 def nodes(seq: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     rows = seq.where(F.col("activity").isNotNull())
-    per_case = rows.groupBy(*keys, "activity", "case_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_case.groupBy(*keys, "activity").agg(F.sum("n").alias("events"), F.count(F.lit(1)).alias("cases"))
+    per_case = rows.groupBy(*all_named(keys), "activity", "case_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_case.groupBy(*all_named(keys), "activity").agg(F.sum("n").alias("events"), F.count(F.lit(1)).alias("cases"))
 
 
 def edges(seq: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Directly-follows pairs: count, distinct cases and median hours."""
     rows = seq.where(F.col("activity").isNotNull() & F.col("nxt_activity").isNotNull())
     rows = rows.select(
-        *keys,
+        *all_named(keys),
         F.col("activity").alias("source"),
         F.col("nxt_activity").alias("target"),
         "case_id",
@@ -55,9 +55,9 @@ def edges(seq: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def boundaries(seq: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Start and end counts of the map: first events, and events without a labelled successor."""
-    named = seq.where(F.col("activity").isNotNull())
-    starts = named.where("is_first").groupBy(*keys, "activity").agg(F.count(F.lit(1)).alias("n"))
-    ends = named.where(F.col("nxt_activity").isNull()).groupBy(*keys, "activity").agg(F.count(F.lit(1)).alias("n"))
+    labelled = seq.where(F.col("activity").isNotNull())
+    starts = labelled.where("is_first").groupBy(*all_named(keys), "activity").agg(F.count(F.lit(1)).alias("n"))
+    ends = labelled.where(F.col("nxt_activity").isNull()).groupBy(*all_named(keys), "activity").agg(F.count(F.lit(1)).alias("n"))
     return starts.withColumn("side", F.lit("start")).unionByName(ends.withColumn("side", F.lit("end")))
 
 
@@ -114,17 +114,17 @@ def abstraction(seq: DataFrame, share: float) -> tuple[DataFrame, DataFrame, Dat
 def violation_shares(scored: DataFrame, norm: Norm) -> DataFrame:
     """Per constraint: evaluated cases, share violated and mean violation."""
     fields = {
-        "evaluated": lambda c: F.count(f"v__{c.id}"),
-        "share_violated": lambda c: F.avg((F.col(f"v__{c.id}") > 0).cast("double")),
-        "mean_violation": lambda c: F.avg(f"v__{c.id}"),
+        "evaluated": lambda c: F.count(named(f"v__{c.id}")),
+        "share_violated": lambda c: F.avg((named(f"v__{c.id}") > 0).cast("double")),
+        "mean_violation": lambda c: F.avg(named(f"v__{c.id}")),
     }
     return constraint_rows(scored, norm, fields).drop("position")
 
 
 def activity_violation(shares: DataFrame, norm: Norm) -> DataFrame:
     """Per activity: the largest share violated among the constraints that name it."""
-    named = [(c.id, a) for c in norm.constraints for a in c.activities()]
-    lookup = text_rows(shares.sparkSession, named, ["constraint_id", "activity"])
+    mentioned = [(c.id, a) for c in norm.constraints for a in c.activities()]
+    lookup = text_rows(shares.sparkSession, mentioned, ["constraint_id", "activity"])
     joined = lookup.join(shares, "constraint_id")
     return joined.groupBy("activity").agg(F.max("share_violated").alias("violation_share"), F.count(F.lit(1)).alias("constraints"))
 
@@ -276,10 +276,10 @@ def pair_timing(pairs: DataFrame, keys: Sequence[str] = ("source", "target")) ->
     """Per pair: counts, clock coverage, ties, median and p90, and the median of per-case medians."""
     pairs = store(pairs)
     keys = list(keys)
-    per_case = pairs.groupBy(*keys, "case_id").agg(
+    per_case = pairs.groupBy(*all_named(keys), "case_id").agg(
         F.count(F.lit(1)).alias("n"), F.count("hours").alias("m"), F.count_if(F.col("hours") == 0).alias("z")
     )
-    counts = per_case.groupBy(*keys).agg(
+    counts = per_case.groupBy(*all_named(keys)).agg(
         F.sum("n").alias("pairs"),
         F.count(F.lit(1)).alias("cases"),
         F.sum("m").alias("measured_pairs"),
@@ -331,7 +331,7 @@ def recorded_boundaries(events: DataFrame) -> DataFrame:
 
 def identity_coverage(events: DataFrame, resource: str = "resource") -> DataFrame:
     """Per activity: events with a non-blank resource and distinct identities."""
-    who = F.nullif(F.trim(F.col(resource).cast("string")), F.lit(""))
+    who = F.nullif(F.trim(named(resource).cast("string")), F.lit(""))
     per_who = events.groupBy("activity", who.alias("who")).agg(F.count(F.lit(1)).alias("n"))
     return per_who.groupBy("activity").agg(
         F.sum("n").alias("events"),
@@ -344,9 +344,9 @@ def missingness(table: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: missing (null or blank text) and available rows."""
     aggs, rows = [], []
     for i, c in enumerate(columns):
-        blank = F.col(f"`{c}`").isNull() | (F.trim(F.col(f"`{c}`").cast("string")) == "")
+        blank = named(c).isNull() | (F.trim(named(c).cast("string")) == "")
         aggs.append(F.count_if(blank).alias(f"m{i}"))
-        rows.append(F.struct(F.lit(c).alias("name"), F.col(f"m{i}").alias("missing"), (F.col("n") - F.col(f"m{i}")).alias("available")))
+        rows.append(F.struct(F.lit(c).alias("name"), named(f"m{i}").alias("missing"), (F.col("n") - named(f"m{i}")).alias("available")))
     return table.agg(F.count(F.lit(1)).alias("n"), *aggs).select(F.inline(F.array(*rows)))
 
 

@@ -26,9 +26,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import MICROS, all_of, any_of, clip01, elapsed, holds, join_on, label_tag, total
+from ..functions.exprs import MICROS, all_named, all_of, any_of, clip01, elapsed, holds, join_on, label_tag, named, total
 from ..functions.ordered import next_time
 from ..session import store
+from .derived import recipe_aggregates, recipe_columns
 
 # The closed catalogue of constraint types.
 TYPES = ("presence", "exclusion", "singularity", "lag", "precedence", "balance", "metric")
@@ -147,9 +148,9 @@ def with_weights(df: DataFrame, norm: Norm, view: View, prefix: str) -> DataFram
     w = weights(norm, view)
     members = {layer: [c.id for c in norm.constraints if c.layer == layer] for layer in norm.layers}
     members = {layer: ids for layer, ids in members.items() if ids}
-    live = {i: F.when(F.col(f"v__{i}").isNotNull(), F.lit(w[i])).otherwise(F.lit(0.0)) for i in norm.ids()}
+    live = {i: F.when(named(f"v__{i}").isNotNull(), F.lit(w[i])).otherwise(F.lit(0.0)) for i in norm.ids()}
     out = df.withColumns({f"{prefix}e_{layer}": total([live[i] for i in ids]) for layer, ids in members.items()})
-    e = {layer: F.col(f"{prefix}e_{layer}") for layer in members}
+    e = {layer: named(f"{prefix}e_{layer}") for layer in members}
     if norm.mode == "flat":
         out = out.withColumn(f"{prefix}act", total(list(e.values())))
     else:
@@ -157,7 +158,7 @@ def with_weights(df: DataFrame, norm: Norm, view: View, prefix: str) -> DataFram
         active = [F.when(e[layer] > 0, F.lit(size[layer])).otherwise(F.lit(0.0)) for layer in members]
         out = out.withColumn(f"{prefix}act", total(active))
         factor = {
-            layer: F.when(e[layer] > 0, F.lit(size[layer]) / F.col(f"{prefix}act") / e[layer]).otherwise(F.lit(0.0))
+            layer: F.when(e[layer] > 0, F.lit(size[layer]) / named(f"{prefix}act") / e[layer]).otherwise(F.lit(0.0))
             for layer in members
         }
         out = out.withColumns({f"{prefix}f_{layer}": c for layer, c in factor.items()})
@@ -165,9 +166,9 @@ def with_weights(df: DataFrame, norm: Norm, view: View, prefix: str) -> DataFram
     for layer, ids in members.items():
         for i in ids:
             if norm.mode == "flat":
-                cols[f"{prefix}w_{i}"] = F.when(F.col(f"{prefix}act") > 0, live[i] / F.col(f"{prefix}act")).otherwise(0.0)
+                cols[f"{prefix}w_{i}"] = F.when(named(f"{prefix}act") > 0, live[i] / named(f"{prefix}act")).otherwise(0.0)
             else:
-                cols[f"{prefix}w_{i}"] = live[i] * F.col(f"{prefix}f_{layer}")
+                cols[f"{prefix}w_{i}"] = live[i] * named(f"{prefix}f_{layer}")
     return out.withColumns(cols).drop(*[f"{prefix}{k}_{layer}" for layer in members for k in ("e", "f")])
 
 
@@ -178,7 +179,7 @@ def applies(rule: Mapping[str, Any] | None, norm_labels: Sequence[str] = ()) ->
         return F.lit(True)
     parts: list[Column] = []
     if "attr" in rule:
-        col = F.col(rule["attr"])
+        col = named(rule["attr"])
         ops = {
             "in": lambda v: col.cast("string").isin([str(x) for x in v]),
             "not_in": lambda v: ~holds(col.cast("string").isin([str(x) for x in v])),
@@ -209,7 +210,7 @@ def applies(rule: Mapping[str, Any] | None, norm_labels: Sequence[str] = ()) ->
                 parts.append(F.col(count_name([value] if isinstance(value, str) else value)) == 0)
             else:
                 wanted = value if isinstance(value, list | tuple) else [value]
-                parts.append(holds(F.col(key).cast("string").isin([str(x) for x in wanted])))
+                parts.append(holds(named(key).cast("string").isin([str(x) for x in wanted])))
     return all_of(parts)
 
 
@@ -262,7 +263,8 @@ def first_pass(norm: Norm) -> dict[str, Column]:
         elif c.type == "lag":
             need_first(c.labels("a"))
             need_first(c.labels("b"))
-            out[_last_name(c.labels("a"))] = F.max(F.when(act.isin(c.labels("a")), ts))
+            if c.params.get("activation", "first") == "last":
+                out[_last_name(c.labels("a"))] = F.max(F.when(act.isin(c.labels("a")), ts))
         elif c.type == "precedence":
             need_first(c.labels("a"))
             need_count(c.labels("a"))
@@ -270,7 +272,7 @@ def first_pass(norm: Norm) -> dict[str, Column]:
         elif c.type == "balance":
             agg = {"sum": F.sum, "max": F.max, "min": F.min, "mean": F.avg}[c.params.get("agg", "sum")]
             for side in ("x", "y"):
-                value = F.col(c.params[f"attr_{side}"]).cast("double")
+                value = named(c.params[f"attr_{side}"]).cast("double")
                 labels = c.labels(f"activities_{side}")
                 out[f"bal_{side}__{c.id}"] = agg(F.when(act.isin(labels), value) if labels else value)
     return out
@@ -308,11 +310,16 @@ def _second_labels(norm: Norm) -> list[str]:
     return sorted({x for c in norm.constraints for n in names.get(c.type, ()) for x in c.labels(n)})
 
 
-def gather(events: DataFrame, norm: Norm, case_aggregates: Mapping[str, Column]) -> DataFrame:
-    """One row per case with the case columns and every quantity the constraints need."""
-    cases = events.groupBy("case_id").agg(
-        *[c.alias(n) for n, c in {**case_aggregates, **first_pass(norm)}.items()]
-    )
+def gather(
+    events: DataFrame, norm: Norm, case_aggregates: Mapping[str, Column], case_columns: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """One row per case with the case columns, the derived attributes and every quantity the constraints need.
+
+    ``case_columns`` are expressions on the aggregated row, such as a flow type; derived attributes may read them.
+    """
+    first = {**case_aggregates, **recipe_aggregates(norm.derived), **first_pass(norm)}
+    cases = events.groupBy("case_id").agg(*[c.alias(n) for n, c in first.items()])
+    cases = cases.withColumns(dict(case_columns)) if case_columns else cases
     later = second_pass(norm)
     if later:
         # Read twice below: as anchors for the events and as the result.
@@ -323,12 +330,12 @@ def gather(events: DataFrame, norm: Norm, case_aggregates: Mapping[str, Column])
         found = rows.groupBy("case_id").agg(*[c.alias(n) for n, c in later.items()])
         cases = join_on(cases, found, ["case_id"], "left")
         counts = [n for n in later if n.startswith(("early__", "scoped__"))]
-        cases = cases.withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in counts})
+        cases = cases.withColumns({n: F.coalesce(named(n), F.lit(0)) for n in counts})
     for c in norm.constraints:
         if c.type == "lag" and c.params.get("activation") == "each":
             sizes = cases.select("case_id", "n_events") if later and "n_events" in cases.columns else None
             cases = join_on(cases, _each_lag(events, c, norm, sizes), ["case_id"], "left")
-    return cases
+    return recipe_columns(cases, norm.derived) if norm.derived else cases
 
 
 def _each_lag(events: DataFrame, c: Constraint, norm: Norm, sizes: DataFrame | None = None) -> DataFrame:
@@ -368,23 +375,23 @@ def signal(c: Constraint) -> Column:
         return F.col(count_name(c.labels("activity"))).cast("double")
     if c.type in ("exclusion", "singularity"):
         scoped = c.labels("after") or c.labels("before")
-        return F.col(f"scoped__{c.id}" if scoped else count_name(c.labels("activity"))).cast("double")
+        return named(f"scoped__{c.id}" if scoped else count_name(c.labels("activity"))).cast("double")
     if c.type == "lag":
         if c.params.get("activation") == "each":
-            return F.col(f"each__{c.id}")
+            return named(f"each__{c.id}")
         unit = c.params.get("unit", "D")
         if c.params.get("response", "first_after") == "first_overall":
             raw = elapsed(_activation(c), F.col(_first_name(c.labels("b"))), unit)
             return F.when(raw >= 0, raw)
-        return elapsed(_activation(c), F.col(f"resp__{c.id}"), unit)
+        return elapsed(_activation(c), named(f"resp__{c.id}"), unit)
     if c.type == "precedence":
-        return F.when(F.col(_first_name(c.labels("a"))).isNotNull(), F.col(f"early__{c.id}").cast("double")).otherwise(
+        return F.when(F.col(_first_name(c.labels("a"))).isNotNull(), named(f"early__{c.id}").cast("double")).otherwise(
             F.lit(0.0)
         )
     if c.type == "balance":
-        x, y = (F.coalesce(F.col(f"bal_{s}__{c.id}"), F.lit(0.0)) for s in ("x", "y"))
+        x, y = (F.coalesce(named(f"bal_{s}__{c.id}"), F.lit(0.0)) for s in ("x", "y"))
         return F.abs(x - y) / F.greatest(x, y, F.lit(float(c.params.get("eps", 1e-9))))
-    return F.col(c.params["attribute"]).cast("double")
+    return named(c.params["attribute"]).cast("double")
 
 
 def violation(c: Constraint, norm: Norm, x: Column | None = None) -> Column:
@@ -414,7 +421,7 @@ def violation(c: Constraint, norm: Norm, x: Column | None = None) -> Column:
         graded = _grade(x, p.get("k", 0), p.get("K", 1))
         return F.when(~has_a, none_a).when(~has_b, none_b).otherwise(graded)
     if p.get("activation") == "each":
-        return F.when(has_a, F.col(f"eachv__{c.id}")).otherwise(none_a)
+        return F.when(has_a, named(f"eachv__{c.id}")).otherwise(none_a)
     graded = _grade(x, p["delta"], p.get("width", 0.0))
     if p.get("response", "first_after") == "first_overall":
         negative = F.col(_first_name(c.labels("b"))) < _activation(c)
@@ -439,9 +446,9 @@ def evaluate(gathered: DataFrame, norm: Norm, keep: Sequence[str]) -> DataFrame:
     out = out.withColumns({f"s__{c.id}": applies(c.applicability) for c in norm.constraints})
     cols = []
     for c in norm.constraints:
-        v = violation(c, norm, F.col(f"x__{c.id}"))
-        cols += [F.col(f"s__{c.id}"), F.col(f"x__{c.id}"), F.when(F.col(f"s__{c.id}"), v).alias(f"v__{c.id}")]
-    return out.select("case_id", *keep, *cols)
+        v = violation(c, norm, named(f"x__{c.id}"))
+        cols += [named(f"s__{c.id}"), named(f"x__{c.id}"), F.when(named(f"s__{c.id}"), v).alias(f"v__{c.id}")]
+    return out.select("case_id", *all_named(keep), *all_named(cols))
 
 
 def with_scores(evaluated: DataFrame, norm: Norm, views: Sequence[View] | None = None) -> DataFrame:
@@ -451,21 +458,28 @@ def with_scores(evaluated: DataFrame, norm: Norm, views: Sequence[View] | None =
         pre = f"__{view.name}_"
         out = with_weights(out, norm, view, pre)
         pen = {
-            f"p__{view.name}__{i}": F.coalesce(F.col(f"v__{i}"), F.lit(0.0)) * F.col(f"{pre}w_{i}") for i in norm.ids()
+            f"p__{view.name}__{i}": F.coalesce(named(f"v__{i}"), F.lit(0.0)) * named(f"{pre}w_{i}") for i in norm.ids()
         }
         out = out.withColumns(pen)
-        scored = F.col(f"{pre}act") > 0
-        cols = {f"score__{view.name}": F.when(scored, 1 - total([F.col(p) for p in pen]))}
+        scored = named(f"{pre}act") > 0
+        cols = {f"score__{view.name}": F.when(scored, 1 - total([named(p) for p in pen]))}
         for layer in norm.layers:
-            members = [F.col(f"p__{view.name}__{c.id}") for c in norm.constraints if c.layer == layer]
+            members = [named(f"p__{view.name}__{c.id}") for c in norm.constraints if c.layer == layer]
             cols[f"contrib__{view.name}__{layer}"] = F.when(scored, total(members) if members else F.lit(0.0))
         out = out.withColumns(cols).drop(f"{pre}act", *[f"{pre}w_{i}" for i in norm.ids()])
     return out
 
 
-def score(events: DataFrame, norm: Norm, case_aggregates: Mapping[str, Column], keep: Sequence[str]) -> DataFrame:
-    """The scored case table: attributes, scope, signals, violations, penalties and scores."""
-    return with_scores(evaluate(gather(events, norm, case_aggregates), norm, keep), norm)
+def score(
+    events: DataFrame,
+    norm: Norm,
+    case_aggregates: Mapping[str, Column],
+    keep: Sequence[str],
+    case_columns: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """The scored case table: attributes, derived attributes, scope, signals, violations, penalties and scores."""
+    kept = list(dict.fromkeys([*keep, *(case_columns or {}), *norm.derived]))
+    return with_scores(evaluate(gather(events, norm, case_aggregates, case_columns), norm, kept), norm)
 
 
 def long_form(scored: DataFrame, norm: Norm, view: str, keep: Sequence[str]) -> DataFrame:
@@ -474,32 +488,32 @@ def long_form(scored: DataFrame, norm: Norm, view: str, keep: Sequence[str]) ->
         F.struct(
             F.lit(c.id).alias("constraint_id"),
             F.lit(c.layer).alias("layer"),
-            F.col(f"v__{c.id}").alias("v"),
-            F.col(f"s__{c.id}").alias("s"),
-            F.col(f"x__{c.id}").alias("x"),
-            F.col(f"p__{view}__{c.id}").alias("p"),
+            named(f"v__{c.id}").alias("v"),
+            named(f"s__{c.id}").alias("s"),
+            named(f"x__{c.id}").alias("x"),
+            named(f"p__{view}__{c.id}").alias("p"),
         )
         for c in norm.constraints
     ]
-    return scored.select(*keep, F.inline(F.array(*items)))
+    return scored.select(*all_named(keep), F.inline(F.array(*items)))
 
 
 def run_summary(scored: DataFrame, norm: Norm) -> DataFrame:
     """Mean score per view, mean contribution per layer and the share of evaluated cells."""
     n = len(norm.constraints)
-    evaluated = total([F.count(f"v__{c.id}") for c in norm.constraints]) / (F.count(F.lit(1)) * n)
+    evaluated = total([F.count(named(f"v__{c.id}")) for c in norm.constraints]) / (F.count(F.lit(1)) * n)
     rows = [F.struct(F.lit("density").alias("measure"), F.lit("all").alias("name"), F.col("density").alias("value"))]
     aggs = [evaluated.alias("density")]
     for view in norm.views:
-        aggs.append(F.avg(f"score__{view.name}").alias(f"m_{view.name}"))
-        rows.append(F.struct(F.lit("mean_score").alias("measure"), F.lit(view.name).alias("name"), F.col(f"m_{view.name}").alias("value")))
+        aggs.append(F.avg(named(f"score__{view.name}")).alias(f"m_{view.name}"))
+        rows.append(F.struct(F.lit("mean_score").alias("measure"), F.lit(view.name).alias("name"), named(f"m_{view.name}").alias("value")))
         for layer in norm.layers:
-            aggs.append(F.avg(f"contrib__{view.name}__{layer}").alias(f"c_{view.name}_{layer}"))
+            aggs.append(F.avg(named(f"contrib__{view.name}__{layer}")).alias(f"c_{view.name}_{layer}"))
             rows.append(
                 F.struct(
                     F.lit("mean_contribution").alias("measure"),
                     F.lit(f"{view.name}/{layer}").alias("name"),
-                    F.col(f"c_{view.name}_{layer}").alias("value"),
+                    named(f"c_{view.name}_{layer}").alias("value"),
                 )
             )
     return scored.agg(*aggs).select(F.inline(F.array(*rows)))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import holds
+from ..functions.exprs import all_named, holds, named, quoted
 from ..functions.ordered import sort_key
 
 # Placeholder dates that systems write for "no date".
@@ -44,7 +44,7 @@ def check_mapping(raw: DataFrame, mapping: Mapped) -> DataFrame:
     parsed = parse_timestamp(F.col(mapping.timestamp), raw, mapping)
     return raw.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.count(parsed).alias("n_parsed"),
+        F.count(named(parsed)).alias("n_parsed"),
         F.count_distinct(mapping.case_id).alias("n_cases"),
         F.count_distinct(mapping.activity).alias("n_activities"),
     )
@@ -67,12 +67,12 @@ def parse_timestamp(col: Column, raw: DataFrame, mapping: Mapped) -> Column:
 def fill_missing(df: DataFrame, attributes: Sequence[str], label: str) -> DataFrame:
     """NULL text attributes become the label so that groupings keep a key."""
     text = {n for n, t in df.dtypes if t == "string"}
-    return df.withColumns({a: F.coalesce(F.col(a), F.lit(label)) for a in attributes if a in text})
+    return df.withColumns({a: F.coalesce(named(a), F.lit(label)) for a in attributes if a in text})
 
 
 def normalise_exposure(df: DataFrame, column: str) -> DataFrame:
     """Absolute number; text that is no number becomes NULL."""
-    return df.withColumn(column, F.abs(F.expr(f"try_cast(`{column}` as double)")))
+    return df.withColumn(column, F.abs(F.expr(f"try_cast({quoted(column)} as double)")))
 
 
 def typed_log(raw: DataFrame, mapping: Mapped) -> DataFrame:
@@ -89,14 +89,14 @@ def typed_log(raw: DataFrame, mapping: Mapped) -> DataFrame:
     if mapping.missing_label:
         df = fill_missing(df, mapping.attributes, mapping.missing_label)
     roles = {mapping.case_id: "case_id", mapping.activity: "activity"}
-    cols = [F.col(c).alias(n) for c, n in roles.items()]
+    cols = [named(c).alias(n) for c, n in roles.items()]
     cols.append(parse_timestamp(F.col(mapping.timestamp), raw, mapping).alias("ts"))
     if mapping.order:
         cols.append(F.col(mapping.order).alias("ord"))
     cols.append(F.col(mapping.event_id or "seq").alias("seq"))
     taken = {*roles, mapping.timestamp, mapping.order, mapping.event_id, "seq"}
-    cols += [F.col(c) for c in df.columns if c not in taken]
-    return df.select(*cols)
+    cols += [named(c) for c in df.columns if c not in taken]
+    return df.select(*all_named(cols))
 
 
 # --------------------------------------------------------------------------- cleaning
@@ -106,7 +106,7 @@ def drop_exact_duplicates(events: DataFrame, keep: str = "seq") -> DataFrame:
     A grouped minimum, so that a row copied very often is reduced before the shuffle.
     """
     cols = [c for c in events.columns if c != keep]
-    return events.groupBy(*cols).agg(F.min(keep).alias(keep)).select(*events.columns)
+    return events.groupBy(*all_named(cols)).agg(F.min(named(keep)).alias(keep)).select(*all_named(events.columns))
 
 
 def drop_key_duplicates(events: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def drop_key_duplicates(events: DataFrame) -> DataFrame:
     key = ["case_id", "activity", "ts"]
     rest = [c for c in events.columns if c not in key]
     first = F.min_by(F.struct(*rest), sort_key(events)).alias("__first")
-    return events.groupBy(*key).agg(first).select(*key, "__first.*").select(*events.columns)
+    return events.groupBy(*key).agg(first).select(*key, "__first.*").select(*all_named(events.columns))
 
 
 def outside_window(start: Column, end: Column) -> Column:
@@ -138,7 +138,7 @@ def placeholder_as_missing(events: DataFrame, stamps: Sequence[str], activities:
 
 def exact_duplicate_counts(events: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per distinct row: how many copies beyond the first (``extra``)."""
-    return events.groupBy(*columns).agg((F.count(F.lit(1)) - 1).alias("extra"))
+    return events.groupBy(*all_named(columns)).agg((F.count(F.lit(1)) - 1).alias("extra"))
 
 
 def decision_preview(
@@ -157,16 +157,16 @@ def decision_preview(
     aggs, rows = [], []
     for i, kind in enumerate(masks):
         aggs += [
-            F.count_if(F.col(f"h{i}") > 0).alias(f"c{i}"),
-            F.sum(f"h{i}").alias(f"e{i}"),
-            F.count_if((F.col(f"h{i}") > 0) & (F.col(f"h{i}") == F.col("n"))).alias(f"d{i}"),
+            F.count_if(named(f"h{i}") > 0).alias(f"c{i}"),
+            F.sum(named(f"h{i}")).alias(f"e{i}"),
+            F.count_if((named(f"h{i}") > 0) & (named(f"h{i}") == F.col("n"))).alias(f"d{i}"),
         ]
         rows.append(
             F.struct(
                 F.lit(kind).alias("decision"),
-                F.col(f"c{i}").alias("cases"),
-                F.col(f"e{i}").alias("events"),
-                F.col(f"d{i}").alias("cases_emptied"),
+                named(f"c{i}").alias("cases"),
+                named(f"e{i}").alias("events"),
+                named(f"d{i}").alias("cases_emptied"),
             )
         )
     out = per_case.agg(*aggs).select(F.inline(F.array(*rows)))
@@ -180,9 +180,9 @@ def decision_preview(
             rows.append(
                 F.struct(
                     F.lit(kind).alias("decision"),
-                    F.col(f"c{i}").alias("cases"),
-                    F.col(f"e{i}").alias("events"),
-                    F.col(f"c{i}").alias("cases_emptied"),
+                    named(f"c{i}").alias("cases"),
+                    named(f"e{i}").alias("events"),
+                    named(f"c{i}").alias("cases_emptied"),
                 )
             )
         out = out.unionByName(cases.agg(*aggs).select(F.inline(F.array(*rows))))
@@ -192,7 +192,7 @@ def decision_preview(
 def duplicate_preview(events: DataFrame) -> DataFrame:
     """Repeated rows over every column but ``seq``: cases and events touched, and key collisions."""
     cols = [c for c in events.columns if c != "seq"]
-    copies = events.groupBy(*cols).agg((F.count(F.lit(1)) - 1).alias("x"))
+    copies = events.groupBy(*all_named(cols)).agg((F.count(F.lit(1)) - 1).alias("x"))
     exact = copies.groupBy("case_id").agg(F.sum("x").alias("x"))
     keys = events.groupBy("case_id", "activity", "ts").agg((F.count(F.lit(1)) - 1).alias("x"))
     return exact.agg(

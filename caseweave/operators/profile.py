@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import join_on
+from ..functions.exprs import all_named, join_on, named, quoted
 from ..functions.ordered import quantiles, running
 
 # Aggregates of one pass are kept below the size where generated code stops compiling well.
@@ -25,8 +25,8 @@ def is_numeric(dtype: str) -> bool:
 
 def as_timestamp(column: str) -> Column:
     """Text that names at least a full date, as a timestamp; a bare number is none."""
-    parsed = F.expr(f"try_cast(cast(`{column}` as string) as timestamp_ntz)")
-    return F.when(F.col(f"`{column}`").cast("string").rlike(r"^\s*[0-9]{4,}-[0-9]{1,2}-[0-9]{1,2}"), parsed)
+    parsed = F.expr(f"try_cast(cast({quoted(column)} as string) as timestamp_ntz)")
+    return F.when(named(column).cast("string").rlike(r"^\s*[0-9]{4,}-[0-9]{1,2}-[0-9]{1,2}"), parsed)
 
 
 def column_profile(df: DataFrame) -> DataFrame:
@@ -38,22 +38,22 @@ def column_profile(df: DataFrame) -> DataFrame:
         aggs: list[Column] = [F.count(F.lit(1)).alias("n")]
         rows = []
         for i, c in enumerate(part):
-            text = F.col(f"`{c}`").cast("string")
+            text = named(c).cast("string")
             aggs += [
-                F.count_if(F.col(f"`{c}`").isNull() | (text == "")).alias(f"e{i}"),
-                F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}"),
-                F.count(F.expr(f"try_cast(cast(`{c}` as string) as double)")).alias(f"x{i}"),
+                F.count_if(named(c).isNull() | (text == "")).alias(f"e{i}"),
+                F.approx_count_distinct(named(c)).alias(f"d{i}"),
+                F.count(F.expr(f"try_cast(cast({quoted(c)} as string) as double)")).alias(f"x{i}"),
                 F.count(as_timestamp(c)).alias(f"t{i}"),
             ]
-            present = F.col("n") - F.col(f"e{i}")
+            present = F.col("n") - named(f"e{i}")
             if types[c].startswith(("timestamp", "date")):
                 guess = F.lit("timestamp")
             elif is_numeric(types[c]):
                 guess = F.lit("number")
             else:
                 guess = (
-                    F.when((present > 0) & (F.col(f"t{i}") / present > PARSE_SHARE), "timestamp")
-                    .when((present > 0) & (F.col(f"x{i}") / present > PARSE_SHARE), "number")
+                    F.when((present > 0) & (named(f"t{i}") / present > PARSE_SHARE), "timestamp")
+                    .when((present > 0) & (named(f"x{i}") / present > PARSE_SHARE), "number")
                     .otherwise("string")
                 )
             rows.append(
@@ -62,10 +62,10 @@ def column_profile(df: DataFrame) -> DataFrame:
                     F.lit(types[c]).alias("storage"),
                     guess.alias("guess"),
                     F.col("n").alias("n_rows"),
-                    F.col(f"e{i}").alias("n_empty"),
-                    F.col(f"d{i}").alias("approx_distinct"),
-                    F.col(f"x{i}").alias("n_numeric"),
-                    F.col(f"t{i}").alias("n_timestamp"),
+                    named(f"e{i}").alias("n_empty"),
+                    named(f"d{i}").alias("approx_distinct"),
+                    named(f"x{i}").alias("n_numeric"),
+                    named(f"t{i}").alias("n_timestamp"),
                 )
             )
         profile = df.agg(*aggs).select(F.inline(F.array(*rows)))
@@ -101,8 +101,8 @@ def _values(cases: DataFrame, attributes: Sequence[str]) -> DataFrame:
     items = [
         F.struct(
             F.lit(a).alias("name"),
-            F.col(f"`{a}`").cast("string").alias("value"),
-            F.expr(f"try_cast(cast(`{a}` as string) as double)").alias("num"),
+            named(a).cast("string").alias("value"),
+            F.expr(f"try_cast(cast({quoted(a)} as string) as double)").alias("num"),
         )
         for a in attributes
     ]
@@ -128,7 +128,7 @@ def attribute_inventory(cases: DataFrame, attributes: Sequence[str]) -> DataFram
         F.when(F.col("is_number"), "number").otherwise("text").alias("kind"),
         "distinct",
         "missing",
-        *[F.when(F.col("is_number"), F.col(p)).alias(p) for p in probs],
+        *[F.when(F.col("is_number"), named(p)).alias(p) for p in probs],
     )
 
 
@@ -146,8 +146,8 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     """The first ``k`` rows per key; Spark cuts each partition to ``k`` before the shuffle."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
+    w = Window.partitionBy(*all_named(keys)).orderBy(*order)
+    return df.withColumn(name, F.row_number().over(w)).where(named(name) <= k)
 
 
 def category(col: Column, dtype: str, missing_label: str | None = "(missing)") -> Column:
@@ -162,13 +162,13 @@ def field_profiles(marked: DataFrame, fields: Sequence[str], missing_label: str
     types = dict(marked.dtypes)
     aggs, rows, numbers = [], [], []
     for i, f in enumerate(fields):
-        c = category(F.col(f"`{f}`"), types[f], missing_label)
+        c = category(named(f), types[f], missing_label)
         aggs += [F.count_if(c.isNull()).alias(f"m{i}"), F.count_if(F.col("selected") & c.isNull()).alias(f"s{i}")]
-        rows.append(F.struct(F.lit(f).alias("name"), F.col(f"m{i}").alias("missing_total"), F.col(f"s{i}").alias("missing_selected")))
+        rows.append(F.struct(F.lit(f).alias("name"), named(f"m{i}").alias("missing_total"), named(f"s{i}").alias("missing_selected")))
         if is_numeric(types[f]):
-            numbers.append(F.struct(F.lit(f).alias("name"), F.col(f"`{f}`").cast("double").alias("num")))
+            numbers.append(F.struct(F.lit(f).alias("name"), named(f).cast("double").alias("num")))
     out = marked.agg(*aggs).select(F.inline(F.array(*rows)))
-    items = [F.struct(F.lit(f).alias("name"), category(F.col(f"`{f}`"), types[f], missing_label).alias("v")) for f in fields]
+    items = [F.struct(F.lit(f).alias("name"), category(named(f), types[f], missing_label).alias("v")) for f in fields]
     distinct = marked.select(F.inline(F.array(*items))).where(F.col("v").isNotNull()).distinct()
     distinct = distinct.groupBy("name").agg(F.count(F.lit(1)).alias("distinct"))
     out = join_on(out, distinct, ["name"], "left").fillna(0, ["distinct"])
@@ -184,10 +184,10 @@ def average_rank(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFra
     """Per distinct value: its count, the rows below it and the average 1-based rank of its ties."""
     from ..functions.ordered import bucket
 
-    hist = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
+    hist = df.groupBy(*all_named(keys), value).agg(F.count(F.lit(1)).alias("ties"))
     out = running(hist, keys, [F.asc(value)], {"__bk": bucket(F.col(value))}, {"__cum": F.col("ties")})
     return out.select(
-        *keys,
+        *all_named(keys),
         value,
         "ties",
         (F.col("__cum") - F.col("ties")).alias("below"),

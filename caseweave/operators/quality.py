@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import holds, join_on, micros, period_label, text_rows
+from ..functions.exprs import all_named, holds, join_on, micros, named, period_label, text_rows
 from ..functions.ordered import quantiles
 from ..session import store
 from .prepare import PLACEHOLDER_DATES
@@ -186,7 +186,7 @@ def duplicate_events(events: DataFrame) -> DataFrame:
     kinds = {"key": ["case_id", "activity", "ts"], "exact": [c for c in events.columns if c != "seq"]}
     out: DataFrame | None = None
     for kind, cols in kinds.items():
-        copies = events.groupBy(*cols).agg((F.count(F.lit(1)) - 1).alias("x"))
+        copies = events.groupBy(*all_named(cols)).agg((F.count(F.lit(1)) - 1).alias("x"))
         cases = copies.groupBy("case_id").agg(F.sum("x").alias("x"))
         row = cases.agg(F.sum("x").alias("n_events"), F.count_if(F.col("x") > 0).alias("n_cases"))
         row = row.select(F.lit(kind).alias("kind"), "n_events", (F.col("n_events") / n).alias("share"), "n_cases")
@@ -234,7 +234,7 @@ def lag_precision_notes(precision: DataFrame, lags: Mapping[str, tuple[Sequence[
     for i, (cid, (a, b)) in enumerate(lags.items()):
         for side, labels in (("a", a), ("b", b)):
             aggs.append(F.avg(F.when(F.col("activity").isin(list(labels)), F.col("share_date_only"))).alias(f"{side}{i}"))
-        rows.append(F.struct(F.lit(cid).alias("constraint_id"), F.col(f"a{i}").alias("share_a"), F.col(f"b{i}").alias("share_b")))
+        rows.append(F.struct(F.lit(cid).alias("constraint_id"), named(f"a{i}").alias("share_a"), named(f"b{i}").alias("share_b")))
     out = precision.agg(*aggs).select(F.inline(F.array(*rows)))
     return out.where(F.abs(F.col("share_a") - F.col("share_b")) > 0.5)
 
@@ -285,9 +285,9 @@ def vocabulary_drift(events: DataFrame, grain: str = "month", min_events: int =
     usable = F.col("eligible").cast("int")
     grid = grid.withColumns(
         {
-            "before": F.coalesce(F.sum(counted).over(earlier), F.lit(0)),
-            "after": F.coalesce(F.sum(counted).over(later), F.lit(0)),
-            "has_before": F.coalesce(F.sum(usable).over(earlier), F.lit(0)) > 0,
+            "before": F.coalesce(F.sum(named(counted)).over(earlier), F.lit(0)),
+            "after": F.coalesce(F.sum(named(counted)).over(later), F.lit(0)),
+            "has_before": F.coalesce(F.sum(named(usable)).over(earlier), F.lit(0)) > 0,
         }
     )
     grid = grid.withColumn("ref", F.when(F.col("has_before"), F.col("before")).otherwise(F.col("after")))
@@ -325,10 +325,10 @@ def frequency_drift(
     starts = pairs.groupBy("case_id").agg(F.min("t").alias("start")).where(F.col("start").isNotNull())
     starts = starts.select("case_id", period_label(F.col("start"), grain).alias("period"), "start")
     per_period = starts.groupBy("period").agg(F.count(F.lit(1)).alias("n_cases"), F.max("start").alias("__any"))
-    named = pairs.where(F.col("activity").isNotNull())
-    counts = join_on(named, starts, ["case_id"]).groupBy("activity", "period").agg(F.count(F.lit(1)).alias("n_with"))
+    labelled = pairs.where(F.col("activity").isNotNull())
+    counts = join_on(labelled, starts, ["case_id"]).groupBy("activity", "period").agg(F.count(F.lit(1)).alias("n_with"))
     periods = per_period.agg(F.sort_array(F.collect_set("period"))).scalar()
-    grid = named.select("activity").distinct().withColumn("period", F.explode(periods))
+    grid = labelled.select("activity").distinct().withColumn("period", F.explode(periods))
     grid = join_on(grid, counts, ["activity", "period"], "left").fillna(0)
     out = grid.join(per_period, "period")
     step = {"month": "MONTH", "quarter": "QUARTER", "year": "YEAR"}[grain]
@@ -412,29 +412,29 @@ def logging_asymmetry(events: DataFrame, pairs: DataFrame, norm_labels: Sequence
         F.count_if(F.col("r") > 0).alias("cases_with_release"),
         F.count_if((F.col("r") > 0) & (F.col("s") == 0)).alias("cases_release_without_set"),
     )
-    named = list(norm_labels) or [""]
+    labelled = list(norm_labels) or [""]
     return out.withColumns(
         {
             "event_ratio": F.when(F.col("n_setting_events") > 0, F.col("n_releasing_events") / F.col("n_setting_events")),
             "share_release_without_set": F.when(
                 F.col("cases_with_release") > 0, F.col("cases_release_without_set") / F.col("cases_with_release")
             ),
-            "setting_in_norm": F.col("setting").isin(named),
-            "releasing_in_norm": F.col("releasing").isin(named),
+            "setting_in_norm": F.col("setting").isin(labelled),
+            "releasing_in_norm": F.col("releasing").isin(labelled),
         }
     )
 
 
-def norm_evidence(events: DataFrame, named: Mapping[str, Sequence[str]]) -> DataFrame:
+def norm_evidence(events: DataFrame, labelled: Mapping[str, Sequence[str]]) -> DataFrame:
     """Labels that constraints name but the log never carries."""
-    rows = [(cid, label) for cid, labels in named.items() for label in labels]
+    rows = [(cid, label) for cid, labels in labelled.items() for label in labels]
     wanted = text_rows(events.sparkSession, rows, ["constraint_id", "activity"])
     return join_on(wanted, events.select("activity").distinct(), ["activity"], "left_anti")
 
 
-def norm_relevance(events: DataFrame, named: Mapping[str, Sequence[str]]) -> DataFrame:
+def norm_relevance(events: DataFrame, labelled: Mapping[str, Sequence[str]]) -> DataFrame:
     """Per constraint: events and distinct cases that carry one of its labels."""
-    rows = [(cid, label) for cid, labels in named.items() for label in labels]
+    rows = [(cid, label) for cid, labels in labelled.items() for label in labels]
     wanted = text_rows(events.sparkSession, rows, ["constraint_id", "activity"])
     counts = events.groupBy("case_id", "activity").agg(F.count(F.lit(1)).alias("n"))
     hit = counts.join(wanted, "activity").groupBy("constraint_id", "case_id").agg(F.sum("n").alias("n"))
@@ -447,7 +447,7 @@ def norm_relevance(events: DataFrame, named: Mapping[str, Sequence[str]]) -> Dat
 def exposure_sanity(cases: DataFrame, group: str, decades: float = THRESHOLDS["exposure_decades"]) -> DataFrame:
     """Per group: median magnitude, its distance to the overall median, share of cases far from the group median."""
     rows = cases.where(F.col("exposure") > 0).select(
-        F.coalesce(F.col(group).cast("string"), F.lit("(missing)")).alias("group"), F.log10("exposure").alias("lg")
+        F.coalesce(named(group).cast("string"), F.lit("(missing)")).alias("group"), F.log10("exposure").alias("lg")
     )
     rows = store(rows)
     whole = quantiles(rows, [], "lg", {"m": 0.5}).scalar()
@@ -471,11 +471,11 @@ def window_edges(cases: DataFrame, lags: Mapping[str, tuple[str, int]], end_us:
     """
     aggs, rows = [], []
     for i, (cid, (col, horizon)) in enumerate(lags.items()):
-        aggs += [F.count(col).alias(f"n{i}"), F.count_if(micros(F.col(col)) > F.lit(end_us - horizon)).alias(f"e{i}")]
+        aggs += [F.count(named(col)).alias(f"n{i}"), F.count_if(micros(named(col)) > F.lit(end_us - horizon)).alias(f"e{i}")]
         rows.append(
-            F.struct(F.lit(cid).alias("constraint_id"), F.col(f"n{i}").alias("n_with_activation"), F.col(f"e{i}").alias("n_edge"))
+            F.struct(F.lit(cid).alias("constraint_id"), named(f"n{i}").alias("n_with_activation"), named(f"e{i}").alias("n_edge"))
         )
-    out = (cases.groupBy(*by) if by else cases).agg(*aggs).select(*by, F.inline(F.array(*rows)))
+    out = (cases.groupBy(*all_named(by)) if by else cases).agg(*aggs).select(*all_named(by), F.inline(F.array(*rows)))
     ratio = F.when(F.col("n_with_activation") > 0, F.col("n_edge") / F.col("n_with_activation"))
     return out.withColumn("edge_share", ratio)
 
@@ -494,7 +494,7 @@ def replication(events: DataFrame) -> DataFrame:
 
 def cross_case_replication(events: DataFrame, document: str) -> DataFrame:
     """Per case: share of its events whose document, activity and stamp also occur in another case."""
-    rows = events.where(F.col(document).isNotNull() & F.col("ts").isNotNull())
+    rows = events.where(named(document).isNotNull() & F.col("ts").isNotNull())
     per_case = rows.groupBy(document, "activity", "ts", "case_id").agg(F.count(F.lit(1)).alias("n"))
     per_case = store(per_case)
     shared = per_case.groupBy(document, "activity", "ts").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
@@ -523,7 +523,7 @@ def caveats_by(cases: DataFrame, by: Sequence[str], kinds: Sequence[str]) -> Dat
     """Per group: its size and the share of flagged cases per caveat kind."""
     flags = {kind: flag for kind, flag, _, _ in CAVEATS if kind in kinds}
     shares = [F.avg(holds(F.col(flag)).cast("double")).alias(f"{kind}_share") for kind, flag in flags.items()]
-    return cases.groupBy(*by).agg(F.count(F.lit(1)).alias("n_cases"), *shares)
+    return cases.groupBy(*all_named(by)).agg(F.count(F.lit(1)).alias("n_cases"), *shares)
 
 
 def caveats_long(groups: DataFrame, by: Sequence[str], kinds: Sequence[str], min_share: float = 0.0) -> DataFrame:
@@ -531,13 +531,13 @@ def caveats_long(groups: DataFrame, by: Sequence[str], kinds: Sequence[str], min
     items = [
         F.struct(
             F.lit(kind).alias("caveat"),
-            F.col(f"{kind}_share").alias("share"),
-            status(F.col(f"{kind}_share"), THRESHOLDS[warn], THRESHOLDS[fail]).alias("status"),
+            named(f"{kind}_share").alias("share"),
+            status(named(f"{kind}_share"), THRESHOLDS[warn], THRESHOLDS[fail]).alias("status"),
         )
         for kind, _, warn, fail in CAVEATS
         if kind in kinds
     ]
-    return groups.select(*by, "n_cases", F.inline(F.array(*items))).where(F.col("share") > min_share)
+    return groups.select(*all_named(by), "n_cases", F.inline(F.array(*items))).where(F.col("share") > min_share)
 
 
 def caveat_summary(long: DataFrame, groups: DataFrame, factor: float = 1.5) -> DataFrame:

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import holds, join_on, plus
+from ..functions.exprs import all_named, holds, join_on, named, plus
 from ..functions.ordered import sort_key
 from ..session import store
 
@@ -30,7 +30,7 @@ def _scope(events: DataFrame, selected: DataFrame | None) -> DataFrame:
 
 def _first_per(events: DataFrame, hit: Column, keys: Sequence[str]) -> DataFrame:
     """The sort key of the first hit per ``keys``; a grouped minimum, no window."""
-    return events.where(hit).groupBy(*keys).agg(F.min(sort_key(events)).alias("__first"))
+    return events.where(hit).groupBy(*all_named(keys)).agg(F.min(sort_key(events)).alias("__first"))
 
 
 def delete_activity(events: DataFrame, activity: Any, selected: DataFrame | None = None) -> DataFrame:
@@ -43,7 +43,7 @@ def keep_first(events: DataFrame, activity: Any, selected: DataFrame | None = No
     rows = _scope(events, selected).withColumn("__hit", F.col("__in") & holds(F.col("activity").isin(_labels(activity))))
     first = _first_per(rows, F.col("__hit"), ["case_id", "activity"])
     marked = rows.join(first, ["case_id", "activity"], "left")
-    return marked.where(~F.col("__hit") | (sort_key(events) == F.col("__first"))).select(*events.columns)
+    return marked.where(~F.col("__hit") | (sort_key(events) == F.col("__first"))).select(*all_named(events.columns))
 
 
 def move_event(
@@ -56,12 +56,12 @@ def move_event(
         rows = join_on(rows, first, ["case_id"], "left")
         rows = rows.withColumn("__hit", F.col("__hit") & (sort_key(events) == F.col("__first")))
     moved = F.when(F.col("__hit"), plus(F.col("ts"), F.lit(float(by)), unit)).otherwise(F.col("ts"))
-    return rows.withColumn("ts", moved).select(*events.columns)
+    return rows.withColumn("ts", moved).select(*all_named(events.columns))
 
 
 def set_attribute(events: DataFrame, attribute: str, value: Any, selected: DataFrame | None = None) -> DataFrame:
     rows = _scope(events, selected)
-    old = F.col(attribute) if attribute in events.columns else F.lit(None)
+    old = named(attribute) if attribute in events.columns else F.lit(None)
     return rows.withColumn(attribute, F.when(F.col("__in"), F.lit(value)).otherwise(old)).drop("__in")
 
 
@@ -102,7 +102,7 @@ def cap_lag(
     if shift_following:
         back = F.timestamp_diff("MICROSECOND", old, new)
         out = out.when(holds(ts > old), F.timestamp_add("MICROSECOND", back, ts))
-    return rows.withColumn("ts", out.otherwise(ts)).select(*events.columns)
+    return rows.withColumn("ts", out.otherwise(ts)).select(*all_named(events.columns))
 
 
 # --------------------------------------------------------------------------- chains

@@ -15,7 +15,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import holds, join_on
+from ..functions.exprs import all_named, holds, join_on, named
 from ..functions.ordered import rank_rows
 from ..session import store
 from .backlog import GAMMA, group_scores, label_keys, overall, ranked, shortfall
@@ -51,11 +51,11 @@ def replicate_sums(
 
     Rows with weight 0 are dropped before the aggregate, the rest is combined map-side.
     """
-    per_unit = rows.groupBy(unit, *keys).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    h1, h2 = unit_hash(F.col(unit), seed)
+    per_unit = rows.groupBy(unit, *all_named(keys)).agg(*[F.sum(named(c)).alias(n) for n, c in sums.items()])
+    h1, h2 = unit_hash(named(unit), seed)
     drawn = per_unit.withColumns({"__h1": h1, "__h2": h2}).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     drawn = drawn.withColumn("__w", poisson_weight(F.col("__h1"), F.col("__h2"), F.col("b"))).where(F.col("__w") > 0)
-    return drawn.groupBy("b", *keys).agg(*[F.sum(F.col("__w") * F.col(n)).alias(n) for n in sums])
+    return drawn.groupBy("b", *all_named(keys)).agg(*[F.sum(F.col("__w") * F.col(n)).alias(n) for n in sums])
 
 
 def bootstrap_backlog(
@@ -74,12 +74,12 @@ def bootstrap_backlog(
     volume: str | None = None,
 ) -> DataFrame:
     """Intervals of gap, priority and rank per group, chance to be in the top, and a stability badge."""
-    s = F.col(f"score__{view}")
+    s = named(f"score__{view}")
     rows = label_keys(scored.where(s.isNotNull()), keys)
-    size = F.coalesce(F.col(volume).cast("double"), F.lit(0.0)) if volume else F.lit(1).cast("double")
+    size = F.coalesce(named(volume).cast("double"), F.lit(0.0)) if volume else F.lit(1).cast("double")
     sums = {"n": F.lit(1).cast("double"), "ssum": s, "vol": size}
     unit = [cluster] if cluster in keys else []
-    rows = rows.withColumn("__unit", F.col(cluster).cast("string")) if unit else rows.withColumnRenamed(cluster, "__unit")
+    rows = rows.withColumn("__unit", named(cluster).cast("string")) if unit else rows.withColumnRenamed(cluster, "__unit")
     draws = store(replicate_sums(rows, keys, "__unit", sums, replicates, seed))
     per_b = draws.groupBy("b").agg((F.sum("ssum") / F.sum("n")).alias("mu_bar"))
     mean = F.lit(baseline) if baseline is not None else F.col("mu_bar")
@@ -89,7 +89,7 @@ def bootstrap_backlog(
     d = d.withColumn("gap", F.greatest(mean - F.col("ssum") / n, F.lit(0.0)))
     vol = F.col("vol")
     d = d.withColumns({"PI": vol * F.col("gap"), "stable_gap": shrink * F.col("gap"), "stable_PI": vol * shrink * F.col("gap")})
-    order = [F.desc("stable_PI"), F.desc("n"), *[F.asc(k) for k in keys]]
+    order = [F.desc("stable_PI"), F.desc("n"), *[F.asc(named(k)) for k in keys]]
     d = rank_rows(d.drop("mu_bar", "ssum", "vol"), order, ["stable_PI", "n"], keys=["b"], name="rank_b")
     tail = (1.0 - level) / 2.0
     metrics = {"gap": "gap", "stable_gap": "stable_gap", "PI": "PI", "stable_PI": "stable_PI", "rank": "rank_b"}
@@ -99,13 +99,13 @@ def bootstrap_backlog(
         aggs += [F.percentile(col, tail).alias(f"{name}_lo"), F.percentile(col, 1 - tail).alias(f"{name}_hi")]
     for k in top:
         aggs.append((F.count_if((F.col("rank_b") <= k) & (F.col("stable_PI") > 0)) / replicates).alias(f"p_top{k}"))
-    stats = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_draws"), *aggs)
+    stats = d.groupBy(*all_named(keys)).agg(F.count(F.lit(1)).alias("n_draws"), *aggs)
     groups = store(group_scores(scored, keys, view, volume))
     point = ranked(shortfall(groups, F.lit(baseline) if baseline is not None else overall(groups), gamma), keys)
-    out = point.select(*keys, "n_cases", "stable_gap", "stable_PI", "rank").join(stats, list(keys), "left")
+    out = point.select(*all_named(keys), "n_cases", "stable_gap", "stable_PI", "rank").join(stats, list(keys), "left")
     k = max(top)
     in_top = (F.col("rank") <= k) & (F.col("stable_PI") > 0)
-    stays = F.when(in_top, F.col(f"p_top{k}")).otherwise(1 - F.col(f"p_top{k}"))
+    stays = F.when(in_top, named(f"p_top{k}")).otherwise(1 - named(f"p_top{k}"))
     badge = (
         F.when(F.col("n_cases") < min_support, "insufficient_support")
         .when(stays >= 0.8, "stable")
@@ -119,17 +119,17 @@ def bootstrap_contrast(
     scored: DataFrame, norm: Norm, view: str, where: Column, *, replicates: int = 200, seed: int = 0, level: float = 0.90
 ) -> DataFrame:
     """Interval of each waterfall bar: mean penalty in the slice minus mean penalty of all cases."""
-    rows = scored.where(F.col(f"score__{view}").isNotNull()).withColumn("__in", holds(where))
+    rows = scored.where(named(f"score__{view}").isNotNull()).withColumn("__in", holds(where))
     ids = norm.ids()
-    sums = {"n": F.lit(1).cast("double"), **{f"s_{i}": F.col(f"p__{view}__{c}") for i, c in enumerate(ids)}}
+    sums = {"n": F.lit(1).cast("double"), **{f"s_{i}": named(f"p__{view}__{c}") for i, c in enumerate(ids)}}
     draws = replicate_sums(rows, ["__in"], "case_id", sums, replicates, seed)
     total_n, slice_n = F.sum("n"), F.sum(F.when(F.col("__in"), F.col("n")))
     bars = [
-        (F.sum(F.when(F.col("__in"), F.col(f"s_{i}"))) / slice_n - F.sum(f"s_{i}") / total_n).alias(f"d_{i}")
+        (F.sum(F.when(F.col("__in"), named(f"s_{i}"))) / slice_n - F.sum(named(f"s_{i}")) / total_n).alias(f"d_{i}")
         for i in range(len(ids))
     ]
     per_b = draws.groupBy("b").agg(*bars)
-    items = [F.struct(F.lit(c).alias("constraint_id"), F.col(f"d_{i}").alias("d")) for i, c in enumerate(ids)]
+    items = [F.struct(F.lit(c).alias("constraint_id"), named(f"d_{i}").alias("d")) for i, c in enumerate(ids)]
     long = per_b.select(F.inline(F.array(*items)))
     tail = (1.0 - level) / 2.0
     return long.groupBy("constraint_id").agg(
@@ -142,10 +142,10 @@ def estimate_gamma(groups: DataFrame) -> Column:
     """Shrinkage by moments: within-group variance over the variance between group means."""
     n, sd, mean = F.col("n_cases"), F.coalesce(F.col("sd_score"), F.lit(0.0)), F.col("mean_score")
     within = F.try_divide(F.sum((n - 1) * sd * sd), F.sum(n - 1))
-    total = F.sum(n * mean * mean) - F.try_divide(F.sum(n * mean) * F.sum(n * mean), F.sum(n))
+    total = F.sum(n * mean * mean) - F.try_divide(F.sum(n * mean) * F.sum(n * mean), F.sum(named(n)))
     # A single group has no variance between groups: the result is then NULL.
     others = F.count(F.lit(1)) - 1
-    size = F.try_divide(F.sum(n) - F.try_divide(F.sum((n * n).cast("double")), F.sum(n)), others)
+    size = F.try_divide(F.sum(named(n)) - F.try_divide(F.sum((n * n).cast("double")), F.sum(named(n))), others)
     between = F.try_divide(F.try_divide(total, others) - within, size)
     return groups.where(n > 1).agg(F.when(between > 0, within / between)).scalar()
 
@@ -200,29 +200,29 @@ def sensitivity(
     settings.  ``gathered`` holds the per-case quantities of ``scaled_norm``.
     """
     v = norm.view(view)
-    with_w = with_weights(scored.select("case_id", *keys, f"score__{view}", *[f"v__{c}" for c in norm.ids()]), norm, v, "__j_")
+    with_w = with_weights(scored.select("case_id", *all_named(keys), named(f"score__{view}"), *all_named(f"v__{c}" for c in norm.ids())), norm, v, "__j_")
     alternatives: dict[str, Column] = {}
     variants = scaled_constraints(norm, factors)
     helper = {f"__v_{c.id}": violation(c, norm) for c, _, _ in variants}
     probe = gathered.select("case_id", *[e.alias(n) for n, e in helper.items()])
     rows = join_on(with_w, probe, ["case_id"])
-    s = F.col(f"score__{view}")
+    s = named(f"score__{view}")
     settings: list[tuple[str, str, str, float]] = [("reference", "reference", "reference", gamma)]
     alternatives["reference"] = s
     for scaled, cid, f in variants:
-        old = F.col(f"v__{cid}")
-        new = F.when(old.isNotNull(), F.coalesce(F.col(f"__v_{scaled.id}"), old))
-        change = F.coalesce((new - old) * F.col(f"__j_w_{cid}"), F.lit(0.0))
+        old = named(f"v__{cid}")
+        new = F.when(old.isNotNull(), F.coalesce(named(f"__v_{scaled.id}"), old))
+        change = F.coalesce((new - old) * named(f"__j_w_{cid}"), F.lit(0.0))
         alternatives[f"{cid}×{f:g}"] = s - change
         settings.append((f"{cid}×{f:g}", "threshold", f"{cid}×{f:g}", gamma))
     out = rows
     for i, w in enumerate(jitter_weights(norm, v, draws, spread, seed)):
         out = with_weights(out, norm, View(f"j{i}", constraint_weights=w), f"__k{i}_")
-        pen = [F.coalesce(F.col(f"v__{c}"), F.lit(0.0)) * F.col(f"__k{i}_w_{c}") for c in norm.ids()]
+        pen = [F.coalesce(named(f"v__{c}"), F.lit(0.0)) * named(f"__k{i}_w_{c}") for c in norm.ids()]
         total = pen[0]
         for p in pen[1:]:
             total = total + p
-        alternatives[f"weights~{i + 1}"] = F.when(F.col(f"__k{i}_act") > 0, 1 - total)
+        alternatives[f"weights~{i + 1}"] = F.when(named(f"__k{i}_act") > 0, 1 - total)
         settings.append((f"weights~{i + 1}", "weights", f"weights~{i + 1}", gamma))
     for g in dict.fromkeys(round(x, 6) for x in (0.0, gamma / 2.0, 2.0 * gamma)):
         if g != round(gamma, 6):
@@ -231,31 +231,31 @@ def sensitivity(
     aggs = []
     for i, n in enumerate(names):
         aggs += [F.count(alternatives[n]).alias(f"n{i}"), F.sum(alternatives[n]).alias(f"s{i}")]
-    groups = store(label_keys(out.where(s.isNotNull()), keys).groupBy(*keys).agg(*aggs))
+    groups = store(label_keys(out.where(s.isNotNull()), keys).groupBy(*all_named(keys)).agg(*aggs))
     items = [
         F.struct(
             F.lit(setting).alias("setting"),
             F.lit(kind).alias("kind"),
             F.lit(float(g)).alias("gamma"),
-            F.col(f"n{names.index(source)}").alias("n_cases"),
-            F.col(f"s{names.index(source)}").alias("sum_score"),
+            named(f"n{names.index(source)}").alias("n_cases"),
+            named(f"s{names.index(source)}").alias("sum_score"),
         )
         for setting, kind, source, g in settings
     ]
-    long = groups.select(*keys, F.inline(F.array(*items))).where(F.col("n_cases") > 0)
+    long = groups.select(*all_named(keys), F.inline(F.array(*items))).where(F.col("n_cases") > 0)
     point = store(group_scores(scored, keys, view))
-    g_hat = point.select(*keys, F.lit("gamma_hat").alias("setting"), F.lit("gamma").alias("kind"), estimate_gamma(point).alias("gamma"), "n_cases", "sum_score")
+    g_hat = point.select(*all_named(keys), F.lit("gamma_hat").alias("setting"), F.lit("gamma").alias("kind"), estimate_gamma(point).alias("gamma"), "n_cases", "sum_score")
     long = store(long.unionByName(g_hat.where(F.col("gamma").isNotNull())))
     base = long.groupBy("setting").agg((F.sum("sum_score") / F.sum("n_cases")).alias("mu"))
     d = long.join(base, "setting")
     n = F.col("n_cases")
     gap = F.greatest(F.col("mu") - F.col("sum_score") / n, F.lit(0.0))
     d = d.withColumn("stable_PI", n * n / (n + F.col("gamma")) * gap).drop("mu", "sum_score")
-    order = [F.desc("stable_PI"), F.desc("n_cases"), *[F.asc(c) for c in keys]]
+    order = [F.desc("stable_PI"), F.desc("n_cases"), *[F.asc(named(c)) for c in keys]]
     d = store(rank_rows(d, order, ["stable_PI", "n_cases"], keys=["setting"]))
     in_top = (F.col("rank") <= k) & (F.col("stable_PI") > 0)
     n_settings = d.agg(F.count_distinct("setting")).scalar()
-    per_group = d.groupBy(*keys).agg(
+    per_group = d.groupBy(*all_named(keys)).agg(
         F.max(F.when(F.col("setting") == "reference", F.col("rank"))).alias("rank_ref"),
         F.min("rank").alias("rank_min"),
         F.max("rank").alias("rank_max"),
@@ -263,7 +263,7 @@ def sensitivity(
     )
     per_group = per_group.withColumn("n_settings", n_settings)
     per_group = per_group.withColumn("always_topk", F.col("topk_settings") == F.col("n_settings"))
-    ref = d.where((F.col("setting") == "reference") & (F.col("rank") <= k)).select(*keys, F.lit(True).alias("__ref"))
+    ref = d.where((F.col("setting") == "reference") & (F.col("rank") <= k)).select(*all_named(keys), F.lit(True).alias("__ref"))
     marked = d.join(ref, list(keys), "left").withColumn("__ref", F.coalesce("__ref", F.lit(False)))
     mine = F.col("rank") <= k
     per_setting = marked.groupBy("setting", "kind").agg(

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import REGISTRY, Entry
 
-MODULES = ("sources", "cases", "filters", "quality", "scoring", "reports", "explain", "transforms", "flow", "eda", "match")
+MODULES = ("sources", "cases", "filters", "quality", "scoring", "reports", "explain", "transforms", "flow", "eda", "match", "documents")
 
 
 def load() -> dict[str, Entry]:
