@@ -44,18 +44,95 @@ def poisson_weight(h1: Column, h2: Column, replicate: Column) -> Column:
     return out.cast("bigint")
 
 
+def _poisson_edges() -> list[float]:
+    edges, cum = [], 0.0
+    for k in range(11):
+        cum += math.exp(-1.0) / math.factorial(k)
+        edges.append(cum)
+    return edges
+
+
+# Weights are drawn for at most this many pairs of row and replicate at once, and a task keeps this many sums.
+DRAWN_AT_ONCE = 2_000_000
+SUMS_KEPT = 8_000_000
+
+
 def replicate_sums(
     rows: DataFrame, keys: Sequence[str], unit: str, sums: Mapping[str, Column], replicates: int, seed: int
 ) -> DataFrame:
-    """Weighted sums per replicate and group; rows of one unit and group are added up first.
+    """Weighted sums for every group and every replicate, also those in which no row of the group is drawn.
 
-    Rows with weight 0 are dropped before the aggregate, the rest is combined map-side.
+    A task holds one vector of replicate sums per group and adds each row's weights to it, so rows are
+    never multiplied by replicates.  Vectors of the same group are then added element by element.
+    Rows of one unit share its hash and so its weight; they need not be brought together.
     """
-    per_unit = rows.groupBy(unit, *all_named(keys)).agg(*[F.sum(named(c)).alias(n) for n, c in sums.items()])
+    names, edges, prime = list(sums), _poisson_edges(), PRIME
     h1, h2 = unit_hash(named(unit), seed)
-    drawn = per_unit.withColumns({"__h1": h1, "__h2": h2}).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    drawn = drawn.withColumn("__w", poisson_weight(F.col("__h1"), F.col("__h2"), F.col("b"))).where(F.col("__w") > 0)
-    return drawn.groupBy("b", *all_named(keys)).agg(*[F.sum(F.col("__w") * F.col(n)).alias(n) for n in sums])
+    group = F.to_json(F.array(*[named(k).cast("string") for k in keys]), {"ignoreNullFields": "false"})
+    light = rows.select(group.alias("g"), h1.alias("h1"), h2.alias("h2"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in sums.items()])
+    drawn_at_once, sums_kept = DRAWN_AT_ONCE, SUMS_KEPT
+
+    def out(found: dict):
+        import pyarrow as pa
+
+        values = list(found.values())
+        columns = [pa.array(list(found), pa.string()), *(pa.array([v[i] for v in values], pa.list_(pa.float64())) for i in range(len(names)))]
+        return pa.RecordBatch.from_arrays(columns, ["g", *names])
+
+    def drawn(batches):
+        import numpy as np
+
+        replicate = np.arange(1, replicates + 1, dtype=np.int64)
+        limits = np.array(edges)
+        step = max(1, drawn_at_once // replicates)
+        found: dict = {}
+        for batch in batches:
+            dictionary = batch.column("g").dictionary_encode()
+            labels, codes = dictionary.dictionary.to_pylist(), dictionary.indices.to_numpy()
+            hashes = [batch.column(c).to_numpy() for c in ("h1", "h2")]
+            x = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names])
+            order = np.argsort(codes, kind="stable")
+            for first in range(0, len(order), step):
+                at = order[first : first + step]
+                u = (hashes[0][at, None] + replicate[None, :] * hashes[1][at, None]) % prime / float(prime)
+                w = np.searchsorted(limits, u.ravel(), side="right").reshape(u.shape).astype(float)
+                starts = np.flatnonzero(np.r_[True, codes[at][1:] != codes[at][:-1]])
+                for i in range(len(starts)):
+                    part = slice(starts[i], starts[i + 1] if i + 1 < len(starts) else None)
+                    label = labels[codes[at[starts[i]]]]
+                    added = x[:, at[part]] @ w[part]
+                    found[label] = found[label] + added if label in found else added
+            if len(found) * replicates * len(names) > sums_kept:
+                yield out(found)
+                found = {}
+        if found:
+            yield out(found)
+
+    def added(batches):
+        import numpy as np
+
+        now, held = None, None
+        for batch in batches:
+            done: dict = {}
+            vectors = [np.stack([v.values.to_numpy() for v in batch.column(n)]) for n in names] if batch.num_rows else []
+            for i, label in enumerate(batch.column("g").to_pylist()):
+                vector = np.stack([v[i] for v in vectors])
+                if label == now:
+                    held = held + vector
+                    continue
+                if now is not None:
+                    done[now] = held
+                now, held = label, vector
+            if done:
+                yield out(done)
+        if now is not None:
+            yield out({now: held})
+
+    schema = ", ".join(["g string", *(f"{n} array<double>" for n in names)])
+    parts = light.mapInArrow(drawn, schema).repartition("g").sortWithinPartitions("g").mapInArrow(added, schema)
+    label = F.from_json("g", "array<string>")
+    whole = parts.select(*[label[i].alias(f"__k{i}") for i in range(len(keys))], F.posexplode(F.arrays_zip(*names)).alias("b", "x"))
+    return whole.select((F.col("b") + 1).alias("b"), *[named(f"__k{i}").alias(k) for i, k in enumerate(keys)], *[F.col("x").getField(n).alias(n) for n in names])
 
 
 def bootstrap_backlog(
@@ -73,23 +150,25 @@ def bootstrap_backlog(
     baseline: float | None = None,
     volume: str | None = None,
 ) -> DataFrame:
-    """Intervals of gap, priority and rank per group, chance to be in the top, and a stability badge."""
+    """Intervals of gap, priority and rank per group, chance to be in the top, and a stability badge.
+
+    A replicate in which no case of a group is drawn has no gap for it, and its rank comes after all
+    groups that have one: ranks are taken over all ``n_draws`` replicates, gaps over ``n_draws_present``.
+    """
     s = named(f"score__{view}")
     rows = label_keys(scored.where(s.isNotNull()), keys)
     size = F.coalesce(named(volume).cast("double"), F.lit(0.0)) if volume else F.lit(1).cast("double")
     sums = {"n": F.lit(1).cast("double"), "ssum": s, "vol": size}
-    unit = [cluster] if cluster in keys else []
-    rows = rows.withColumn("__unit", named(cluster).cast("string")) if unit else rows.withColumnRenamed(cluster, "__unit")
-    draws = store(replicate_sums(rows, keys, "__unit", sums, replicates, seed))
+    draws = store(replicate_sums(rows, keys, cluster, sums, replicates, seed))
     per_b = draws.groupBy("b").agg((F.sum("ssum") / F.sum("n")).alias("mu_bar"))
     mean = F.lit(baseline) if baseline is not None else F.col("mu_bar")
     n = F.col("n")
     shrink = n / (n + F.lit(float(gamma))) if gamma > 0 else F.lit(1.0)
     d = draws.join(per_b, "b")
-    d = d.withColumn("gap", F.greatest(mean - F.col("ssum") / n, F.lit(0.0)))
+    d = d.withColumn("gap", F.when(n > 0, F.greatest(mean - F.col("ssum") / F.nullif(n, F.lit(0.0)), F.lit(0.0))))
     vol = F.col("vol")
     d = d.withColumns({"PI": vol * F.col("gap"), "stable_gap": shrink * F.col("gap"), "stable_PI": vol * shrink * F.col("gap")})
-    order = [F.desc("stable_PI"), F.desc("n"), *[F.asc(named(k)) for k in keys]]
+    order = [F.desc_nulls_last("stable_PI"), F.desc("n"), *[F.asc(named(k)) for k in keys]]
     d = rank_rows(d.drop("mu_bar", "ssum", "vol"), order, ["stable_PI", "n"], keys=["b"], name="rank_b")
     tail = (1.0 - level) / 2.0
     metrics = {"gap": "gap", "stable_gap": "stable_gap", "PI": "PI", "stable_PI": "stable_PI", "rank": "rank_b"}
@@ -99,10 +178,10 @@ def bootstrap_backlog(
         aggs += [F.percentile(col, tail).alias(f"{name}_lo"), F.percentile(col, 1 - tail).alias(f"{name}_hi")]
     for k in top:
         aggs.append((F.count_if((F.col("rank_b") <= k) & (F.col("stable_PI") > 0)) / replicates).alias(f"p_top{k}"))
-    stats = d.groupBy(*all_named(keys)).agg(F.count(F.lit(1)).alias("n_draws"), *aggs)
+    stats = d.groupBy(*all_named(keys)).agg(F.count(F.lit(1)).alias("n_draws"), F.count("gap").alias("n_draws_present"), *aggs)
     groups = store(group_scores(scored, keys, view, volume))
     point = ranked(shortfall(groups, F.lit(baseline) if baseline is not None else overall(groups), gamma), keys)
-    out = point.select(*all_named(keys), "n_cases", "stable_gap", "stable_PI", "rank").join(stats, list(keys), "left")
+    out = join_on(point.select(*all_named(keys), "n_cases", "stable_gap", "stable_PI", "rank"), stats, keys, "left")
     k = max(top)
     in_top = (F.col("rank") <= k) & (F.col("stable_PI") > 0)
     stays = F.when(in_top, named(f"p_top{k}")).otherwise(1 - named(f"p_top{k}"))
@@ -123,9 +202,10 @@ def bootstrap_contrast(
     ids = norm.ids()
     sums = {"n": F.lit(1).cast("double"), **{f"s_{i}": named(f"p__{view}__{c}") for i, c in enumerate(ids)}}
     draws = replicate_sums(rows, ["__in"], "case_id", sums, replicates, seed)
-    total_n, slice_n = F.sum("n"), F.sum(F.when(F.col("__in"), F.col("n")))
+    inside = F.col("__in") == "true"
+    total_n, slice_n = F.sum("n"), F.sum(F.when(inside, F.col("n")))
     bars = [
-        (F.sum(F.when(F.col("__in"), named(f"s_{i}"))) / slice_n - F.sum(named(f"s_{i}")) / total_n).alias(f"d_{i}")
+        (F.sum(F.when(inside, named(f"s_{i}"))) / slice_n - F.sum(named(f"s_{i}")) / total_n).alias(f"d_{i}")
         for i in range(len(ids))
     ]
     per_b = draws.groupBy("b").agg(*bars)

@@ -467,10 +467,10 @@ def _boot_sql(source: str, unit: str = "case_id") -> str:
     metrics = ("gap", "stable_gap", "PI", "stable_PI", "rank")
     cols = {m: "rank_b" if m == "rank" else m for m in metrics}
     return (
-        "SELECT * FROM (WITH dr AS (" + _draw_sql("nation", "score_A", source, unit) + "), s AS (SELECT b, nation, CAST(sum(w) AS DOUBLE) AS n, sum(w * score_A) AS ss FROM dr WHERE w > 0 GROUP BY 1, 2),"
-        " m AS (SELECT *, sum(ss) OVER (PARTITION BY b) / sum(n) OVER (PARTITION BY b) AS mu FROM s), g AS (SELECT *, greatest(mu - ss / n, 0) AS gap, n * greatest(mu - ss / n, 0) AS PI,"
-        " n / (n + 20.0) * greatest(mu - ss / n, 0) AS stable_gap, n * n / (n + 20.0) * greatest(mu - ss / n, 0) AS stable_PI FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY stable_PI DESC, n DESC, nation) AS rank_b FROM g),"
-        " st AS (SELECT nation, count(*) AS n_draws, "
+        "SELECT * FROM (WITH dr AS (" + _draw_sql("nation", "score_A", source, unit) + "), s AS (SELECT b, nation, CAST(sum(w) AS DOUBLE) AS n, CASE WHEN sum(w) > 0 THEN sum(w * score_A) END AS ss FROM dr WHERE score_A IS NOT NULL GROUP BY 1, 2),"
+        " m AS (SELECT *, sum(ss) OVER (PARTITION BY b) / sum(n) OVER (PARTITION BY b) AS mu FROM s), g AS (SELECT *, n * gap AS PI, n / (n + 20.0) * gap AS stable_gap, n * n / (n + 20.0) * gap AS stable_PI FROM"
+        " (SELECT *, CASE WHEN n > 0 THEN greatest(mu - ss / n, 0) END AS gap FROM m)), r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY stable_PI DESC NULLS LAST, n DESC, nation) AS rank_b FROM g),"
+        " st AS (SELECT nation, count(*) AS n_draws, count(gap) AS n_draws_present, "
         + ", ".join(f"quantile_cont({c}, 0.05) AS {m}_lo, quantile_cont({c}, 0.95) AS {m}_hi" for m, c in cols.items())
         + f", count(*) FILTER (WHERE rank_b <= 3 AND stable_PI > 0) / {B} AS p_top3, count(*) FILTER (WHERE rank_b <= 5 AND stable_PI > 0) / {B} AS p_top5 FROM r GROUP BY 1)"
         " SELECT p.nation, p.n_cases, p.stable_gap, p.stable_PI, p.rank, st.* EXCLUDE (nation), CASE WHEN n_cases < 10 THEN 'insufficient_support' WHEN CASE WHEN p.rank <= 5 AND p.stable_PI > 0 THEN p_top5 ELSE 1 - p_top5 END >= 0.8"
