@@ -1,9 +1,10 @@
 """Exact order statistics that never pass one whole group through one task.
 
 A quantile, a rank or a running sum needs the sorted order of a group, and a
-group may hold most of the data.  All helpers here cut the order into buckets
-with a monotone function of the sort value, so a group's rows spread over many
-tasks and only one row per bucket is ever looked at in sequence.
+group may hold most of the data.  Rows are counted first; up to ``SORTED_AT_ONCE``
+one sort does.  Beyond it they are dealt by ranges of the full order, which Spark
+cuts by sampling the rows themselves, so ranges are even whatever the values are.
+Each range is summed on its own, and one row per range carries the earlier sums on.
 """
 
 from __future__ import annotations
@@ -16,45 +17,49 @@ from pyspark.sql import functions as F
 from ..session import store
 from .exprs import all_named, join_on, named
 
+# Rows that a single task may sort; also the size that ranges are cut to.
+SORTED_AT_ONCE = 1_000_000
+PART = "__part"
 
-def bucket(value: Column, resolution: int = 512) -> Column:
-    """A non-decreasing integer function of a number: signed logarithmic buckets, 0 alone in bucket 0.
-
-    At most ``resolution * 70`` buckets per sign for values between 1e-6 and 1e15.
-    """
-    v = F.greatest(F.least(value.cast("double"), F.lit(1e300)), F.lit(-1e300))
-    return (F.signum(v) * (F.floor(F.log2(1 + F.abs(v) * 1e6) * resolution) + 1)).cast("bigint")
 
+def ranged(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> tuple[DataFrame, bool]:
+    """Add the number of the range of ``(keys, order)`` that a row lies in; the second result tells whether there are several.
 
-def time_bucket(micros: Column) -> Column:
-    """Hour number of a microsecond value: 8,766 buckets a year."""
-    return F.floor(micros / F.lit(3_600_000_000)).cast("bigint")
+    ``rows`` must be stored, since they are counted first.  Rows that are equal in all of ``order`` stay together.
+    """
+    n = rows.count()
+    if n <= SORTED_AT_ONCE:
+        return rows.withColumn(PART, F.lit(0)), False
+    dealt = rows.repartitionByRange(-(-n // SORTED_AT_ONCE), *[c.asc_nulls_first() for c in all_named(keys)], *order)
+    return store(dealt.withColumn(PART, F.spark_partition_id())), True
 
 
 def _candidates(df: DataFrame, keys: list[str], value: str, probs: Sequence[float], times: bool) -> DataFrame:
     """The few distinct values that can hold a wanted rank, with the ranks ``[__from, __to)`` they cover.
 
-    Equal values are first counted map-side.  Bucket totals then tell which bucket
-    holds each wanted rank, and only the rows of those buckets are sorted.
+    Equal values are counted map-side.  The totals of the ranges then tell which range holds each
+    wanted rank, and only the rows of those ranges are sorted.
     """
-    v = F.col(value)
+    v = named(value)
     clean = df.where(v.isNotNull()) if times else df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
-    hist = clean.groupBy(*all_named(keys), v.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    hist = hist.withColumn("__b", time_bucket(F.col("__v")) if times else bucket(F.col("__v")))
-    totals = hist.groupBy(*all_named(keys), "__b").agg(F.sum("__n").alias("__bn"))
+    hist = store(clean.groupBy(*all_named(keys), v.alias("__v")).agg(F.count(F.lit(1)).alias("__n")))
+    rows, cut = ranged(hist, keys, [F.col("__v").asc()])
     in_key = Window.partitionBy(*all_named(keys))
-    before = F.sum("__bn").over(in_key.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.withColumn("__before", F.coalesce(before, F.lit(0))).withColumn(
-        "__total", F.sum("__bn").over(in_key)
-    )
+    if not cut:
+        upto = in_key.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumns({"__to": F.sum("__n").over(upto), "__total": F.sum("__n").over(in_key)})
+        return rows.withColumn("__from", F.col("__to") - F.col("__n"))
+    totals = rows.groupBy(*all_named(keys), PART).agg(F.sum("__n").alias("__bn"))
+    before = F.sum("__bn").over(in_key.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.withColumn("__before", F.coalesce(before, F.lit(0))).withColumn("__total", F.sum("__bn").over(in_key))
     low, end = F.col("__before"), F.col("__before") + F.col("__bn")
     holds_rank = F.exists(
         F.array(*[F.lit(float(p)) for p in probs]),
         lambda p: ((low <= _rank(p, False)) & (_rank(p, False) < end)) | ((low <= _rank(p, True)) & (_rank(p, True) < end)),
     )
-    needed = totals.where(holds_rank).select(*all_named(keys), "__b", "__before", "__total")
-    rows = join_on(hist, needed, [*keys, "__b"])
-    run = Window.partitionBy(*all_named(keys), "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    needed = totals.where(holds_rank).select(*all_named(keys), PART, "__before", "__total")
+    rows = join_on(rows, needed, [*keys, PART])
+    run = Window.partitionBy(*all_named(keys), PART).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("__to", F.col("__before") + F.sum("__n").over(run))
     return rows.withColumn("__from", F.col("__to") - F.col("__n"))
 
@@ -106,62 +111,31 @@ def quantile_rows(df: DataFrame, keys: Sequence[str], value: str, probs: Sequenc
     return found.select(*all_named(keys), "f", _between(F.col("__lo"), F.col("__hi"), F.col("f")).alias("x"))
 
 
-def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    buckets: dict[str, Column],
-    sums: dict[str, Column],
-    *,
-    rank: str | None = None,
-) -> DataFrame:
-    """Running sums (and a row number) in ``order`` within ``keys``.
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: dict[str, Column], *, rank: str | None = None) -> DataFrame:
+    """Running sums (and a row number) in ``order`` within ``keys``; ``df`` must be stored.
 
-    ``buckets`` must be non-decreasing along ``order``.  Rows are sorted inside
-    their bucket only; the sums of the earlier buckets are added afterwards.
+    ``order`` should tell all rows of a key apart, so that any number of ties can be cut into ranges.
     """
-    keys = list(keys)
-    names = list(buckets)
-    cols = dict(sums)
+    keys, cols = list(keys), dict(sums)
     if rank:
         cols[rank] = F.lit(1)
-    base = df.withColumns(buckets).withColumns({f"__in_{n}": c for n, c in cols.items()})
-    totals = base.groupBy(*all_named(keys), *all_named(names)).agg(*[F.sum(named(f"__in_{n}")).alias(f"__s_{n}") for n in cols])
-    earlier = Window.partitionBy(*all_named(keys)).orderBy(*all_named(names)).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *all_named(keys), *all_named(names), *[F.coalesce(F.sum(named(f"__s_{n}")).over(earlier), F.lit(0)).alias(f"__o_{n}") for n in cols]
-    )
-    within = Window.partitionBy(*all_named(keys), *all_named(names)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = base.withColumns({f"__w_{n}": F.sum(named(f"__in_{n}")).over(within) for n in cols})
-    out = join_on(inner, offsets, [*keys, *names])
-    out = out.withColumns({n: named(f"__o_{n}") + named(f"__w_{n}") for n in cols})
-    drop = [*names] + [f"__{p}_{n}" for n in cols for p in ("in", "w", "o")]
-    return out.drop(*drop)
+    rows, cut = ranged(df, keys, order)
+    within = Window.partitionBy(*all_named(keys), PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({n: F.sum(c).over(within) for n, c in cols.items()})
+    if cut:
+        totals = rows.groupBy(*all_named(keys), PART).agg(*[F.sum(c).alias(f"__s_{n}") for n, c in cols.items()])
+        earlier = Window.partitionBy(*all_named(keys)).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(*all_named(keys), PART, *[F.coalesce(F.sum(named(f"__s_{n}")).over(earlier), F.lit(0)).alias(f"__o_{n}") for n in cols])
+        out = join_on(out, offsets, [*keys, PART])
+        out = out.withColumns({n: named(n) + named(f"__o_{n}") for n in cols}).drop(*[f"__o_{n}" for n in cols])
+    return out.drop(PART)
 
 
 def rank_rows(
-    df: DataFrame,
-    order: Sequence[Column],
-    descending: Sequence[str],
-    *,
-    name: str = "rank",
-    sums: dict[str, Column] | None = None,
-    keys: Sequence[str] = (),
-    stored: bool = False,
+    df: DataFrame, order: Sequence[Column], *, name: str = "rank", sums: dict[str, Column] | None = None, keys: Sequence[str] = (), stored: bool = False
 ) -> DataFrame:
-    """Global 1-based rank of a grouped table, largest ``descending`` columns first.
-
-    ``order`` must start with the columns of ``descending`` in descending order.
-    The table is stored first because it is read twice.
-    """
-    base = df if stored else store(df)
-    # Many groups tie at 0; only there the next column may cut further without leaving the order.
-    buckets, tied = {}, F.lit(True)
-    for i, c in enumerate(descending):
-        b = -bucket(F.coalesce(named(c), F.lit(-1e15)), 16)
-        buckets[f"__b{i}"] = F.when(tied, b).otherwise(F.lit(0).cast("bigint"))
-        tied = tied & (F.coalesce(named(c), F.lit(-1e15)) == 0)
-    return running(base, keys, order, buckets, sums or {}, rank=name)
+    """Global 1-based rank of a grouped table in ``order``; the table is stored first because it is read twice."""
+    return running(df if stored else store(df), keys, order, sums or {}, rank=name)
 
 
 # --------------------------------------------------------------------------- event order

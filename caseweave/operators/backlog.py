@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import all_named, holds, join_on, named, quoted, total
-from ..functions.ordered import bucket, quantiles, rank_rows, running
+from ..functions.ordered import quantiles, rank_rows, running
 from ..session import store
 from .norm import Constraint, Norm
 from .profile import average_rank, top_per_key
@@ -76,7 +76,7 @@ def ranked(groups: DataFrame, keys: Sequence[str], min_cases: int = 1, within: S
     """Rank by stabilised priority, then size, then key."""
     kept = groups.where(F.col("n_cases") >= min_cases)
     order = [F.desc("stable_PI"), F.desc("n_cases"), *[F.asc(named(k)) for k in keys]]
-    return rank_rows(kept, order, ["stable_PI", "n_cases"], keys=within)
+    return rank_rows(kept, order, keys=within)
 
 
 def backlog(
@@ -277,9 +277,7 @@ def mass_table(rows: DataFrame, keys: Sequence[str], penalty: Column) -> DataFra
     groups = store(groups)
     whole = groups.groupBy(*all_named(keys)).agg(F.sum("penalty_mass").alias("__all"))
     order = [F.desc("penalty_mass"), F.desc("n_cases"), F.asc("value")]
-    out = rank_rows(
-        groups, order, ["penalty_mass", "n_cases"], keys=keys, sums={"__cum": F.col("penalty_mass")}, stored=True
-    )
+    out = rank_rows(groups, order, keys=keys, sums={"__cum": F.col("penalty_mass")}, stored=True)
     if keys:
         out = join_on(out, whole, keys)
     else:
@@ -440,7 +438,7 @@ def concentration(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     rows = store(table.select(*all_named(keys), "rank", "PI", "n_cases"))
     whole = rows.agg(F.sum("PI")).scalar()
     n = rows.agg(F.sum("n_cases")).scalar()
-    out = running(rows, [], [F.asc("rank")], {"__bk": bucket(F.col("rank"), 16)}, {"__p": F.col("PI"), "__n": F.col("n_cases")})
+    out = running(rows, [], [F.asc("rank")], {"__p": F.col("PI"), "__n": F.col("n_cases")})
     return out.select(
         *all_named(keys),
         "rank",

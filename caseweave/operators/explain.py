@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import all_named, elapsed, holds, join_on, named
 from ..functions.intervals import newcombe, z_of
-from ..functions.ordered import bucket, quantile_rows, quantiles, running
+from ..functions.ordered import PART, SORTED_AT_ONCE, quantile_rows, quantiles, ranged, running
 from ..session import store
 from .backlog import constraint_rows, group_scores, label_keys, overall
 from .norm import Constraint, Norm, long_form
@@ -91,7 +91,7 @@ def _totals(hist: DataFrame) -> DataFrame:
 def cliffs_delta(signals: DataFrame) -> DataFrame:
     """P(slice > rest) - P(slice < rest) per constraint, exact with ties, from value counts."""
     hist = store(_histogram(signals))
-    run = running(hist, ["constraint_id"], [F.asc("x")], {"__bk": bucket(F.col("x"))}, {"__b": F.col("b")})
+    run = running(hist, ["constraint_id"], [F.asc("x")], {"__b": F.col("b")})
     rows = join_on(run, _totals(hist), ["constraint_id"])
     below = F.col("__b") - F.col("b")
     above = F.col("n_b") - F.col("__b")
@@ -176,17 +176,25 @@ def _pairs_above(hist: DataFrame, trials: Mapping[str, list[float]]) -> DataFram
     # A slice value x exceeds the rest values below x - d by more than d.
     rest = rows.where("b > 0").select("constraint_id", "d", F.col("x").alias("at"), F.lit(True).alias("rest"), "x", F.col("b").alias("n"))
     inside = rows.where("a > 0").select("constraint_id", "d", (F.col("x") - F.col("d")).alias("at"), F.lit(False).alias("rest"), "x", F.col("a").alias("n"))
-    points = rest.unionByName(inside).withColumn("__bk", bucket(F.col("at")))
+    points = rest.unionByName(inside)
     n, v = F.when(F.col("rest"), F.col("n")), F.when(F.col("rest"), F.col("x"))
-    keys = ["constraint_id", "d"]
-    totals = points.groupBy(*all_named(keys), "__bk").agg(F.sum(named(n)).alias("n"), F.max(v).alias("v"))
-    earlier = Window.partitionBy(*all_named(keys)).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*all_named(keys), "__bk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__n"), F.max("v").over(earlier).alias("__v"))
-    before = Window.partitionBy(*all_named(keys), "__bk").orderBy("at", "rest").rowsBetween(Window.unboundedPreceding, -1)
-    placed = points.withColumns({"__m": F.coalesce(F.sum(named(n)).over(before), F.lit(0)), "__w": F.max(v).over(before)}).where(~F.col("rest"))
-    placed = join_on(placed, offsets, [*keys, "__bk"])
+    keys, order = ["constraint_id", "d"], [F.col("at").asc(), F.col("rest").asc()]
+    cut = hist.count() * TRIALS > SORTED_AT_ONCE
+    if cut:
+        points, cut = ranged(store(points), keys, order)
+    else:
+        points = points.withColumn(PART, F.lit(0))
+    before = Window.partitionBy(*keys, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = points.withColumns({"__m": F.coalesce(F.sum(n).over(before), F.lit(0)), "__w": F.max(v).over(before)}).where(~F.col("rest"))
+    if cut:
+        totals = points.groupBy(*keys, PART).agg(F.sum(n).alias("n"), F.max(v).alias("v"))
+        earlier = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(*keys, PART, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__n"), F.max("v").over(earlier).alias("__v"))
+        placed = join_on(placed, offsets, [*keys, PART])
+    else:
+        placed = placed.withColumns({"__n": F.lit(0), "__v": F.lit(None).cast("double")})
     above = F.sum(F.col("n").cast("decimal(19,0)") * (F.col("__n") + F.col("__m")).cast("decimal(19,0)"))
-    return placed.groupBy(*all_named(keys)).agg(above.alias("above"), F.min(F.col("x") - F.greatest("__v", "__w")).alias("next_d"))
+    return placed.groupBy(*keys).agg(above.alias("above"), F.min(F.col("x") - F.greatest("__v", "__w")).alias("next_d"))
 
 
 def quantile_shifts(signals: DataFrame, widths: Mapping[str, float], min_evaluated: int = 20) -> DataFrame:
@@ -236,7 +244,6 @@ def ecdf_pair(signals: DataFrame, max_points: int | None = None) -> DataFrame:
         hist,
         ["constraint_id"],
         [F.asc("x")],
-        {"__bk": bucket(F.col("x"))},
         {"__a": F.col("a"), "__b": F.col("b")},
         rank="r",
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import all_named, join_on, named, quoted
 from ..functions.ordered import quantiles, running
+from ..session import store
 
 # Aggregates of one pass are kept below the size where generated code stops compiling well.
 COLUMNS_PER_PASS = 12
@@ -182,10 +183,8 @@ def field_profiles(marked: DataFrame, fields: Sequence[str], missing_label: str
 
 def average_rank(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Per distinct value: its count, the rows below it and the average 1-based rank of its ties."""
-    from ..functions.ordered import bucket
-
-    hist = df.groupBy(*all_named(keys), value).agg(F.count(F.lit(1)).alias("ties"))
-    out = running(hist, keys, [F.asc(value)], {"__bk": bucket(F.col(value))}, {"__cum": F.col("ties")})
+    hist = store(df.groupBy(*all_named(keys), named(value)).agg(F.count(F.lit(1)).alias("ties")))
+    out = running(hist, keys, [named(value).asc()], {"__cum": F.col("ties")})
     return out.select(
         *all_named(keys),
         value,

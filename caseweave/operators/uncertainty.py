@@ -169,7 +169,7 @@ def bootstrap_backlog(
     vol = F.col("vol")
     d = d.withColumns({"PI": vol * F.col("gap"), "stable_gap": shrink * F.col("gap"), "stable_PI": vol * shrink * F.col("gap")})
     order = [F.desc_nulls_last("stable_PI"), F.desc("n"), *[F.asc(named(k)) for k in keys]]
-    d = rank_rows(d.drop("mu_bar", "ssum", "vol"), order, ["stable_PI", "n"], keys=["b"], name="rank_b")
+    d = rank_rows(d.drop("mu_bar", "ssum", "vol"), order, keys=["b"], name="rank_b")
     tail = (1.0 - level) / 2.0
     metrics = {"gap": "gap", "stable_gap": "stable_gap", "PI": "PI", "stable_PI": "stable_PI", "rank": "rank_b"}
     aggs = []
@@ -332,7 +332,7 @@ def sensitivity(
     gap = F.greatest(F.col("mu") - F.col("sum_score") / n, F.lit(0.0))
     d = d.withColumn("stable_PI", n * n / (n + F.col("gamma")) * gap).drop("mu", "sum_score")
     order = [F.desc("stable_PI"), F.desc("n_cases"), *[F.asc(named(c)) for c in keys]]
-    d = store(rank_rows(d, order, ["stable_PI", "n_cases"], keys=["setting"]))
+    d = store(rank_rows(d, order, keys=["setting"]))
     in_top = (F.col("rank") <= k) & (F.col("stable_PI") > 0)
     n_settings = d.agg(F.count_distinct("setting")).scalar()
     per_group = d.groupBy(*all_named(keys)).agg(

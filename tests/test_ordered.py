@@ -10,7 +10,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from caseweave.functions.ordered import next_time, quantile_rows, quantiles, rank_rows, with_next
+from caseweave.functions import ordered
+from caseweave.functions.ordered import PART, next_time, quantile_rows, quantiles, ranged, rank_rows, running, with_next
+from caseweave.operators import explain
 from caseweave.operators.flow import case_sequences, top_variants, variant_steps, variants
 from caseweave.operators.profile import average_rank
 from caseweave.session import store
@@ -42,12 +44,60 @@ def test_rank_orders_across_buckets(spark):
     rng = random.Random(2)
     rows = [(f"g{i:03d}", rng.choice([0.0, 1e-9, 3e-8, 0.5, 7.0, 7.0000001, 1e6]) * rng.choice([0, 1, 1]), rng.randint(1, 9)) for i in range(300)]
     df = spark.createDataFrame(rows, "k string, p double, n int")
-    got = rank_rows(df, [F.desc("p"), F.desc("n"), F.asc("k")], ["p", "n"], sums={"cum": F.col("n")}).collect()
+    got = rank_rows(df, [F.desc("p"), F.desc("n"), F.asc("k")], sums={"cum": F.col("n")}).collect()
     expected = sorted(rows, key=lambda r: (-r[1], -r[2], r[0]))
     assert [r["k"] for r in sorted(got, key=lambda r: r["rank"])] == [r[0] for r in expected]
     assert [r["cum"] for r in sorted(got, key=lambda r: r["rank"])] == list(np.cumsum([r[2] for r in expected]))
 
 
+@pytest.fixture
+def small_sorts(monkeypatch):
+    """Ranges of 10,000 rows instead of a million."""
+    monkeypatch.setattr(ordered, "SORTED_AT_ONCE", 10_000)
+    monkeypatch.setattr(explain, "SORTED_AT_ONCE", 10_000)
+
+
+CLOSE = {
+    "near a billion": lambda n: 1e9 + np.arange(n) / 1e3,
+    "one busy hour": lambda n: 1.7e15 + np.arange(n).astype(float),
+    "wide": lambda n: np.exp(np.linspace(-30, 30, n)),
+}
+
+
+@pytest.mark.parametrize("kind", CLOSE)
+def test_ranges_are_even_whatever_the_values(spark, small_sorts, kind):
+    values = CLOSE[kind](100_000)
+    df = store(spark.createDataFrame([(float(v),) for v in np.random.default_rng(1).permutation(values)], "x double"))
+    rows, cut = ranged(df, [], [F.col("x").asc()])
+    sizes = [r["n"] for r in rows.groupBy(PART).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert cut and len(sizes) == 10 and max(sizes) < 0.25 * len(values)
+    q = quantiles(df, [], "x", {"low": 0.05, "mid": 0.5, "high": 0.999}).first()
+    assert np.allclose(list(q), np.quantile(values, [0.05, 0.5, 0.999]), rtol=1e-15, atol=0)
+    top = running(df, [], [F.asc("x")], {"n": F.lit(1)}, rank="r").where("r in (1, 50000, 100000)").orderBy("r").collect()
+    assert [r["x"] for r in top] == [values[0], values[49_999], values[-1]] and [r["n"] for r in top] == [1, 50_000, 100_000]
+
+
+def test_groups_tied_on_priority_and_size_are_cut_by_their_names(spark, small_sorts):
+    df = store(spark.range(60_000).select(F.format_string("g%06d", "id").alias("k"), F.lit(0.25).alias("p"), F.lit(3).alias("n")))
+    order = [F.desc("p"), F.desc("n"), F.asc("k")]
+    rows, _ = ranged(df, [], order)
+    assert rows.groupBy(PART).count().agg(F.max("count")).first()[0] < 15_000
+    got = rank_rows(df, order, sums={"cum": F.col("n")}).where("rank % 9999 = 1").orderBy("rank").collect()
+    assert [(r["k"], r["rank"], r["cum"]) for r in got] == [(f"g{i:06d}", i + 1, 3 * (i + 1)) for i in range(0, 60_000, 9999)]
+
+
+def test_effect_sizes_over_ranges_equal_those_of_one_sort(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(c, float(v), bool(i % 3)) for c in ("a", "b") for i, v in enumerate(np.round(rng.normal(1e6, 3, 900), 2))]
+    signals = spark.createDataFrame(rows, "constraint_id string, x double, in_slice boolean")
+    reports = [explain.cliffs_delta, explain.hodges_lehmann, explain.ecdf_pair, lambda s: explain.quantile_shifts(s, {"a": 2.0})]
+    one = [sorted(map(tuple, r(signals).collect())) for r in reports]
+    for module in (ordered, explain):
+        monkeypatch.setattr(module, "SORTED_AT_ONCE", 150)
+    many = [sorted(map(tuple, r(signals).collect())) for r in reports]
+    assert one == many
+
+
 def test_average_rank_handles_ties(spark):
     df = spark.createDataFrame([(float(x),) for x in [3, 1, 3, 3, 2]], "x double")
     got = {r["x"]: r["avg_rank"] for r in average_rank(df, "x").collect()}
