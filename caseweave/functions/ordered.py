@@ -34,7 +34,7 @@ def ranged(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> tup
     return store(dealt.withColumn(PART, F.spark_partition_id())), True
 
 
-def _candidates(df: DataFrame, keys: list[str], value: str, probs: Sequence[float], times: bool) -> DataFrame:
+def _candidates(df: DataFrame, keys: list[str], value: str, probs: Sequence[float], times: bool, weight: str | None = None) -> DataFrame:
     """The few distinct values that can hold a wanted rank, with the ranks ``[__from, __to)`` they cover.
 
     Equal values are counted map-side.  The totals of the ranges then tell which range holds each
@@ -42,7 +42,7 @@ def _candidates(df: DataFrame, keys: list[str], value: str, probs: Sequence[floa
     """
     v = named(value)
     clean = df.where(v.isNotNull()) if times else df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
-    hist = store(clean.groupBy(*all_named(keys), v.alias("__v")).agg(F.count(F.lit(1)).alias("__n")))
+    hist = store(clean.groupBy(*all_named(keys), v.alias("__v")).agg((F.sum(named(weight)) if weight else F.count(F.lit(1))).alias("__n")))
     rows, cut = ranged(hist, keys, [F.col("__v").asc()])
     in_key = Window.partitionBy(*all_named(keys))
     if not cut:
@@ -82,14 +82,15 @@ def _between(lo: Column, hi: Column, p: Column) -> Column:
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], *, times: bool = False
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], *, times: bool = False, weight: str | None = None
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per key: one column per entry of ``probs``.
 
-    NULL and NaN values are left out; groups without values have no row.
+    NULL and NaN values are left out; groups without values have no row.  ``weight`` names a column
+    that tells how often a value of counted rows occurs.
     """
     keys = list(keys)
-    rows = _candidates(df, keys, value, list(probs.values()), times)
+    rows = _candidates(df, keys, value, list(probs.values()), times, weight)
     aggs = []
     for i, p in enumerate(probs.values()):
         for up in (False, True):
@@ -170,6 +171,8 @@ def chunked(
     ``case_id, n_events`` of a case table, which saves counting.
     """
     if sizes is None:
+        if events.count() <= hot_events:
+            return events.withColumn(CHUNK, F.lit(0)), False
         sizes = events.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_events"))
     hot = sizes.select("case_id", F.col("n_events").alias("__n")).where(F.col("__n") > hot_events)
     found = hot.agg(F.count(F.lit(1)).alias("k"), F.sum("__n").alias("n")).first()
@@ -188,7 +191,7 @@ def with_next(
 ) -> DataFrame:
     """Add ``pos`` (0-based), ``nxt_<column>``, ``has_next`` and ``is_first`` in event order per case."""
     data, cut = chunked(events, hot_events)
-    w = Window.partitionBy("case_id", CHUNK).orderBy(*log_order(events))
+    w = Window.partitionBy("case_id", *([CHUNK] if cut else [])).orderBy(*log_order(events))
     data = data.withColumn("pos", (F.row_number().over(w) - 1).cast("bigint")).withColumn(
         "__nxt", F.lead(F.struct(*all_named(columns))).over(w)
     )
@@ -220,7 +223,7 @@ def next_time(
     data, cut = chunked(events, hot_events, sizes)
     data = data.withColumn("__t", F.when(wanted, F.col("ts")))
     later = (
-        Window.partitionBy("case_id", CHUNK)
+        Window.partitionBy("case_id", *([CHUNK] if cut else []))
         .orderBy(F.col("ts").asc_nulls_last())
         .rangeBetween(Window.currentRow, Window.unboundedFollowing)
     )

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import all_named, elapsed, holds, join_on, named, text_rows
@@ -26,57 +26,87 @@ def _keyed(events: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
 
 
 def sequence(events: DataFrame, extra: Sequence[str] = (), *, hot_events: int = 1_000_000) -> DataFrame:
-    """Events with position and successor, stored: every part of a map reads it."""
-    return store(with_next(_keyed(events, extra), hot_events=hot_events))
+    """Events with position and successor; one exchange by case, which everything per case below reuses."""
+    return with_next(_keyed(events, extra), hot_events=hot_events)
 
 
 # --------------------------------------------------------------------------- directly-follows graph
+# What a map counts.
+KINDS = ("node", "edge", "start", "end", "case")
+
+
+def map_counts(seq: DataFrame, kinds: Sequence[str] = KINDS, keys: Sequence[str] = ()) -> DataFrame:
+    """Everything a map shows, counted in one pass over the events: ``kind, source, target, hours, n, cases``.
+
+    An event counts for its activity, for the pair with its successor and for the ends of its case.  The
+    first event of a case that shows an activity or a pair carries the case, so distinct cases are sums.
+    The result has a row per pair and distinct duration; it is stored, the events are not.
+    """
+    here, then = F.col("activity"), F.col("nxt_activity")
+    of_case = [*all_named(keys), F.col("case_id"), here]
+    hours = elapsed(F.col("ts"), F.col("nxt_ts"), "h")
+    rows = seq.select(*all_named(keys), "case_id", "activity", "nxt_activity", "pos", "is_first", hours.alias("hours"))
+    if "node" in kinds:
+        rows = rows.withColumn("first_node", F.row_number().over(Window.partitionBy(*of_case).orderBy("nxt_activity", "pos")) == 1)
+    if "edge" in kinds:
+        rows = rows.withColumn("first_edge", F.row_number().over(Window.partitionBy(*of_case, "nxt_activity").orderBy("pos")) == 1)
+    none, labelled, nowhere = F.lit(None).cast("string"), here.isNotNull(), F.lit(None).cast("double")
+
+    def item(kind: str, target: Column, hours: Column, case: Column) -> Column:
+        source = none if kind == "case" else here
+        return F.struct(F.lit(kind).alias("kind"), source.alias("source"), target.alias("target"), hours.alias("hours"), case.cast("bigint").alias("case"))
+
+    one = F.lit(1)
+    shown = {
+        "node": lambda: F.when(labelled, item("node", none, nowhere, F.col("first_node"))),
+        "edge": lambda: F.when(labelled & then.isNotNull(), item("edge", then, F.col("hours"), F.col("first_edge"))),
+        "start": lambda: F.when(labelled & F.col("is_first"), item("start", none, nowhere, one)),
+        "end": lambda: F.when(labelled & then.isNull(), item("end", none, nowhere, one)),
+        "case": lambda: F.when(F.col("is_first"), item("case", none, nowhere, one)),
+    }
+    long = rows.select(*all_named(keys), F.inline(F.array_compact(F.array(*[shown[k]() for k in kinds]))))
+    return store(long.groupBy("kind", *all_named(keys), "source", "target", "hours").agg(F.count(F.lit(1)).alias("n"), F.sum("case").alias("cases")))
+
+
+def _counted(rows: DataFrame, kinds: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """``rows`` is a sequence, or what ``map_counts`` made of one."""
+    return rows if "kind" in rows.columns else map_counts(rows, kinds, keys)
+
+
 def nodes(seq: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    rows = seq.where(F.col("activity").isNotNull())
-    per_case = rows.groupBy(*all_named(keys), "activity", "case_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_case.groupBy(*all_named(keys), "activity").agg(F.sum("n").alias("events"), F.count(F.lit(1)).alias("cases"))
+    rows = _counted(seq, ["node"], keys).where("kind = 'node'")
+    return rows.groupBy(*all_named(keys), F.col("source").alias("activity")).agg(F.sum("n").alias("events"), F.sum("cases").alias("cases"))
 
 
 def edges(seq: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Directly-follows pairs: count, distinct cases and median hours."""
-    rows = seq.where(F.col("activity").isNotNull() & F.col("nxt_activity").isNotNull())
-    rows = rows.select(
-        *all_named(keys),
-        F.col("activity").alias("source"),
-        F.col("nxt_activity").alias("target"),
-        "case_id",
-        elapsed(F.col("ts"), F.col("nxt_ts"), "h").alias("hours"),
-    )
+    rows = _counted(seq, ["edge"], keys).where("kind = 'edge'")
     key = [*keys, "source", "target"]
-    per_case = rows.groupBy(*key, "case_id").agg(F.count(F.lit(1)).alias("n"))
-    counts = per_case.groupBy(*key).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("cases"))
-    return join_on(counts, quantiles(rows, key, "hours", {"median_hours": 0.5}), key, "left")
+    counts = rows.groupBy(*all_named(key)).agg(F.sum("n").alias("n"), F.sum("cases").alias("cases"))
+    return join_on(counts, quantiles(rows, key, "hours", {"median_hours": 0.5}, weight="n"), key, "left")
 
 
 def boundaries(seq: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Start and end counts of the map: first events, and events without a labelled successor."""
-    labelled = seq.where(F.col("activity").isNotNull())
-    starts = labelled.where("is_first").groupBy(*all_named(keys), "activity").agg(F.count(F.lit(1)).alias("n"))
-    ends = labelled.where(F.col("nxt_activity").isNull()).groupBy(*all_named(keys), "activity").agg(F.count(F.lit(1)).alias("n"))
-    return starts.withColumn("side", F.lit("start")).unionByName(ends.withColumn("side", F.lit("end")))
+    rows = _counted(seq, ["start", "end"], keys).where("kind in ('start', 'end')")
+    return rows.groupBy(*all_named(keys), F.col("source").alias("activity"), F.col("kind").alias("side")).agg(F.sum("n").alias("n"))
 
 
 def focus_paths(seq: DataFrame, focus: str, violated: DataFrame) -> DataFrame:
     """Paths into and out of one activity: count, cases, median hours, share of cases with a violation."""
     hours = elapsed(F.col("ts"), F.col("nxt_ts"), "h").alias("hours")
-    into = seq.where((F.col("nxt_activity") == focus) & F.col("activity").isNotNull())
-    out = seq.where((F.col("activity") == focus) & F.col("nxt_activity").isNotNull())
-    rows = into.select(F.lit("incoming").alias("direction"), F.col("activity").alias("other"), "case_id", hours).unionByName(
-        out.select(F.lit("outgoing").alias("direction"), F.col("nxt_activity").alias("other"), "case_id", hours)
-    )
+    here, then = F.col("activity"), F.col("nxt_activity")
+    rows = seq.where(here.isNotNull() & then.isNotNull() & ((here == focus) | (then == focus)))
+    first = F.row_number().over(Window.partitionBy("case_id", "activity", "nxt_activity").orderBy("pos")) == 1
+    rows = join_on(rows.withColumn("first", first), violated.select("case_id", "violated"), ["case_id"], "left")
+    into, out = (F.when(c, F.struct(F.lit(d).alias("direction"), o.alias("other"))) for c, d, o in ((then == focus, "incoming", here), (here == focus, "outgoing", then)))
+    hit = holds(F.col("violated"))
+    long = rows.select(F.inline(F.array_compact(F.array(into, out))), hours, "first", hit.alias("hit"))
     key = ["direction", "other"]
-    per_case = rows.groupBy(*key, "case_id").agg(F.count(F.lit(1)).alias("n"))
-    per_case = join_on(per_case, violated.select("case_id", "violated"), ["case_id"], "left")
-    counts = per_case.groupBy(*key).agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("cases"), F.count_if(holds(F.col("violated"))).alias("violated_cases")
-    )
+    long = store(long.groupBy(*key, "hours").agg(F.count(F.lit(1)).alias("n"), F.count_if("first").alias("cases"), F.count_if(F.col("first") & F.col("hit")).alias("violated_cases")))
+    counts = long.groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("n", "cases", "violated_cases")])
     counts = counts.withColumn("violation_share", F.col("violated_cases") / F.col("cases"))
-    return join_on(counts, quantiles(rows, key, "hours", {"median_hours": 0.5}), key, "left")
+    return join_on(counts, quantiles(long, key, "hours", {"median_hours": 0.5}, weight="n"), key, "left")
 
 
 def hidden_paths(paths: DataFrame, focus: str, drawn: DataFrame) -> DataFrame:
@@ -97,11 +127,12 @@ def hidden_paths(paths: DataFrame, focus: str, drawn: DataFrame) -> DataFrame:
 
 
 def n_cases(seq: DataFrame) -> Column:
-    return seq.agg(F.count_distinct("case_id")).scalar()
+    return _counted(seq, ["case"], ()).where("kind = 'case'").agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
 
 
 def abstraction(seq: DataFrame, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and boundaries carried by at least ``share`` of the cases; edges need both nodes."""
+    seq = _counted(seq, KINDS, ())
     total = n_cases(seq)
     kept = nodes(seq).where(F.col("cases") / total >= share)
     labels = kept.select("activity")
@@ -273,23 +304,38 @@ def direct_pairs(seq: DataFrame) -> DataFrame:
 
 
 def pair_timing(pairs: DataFrame, keys: Sequence[str] = ("source", "target")) -> DataFrame:
-    """Per pair: counts, clock coverage, ties, median and p90, and the median of per-case medians."""
-    pairs = store(pairs)
+    """Per pair: counts, clock coverage, ties, median and p90, and the median of per-case medians.
+
+    The median of a case is read off the middle of its sorted durations, next to which everything else
+    is counted; only counted durations and medians leave the partitions of the cases.
+    """
     keys = list(keys)
-    per_case = pairs.groupBy(*all_named(keys), "case_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count("hours").alias("m"), F.count_if(F.col("hours") == 0).alias("z")
-    )
-    counts = per_case.groupBy(*all_named(keys)).agg(
-        F.sum("n").alias("pairs"),
-        F.count(F.lit(1)).alias("cases"),
-        F.sum("m").alias("measured_pairs"),
-        F.count_if(F.col("m") > 0).alias("measured_cases"),
-        F.sum("z").alias("equal_stamp_pairs"),
+    of_case = Window.partitionBy("case_id", *all_named(keys))
+    rows = pairs.select("case_id", *all_named(keys), "hours")
+    rows = rows.withColumns({"place": F.row_number().over(of_case.orderBy(F.asc_nulls_last("hours"))), "m": F.count("hours").over(of_case)})
+    middle = (F.col("place") == F.floor((F.col("m") + 1) / 2)) | (F.col("place") == F.floor(F.col("m") / 2) + 1)
+    rows = rows.withColumn("median", F.avg(F.when(middle, F.col("hours"))).over(of_case))
+
+    def item(kind: str, x: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), x.alias("x"))
+
+    both = F.array_compact(F.array(item("hours", F.col("hours")), F.when(F.col("place") == 1, item("case", F.col("median")))))
+    long = store(rows.select(*all_named(keys), F.inline(both)).groupBy(*all_named(keys), "kind", "x").agg(F.count(F.lit(1)).alias("n")))
+    hours, cases, n = F.col("kind") == "hours", F.col("kind") == "case", F.col("n")
+
+    def number(cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
+
+    counts = long.groupBy(*all_named(keys)).agg(
+        number(hours).alias("pairs"),
+        number(cases).alias("cases"),
+        number(hours & F.col("x").isNotNull()).alias("measured_pairs"),
+        number(cases & F.col("x").isNotNull()).alias("measured_cases"),
+        number(hours & (F.col("x") == 0)).alias("equal_stamp_pairs"),
     )
     counts = counts.withColumn("clock_coverage", F.col("measured_pairs") / F.col("pairs"))
-    q = quantiles(pairs, keys, "hours", {"median_hours": 0.5, "p90_hours": 0.9})
-    case_median = quantiles(pairs, [*keys, "case_id"], "hours", {"h": 0.5})
-    weighted = quantiles(case_median, keys, "h", {"case_weighted_median_hours": 0.5})
+    q = quantiles(long.where(hours), keys, "x", {"median_hours": 0.5, "p90_hours": 0.9}, weight="n")
+    weighted = quantiles(long.where(cases), keys, "x", {"case_weighted_median_hours": 0.5}, weight="n")
     return join_on(join_on(counts, q, keys, "left"), weighted, keys, "left")
 
 

@@ -183,7 +183,7 @@ def _(spark, d):
     with_=["o", "co", "named", "vsh", "seqo"],
 )
 def _(spark, d):
-    seq = G.sequence(log_o(spark, d, False))
+    seq = G.map_counts(G.sequence(log_o(spark, d, False)), ("node", "edge", "case"))
     shares = G.activity_violation(G.violation_shares(scored_o(spark, d), norm_o()), norm_o())
     links = G.edges(seq)
     ends = links.select(F.col("source").alias("activity")).unionByName(links.select(F.col("target").alias("activity")))
