@@ -115,15 +115,34 @@ class Bulk:
     end: int
 
 
+TIMES = "__times"
+
+
+def counted(events: DataFrame, *keys: Column | str) -> DataFrame:
+    """Equal rows as one, with the column ``TIMES``; the checks below take a counted log like a plain one."""
+    return events.groupBy(*all_named(keys)).agg(rows_in(events).alias(TIMES))
+
+
+def rows_in(events: DataFrame, cond: Column | None = None) -> Column:
+    """Aggregate: the number of events, or of those that meet a condition."""
+    if TIMES in events.columns:
+        return F.coalesce(F.sum(TIMES if cond is None else F.when(cond, F.col(TIMES))), F.lit(0))
+    return F.count(F.lit(1)) if cond is None else F.count_if(cond)
+
+
+def _weight(events: DataFrame) -> str | None:
+    return TIMES if TIMES in events.columns else None
+
+
 def bulk(events: DataFrame, gap_days: float = THRESHOLDS["sentinel_gap_days"]) -> Bulk | None:
     """Where the bulk of the timestamps lies; three scalar results, no row leaves the cluster."""
-    rows = events.where(F.col("ts").isNotNull()).select(micros(F.col("ts")).alias("m"))
-    found = quantiles(rows, [], "m", {"med": 0.5}, times=True).first()
+    rows = events.where(F.col("ts").isNotNull()).select(micros(F.col("ts")).alias("m"), *([TIMES] if _weight(events) else []))
+    found = quantiles(rows, [], "m", {"med": 0.5}, times=True, weight=_weight(events)).first()
     if found is None:
         return None
     med = found["med"]
-    far = rows.select(F.abs(F.col("m") - F.lit(med)).alias("d"))
-    mad = quantiles(far, [], "d", {"mad": 0.5}).first()["mad"]
+    far = rows.withColumn("d", F.abs(F.col("m") - F.lit(med)))
+    mad = quantiles(far, [], "d", {"mad": 0.5}, weight=_weight(events)).first()["mad"]
     low, high = med - 3.0 * mad - gap_days * DAY, med + 3.0 * mad + gap_days * DAY
     ends = rows.where(F.col("m").between(low, high)).agg(F.min("m").alias("a"), F.max("m").alias("b")).first()
     return Bulk(low, high, ends["a"], ends["b"])
@@ -136,10 +155,10 @@ def sentinel_flag(b: Bulk) -> Column:
 
 def sentinel_dates(events: DataFrame, b: Bulk) -> DataFrame:
     """One row: far-out events, their share, and where the bulk starts and ends."""
-    far = F.count_if(sentinel_flag(b))
+    far = rows_in(events, sentinel_flag(b))
     return events.agg(
         far.alias("n_far"),
-        (far / F.count(F.lit(1))).alias("share"),
+        (far / rows_in(events)).alias("share"),
         F.lit(b.start).cast("bigint").alias("bulk_start_us"),
         F.lit(b.end).cast("bigint").alias("bulk_end_us"),
     )
@@ -171,8 +190,8 @@ def observation_window(events: DataFrame, q: float = 0.001, gap_days: float = 36
 # --------------------------------------------------------------------------- timestamps
 def concentration(events: DataFrame, k: int = 10, thresholds: Mapping[str, float] = THRESHOLDS) -> DataFrame:
     """The busiest stamps, their share of all events, and whether they count as heavy."""
-    total = events.agg(F.count(F.lit(1))).scalar()
-    counts = events.where(F.col("ts").isNotNull()).groupBy("ts").agg(F.count(F.lit(1)).alias("n_events"))
+    total = events.agg(rows_in(events)).scalar()
+    counts = events.where(F.col("ts").isNotNull()).groupBy("ts").agg(rows_in(events).alias("n_events"))
     top = counts.orderBy(F.desc("n_events"), F.asc("ts")).limit(k).withColumn("share", F.col("n_events") / total)
     heavy = (F.col("share") > thresholds["concentration_share_warn"]) & (
         F.col("n_events") >= int(thresholds["concentration_min_events"])
@@ -201,9 +220,9 @@ def midnight(ts: Column) -> Column:
 def day_precision(events: DataFrame, thresholds: Mapping[str, float] = THRESHOLDS) -> DataFrame:
     """Per activity: the share of date-only stamps and day / time / mixed."""
     low = thresholds["precision_mix_low"]
-    date_only = F.avg(holds(midnight(F.col("ts"))).cast("double"))
+    date_only = rows_in(events, holds(midnight(F.col("ts")))) / rows_in(events)
     out = events.groupBy(F.coalesce("activity", F.lit("(null)")).alias("activity")).agg(
-        F.count(F.lit(1)).alias("n_events"), date_only.alias("share_date_only")
+        rows_in(events).alias("n_events"), date_only.alias("share_date_only")
     )
     p = F.col("share_date_only")
     kind = F.when(p >= 1.0 - low, "day").when(p <= low, "time").otherwise("mixed")
@@ -274,7 +293,7 @@ def vocabulary_drift(events: DataFrame, grain: str = "month", min_events: int =
     """
     rows = events.where(F.col("ts").isNotNull())
     counts = rows.groupBy(F.coalesce("activity", F.lit("(null)")).alias("activity"), period_label(F.col("ts"), grain).alias("period"))
-    grid = dense(store(counts.agg(F.count(F.lit(1)).alias("n"))), "activity", "period")
+    grid = dense(store(counts.agg(rows_in(events).alias("n"))), "activity", "period")
     in_period = Window.partitionBy("period")
     grid = grid.withColumn("n_events", F.sum("n").over(in_period))
     grid = grid.withColumn("eligible", F.col("n_events") >= min_events)
@@ -400,7 +419,7 @@ def activity_pairs(labels: DataFrame) -> DataFrame:
 
 def logging_asymmetry(events: DataFrame, pairs: DataFrame, norm_labels: Sequence[str] = ()) -> DataFrame:
     """Per pair: events on both sides, and cases with a release but no logged setting event."""
-    counts = events.where(F.col("activity").isNotNull()).groupBy("activity", "case_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = events.where(F.col("activity").isNotNull()).groupBy("activity", "case_id").agg(rows_in(events).alias("n"))
     counts = store(counts)
     zero = F.lit(0).cast("bigint")
     left = counts.join(pairs, counts.activity == pairs.setting).select("setting", "releasing", "case_id", F.col("n").alias("s"), zero.alias("r"))
@@ -482,7 +501,7 @@ def window_edges(cases: DataFrame, lags: Mapping[str, tuple[str, int]], end_us:
 
 def replication(events: DataFrame) -> DataFrame:
     """Per case: events per distinct timestamp, the share of repeated stamps, and the flag."""
-    stamps = events.where(F.col("ts").isNotNull()).groupBy("case_id", "ts").agg(F.count(F.lit(1)).alias("n"))
+    stamps = events.where(F.col("ts").isNotNull()).groupBy("case_id", "ts").agg(rows_in(events).alias("n"))
     out = stamps.groupBy("case_id").agg(
         F.sum("n").alias("n_events"),
         F.count(F.lit(1)).alias("n_stamps"),
@@ -495,9 +514,9 @@ def replication(events: DataFrame) -> DataFrame:
 def cross_case_replication(events: DataFrame, document: str) -> DataFrame:
     """Per case: share of its events whose document, activity and stamp also occur in another case."""
     rows = events.where(named(document).isNotNull() & F.col("ts").isNotNull())
-    per_case = rows.groupBy(document, "activity", "ts", "case_id").agg(F.count(F.lit(1)).alias("n"))
+    per_case = rows.groupBy(named(document), "activity", "ts", "case_id").agg(rows_in(events).alias("n"))
     per_case = store(per_case)
-    shared = per_case.groupBy(document, "activity", "ts").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
+    shared = per_case.groupBy(named(document), "activity", "ts").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
     marked = join_on(per_case, shared, [document, "activity", "ts"], "left")
     n = F.sum("n")
     return marked.groupBy("case_id").agg(
@@ -556,10 +575,22 @@ def check_row(df: DataFrame, name: str, value: Column, state: Column) -> DataFra
     return df.agg(value.cast("double").alias("value"), state.alias("status")).select(F.lit(name).alias("check_name"), "value", "status")
 
 
+def leading_slices(scored: DataFrame, by: Sequence[str], view: str, gamma: float, k: int, edge: Column | None) -> DataFrame:
+    """The ``k`` slices with the highest priority: open, replicated and edge shares of their cases, and the gap retained without open cases."""
+    from .backlog import label_keys, validation
+
+    top = validation(scored, by, view, gamma).orderBy(F.desc_nulls_last("stable_PI"), F.desc("n_cases"), *all_named(by)).limit(k)
+    shares = label_keys(scored, by).groupBy(*all_named(by)).agg(
+        F.avg(holds(F.col("replicated")).cast("double")).alias("replicated_all"),
+        F.avg((holds(edge) if edge is not None else F.lit(False)).cast("double")).alias("edge_all"),
+    )
+    return store(join_on(top, shares, by))
+
+
 def readiness(
     events: DataFrame,
     cases: DataFrame,
-    b: Bulk,
+    b: Bulk | None = None,
     *,
     end: str,
     group: str,
@@ -568,28 +599,52 @@ def readiness(
     grain: str = "month",
     document: str | None = None,
     t: Mapping[str, float] = THRESHOLDS,
+    norm_labels: Sequence[str] = (),
+    lag_labels: Mapping[str, tuple[Sequence[str], Sequence[str]]] | None = None,
+    scored: DataFrame | None = None,
+    by: Sequence[str] = (),
+    view: str | None = None,
+    gamma: float = 0.0,
+    k: int = 10,
 ) -> DataFrame:
     """All checks as rows ``check_name, value, status``.
 
-    ``events`` and ``cases`` should be stored tables; ``cases`` carries the
-    ``censored`` flag and the activation columns of ``lags``.
+    The events are read once, into a counted table of case, activity and stamp; four smaller tables of
+    it serve all checks.  ``cases`` is a stored table with the ``censored`` flag and the activation
+    columns of ``lags``.  ``norm_labels`` and ``lag_labels`` are what the norm names.  With ``scored``
+    (a case table with the columns of ``cases``, a score, ``censored`` and ``replicated``), ``by`` and
+    ``view``, the slices that lead the backlog can lower the status of three checks.
     """
     rows: list[DataFrame] = []
 
-    def add(name: str, df: DataFrame, value: Column, warn: float | None, fail: float | None) -> None:
+    def add(name: str, df: DataFrame, value: Column, warn: float | None, fail: float | None, at_least: str = "pass") -> None:
         out = df.agg(value.cast("double").alias("value"))
-        rows.append(out.select(F.lit(name).alias("check_name"), "value", status(F.col("value"), warn, fail).alias("status")))
-
-    add("sentinel_dates", sentinel_dates(events, b), F.max("share"), t["sentinel_share_warn"], t["sentinel_share_fail"])
-    heavy = concentration(events)
+        rows.append(out.select(F.lit(name).alias("check_name"), "value", worse(status(F.col("value"), warn, fail), at_least).alias("status")))
+
+    def worse(found: Column, at_least: str) -> Column:
+        higher = {"pass": (), "warn": ("pass",), "fail": ("pass", "warn")}[at_least]
+        return F.when(found.isin(list(higher)), at_least).otherwise(found) if higher else found
+
+    cube = store(counted(events, "case_id", "activity", "ts", *([document] if document else [])))
+    stamps = store(counted(cube, "ts"))
+    # Any stamp of the same period and precision stands for the others.
+    kinds = [F.col("activity"), period_label(F.col("ts"), grain).alias("period"), midnight(F.col("ts")).alias("date_only")]
+    labels = store(cube.groupBy(*kinds).agg(F.min("ts").alias("ts"), F.sum(TIMES).alias(TIMES)))
+    of_case = store(cube.groupBy("case_id", "activity").agg(F.min("ts").alias("ts"), F.sum(TIMES).alias(TIMES)))
+
+    b = bulk(stamps, t["sentinel_gap_days"]) if b is None else b
+    add("sentinel_dates", sentinel_dates(stamps, b), F.max("share"), t["sentinel_share_warn"], t["sentinel_share_fail"])
+    heavy = concentration(stamps)
     rows.append(check_row(heavy, "timestamp_concentration", F.max("share"), F.when(F.bool_or("heavy"), "warn").otherwise("pass")))
-    copies = duplicate_events(events).where(F.col("kind") == "key")
-    add("duplicate_events", copies, F.max("share"), t["duplicate_share_warn"], t["duplicate_share_fail"])
+    per_key = counted(cube, "case_id", "activity", "ts") if document else cube
+    add("duplicate_events", per_key, F.sum(F.col(TIMES) - 1) / F.sum(TIMES), t["duplicate_share_warn"], t["duplicate_share_fail"])
     p = F.col("share_date_only")
+    precision = store(day_precision(labels))
+    apart = bool(lag_labels) and not lag_precision_notes(precision, lag_labels).isEmpty()
     minority = F.coalesce(F.max(F.when(F.col("mixed"), F.least(p, 1 - p))), F.lit(0.0))
-    precise = F.when(minority >= t["precision_mix_fail"], "fail").when(F.bool_or("mixed"), "warn").otherwise("pass")
-    rows.append(check_row(day_precision(events), "timestamp_precision", minority, precise))
-    drift = vocabulary_drift(events, grain, int(t["drift_min_events"])).where(F.col("eligible") & F.col("jsd").isNotNull())
+    precise = F.when(minority >= t["precision_mix_fail"], "fail").when(F.bool_or("mixed") | F.lit(apart), "warn").otherwise("pass")
+    rows.append(check_row(precision, "timestamp_precision", minority, precise))
+    drift = vocabulary_drift(labels, grain, int(t["drift_min_events"])).where(F.col("eligible") & F.col("jsd").isNotNull())
     any_new = F.bool_or(F.col("new_labels") != "")
     changed = F.bool_or((F.col("new_labels") != "") | (F.col("vanished_labels") != ""))
     value = F.when(any_new, F.max("new_share")).otherwise(F.max("jsd"))
@@ -600,23 +655,39 @@ def readiness(
         .otherwise("pass")
     )
     rows.append(check_row(drift, "vocabulary_drift", value, state))
-    steps = frequency_steps(frequency_drift(events, grain, end=end, min_cases=int(t["frequency_min_cases"])))
+    steps = frequency_steps(frequency_drift(of_case, grain, end=end, min_cases=int(t["frequency_min_cases"])))
     add("activity_frequency_drift", steps.where(F.col("n_periods") >= 2), F.max("step_size"), t["frequency_step_warn"], t["frequency_step_fail"])
-    pairs = activity_pairs(events.select("activity").distinct())
-    asym = logging_asymmetry(events, pairs)
-    add("logging_asymmetry", asym, F.max("share_release_without_set"), t["asymmetry_share_warn"], None)
+    pairs = activity_pairs(labels.select("activity").distinct())
+    asym = logging_asymmetry(of_case, pairs, norm_labels)
+    share = F.max("share_release_without_set")
+    lost = F.bool_or((F.col("share_release_without_set") >= t["asymmetry_share_fail"]) & F.col("setting_in_norm"))
+    rows.append(check_row(asym, "logging_asymmetry", share, F.when(share.isNotNull() & holds(lost), "fail").otherwise(status(share, t["asymmetry_share_warn"], None))))
     add("exposure_zero", exposure_zero_share(cases), F.max("zero_share"), t["exposure_zero_warn"], t["exposure_zero_fail"])
-    far = exposure_sanity(cases, group)
+    far = store(exposure_sanity(cases, group))
     far_share = F.sum(F.col("far_share") * F.col("n_cases")) / F.sum("n_cases")
     add("exposure_far", far, far_share, t["exposure_far_share_warn"], t["exposure_far_share_fail"])
     add("exposure_units", far, F.max(F.abs("decades_from_overall")), None, t["exposure_decades"])
-    edge = window_edges(cases, lags, end_us)
-    add("window_edge", edge, F.max("edge_share"), t["edge_share_warn"], t["edge_share_fail"])
-    add("right_censoring", cases, F.avg(holds(F.col("censored")).cast("double")), t["censored_share_warn"], t["censored_share_fail"])
-    rep = replication(events)
-    add("event_replication", rep, F.avg(F.col("replicated").cast("double")), t["replicated_cases_warn"], t["replicated_cases_fail"])
+    edge = store(window_edges(cases, lags, end_us))
+    slices = {"edge": "pass", "retained": "pass", "replicated": "pass"}
+    if scored is not None and by and view:
+        first = edge.where("edge_share is not null").orderBy(F.desc("edge_share")).limit(1).select("constraint_id").first()
+        at_edge = None
+        if first is not None:
+            column, horizon = lags[first["constraint_id"]]
+            at_edge = micros(named(column)) > F.lit(end_us - horizon)
+        top = leading_slices(scored, by, view, gamma, k, at_edge)
+        found = top.agg(
+            F.bool_or(F.col("edge_all") >= t["edge_share_warn"]).alias("edge"),
+            F.bool_or((F.col("stable_gap") > 0) & (F.col("retained") < t["retained_fail"])).alias("retained"),
+            F.bool_or(F.col("replicated_all") >= t["replicated_slice_fail"]).alias("replicated"),
+        ).first()
+        slices = {"edge": "warn" if found["edge"] else "pass", "retained": "fail" if found["retained"] else "pass", "replicated": "fail" if found["replicated"] else "pass"}
+    add("window_edge", edge, F.max("edge_share"), t["edge_share_warn"], t["edge_share_fail"], slices["edge"])
+    add("right_censoring", cases, F.avg(holds(F.col("censored")).cast("double")), t["censored_share_warn"], t["censored_share_fail"], slices["retained"])
+    rep = replication(cube)
+    add("event_replication", rep, F.avg(F.col("replicated").cast("double")), t["replicated_cases_warn"], t["replicated_cases_fail"], slices["replicated"])
     if document:
-        cross = cross_case_replication(events, document)
+        cross = cross_case_replication(cube, document)
         rows.append(
             check_row(cross, "cross_case_replication", F.avg((F.col("cross_share") > 0).cast("double")), F.lit("pass"))
         )

@@ -511,7 +511,7 @@ def _(spark, d):
 
 
 def _report(spark, d):
-    events = store(log_od(spark, d))
+    events = log_od(spark, d)
     cases = C.build_cases(
         log_o(spark, d),
         {"t_place": C.stamp(["Place order"]), "t_ship": C.stamp(["Ship item"]), "n_ship": F.count_if(F.col("activity") == "Ship item")},
@@ -520,7 +520,7 @@ def _report(spark, d):
     )
     open_ = C.right_censored(F.col("n_ship"), F.lit(WINDOW_END).cast("timestamp_ntz"), CENSOR_DAYS)
     cases = store(cases.withColumn("censored", open_))
-    return Q.readiness(events, cases, Q.bulk(events), end=WINDOW_END, group="segment", lags=_lags(), end_us=END_US, grain="quarter")
+    return Q.readiness(events, cases, end=WINDOW_END, group="segment", lags=_lags(), end_us=END_US, grain="quarter")
 
 
 _REPORT_SQL = (
@@ -556,3 +556,70 @@ def _(spark, d):
 )
 def _(spark, d):
     return Q.overall_status(_report(spark, d))
+
+
+# --------------------------------------------------------------------------- readiness with a norm and scores
+# Labels that form a pair of setting and releasing, and the norm's own labels.
+PAIRED = {"Ship item": "Block item", "Ship parcel": "Block item", "Return item": "Release item"}
+
+
+def _slices(spark, d):
+    names = F.col("activity")
+    events = log_od(spark, d).withColumn("activity", F.coalesce(*[F.when(names == a, F.lit(b)) for a, b in PAIRED.items()], names))
+    scored = scored_o(spark, d)
+    firsts = C.build_cases(log_o(spark, d, False), {"t_place": C.stamp(["Place order"]), "t_ship": C.stamp(["Ship item"])})
+    scored = store(join_on(scored, firsts.select("case_id", "t_place", "t_ship"), ["case_id"]))
+    labels = {"c_lag": (["Place order"], ["Block item"])}
+    return Q.readiness(
+        events, scored, end=WINDOW_END, group="segment", lags=_lags(), end_us=END_US, grain="quarter",
+        norm_labels=["Block item"], lag_labels=labels, scored=scored, by=["segment", "priority"], view="A", gamma=20, k=12,
+    )
+
+
+cte(
+    "odp",
+    "SELECT * REPLACE (CASE WHEN activity IN ('Ship item', 'Ship parcel') THEN 'Block item' WHEN activity = 'Return item' THEN 'Release item' ELSE activity END AS activity) FROM od",
+    "od",
+)
+cte(
+    "asym_p",
+    "SELECT count(*) FILTER (WHERE s = 0) / count(*) AS v FROM (SELECT case_id, count(*) FILTER (WHERE activity = 'Block item') AS s, count(*) FILTER (WHERE activity = 'Release item') AS r FROM odp GROUP BY case_id) WHERE r > 0",
+    "odp",
+)
+cte(
+    "slice_p",
+    "WITH s AS (SELECT segment, priority, score_A, censored, replicated, t_place, t_ship FROM so),"
+    " m AS (SELECT avg(score_A) AS mu, avg(score_A) FILTER (WHERE NOT censored) AS mc FROM s),"
+    " g AS (SELECT segment, priority, count(score_A) AS n, avg(score_A) AS mean, count(score_A) FILTER (WHERE NOT censored) AS nc, avg(score_A) FILTER (WHERE NOT censored) AS cmean,"
+    " avg(CAST(replicated AS INT)) AS rep, {edge} AS edge FROM s GROUP BY ALL)"
+    " SELECT *, n / (n + 20.0) * greatest(mu - mean, 0) AS gap, nc / (nc + 20.0) * greatest(mc - cmean, 0) AS closed, row_number() OVER (ORDER BY n * (n / (n + 20.0)) * greatest(mu - mean, 0) DESC, n DESC, segment, priority) AS r FROM g, m".replace(
+        "{edge}",
+        f"avg(CAST(coalesce(CASE (SELECT id FROM worst_p) WHEN 'c_lag' THEN epoch_us(t_place) > {END_US} - 455 * 86400000000"
+        f" WHEN 'c_over' THEN epoch_us(t_place) > {END_US} - 210 * 86400000000 ELSE epoch_us(t_ship) > {END_US} - 395 * 86400000000 END, FALSE) AS INT))",
+    ),
+    "so",
+    "worst_p",
+)
+cte("worst_p", f"SELECT arg_max(constraint_id, edge_share) AS id FROM ({_edge_sql('')})", "co")
+
+
+def _at_least(status: str, found: str, level: str) -> str:
+    low = "('pass')" if level == "warn" else "('pass', 'warn')"
+    return f"CASE WHEN {found} AND {status} IN {low} THEN '{level}' ELSE {status} END"
+
+
+_LEAD = "(SELECT coalesce(bool_or({}), FALSE) FROM slice_p WHERE r <= 12)"
+_SLICES_SQL = (
+    "SELECT 'timestamp_precision' AS check_name, 0.0 AS value, 'pass' AS status"
+    " UNION ALL SELECT 'logging_asymmetry', v, CASE WHEN v >= 0.5 THEN 'fail' WHEN v >= 0.1 THEN 'warn' ELSE 'pass' END FROM asym_p"
+    f" UNION ALL SELECT 'duplicate_events', v, {_status_sql('v', 0.001, 0.05)} FROM (SELECT sum(c - 1) / sum(c) AS v FROM (SELECT count(*) AS c FROM odp GROUP BY case_id, activity, ts))"
+    f" UNION ALL SELECT 'window_edge', v, {_at_least(_status_sql('v', 0.05, 0.2), _LEAD.format('edge >= 0.05'), 'warn')} FROM (SELECT max(edge_share) AS v FROM ({_edge_sql('')}))"
+    f" UNION ALL SELECT 'right_censoring', v, {_at_least(_status_sql('v', 0.02, 0.2), _LEAD.format('gap > 0 AND closed / gap < 0.5'), 'fail')} FROM (SELECT avg(CAST(censored AS INT)) AS v FROM so)"
+    f" UNION ALL SELECT 'event_replication', v, {_at_least(_status_sql('v', 0.02, 0.25), _LEAD.format('rep >= 0.5'), 'fail')} FROM (SELECT avg(CAST(r > 2 AS INT)) AS v FROM (SELECT count(*) / count(DISTINCT ts) AS r FROM odp GROUP BY case_id))"
+)
+
+
+@register("W19_readiness_slices", _SLICES_SQL, doubles="value", with_=["odp", "asym_p", "slice_p", "worst_p", "co", "so"])
+def _(spark, d):
+    shown = ["timestamp_precision", "logging_asymmetry", "duplicate_events", "window_edge", "right_censoring", "event_replication"]
+    return _slices(spark, d).where(F.col("check_name").isin(shown))
