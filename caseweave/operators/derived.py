@@ -92,6 +92,19 @@ def recipe_aggregates(recipes: Mapping[str, Mapping[str, Any]]) -> dict[str, Col
     return out
 
 
+def distinct_counts(events: DataFrame, recipes: Recipes) -> DataFrame | None:
+    """``nunique`` recipes as a table per case: one grouping per column, apart from the aggregates that need no distinct step."""
+    out: DataFrame | None = None
+    columns = {r["column"] for r in recipes.values() if r["kind"] == "nunique"}
+    for column in sorted(columns):
+        of = {n: r for n, r in recipes.items() if r["kind"] == "nunique" and r["column"] == column}
+        rows = events.where(named(column).isNotNull()).groupBy("case_id", named(column).alias("__value"))
+        rows = rows.agg(*[F.bool_or(holds(_where(r.get("where")))).alias(n) for n, r in of.items()])
+        found = rows.groupBy("case_id").agg(*[F.count_if(named(n)).alias(n) for n in of])
+        out = found if out is None else out.join(found, "case_id", "full")
+    return out
+
+
 def reads(name: str, recipe: Mapping[str, Any]) -> set[str]:
     """The case columns and attributes that a column recipe names."""
     kind = recipe["kind"]

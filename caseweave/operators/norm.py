@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import MICROS, all_named, all_of, any_of, clip01, elapsed, holds, join_on, label_tag, named, total
 from ..functions.ordered import next_time
 from ..session import store
-from .derived import recipe_aggregates, recipe_columns
+from .derived import distinct_counts, recipe_aggregates, recipe_columns
 
 # The closed catalogue of constraint types.
 TYPES = ("presence", "exclusion", "singularity", "lag", "precedence", "balance", "metric")
@@ -317,8 +317,12 @@ def gather(
 
     ``case_columns`` are expressions on the aggregated row, such as a flow type; derived attributes may read them.
     """
-    first = {**case_aggregates, **recipe_aggregates(norm.derived), **first_pass(norm)}
+    several = {n: r for n, r in norm.derived.items() if r["kind"] != "nunique"}
+    first = {**case_aggregates, **recipe_aggregates(several), **first_pass(norm)}
     cases = events.groupBy("case_id").agg(*[c.alias(n) for n, c in first.items()])
+    distinct = distinct_counts(events, norm.derived)
+    if distinct is not None:
+        cases = join_on(cases, distinct, ["case_id"], "left").fillna(0, [n for n in norm.derived if n not in several])
     cases = cases.withColumns(dict(case_columns)) if case_columns else cases
     later = second_pass(norm)
     if later:

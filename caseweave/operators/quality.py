@@ -340,7 +340,7 @@ def frequency_drift(
     A period that ends within ``window_days`` of ``end`` is marked censored.
     """
     pairs = events.groupBy("case_id", "activity").agg(F.min("ts").alias("t"))
-    pairs = store(pairs)
+    pairs = pairs if _weight(events) else store(pairs)
     starts = pairs.groupBy("case_id").agg(F.min("t").alias("start")).where(F.col("start").isNotNull())
     starts = starts.select("case_id", period_label(F.col("start"), grain).alias("period"), "start")
     per_period = starts.groupBy("period").agg(F.count(F.lit(1)).alias("n_cases"), F.max("start").alias("__any"))
@@ -420,7 +420,7 @@ def activity_pairs(labels: DataFrame) -> DataFrame:
 def logging_asymmetry(events: DataFrame, pairs: DataFrame, norm_labels: Sequence[str] = ()) -> DataFrame:
     """Per pair: events on both sides, and cases with a release but no logged setting event."""
     counts = events.where(F.col("activity").isNotNull()).groupBy("activity", "case_id").agg(rows_in(events).alias("n"))
-    counts = store(counts)
+    counts = counts if _weight(events) else store(counts)
     zero = F.lit(0).cast("bigint")
     left = counts.join(pairs, counts.activity == pairs.setting).select("setting", "releasing", "case_id", F.col("n").alias("s"), zero.alias("r"))
     right = counts.join(pairs, counts.activity == pairs.releasing).select("setting", "releasing", "case_id", zero.alias("s"), F.col("n").alias("r"))

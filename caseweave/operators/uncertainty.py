@@ -160,7 +160,7 @@ def bootstrap_backlog(
     size = F.coalesce(named(volume).cast("double"), F.lit(0.0)) if volume else F.lit(1).cast("double")
     sums = {"n": F.lit(1).cast("double"), "ssum": s, "vol": size}
     draws = store(replicate_sums(rows, keys, cluster, sums, replicates, seed))
-    per_b = draws.groupBy("b").agg((F.sum("ssum") / F.sum("n")).alias("mu_bar"))
+    per_b = draws.groupBy("b").agg(F.try_divide(F.sum("ssum"), F.sum("n")).alias("mu_bar"))
     mean = F.lit(baseline) if baseline is not None else F.col("mu_bar")
     n = F.col("n")
     shrink = n / (n + F.lit(float(gamma))) if gamma > 0 else F.lit(1.0)
@@ -205,7 +205,7 @@ def bootstrap_contrast(
     inside = F.col("__in") == "true"
     total_n, slice_n = F.sum("n"), F.sum(F.when(inside, F.col("n")))
     bars = [
-        (F.sum(F.when(inside, named(f"s_{i}"))) / slice_n - F.sum(named(f"s_{i}")) / total_n).alias(f"d_{i}")
+        (F.try_divide(F.sum(F.when(inside, named(f"s_{i}"))), slice_n) - F.try_divide(F.sum(named(f"s_{i}")), total_n)).alias(f"d_{i}")
         for i in range(len(ids))
     ]
     per_b = draws.groupBy("b").agg(*bars)
