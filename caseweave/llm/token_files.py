@@ -31,14 +31,21 @@ OPTIONS = {
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, **columns: str) -> None:
-    """Encode all documents and write ``doc_id, part, start_in_part, ids`` in ascending order."""
-    ordered_ids(docs, tokenizer, end_id, **columns).drop("n").write.options(**OPTIONS).orc(path)
+    """Encode all documents and write ``doc_id, part, start_in_part, n, ids`` in ascending order.
+
+    A NULL or empty text has the end id only; NULL ids come first; equal ids follow a hash of their
+    text, and repeated rows are rows of their own; an empty table gives files without rows.
+    """
+    ordered_ids(docs, tokenizer, end_id, **columns).write.options(**OPTIONS).orc(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of the files with ``start``: the ids of all documents before."""
-    rows = spark.read.schema("doc_id long, part int, start_in_part long, ids array<int>").orc(path)
-    placed = rows.join(part_offsets(rows, F.size("ids")), "part")
+    """The rows of the files with ``start``: the ids of all documents before.
+
+    The totals of the parts are read from the numbers alone, not from the ids.
+    """
+    rows = spark.read.schema("doc_id long, part int, start_in_part long, n long, ids array<int>").orc(path)
+    placed = rows.join(part_offsets(rows.select("part", "n"), F.col("n")), "part")
     return placed.select("doc_id", (F.col("part_start") + F.col("start_in_part")).alias("start"), "ids")
 
 

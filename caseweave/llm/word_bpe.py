@@ -1,7 +1,8 @@
 """Word-wise encoding with a BPE file whose pre-tokens never span white space.
 
 White space separates pre-tokens and is dropped, so a text's ids are the ids of its
-space-separated words, one after the other.  Each worker keeps the ids of the words it has met
+space-separated words, one after the other.  A special token in a text has its own id, as the
+library gives it by default.  Each worker keeps the ids of the words it has met
 as packed integers; the tokenizers library encodes the words it meets for the first time.
 """
 
@@ -52,8 +53,8 @@ class Encoder(dict):
 
         super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
-        # The texts of the special tokens are ordinary text in a document.
-        self.tokenizer.encode_special_tokens = True
+        # The library finds these in a text as it stands, before lower-casing, also inside a word.
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merge = self.tokenizer.model.tokenize
         self.kept = kept
 
@@ -71,13 +72,17 @@ class Encoder(dict):
         self[word] = ids
         return ids
 
+    def _lowered(self, text: str) -> str:
+        """An ASCII text may be lowered at once, since no letter changes its ids by that, unless this could make a special token."""
+        low = text.lower() if text.isascii() else text
+        return text if any(s.lower() in low for s in self.special) else low
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
         if len(self) > self.kept:
             self.clear()
             self[""] = b""
-        # An ASCII text may be lowered at once: no letter changes its ids by that.
-        split = [(t.lower() if t.isascii() else t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        split = [self._lowered(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 

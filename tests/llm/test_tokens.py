@@ -19,9 +19,7 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 def plain_ids(text):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(WORDS).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("chunk, overlap", [(16_384, 512), (200, 40), (90, 10)])
@@ -46,6 +44,8 @@ def test_byte_bpe_of_paragraphs_cut_at_any_place(stored):
 def test_word_ids_equal_the_library(odd):
     enc = word_bpe.Encoder(WORDS, kept=5)
     texts = [t or "" for _, t in odd] + ["ﬁ ſt ΣΑΣ á x\x1cy z\x85q ...! a.. 's we've DON'T", "Été, été. ß ẞ Å ŉ"]
+    special = "<|endoftext|>"
+    texts += [f"a {special} b", f"A{special}B don't", special.upper(), f"é{special}'s {special}{special}", f"x <|endof\ntext|> {special}\n", "<|startoftext|>Mixed CASE text", f"{special.upper()} and {special}"]
     for _ in range(2):
         assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [plain_ids(t) for t in texts]
 
@@ -67,6 +67,37 @@ def test_token_files(spark, stored, odd, tmp_path):
     assert [r["ids"][-1] for r in token_files.lookup(spark, path, [4]).collect()] == [1]
 
 
+def scanned_rows(df):
+    """Rows that each scan of an executed plan hands on, by the columns it reads."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    out = {}
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        out[tuple(sorted(leaf.schema().fieldNames()))] = leaf.metrics().apply("numOutputRows").value()
+    return out
+
+
+def test_a_lookup_skips_rows(spark, stored, tmp_path):
+    from pyarrow import orc
+
+    path = str(tmp_path / "many.orc")
+    token_files.write(stored([(i, f"document number {i} of many") for i in range(40_000)]), WORDS, 1, path)
+    files = [orc.ORCFile(f) for f in tmp_path.glob("many.orc/*.orc")]
+    assert sum(f.nrows for f in files) == 40_000 and all(f.row_index_stride == 1000 and f.compression == "ZSTD" for f in files)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = token_files.lookup(spark, path, [17_123])
+        read = scanned_rows(found)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert [r["doc_id"] for r in found.collect()] == [17_123]
+    with_ids = {c: n for c, n in read.items() if "ids" in c}
+    # Only row groups that may hold the id are read with their ids; the totals need two small columns.
+    assert list(with_ids.values()) == [n for n in with_ids.values() if n <= 2000] and len(with_ids) == 1
+    assert all(set(c) <= {"part", "n"} for c in read if "ids" not in c)
+
+
 @pytest.mark.parametrize("length", [4096, 64])
 def test_packing(stored, odd, length):
     pieces = packing.pack(stored(odd), WORDS, 2, length=length, with_ids=True)
