@@ -23,7 +23,8 @@ from .common import map_batches, store
 from .components import Forest, components
 
 SIMILAR = 0.98
-SHARD = 4096
+# Searches grow with the logarithm of a shard, and their number with the shards of a label.
+SHARD = 32_768
 LINKS = 16
 BUILD_EF, SEARCH_EF = 64, 48
 BATCH = 256
@@ -232,8 +233,8 @@ def near_vectors(vectors: DataFrame, *, similar: float = SIMILAR, shard: int = S
         order = np.argsort(members.column("id").to_numpy(), kind="stable")
         ids = members.column("id").to_numpy()[order]
         copies = members.column("copies").to_numpy()[order]
-        x = np.array(members.column("embedding").to_pylist(), float)[order]
-        x = unit(x)
+        flat = members.column("embedding").combine_chunks().flatten().to_numpy()
+        x = unit(flat.reshape(len(ids), -1)[order])
         graph = Graph(x)
         sizes = np.array([len(x), x.shape[1], *(layer.shape[1] for layer in graph.layers)], np.int64)
         packed = {"owner": key[0].as_py() if hasattr(key[0], "as_py") else key[0], "sizes": sizes, "ids": ids, "copies": copies, "x": x, "links": np.concatenate([layer.astype(np.int32).ravel() for layer in graph.layers])}
