@@ -9,7 +9,7 @@ Each range is summed on its own, and one row per range carries the earlier sums
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -216,28 +216,43 @@ def with_next(
     return data.withColumns(out).drop("__nxt", CHUNK)
 
 
-def next_time(
-    events: DataFrame, wanted: Column, name: str, *, hot_events: int = 1_000_000, sizes: DataFrame | None = None
+def next_times(
+    events: DataFrame, wanted: Mapping[str, Column], *, hot_events: int = 1_000_000, sizes: DataFrame | None = None
 ) -> DataFrame:
-    """Add the timestamp of the first ``wanted`` event of the case at or after each event's own timestamp."""
+    """For each entry of ``wanted``, add the timestamp of the first such event of the case at or after each event's own.
+
+    All entries are answered by one pass over the sorted events of a case.
+    """
     data, cut = chunked(events, hot_events, sizes)
-    data = data.withColumn("__t", F.when(wanted, F.col("ts")))
+    names = list(wanted)
+    data = data.withColumns({f"__t{i}": F.when(wanted[n], F.col("ts")) for i, n in enumerate(names)})
     later = (
         Window.partitionBy("case_id", *([CHUNK] if cut else []))
         .orderBy(F.col("ts").asc_nulls_last())
         .rangeBetween(Window.currentRow, Window.unboundedFollowing)
     )
-    data = data.withColumn(name, F.min("__t").over(later))
+    data = data.withColumns({n: F.min(f"__t{i}").over(later) for i, n in enumerate(names)})
     if cut:
-        sides = data.groupBy("case_id", CHUNK).agg(F.min("__t").alias("__lo"), F.max("__t").alias("__hi"))
+        ends = [c for i in range(len(names)) for c in (F.min(f"__t{i}").alias(f"__lo{i}"), F.max(f"__t{i}").alias(f"__hi{i}"))]
         per_case = Window.partitionBy("case_id").orderBy(CHUNK)
+        after, before = per_case.rowsBetween(1, Window.unboundedFollowing), per_case.rowsBetween(Window.unboundedPreceding, -1)
+        sides = data.groupBy("case_id", CHUNK).agg(*ends)
         sides = sides.select(
             "case_id",
             CHUNK,
-            F.min("__lo").over(per_case.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
-            F.max("__hi").over(per_case.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
+            *[F.min(f"__lo{i}").over(after).alias(f"__after{i}") for i in range(len(names))],
+            *[F.max(f"__hi{i}").over(before).alias(f"__before{i}") for i in range(len(names))],
         )
         data = join_on(data, sides, ["case_id", CHUNK])
-        tied = F.when(F.col("__before") == F.col("ts"), F.col("ts"))
-        data = data.withColumn(name, F.least(named(name), F.col("__after"), tied)).drop("__after", "__before")
-    return data.withColumn(name, F.when(F.col("ts").isNotNull(), named(name))).drop("__t", CHUNK)
+        for i, n in enumerate(names):
+            tied = F.when(F.col(f"__before{i}") == F.col("ts"), F.col("ts"))
+            data = data.withColumn(n, F.least(named(n), F.col(f"__after{i}"), tied)).drop(f"__after{i}", f"__before{i}")
+    dated = {n: F.when(F.col("ts").isNotNull(), named(n)) for n in names}
+    return data.withColumns(dated).drop(CHUNK, *[f"__t{i}" for i in range(len(names))])
+
+
+def next_time(
+    events: DataFrame, wanted: Column, name: str, *, hot_events: int = 1_000_000, sizes: DataFrame | None = None
+) -> DataFrame:
+    """Add the timestamp of the first ``wanted`` event of the case at or after each event's own timestamp."""
+    return next_times(events, {name: wanted}, hot_events=hot_events, sizes=sizes)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MICROS, all_named, all_of, any_of, clip01, elapsed, holds, join_on, label_tag, named, total
-from ..functions.ordered import next_time
+from ..functions.ordered import next_times
 from ..session import store
 from .derived import distinct_counts, recipe_aggregates, recipe_columns
 
@@ -335,23 +335,35 @@ def gather(
         cases = join_on(cases, found, ["case_id"], "left")
         counts = [n for n in later if n.startswith(("early__", "scoped__"))]
         cases = cases.withColumns({n: F.coalesce(named(n), F.lit(0)) for n in counts})
-    for c in norm.constraints:
-        if c.type == "lag" and c.params.get("activation") == "each":
-            sizes = cases.select("case_id", "n_events") if later and "n_events" in cases.columns else None
-            cases = join_on(cases, _each_lag(events, c, norm, sizes), ["case_id"], "left")
+    each = [c for c in norm.constraints if c.type == "lag" and c.params.get("activation") == "each"]
+    if each:
+        sizes = cases.select("case_id", "n_events") if later and "n_events" in cases.columns else None
+        cases = join_on(cases, _each_lags(events, each, norm, sizes), ["case_id"], "left")
     return recipe_columns(cases, norm.derived) if norm.derived else cases
 
 
-def _each_lag(events: DataFrame, c: Constraint, norm: Norm, sizes: DataFrame | None = None) -> DataFrame:
-    """Mean lag and mean violation over every activation of an ``each`` lag."""
-    a, b = c.labels("a"), c.labels("b")
-    rows = events.where(F.col("activity").isin(a + b) & F.col("ts").isNotNull())
-    rows = next_time(rows.select("case_id", "activity", "ts", "seq"), F.col("activity").isin(b), "tb", sizes=sizes)
-    rows = rows.where(F.col("activity").isin(a))
-    lag = elapsed(F.col("ts"), F.col("tb"), c.params.get("unit", "D"))
-    late = _missing_b(c, F.col("ts"), norm)
-    nu = F.when(F.col("tb").isNotNull(), _grade(lag, c.params["delta"], c.params.get("width", 0.0))).otherwise(late)
-    return rows.groupBy("case_id").agg(F.avg(lag).alias(f"each__{c.id}"), F.avg(nu).alias(f"eachv__{c.id}"))
+def _each_lags(events: DataFrame, each: Sequence[Constraint], norm: Norm, sizes: DataFrame | None = None) -> DataFrame:
+    """Mean lag and mean violation over every activation, for all ``each`` lags in one pass over the events.
+
+    Constraints that wait for the same labels share the search for the next one.
+    """
+    act = F.col("activity")
+    waits = {_next_name(c): act.isin(c.labels("b")) for c in each}
+    labels = sorted({x for c in each for n in ("a", "b") for x in c.labels(n)})
+    rows = events.where(act.isin(labels) & F.col("ts").isNotNull())
+    rows = next_times(rows.select("case_id", "activity", "ts", "seq"), waits, sizes=sizes)
+    aggs = []
+    for c in each:
+        hit, tb = act.isin(c.labels("a")), F.col(_next_name(c))
+        lag = elapsed(F.col("ts"), tb, c.params.get("unit", "D"))
+        late = _missing_b(c, F.col("ts"), norm)
+        nu = F.when(tb.isNotNull(), _grade(lag, c.params["delta"], c.params.get("width", 0.0))).otherwise(late)
+        aggs += [F.avg(F.when(hit, lag)).alias(f"each__{c.id}"), F.avg(F.when(hit, nu)).alias(f"eachv__{c.id}")]
+    return rows.groupBy("case_id").agg(*aggs)
+
+
+def _next_name(c: Constraint) -> str:
+    return f"next__{label_tag(c.labels('b'))}"
 
 
 # --------------------------------------------------------------------------- signals and violations

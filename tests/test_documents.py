@@ -97,3 +97,30 @@ def test_case_tables_with_odd_names(odd):
     log = odd[0]
     row = build_cases(log, attributes=["a.b", "q`t"], exposure="net.worth (EUR)", exposure_agg="last").where("case_id = 'c4'").first()
     assert (row["a.b"], row["q`t"], row["exposure"]) == ("v1", "x`y", 4.0)
+
+
+def test_all_each_lags_take_one_pass(make_log):
+    """Three lags over each activation, two of them waiting for the same label, equal the lags one by one."""
+    rows = [(f"c{i % 7}", "ABCD"[(i * 5) % 4], None if i % 11 == 0 else f"2024-01-{1 + i % 23:02d} 0{i % 9}:00:00") for i in range(160)]
+    log = make_log(rows)
+    lag = lambda cid, a, b, **more: {"id": cid, "layer": "L", "type": "lag", "params": {"a": a, "b": b, "delta": 1, "width": 9, "activation": "each", **more}}
+    lags = [lag("ab", "A", "B"), lag("cb", ["C", "D"], "B", missing_b="skip"), lag("bd", "B", ["D", "A"], unit="h")]
+    score = lambda some: norm.gather(log, norm.load_norm({"layers": ["L"], "constraints": some}), case_aggregates(log))
+    together = score(lags)
+    plan = together._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1
+    got = {r["case_id"]: r for r in together.collect()}
+    for one in lags:
+        for r in score([one]).collect():
+            for c in ("each__", "eachv__"):
+                assert got[r["case_id"]][c + one["id"]] == r[c + one["id"]]
+    stamps = {}
+    for c, a, t in rows:
+        stamps.setdefault(c, []).append((t, a))
+    import datetime as dt
+
+    for c, events in stamps.items():
+        dated = [(dt.datetime.fromisoformat(t), a) for t, a in events if t]
+        waits = [min((u - t for u, b in dated if b == "B" and u >= t), default=None) for t, a in dated if a == "A"]
+        days = [w / dt.timedelta(days=1) for w in waits if w is not None]
+        assert got[c]["each__ab"] == (pytest.approx(sum(days) / len(days)) if days else None)
