@@ -104,6 +104,16 @@ def _(spark, d):
     return written.groupBy("activity").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("unchanged", same)
 
 
+@register("S4_replaced_table", "SELECT activity, count(*) AS n_rows, count(DISTINCT case_id) AS cases FROM wd GROUP BY activity", with_=["wd"])
+def _(spark, d):
+    """A table that takes the place of an earlier one and is read back against its manifest."""
+    path = _path(spark, "replaced")
+    sinks.write_table(log_w(spark, d), path)
+    sinks.write_table(log_wd(spark, d), path, partition_by=["k"])
+    back = sinks.read_table(spark, path, content=True)
+    return back.groupBy("activity").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("case_id").alias("cases"))
+
+
 @register("S5_preview", "SELECT * FROM w ORDER BY seq LIMIT 50", doubles="value", with_=["w"])
 def _(spark, d):
     return log_w(spark, d).orderBy("seq").limit(50)
