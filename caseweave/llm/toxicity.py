@@ -251,7 +251,10 @@ def accepted(docs: DataFrame, model: Model, *, reject: float = REJECT, text_col:
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gains_of = model.gains()
         for b in batches:
-            x = np.array([features(gains_of(t or ""), model.threshold) for t in b.column(text_col).to_pylist()]).reshape(-1, 4)
+            x = np.array([features(gains_of(t or ""), model.threshold) for t in b.column(text_at).to_pylist()]).reshape(-1, 4)
             yield b.filter(pa.array(model.score(x) < reject))
 
-    return docs.mapInArrow(kept, docs.schema)
+    # Batches are handed over under plain names, since a column may have any.
+    text_at = docs.columns.index(text_col)
+    renamed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return renamed.mapInArrow(kept, renamed.schema).toDF(*docs.columns)
