@@ -1,9 +1,10 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one by the library on windows of ordinary texts, one from
-the character runs that set toxic texts apart from ordinary ones.  Every window of a text is
-compressed with the ordinary dictionary alone and with the toxic one added; the bytes saved are the
-window's gain.  A calibrated
+The library trains two zstandard dictionaries: one on windows of eight words of ordinary texts, one
+on the words of toxic texts that hold a character run which sets these texts apart.  Given whole
+windows of toxic texts, the trainer mostly picks the language that both classes share.  Every window
+of a text is compressed with the ordinary dictionary, and with the toxic one laid before it, so that
+the shared language costs the same in both; the bytes saved are the window's gain.  A calibrated
 threshold tells which gains count, and a logistic curve fitted on texts that no dictionary has seen
 turns a text's gains into a score.
 
@@ -17,6 +18,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,16 @@ SAMPLE_CHARS = 50_000
 WORDS = 8
 # Longer runs without white space are cut, so that a window stays a window.
 WORD_CHARS = 64
-# The fast levels index a dictionary sparsely and miss short matches that a lazy search finds.
-LEVEL = 9
-ORDINARY_BYTES, TOXIC_BYTES = 13_800, 1_200
-# Characters in a row that the toxic dictionary is chosen by.
+# A lazy search with short matches: faster ones index a dictionary sparsely.  Stated in full, since a
+# level means other settings for a dictionary of another size, and both sides must be searched alike.
+SEARCH = {"chain_log": 18, "hash_log": 17, "search_log": 6, "min_match": 4, "target_length": 32, "strategy": zstandard.STRATEGY_BTLAZY2}
+ORDINARY_BYTES = 13_800
+# Characters in a row that the toxic dictionary's samples are chosen by.
 RUN = 5
+# Words that toxic texts hold so often are samples of the toxic dictionary, which has room for each so many times.
+TOXIC_COUNT, TOXIC_ROOM = 3, 2
+# The trainer's units for the toxic dictionary: a short word counts whole, and a segment takes a few words.
+TOXIC_UNITS = {"d": 6, "k": 64}
 REJECT = 0.3
 MARKS = ".,;:!?\"'()[]{}«»¿¡-"
 
@@ -64,9 +71,12 @@ class Model:
     def gains(self):
         """A function from a text to the gains of its windows."""
 
+        window = max(18, (len(self.toxic) + len(self.ordinary)).bit_length() + 1)
+        search = zstandard.ZstdCompressionParameters(window_log=window, write_content_size=False, write_dict_id=False, **SEARCH)
+
         def packer(content: bytes):
             data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False).compress
+            return zstandard.ZstdCompressor(dict_data=data, compression_params=search).compress
 
         if not self.toxic:
             return lambda text: np.zeros(len(windows(text)))
@@ -98,10 +108,10 @@ def _apart(texts: Sequence[str]) -> list[str]:
     return out
 
 
-def _trained(size: int, samples: list[bytes]) -> bytes:
+def _trained(size: int, samples: list[bytes], **units: int) -> bytes:
     """Content of a trained dictionary; small samples serve as they are."""
     try:
-        return zstandard.train_dictionary(size + 256, samples).as_bytes()[-size:]
+        return zstandard.train_dictionary(size + 256, samples, **units).as_bytes()[-size:]
     except zstandard.ZstdError:
         return b"".join(dict.fromkeys(samples))[-size:]
 
@@ -126,30 +136,16 @@ def _contrast(toxic: Sequence[str], ordinary: Sequence[str]) -> set[str]:
         if c > 1 and c / n_a > 4 * (b[r] + 1) / n_b:
             p = (c + b[r]) / (n_a + n_b)
             z[r] = (c / n_a - b[r] / n_b) / math.sqrt(p * (1 - p) * (1 / n_a + 1 / n_b) + 1e-12)
-    least = max(3.5, min(6, 0.7 * max(z.values(), default=0)))
+    # About one run would pass by chance.
+    least = NormalDist().inv_cdf(1 - 1 / max(2, len(a)))
     return {r for r, x in z.items() if x >= least}
 
 
 def _telling(toxic: Sequence[str], runs: set[str]) -> list[bytes]:
-    """What the runs cover of the words of toxic texts, most common first."""
-    found: Counter = Counter()
-    for t in toxic:
-        for word in words(t):
-            at = [i for i, r in enumerate(_runs(word)) if r in runs]
-            if at:
-                found[f" {word.strip(MARKS)} "[at[0] : at[-1] + RUN]] += 1
-    return [x.encode() for x, _ in sorted(found.items(), key=lambda f: (-f[1], f[0]))]
-
-
-def _repeated(snippets: list[bytes], size: int) -> bytes:
-    """Content of exactly ``size`` bytes, the most common snippets last and at several alignments.
-
-    The fixed size keeps the places of the ordinary content, so that only toxic runs change a window's length.
-    """
-    rounds: list[bytes] = []
-    while snippets and sum(map(len, rounds)) < size + 3 * len(snippets[0]):
-        rounds.insert(0, b"".join(snippets[: max(1, len(snippets) >> len(rounds))][::-1]) + b" " * (1 + len(rounds) % 2))
-    return b"".join(rounds)[-size:] if snippets else b""
+    """The words of toxic texts that hold one of the runs, as often as they occur, but for rare ones."""
+    found = [f" {word.strip(MARKS)} ".encode() for t in toxic for word in words(t) if not runs.isdisjoint(_runs(word))]
+    counts = Counter(found)
+    return [w for w in found if counts[w] >= TOXIC_COUNT]
 
 
 def _spread(samples: list[bytes], n: int) -> list[bytes]:
@@ -173,7 +169,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _dictionaries(toxic: Sequence[str], ordinary: Sequence[str]) -> tuple[bytes, bytes]:
     base = _trained(ORDINARY_BYTES, _spread([w for t in ordinary for w in windows(t)], 40_000))
     runs = _contrast(toxic, ordinary) if toxic and ordinary else set()
-    return base, _repeated(_telling(toxic, runs), TOXIC_BYTES)
+    samples = _telling(toxic, runs)
+    return base, _trained(TOXIC_ROOM * sum(map(len, set(samples))), samples, **TOXIC_UNITS) if samples else b""
 
 
 def fit(rows: Sequence[tuple[str, int]], share: float | None = None) -> Model:
@@ -213,17 +210,16 @@ def fit(rows: Sequence[tuple[str, int]], share: float | None = None) -> Model:
 def sample(docs: DataFrame, labels: DataFrame, *, each: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[list[tuple[str, int]], float | None]:
     """At most ``each`` labelled texts of either class, and the share of toxic ones among all labelled rows.
 
-    Held-out ids are left out; texts are chosen by a hash of their id and bounded in length.  A
-    document with several labels counts as toxic if one says so.
+    Held-out ids are left out; ids are chosen by a hash and their texts bounded in length.  A
+    document with several labels counts as toxic if one says so; an id with several texts gives the
+    smallest.  All texts are read once for both classes.
     """
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y"))
     marked = marked.where(remainder(F.col("id"), 4) != 2).groupBy("id").agg(F.max("y").alias("y"))
+    ordinary, toxic = (marked.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(each) for y in (0, 1))
     named = plain(docs).where(F.length("text") <= chars).select(F.col("doc_id").alias("id"), "text")
-    rows = []
-    for label in (0, 1):
-        chosen = marked.where(F.col("y") == label).orderBy(F.xxhash64("id"), "id").limit(each)
-        rows += [(r["text"], label) for r in named.join(chosen, "id").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(each).collect()]
-    return rows, marked.agg(F.avg("y")).first()[0]
+    found = named.join(ordinary.unionByName(toxic), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    return [(r["text"], r["y"]) for r in found.orderBy("y", F.xxhash64("id"), "id").collect()], marked.agg(F.avg("y")).first()[0]
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -148,6 +148,41 @@ def test_toxicity_finds_marked_texts(spark, stored):
     assert all(0 <= r["score"] <= 1 for r in toxicity.score(docs, none).collect())
 
 
+def test_toxic_dictionary_grows_with_the_toxic_vocabulary():
+    rng = random.Random(8)
+
+    def word(letters, n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    common = [word("aeioulmnrst", rng.randint(2, 8)) for _ in range(3000)]
+
+    def texts(bad, n):
+        plain = [[rng.choice(common) for _ in range(150)] for _ in range(n)]
+        return [" ".join(w) for w in plain], [" ".join(w[:60] + rng.sample(bad, 15) + w[60:]) for w in ([rng.choice(common) for _ in range(150)] for _ in range(n))]
+
+    sizes = []
+    for n_bad in (20, 300):
+        bad = [word("bcdfghkpvwxz", 9) for _ in range(n_bad)]
+        ordinary, toxic = texts(bad, 450)
+        model = toxicity.fit([(t, 0) for t in ordinary] + [(t, 1) for t in toxic])
+        sizes.append(len(model.toxic))
+        unseen, marked = texts(bad, 100)
+        gains_of = model.gains()
+        scores = model.score(np.array([toxicity.features(gains_of(t), model.threshold) for t in unseen + marked])) >= toxicity.REJECT
+        assert scores[:100].sum() <= 5 and scores[100:].sum() >= 95
+    # Three hundred words of eleven bytes with the blanks around them.
+    assert sizes[0] < sizes[1] and sizes[1] > 300 * 9
+
+
+def test_one_sample_per_id(spark, stored):
+    docs = stored([(1, "b text"), (1, "a text"), (1, None), (3, "c text"), (4, "d" * 60), (None, "e text")])
+    marks = spark.createDataFrame([(1, 0), (1, 1), (3, 0), (4, 1), (None, 1), (3, 0), (9, 1)], "doc_id long, toxic int")
+    rows, share = toxicity.sample(docs, marks, chars=50)
+    learnt = [i for i in (1, 3, 4, 9) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sorted(rows) == sorted((t, y) for i, t, y in ((1, "", 1), (3, "c text", 0)) if i in learnt)
+    assert share == pytest.approx(np.mean([{1: 1, 3: 0, 4: 1, 9: 1}[i] for i in learnt]))
+
+
 def test_nothing_is_toxic_without_toxic_examples(spark, stored):
     docs = stored([(1, "some text"), (2, None), (3, "word " * 400)])
     none = toxicity.trained(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
