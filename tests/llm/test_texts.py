@@ -210,6 +210,76 @@ def test_suffix_tree(stored, odd):
     assert suffix_tree.score(stored([]), F.lit(False)).count() == 0
 
 
+class PlainTree:
+    """The tree by its definition, over dictionaries."""
+
+    def __init__(self, texts, depth):
+        runs = [[w for w in re.split(r"[ \t\n\v\f\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if w] + ["$"] for t in texts]
+        self.c = Counter(w for r in runs for w in r)
+        self.n, self.v = sum(self.c.values()), len(self.c)
+        self.held, self.follow = Counter(), defaultdict(Counter)
+        for r in runs:
+            for i in range(len(r)):
+                for k in range(1, depth + 1):
+                    if i + 1 >= k:
+                        self.held[tuple(r[i + 1 - k : i + 1])] += 1
+                    if i >= k:
+                        self.follow[tuple(r[i - k : i])][r[i]] += 1
+        self.tree = {}
+        for k in range(1, depth + 1):
+            for context in [x for x in self.follow if len(x) == k and self.held[x] >= 5]:
+                self.judge(context)
+
+    def root(self, w):
+        return (self.c[w] + 0.5) / (self.n + 0.5 * (self.v + 1))
+
+    def judge(self, context):
+        t, n = self.held[context], {w: x for w, x in self.follow[context].items() if x >= 5}
+        if not n:
+            return
+        shorter = {w: self.p(context[1:], w) for w in n}
+        other, other_shorter = max(t - sum(n.values()), 0), max(1 - sum(shorter.values()), 1e-12)
+        divergence = sum(x / t * math.log(x / t / shorter[w]) for w, x in n.items())
+        if other:
+            divergence += other / t * math.log(other / t / other_shorter)
+        if t * divergence > (len(n) + 1) * math.log(t):
+            own = {w: (x + 5 * shorter[w]) / (t + 5) for w, x in n.items()}
+            self.tree[context] = own, max(1 - sum(own.values()), 1e-12) / other_shorter
+
+    def p(self, context, w):
+        if not context:
+            return self.root(w)
+        if context not in self.tree:
+            return self.p(context[1:], w)
+        own, rest = self.tree[context]
+        return own[w] if w in own else rest * self.p(context[1:], w)
+
+    def score(self, text, depth):
+        r = [w for w in re.split(r"[ \t\n\v\f\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w] + ["$"]
+        return sum(math.log10(self.p(tuple(r[max(0, i - depth) : i]), w)) for i, w in enumerate(r))
+
+
+def test_suffix_tree_scores_equal_the_plain_definition(stored):
+    rng = random.Random(12)
+    names = [f"W{i}" for i in range(9)]
+    # What follows depends on up to four earlier words.
+    after = defaultdict(lambda: rng.choices(names, k=2))
+
+    def text(n):
+        out = []
+        for i in range(n):
+            back = tuple(out[-rng.choice((1, 2, 4, 4)) :])
+            out.append(f"rare{rng.randint(0, 400)}" if rng.random() < 0.02 else rng.choice(names) if rng.random() < 0.1 else rng.choice(after[back]))
+        return rng.choice((" ", "\n", "  ")).join(out)
+
+    rows = [(i, text(rng.randint(1, 120))) for i in range(400)] + [(400, None), (401, ""), (402, "w1 never\u00a0seen W2"), (403, "w1 " * 900)]
+    out = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 1]
+    plain = PlainTree([t or "" for i, t in rows if i not in out], suffix_tree.DEPTH)
+    assert {len(x) for x in plain.tree} == set(range(1, suffix_tree.DEPTH + 1))
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(stored(rows), remainder(F.col("doc_id"), 5) == 1, block_tokens=4000).collect()}
+    assert got == pytest.approx({i: plain.score(t or "", suffix_tree.DEPTH) for i, t in rows}, rel=1e-9)
+
+
 def test_next_token_probabilities_sum_to_one(stored):
     rows = stored([(i, "a b c a b d " * 30) for i in range(20)]).select("doc_id", "text")
     counts = rows.sparkSession.createDataFrame([(b"a", 1200), (b"b", 1200), (b"c", 600), (b"d", 600), (b"", 20)], "word binary, c long")
