@@ -97,6 +97,45 @@ def log_profile(events: DataFrame) -> DataFrame:
     )
 
 
+# Names by which a column is known, lower-case and without blanks and underscores, first match first.
+ROLE_NAMES = {
+    "case_id": ("caseid", "case", "caseconcept:name", "incidentid", "ticketid", "srnumber", "case:concept:name"),
+    "activity": ("activity", "concept:name", "event", "activitytype", "incidentactivitytype", "status"),
+    "ts": ("timestamp", "time:timestamp", "completetimestamp", "datestamp", "time", "starttimestamp", "startdate"),
+}
+
+
+def guess_columns(columns: Sequence[str]) -> dict[str, str | None]:
+    """The column of each role by its name, None if no name is known; of equal names the first column."""
+    known: dict[str, str] = {}
+    for c in columns:
+        known.setdefault(c.lower().replace(" ", "").replace("_", ""), c)
+    return {role: next((known[n] for n in names if n in known), None) for role, names in ROLE_NAMES.items()}
+
+
+def log_details(events: DataFrame, *, activity: str = "activity", lifecycle: str | None = None, attributes: Sequence[str] = (), top: int = 8) -> DataFrame:
+    """``part, name, n``: the ``top`` most common activities, events per lifecycle step, events that carry each attribute.
+
+    Activities tied on their count are cut by name.  NULL activities and steps are not listed, nor attributes without
+    any value.  The events are read once, into a counted table of activity and step.
+    """
+    has = [f"n{i}" for i in range(len(attributes))]
+    labels = events.select(
+        named(activity).cast("string").alias("a"),
+        (named(lifecycle) if lifecycle else F.lit(None)).cast("string").alias("l"),
+        *[named(x).isNotNull().cast("bigint").alias(n) for x, n in zip(attributes, has, strict=True)],
+    )
+    counted = store(labels.groupBy("a", "l").agg(F.count(F.lit(1)).alias("n"), *[F.sum(n).alias(n) for n in has]))
+    per = {c: counted.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("name")).agg(F.sum("n").alias("n")) for c in ("a", "l")}
+    out = per["a"].orderBy(F.desc("n"), "name").limit(top).select(F.lit("activity").alias("part"), "name", "n")
+    if lifecycle:
+        out = out.unionByName(per["l"].select(F.lit("lifecycle").alias("part"), "name", "n"))
+    if attributes:
+        rows = [F.struct(F.lit("attribute").alias("part"), F.lit(x).alias("name"), F.col(n).alias("n")) for x, n in zip(attributes, has, strict=True)]
+        out = out.unionByName(counted.agg(*[F.sum(n).alias(n) for n in has]).select(F.inline(F.array(*rows))).where("n > 0"))
+    return out
+
+
 def _values(cases: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """Attributes as rows: ``name, value, num``."""
     items = [

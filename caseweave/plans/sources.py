@@ -167,6 +167,23 @@ def _(spark, d):
     return profile.log_profile(log_o(spark, d, False))
 
 
+def _details_sql() -> str:
+    attributes = " UNION ALL ".join(f"SELECT 'attribute' AS part, '{c}' AS name, count({c}) AS n FROM tw" for c in ("event_id", "cents", "kind"))
+    return (
+        "(SELECT 'activity' AS part, event AS name, count(*) AS n FROM tw WHERE event IS NOT NULL GROUP BY event ORDER BY n DESC, name LIMIT 8)"
+        " UNION ALL SELECT 'lifecycle', lifecycle, count(*) FROM tw WHERE lifecycle IS NOT NULL GROUP BY lifecycle"
+        f" UNION ALL SELECT * FROM ({attributes}) WHERE n > 0"
+    )
+
+
+@register("S8_log_details", _details_sql(), with_=["tw"])
+def _(spark, d):
+    raw = text_w(spark, d)
+    roles = profile.guess_columns(raw.columns)
+    rest = [c for c in raw.columns if c not in (*roles.values(), "user", "lifecycle")]
+    return profile.log_details(raw, activity=roles["activity"], lifecycle="lifecycle", attributes=rest)
+
+
 @register("S9_distinct_keys", "SELECT event, lifecycle, count(*) AS n FROM tw GROUP BY event, lifecycle", with_=["tw"])
 def _(spark, d):
     return profile.distinct_keys(text_w(spark, d), ["event", "lifecycle"])

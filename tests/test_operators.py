@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseweave.functions.intervals import newcombe, wilson, z_of
-from caseweave.operators import backlog, eda, explain, filters, match, norm, prepare, transforms, uncertainty
+from caseweave.operators import backlog, eda, explain, filters, match, norm, prepare, profile, transforms, uncertainty
 from caseweave.operators.cases import build_cases, exclude_cases, recipe_columns
 from caseweave.plans import base
 from caseweave.sources import sinks
@@ -444,3 +444,18 @@ def test_norm_documents_with_objects_and_lists(spark, make_log):
     for text in ("java_method('java.lang.System', 'getProperty', 'user.name')", "unknown + 1", "n_events.real", "[1]"):
         with pytest.raises(ValueError):
             recipe_columns(cases, {"e": {"kind": "eval", "expr": text}})
+
+
+def test_columns_are_guessed_by_name():
+    assert profile.guess_columns(["Start Date", "STATUS", "Case ID", "case_id", "Time_Stamp"]) == {"case_id": "Case ID", "activity": "STATUS", "ts": "Time_Stamp"}
+    assert profile.guess_columns(["event", "Concept:Name", "x"]) == {"case_id": None, "activity": "Concept:Name", "ts": None}
+
+
+def test_log_details(spark):
+    rows = [("b", "start", 1, None), ("b", "end", None, None), ("a", "end", 2, None), ("a", None, 3, None), ("c", "end", 4, None), (None, "end", 5, None)]
+    events = spark.createDataFrame(rows, "`act.ivity` string, n string, `a.b` int, `none` string")
+    got = profile.log_details(events, activity="act.ivity", lifecycle="n", attributes=["a.b", "none"], top=2)
+    assert sorted(map(tuple, got.collect())) == [("activity", "a", 2), ("activity", "b", 2), ("attribute", "a.b", 5), ("lifecycle", "end", 4), ("lifecycle", "start", 1)]
+    only = profile.log_details(events.limit(0), activity="act.ivity", attributes=["a.b"])
+    assert only.columns == ["part", "name", "n"] and only.count() == 0
+    assert [tuple(r) for r in profile.log_details(events, activity="act.ivity", top=1).collect()] == [("activity", "a", 2)]
