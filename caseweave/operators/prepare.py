@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import all_named, holds, named, quoted
 from ..functions.ordered import sort_key
+from .cases import flow_types
 
 # Placeholder dates that systems write for "no date".
 PLACEHOLDER_DATES = ("1900-01-01", "1900-12-31", "1970-01-01", "1999-12-31", "2099-12-31", "9999-12-31")
@@ -50,6 +52,20 @@ def check_mapping(raw: DataFrame, mapping: Mapped) -> DataFrame:
     )
 
 
+def mapped_flow_types(raw: DataFrame, mapping: Mapped, rules: Sequence[Mapping[str, Any]], default: str) -> DataFrame:
+    """``flow_type, cases, events`` of the log as mapped; types without a case are not listed.
+
+    Fails on missing columns, and if a log with rows has no timestamp that parses.  That check ends at the first
+    stamp it finds.
+    """
+    check_mapping(raw, mapping)
+    stamps = raw.select(parse_timestamp(F.col(mapping.timestamp), raw, mapping).alias("ts"))
+    if stamps.where(F.col("ts").isNotNull()).isEmpty() and not raw.isEmpty():
+        raise ValueError(f"no timestamp of {mapping.timestamp!r} parses with format {mapping.timestamp_format!r}")
+    cases = flow_types(typed_log(raw, mapping), rules, default, {"n_events": F.count(F.lit(1))})
+    return cases.groupBy("flow_type").agg(F.count(F.lit(1)).alias("cases"), F.sum("n_events").alias("events"))
+
+
 def parse_timestamp(col: Column, raw: DataFrame, mapping: Mapped) -> Column:
     """Wall-clock time of a column; texts that do not parse are NULL."""
     if dict(raw.dtypes)[mapping.timestamp].startswith("timestamp"):

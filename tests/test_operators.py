@@ -459,3 +459,16 @@ def test_log_details(spark):
     only = profile.log_details(events.limit(0), activity="act.ivity", attributes=["a.b"])
     assert only.columns == ["part", "name", "n"] and only.count() == 0
     assert [tuple(r) for r in profile.log_details(events, activity="act.ivity", top=1).collect()] == [("activity", "a", 2)]
+
+
+def test_flow_types_of_a_mapping(spark):
+    rows = [("1", "a", "2024-01-01", "s"), ("1", "b", "bad", "s"), ("2", "b", "2024-01-02", None), ("3", "c", None, "t"), (None, "a", "2024-01-02", "s")]
+    raw = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "c string, a string, t string, g string, seq int")
+    rules = [{"name": "with a", "rule": {"and": [{"kind": "activity", "activity": "a"}]}}, {"name": "of t", "rule": {"kind": "attribute", "field": "g", "eq": "t"}}]
+    mapping = prepare.Mapped("c", "a", "t", attributes=("g",))
+    assert sorted(map(tuple, prepare.mapped_flow_types(raw, mapping, rules, "rest").collect())) == [("of t", 1, 1), ("rest", 1, 1), ("with a", 1, 2)]
+    assert prepare.mapped_flow_types(raw.limit(0), mapping, rules, "rest").count() == 0
+    with pytest.raises(ValueError, match="no timestamp"):
+        prepare.mapped_flow_types(raw.withColumn("t", F.lit("soon")), mapping, rules, "rest")
+    with pytest.raises(ValueError, match="not in the log"):
+        prepare.mapped_flow_types(raw, prepare.Mapped("c", "a", "when"), rules, "rest")
