@@ -286,10 +286,14 @@ def dense(counts: DataFrame, row_key: str, column_key: str) -> DataFrame:
     return join_on(grid, counts, [row_key, column_key], "left").fillna(0)
 
 
-def vocabulary_drift(events: DataFrame, grain: str = "month", min_events: int = 200) -> DataFrame:
+def vocabulary_drift(
+    events: DataFrame, grain: str = "month", min_events: int = 200, *, reference: str | None = None, expected: Sequence[str] | None = None
+) -> DataFrame:
     """Per period: Jensen-Shannon divergence to the pooled earlier eligible periods, new and vanished labels.
 
-    The first eligible period is compared with the later ones.
+    The first eligible period is compared with the later ones.  With ``reference``, the label of a period that the log
+    holds, all periods are compared with that one, whether eligible or not; a label that it does not hold changes nothing.
+    With ``expected``, say the activities of a norm, ``missing_labels`` lists those that a period lacks.
     """
     rows = events.where(F.col("ts").isNotNull())
     counts = rows.groupBy(F.coalesce("activity", F.lit("(null)")).alias("activity"), period_label(F.col("ts"), grain).alias("period"))
@@ -309,7 +313,11 @@ def vocabulary_drift(events: DataFrame, grain: str = "month", min_events: int =
             "has_before": F.coalesce(F.sum(named(usable)).over(earlier), F.lit(0)) > 0,
         }
     )
-    grid = grid.withColumn("ref", F.when(F.col("has_before"), F.col("before")).otherwise(F.col("after")))
+    ref = F.when(F.col("has_before"), F.col("before")).otherwise(F.col("after"))
+    if reference is not None:
+        # Every label has a row in every period, so the named period answers for each label by itself.
+        ref = F.coalesce(F.max(F.when(F.col("period") == reference, F.col("n"))).over(Window.partitionBy("activity")), ref)
+    grid = grid.withColumn("ref", ref)
     grid = grid.withColumn("ref_total", F.sum("ref").over(in_period))
     p, q = F.col("n") / F.col("n_events"), F.when(F.col("ref_total") > 0, F.col("ref") / F.col("ref_total"))
     m = (p + q) / 2
@@ -321,6 +329,11 @@ def vocabulary_drift(events: DataFrame, grain: str = "month", min_events: int =
     def names(cond: Column) -> Column:
         return F.array_join(F.sort_array(F.collect_list(F.when(cond, F.col("activity")))), ", ")
 
+    lacking = []
+    if expected is not None:
+        wanted = F.array(*[F.lit(x) for x in sorted(set(expected))]).cast("array<string>")
+        present = F.collect_list(F.when((F.col("n") > 0) & F.col("activity").isin(list(expected)), F.col("activity")))
+        lacking.append(F.array_join(F.array_except(wanted, present), ", ").alias("missing_labels"))
     return grid.groupBy("period").agg(
         F.max("n_events").alias("n_events"),
         F.bool_or("eligible").alias("eligible"),
@@ -329,6 +342,7 @@ def vocabulary_drift(events: DataFrame, grain: str = "month", min_events: int =
         F.when(known, F.sum(F.when(is_new, F.col("n")).otherwise(0)) / F.max("n_events")).alias("new_share"),
         names(gone).alias("vanished_labels"),
         F.when(known, F.sum(F.when(gone, F.col("ref")).otherwise(0)) / F.max("ref_total")).alias("vanished_share"),
+        *lacking,
     )
 
 

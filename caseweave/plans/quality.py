@@ -215,16 +215,21 @@ cte(
     " ELSE coalesce((SELECT sum(q.n) FROM od_g q WHERE q.activity = g.activity AND q.eligible AND q.period > g.period), 0) END AS ref FROM od_g g",
     "od_g",
 )
-cte(
-    "od_d",
-    "SELECT period, CAST(max(n_events) AS BIGINT) AS n_events, bool_or(eligible) AS eligible, CASE WHEN max(rt) > 0 THEN sum(0.5 * CASE WHEN n > 0 THEN n / n_events * log2((n / n_events) / ((n / n_events + ref / rt) / 2)) ELSE 0 END"
-    " + 0.5 * CASE WHEN ref > 0 THEN ref / rt * log2((ref / rt) / ((n / n_events + ref / rt) / 2)) ELSE 0 END) END AS jsd,"
-    " coalesce(string_agg(CASE WHEN n > 0 AND ref = 0 THEN activity END, ', ' ORDER BY activity), '') AS new_labels,"
-    " sum(CASE WHEN n > 0 AND ref = 0 THEN n ELSE 0 END) / max(n_events) AS new_share,"
-    " coalesce(string_agg(CASE WHEN n = 0 AND ref > 0 THEN activity END, ', ' ORDER BY activity), '') AS vanished_labels,"
-    " sum(CASE WHEN n = 0 AND ref > 0 THEN ref ELSE 0 END) / max(rt) AS vanished_share FROM (SELECT *, sum(ref) OVER (PARTITION BY period) AS rt FROM od_r) GROUP BY period",
-    "od_r",
-)
+def _drift_sql(compared: str) -> str:
+    return (
+        "SELECT period, CAST(max(n_events) AS BIGINT) AS n_events, bool_or(eligible) AS eligible, CASE WHEN max(rt) > 0 THEN sum(0.5 * CASE WHEN n > 0 THEN n / n_events * log2((n / n_events) / ((n / n_events + ref / rt) / 2)) ELSE 0 END"
+        " + 0.5 * CASE WHEN ref > 0 THEN ref / rt * log2((ref / rt) / ((n / n_events + ref / rt) / 2)) ELSE 0 END) END AS jsd,"
+        " coalesce(string_agg(CASE WHEN n > 0 AND ref = 0 THEN activity END, ', ' ORDER BY activity), '') AS new_labels,"
+        " sum(CASE WHEN n > 0 AND ref = 0 THEN n ELSE 0 END) / max(n_events) AS new_share,"
+        " coalesce(string_agg(CASE WHEN n = 0 AND ref > 0 THEN activity END, ', ' ORDER BY activity), '') AS vanished_labels,"
+        " sum(CASE WHEN n = 0 AND ref > 0 THEN ref ELSE 0 END) / max(rt) AS vanished_share FROM (SELECT *, sum(ref) OVER (PARTITION BY period) AS rt FROM " + compared + ") GROUP BY period"
+    )
+
+
+cte("od_d", _drift_sql("od_r"), "od_r")
+REFERENCE = "1999-Q4"
+EXPECTED = ["Return item", "Ship item", "Ship parcel", "No such step"]
+cte("od_n", f"SELECT g.*, (SELECT q.n FROM od_g q WHERE q.activity = g.activity AND q.period = '{REFERENCE}') AS ref FROM od_g g", "od_g")
 
 
 @register("W9_vocabulary_drift", "SELECT * FROM od_d", doubles="jsd new_share vanished_share", with_=["od_d"])
@@ -232,6 +237,18 @@ def _(spark, d):
     return Q.vocabulary_drift(log_od(spark, d), "quarter", 200)
 
 
+@register(
+    "W9_vocabulary_named",
+    f"SELECT d.*, coalesce((SELECT string_agg(e, ', ' ORDER BY e) FROM (SELECT unnest({EXPECTED}) AS e) WHERE NOT EXISTS"
+    " (SELECT 1 FROM od_c c WHERE c.period = d.period AND c.activity = e)), '') AS missing_labels"
+    f" FROM ({_drift_sql('od_n')}) d",
+    doubles="jsd new_share vanished_share",
+    with_=["od_n", "od_c"],
+)
+def _(spark, d):
+    return Q.vocabulary_drift(log_od(spark, d), "quarter", 200, reference=REFERENCE, expected=EXPECTED)
+
+
 cte(
     "fd",
     "SELECT a.activity, p.period, p.n_cases, coalesce(w.n_with, 0) AS n_with, coalesce(w.n_with, 0) / p.n_cases AS share, p.n_cases >= 50 AS eligible,"

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseweave.functions.intervals import newcombe, wilson, z_of
-from caseweave.operators import backlog, eda, explain, filters, match, norm, prepare, profile, transforms, uncertainty
+from caseweave.operators import backlog, eda, explain, filters, match, norm, prepare, profile, quality, transforms, uncertainty
 from caseweave.operators.cases import build_cases, exclude_cases, recipe_columns
 from caseweave.plans import base
 from caseweave.sources import sinks
@@ -472,3 +472,17 @@ def test_flow_types_of_a_mapping(spark):
         prepare.mapped_flow_types(raw.withColumn("t", F.lit("soon")), mapping, rules, "rest")
     with pytest.raises(ValueError, match="not in the log"):
         prepare.mapped_flow_types(raw, prepare.Mapped("c", "a", "when"), rules, "rest")
+
+
+def test_vocabulary_against_a_named_period(spark):
+    rows = [("2024-01-05", "a")] * 3 + [("2024-01-06", "b")] + [("2024-02-01", "a")] * 2 + [("2024-03-01", "c")] * 4 + [(None, "z")]
+    events = spark.createDataFrame(rows, "t string, activity string").withColumn("ts", F.col("t").cast("timestamp_ntz"))
+    got = {r["period"]: r for r in quality.vocabulary_drift(events, min_events=3, reference="2024-02", expected=["b", "c", "q", "b"]).collect()}
+    assert [got[f"2024-0{m}"]["new_labels"] for m in (1, 2, 3)] == ["b", "", "c"]
+    assert [got[f"2024-0{m}"]["vanished_labels"] for m in (1, 2, 3)] == ["", "", "a"]
+    assert [got[f"2024-0{m}"]["missing_labels"] for m in (1, 2, 3)] == ["c, q", "b, c, q", "b, q"]
+    assert [got[f"2024-0{m}"]["jsd"] for m in (2, 3)] == [0.0, 1.0] and not got["2024-02"]["eligible"]
+    plain = quality.vocabulary_drift(events, min_events=3)
+    absent = quality.vocabulary_drift(events, min_events=3, reference="1999-01")
+    assert "missing_labels" not in plain.columns and sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, absent.collect()), key=str)
+    assert {r["missing_labels"] for r in quality.vocabulary_drift(events, expected=[]).collect()} == {""}
