@@ -254,7 +254,7 @@ def _(spark, d):
 
 MAPPED_RULES = [
     {"name": "third kind", "rule": {"kind": "attribute", "field": "kind", "eq": "k3"}},
-    {"name": "bought", "rule": {"and": [{"kind": "activity", "activity": "purchase"}, {"kind": "count", "activity": "view", "max": 1}]}},
+    {"name": "bought", "rule": {"and": [{"kind": "activity", "activity": "purchase"}, {"kind": "count", "activity": "view", "max": 8}]}},
 ]
 
 
@@ -262,7 +262,7 @@ MAPPED_RULES = [
     "P5_mapped_flow_types",
     "SELECT flow_type, count(*) AS cases, CAST(sum(n) AS BIGINT) AS events FROM (SELECT \"user\", count(*) AS n,"
     " CASE WHEN bool_or(coalesce(kind = 'k3', FALSE)) THEN 'third kind'"
-    " WHEN count(*) FILTER (WHERE event = 'purchase') > 0 AND count(*) FILTER (WHERE event = 'view') <= 1 THEN 'bought' ELSE 'other' END AS flow_type"
+    " WHEN count(*) FILTER (WHERE event = 'purchase') > 0 AND count(*) FILTER (WHERE event = 'view') <= 8 THEN 'bought' ELSE 'other' END AS flow_type"
     " FROM tw WHERE \"user\" IS NOT NULL AND lower(lifecycle) = 'complete' GROUP BY \"user\") GROUP BY flow_type",
     with_=["tw"],
 )
