@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import decimal
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.exprs import all_named, elapsed, holds, join_on, named
 from ..functions.intervals import newcombe, z_of
-from ..functions.ordered import PART, SORTED_AT_ONCE, quantile_rows, quantiles, ranged, running
+from ..functions.ordered import SORTED_AT_ONCE, quantile_rows, quantiles, running
 from ..session import store
 from .backlog import constraint_rows, group_scores, label_keys, overall
 from .norm import Constraint, Norm, long_form
 
 # Differences tried per constraint and pass.
 TRIALS = 16
+# The blocks that the values are cut into: values in one at least, and how many there are at most.
+VALUES_PER_BLOCK = 2_000
+BLOCKS = 4_000
 
 
 # --------------------------------------------------------------------------- waterfall
@@ -108,25 +114,151 @@ def hodges_lehmann(signals: DataFrame) -> DataFrame:
     per constraint, the pairs above them, and narrows the bracket around the median rank.  The
     bracket ends at an actual difference, or at 1e-12 of the range.  Non-finite signals are left
     out; a constraint with an empty side has a NULL shift.
+
+    The values are cut into blocks in their order.  The ends and counts of the blocks, a bounded
+    number of rows, settle most pairs of blocks; only the two or so blocks of the rest that a
+    difference cuts through are compared value by value with each block of the slice.
     """
     x = F.col("x").cast("double")
-    hist = store(_histogram(signals.withColumn("x", x).where(F.abs("x") < float("inf"))))
-    low = [F.min(F.when(named(c) > 0, F.col("x"))).alias(f"min_{c}") for c in "ab"]
-    high = [F.max(F.when(named(c) > 0, F.col("x"))).alias(f"max_{c}") for c in "ab"]
-    ends = hist.groupBy("constraint_id").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), *low, *high)
-    brackets = {r["constraint_id"]: _Bracket.around(r) for r in ends.where("n_a > 0 and n_b > 0").collect()}
-    while trials := {c: b.trials() for c, b in brackets.items() if not b.done}:
-        found: dict[str, list] = {}
-        for r in _pairs_above(hist, trials).collect():
-            found.setdefault(r["constraint_id"], []).append((r["d"], int(r["above"]), r["next_d"]))
-        for c, rows in found.items():
+    blocks = _blocks(store(_histogram(signals.withColumn("x", x).where(F.abs("x") < float("inf")))))
+    ends = blocks.select("constraint_id", "block", *[F.try_element_at(f"{c}_x", F.lit(i)).alias(f"{n}_{c}") for c in "ab" for n, i in (("min", 1), ("max", -1))], "n_a", "n_b")
+    found: dict[str, list[Row]] = {}
+    for r in ends.collect():
+        found.setdefault(r["constraint_id"], []).append(r)
+    sides = {c: _Ends.of(rows) for c, rows in found.items()}
+    sides = {c: s for c, s in sides.items() if s.n_a and s.n_b}
+    brackets = {c: s.bracket() for c, s in sides.items()}
+    trials = {c: sides[c].trials(b) for c, b in brackets.items() if not b.done}
+    while trials:
+        counted = _cut_pairs(blocks, sides, trials)
+        for c, ds in trials.items():
+            rows = []
+            for d in ds:
+                (above, after), (more, nearer) = sides[c].surely(d), counted.get((c, d), (0, None))
+                rows.append((d, above + more, min((v for v in (after, nearer) if v is not None), default=None)))
             brackets[c].narrow(rows)
+        trials = {c: b.trials() for c, b in brackets.items() if not b.done}
     shift = F.lit(None).cast("double")
     for c, b in brackets.items():
         shift = F.when(F.col("constraint_id") == c, F.lit(b.median)).otherwise(shift)
     return signals.select("constraint_id").distinct().withColumn("hl_shift", shift)
 
 
+def _blocks(hist: DataFrame) -> DataFrame:
+    """The counted values in blocks of their order: per side the sorted values, their counts and the sum of these.
+
+    There are at most about ``BLOCKS`` blocks, so their ends fit the driver whatever the input.
+    """
+    n = hist.count()
+    size = max(VALUES_PER_BLOCK, -(-n // BLOCKS))
+    order = [F.col("constraint_id").asc_nulls_first(), F.col("x").asc()]
+    dealt = hist.repartitionByRange(max(1, -(-n // SORTED_AT_ONCE)), *order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
+    first = F.shiftleft(F.shiftright(F.col("id"), 33), 33)
+    dealt = store(dealt.withColumn("block", (first + F.floor((F.col("id") - first) / F.lit(size))).cast("bigint")).drop("id"))
+    lists = [F.array_sort(F.collect_list(F.when(named(c) > 0, F.struct(F.col("x"), named(c).alias("n"))))).alias(c) for c in "ab"]
+    packed = dealt.groupBy("constraint_id", "block").agg(*lists, F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
+    sides = [F.col(c).getField(f).alias(f"{c}_{f}") for c in "ab" for f in ("x", "n")]
+    return store(packed.select("constraint_id", "block", *sides, "n_a", "n_b"))
+
+
+@dataclass
+class _Ends:
+    """Number, smallest and largest value of each block that holds values of a side, in their order."""
+
+    a: np.ndarray
+    b: np.ndarray
+    # The blocks' counts, and the running counts of side b from 0.
+    count_a: np.ndarray
+    upto_b: np.ndarray
+    id_a: np.ndarray
+    id_b: np.ndarray
+
+    @classmethod
+    def of(cls, rows: Sequence[Row]) -> _Ends:
+        rows = sorted(rows, key=lambda r: r["block"])
+        a, b = ([r for r in rows if r[f"n_{c}"]] for c in "ab")
+        ends = [np.array([(r[f"min_{c}"], r[f"max_{c}"]) for r in side], dtype=float).reshape(-1, 2) for c, side in (("a", a), ("b", b))]
+        counts = [np.array([r[f"n_{c}"] for r in side], dtype=object) for c, side in (("a", a), ("b", b))]
+        ids = [np.array([r["block"] for r in side], dtype=np.int64) for side in (a, b)]
+        return cls(*ends, counts[0], np.array([0, *np.cumsum(counts[1])], dtype=object), *ids)
+
+    @property
+    def n_a(self) -> int:
+        return int(sum(self.count_a))
+
+    @property
+    def n_b(self) -> int:
+        return int(self.upto_b[-1])
+
+    def bracket(self) -> _Bracket:
+        lo, hi = float(self.a[0, 0] - self.b[-1, 1]), float(self.a[-1, 1] - self.b[0, 0])
+        width = 1e-12 * max(abs(lo), abs(hi), hi - lo)
+        return _Bracket(self.n_a * self.n_b, lo - width, hi + width, width, after_lo=lo, done=lo == hi)
+
+    def cut(self, d: float) -> tuple[np.ndarray, np.ndarray]:
+        """Per block of a: how many blocks of b lie wholly, and how many at least partly, more than ``d`` below it."""
+        return np.searchsorted(self.b[:, 1], self.a[:, 0] - d, side="left"), np.searchsorted(self.b[:, 0], self.a[:, 1] - d, side="left")
+
+    def surely(self, d: float) -> tuple[int, float | None]:
+        """Pairs in blocks that lie wholly more than ``d`` apart, and the smallest difference of these."""
+        whole, _ = self.cut(d)
+        near = (self.a[:, 0] - self.b[np.maximum(whole - 1, 0), 1])[whole > 0]
+        return int((self.count_a * self.upto_b[whole]).sum()), float(near.min()) if len(near) else None
+
+    def trials(self, bracket: _Bracket) -> list[float]:
+        """Differences around the median as the ends of the blocks bound it, for the first pass."""
+        half, lo, hi = (bracket.pairs - 1) // 2, [bracket.lo, bracket.hi], [bracket.lo, bracket.hi]
+        for _ in range(60):
+            d, e = (lo[0] + lo[1]) / 2, (hi[0] + hi[1]) / 2
+            lo = [d, lo[1]] if bracket.pairs - self.surely(d)[0] <= half else [lo[0], d]
+            most = int((self.count_a * self.upto_b[self.cut(e)[1]]).sum())
+            hi = [hi[0], e] if bracket.pairs - most > half else [e, hi[1]]
+        first, last = lo[0] - bracket.width, hi[1] + bracket.width
+        points = {first + (last - first) / TRIALS * i for i in range(TRIALS + 1)}
+        return sorted(p for p in points if bracket.lo < p < bracket.hi) or bracket.trials()
+
+
+def _cut_pairs(blocks: DataFrame, sides: Mapping[str, _Ends], trials: Mapping[str, list[float]]) -> dict[tuple[str, float], tuple[int, float | None]]:
+    """Per constraint and difference: the pairs above it, and the smallest such difference, in the pairs of blocks it cuts through."""
+    cut: dict[tuple[str, int, int], list[float]] = {}
+    for c, ds in trials.items():
+        s = sides[c]
+        for d in ds:
+            whole, partly = s.cut(d)
+            for i, (first, last) in enumerate(zip(whole, partly, strict=True)):
+                for j in range(first, last):
+                    cut.setdefault((c, int(s.id_a[i]), int(s.id_b[j])), []).append(d)
+    if not cut:
+        return {}
+    spark = blocks.sparkSession
+    table = pa.table({"constraint_id": [k[0] for k in cut], "a": [k[1] for k in cut], "b": [k[2] for k in cut], "ds": pa.array(list(cut.values()), pa.list_(pa.float64()))})
+    links = spark.createDataFrame(table)
+    a = blocks.select("constraint_id", F.col("block").alias("a"), "a_x", "a_n")
+    b = blocks.select("constraint_id", F.col("block").alias("b"), "b_x", "b_n")
+    rows = links.join(a, ["constraint_id", "a"]).join(b, ["constraint_id", "b"]).select("constraint_id", "ds", "a_x", "a_n", "b_x", "b_n")
+    counted = rows.mapInArrow(_count_cut, "constraint_id string, d double, above decimal(38,0), next_d double")
+    total = counted.groupBy("constraint_id", "d").agg(F.sum("above").alias("above"), F.min("next_d").alias("next_d"))
+    return {(r["constraint_id"], r["d"]): (int(r["above"]), r["next_d"]) for r in total.collect()}
+
+
+def _count_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of two sorted blocks that differ by more than each of a few differences."""
+    for batch in batches:
+        out: dict[str, list] = {"constraint_id": [], "d": [], "above": [], "next_d": []}
+        for i in range(batch.num_rows):
+            x, n, y, m = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in ("a_x", "a_n", "b_x", "b_n"))
+            upto = np.concatenate(([0], np.cumsum(m)))
+            for d in batch.column("ds")[i].as_py():
+                below = np.searchsorted(y, x - d, side="left")
+                near = (x - y[np.maximum(below - 1, 0)])[below > 0]
+                out["constraint_id"].append(batch.column("constraint_id")[i].as_py())
+                out["d"].append(d)
+                out["above"].append(decimal.Decimal(int(np.dot(n, upto[below]))))
+                out["next_d"].append(float(near.min()) if len(near) else None)
+        types = {"constraint_id": pa.string(), "d": pa.float64(), "above": pa.decimal128(38, 0), "next_d": pa.float64()}
+        yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in types.items()], list(types))
+
+
 @dataclass
 class _Bracket:
     """Where the middle ranks of the sorted differences lie: at most half are ``<= lo``, more than half ``<= hi``."""
@@ -141,12 +273,6 @@ class _Bracket:
     after_hi: float | None = None
     done: bool = False
 
-    @classmethod
-    def around(cls, r: Row) -> _Bracket:
-        lo, hi = r["min_a"] - r["max_b"], r["max_a"] - r["min_b"]
-        width = 1e-12 * max(abs(lo), abs(hi), hi - lo)
-        return cls(r["n_a"] * r["n_b"], lo - width, hi + width, width, after_lo=lo, done=lo == hi)
-
     def trials(self) -> list[float]:
         """Evenly spaced differences, and one just above the smallest that the bracket holds."""
         step = (self.hi - self.lo) / TRIALS
@@ -169,34 +295,6 @@ class _Bracket:
         return self.after_lo if both else (self.after_lo + self.after_hi) / 2
 
 
-def _pairs_above(hist: DataFrame, trials: Mapping[str, list[float]]) -> DataFrame:
-    """``constraint_id, d, above, next_d``: pairs with a difference above ``d``, and the smallest such difference."""
-    of = F.create_map(*[e for c, ds in trials.items() for e in (F.lit(c), F.array(*map(F.lit, ds)))])
-    rows = hist.select("constraint_id", "x", "a", "b", F.explode(F.try_element_at(of, F.col("constraint_id"))).alias("d"))
-    # A slice value x exceeds the rest values below x - d by more than d.
-    rest = rows.where("b > 0").select("constraint_id", "d", F.col("x").alias("at"), F.lit(True).alias("rest"), "x", F.col("b").alias("n"))
-    inside = rows.where("a > 0").select("constraint_id", "d", (F.col("x") - F.col("d")).alias("at"), F.lit(False).alias("rest"), "x", F.col("a").alias("n"))
-    points = rest.unionByName(inside)
-    n, v = F.when(F.col("rest"), F.col("n")), F.when(F.col("rest"), F.col("x"))
-    keys, order = ["constraint_id", "d"], [F.col("at").asc(), F.col("rest").asc()]
-    cut = hist.count() * TRIALS > SORTED_AT_ONCE
-    if cut:
-        points, cut = ranged(store(points), keys, order)
-    else:
-        points = points.withColumn(PART, F.lit(0))
-    before = Window.partitionBy(*keys, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = points.withColumns({"__m": F.coalesce(F.sum(n).over(before), F.lit(0)), "__w": F.max(v).over(before)}).where(~F.col("rest"))
-    if cut:
-        totals = points.groupBy(*keys, PART).agg(F.sum(n).alias("n"), F.max(v).alias("v"))
-        earlier = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select(*keys, PART, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__n"), F.max("v").over(earlier).alias("__v"))
-        placed = join_on(placed, offsets, [*keys, PART])
-    else:
-        placed = placed.withColumns({"__n": F.lit(0), "__v": F.lit(None).cast("double")})
-    above = F.sum(F.col("n").cast("decimal(19,0)") * (F.col("__n") + F.col("__m")).cast("decimal(19,0)"))
-    return placed.groupBy(*keys).agg(above.alias("above"), F.min(F.col("x") - F.greatest("__v", "__w")).alias("next_d"))
-
-
 def quantile_shifts(signals: DataFrame, widths: Mapping[str, float], min_evaluated: int = 20) -> DataFrame:
     """Median and Q90 shift per constraint, and whether the whole distribution or its tail moved.
 
