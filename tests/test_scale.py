@@ -26,3 +26,10 @@ def test_shift_stores_the_values_but_no_pass_over_them(spark, monkeypatch):
         d = np.subtract.outer(a, b)
         assert r["hl_shift"] == pytest.approx(np.median(d), rel=1e-9, abs=1e-10 * np.ptp(d))
     assert sum(df.count() for df in kept) <= 3 * len(rows)
+
+
+def test_packed_case_values_are_joined_without_a_broadcast(spark):
+    cases = store(spark.range(2_000_000).select(F.col("id").alias("case_id"), F.lit("a type of flow that every case has").alias("flow_type")))
+    events = spark.range(0, 60_000_000, 1, 8).select((F.col("id") % 2_000_000).alias("case_id"), F.col("id").alias("seq"))
+    plan = attach(events, cases, ["flow_type"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
