@@ -157,33 +157,40 @@ def sort_key(df: DataFrame) -> Column:
 
 
 CHUNK = "__chunk"
+# Rows of long cases that a range holds at least, however short the pieces it is cut into.
+ROWS_PER_RANGE = 200_000
 
 
 def chunked(
     events: DataFrame, hot_events: int = 1_000_000, sizes: DataFrame | None = None
 ) -> tuple[DataFrame, bool]:
-    """Add a chunk number so that no (case, chunk) holds more than about ``hot_events`` rows.
+    """Add a chunk number so that no (case, chunk) holds more than ``hot_events`` rows.
 
     Ordinary cases keep chunk 0.  Cases above the limit are range-partitioned on
-    the full event order, which Spark balances by sampling; the partition number
-    is the chunk.  That part is stored, so the numbers cannot change on a retry.
+    the full event order, which Spark balances by sampling, and sorted; every
+    ``hot_events`` rows of a range are a chunk.  The number of ranges follows the rows, not
+    the limit.  That part is stored, so the numbers cannot change on a retry.
     The second result tells whether any case was cut.  ``sizes`` may bring the known
     ``case_id, n_events`` of a case table, which saves counting.
     """
     if sizes is None:
         if events.count() <= hot_events:
-            return events.withColumn(CHUNK, F.lit(0)), False
+            return events.withColumn(CHUNK, F.lit(0).cast("bigint")), False
         sizes = events.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_events"))
     hot = sizes.select("case_id", F.col("n_events").alias("__n")).where(F.col("__n") > hot_events)
     found = hot.agg(F.count(F.lit(1)).alias("k"), F.sum("__n").alias("n")).first()
     if not found["k"]:
-        return events.withColumn(CHUNK, F.lit(0)), False
+        return events.withColumn(CHUNK, F.lit(0).cast("bigint")), False
     hot = store(hot.select("case_id"))
-    cold = join_on(events, hot, ["case_id"], "left_anti").withColumn(CHUNK, F.lit(0))
+    cold = join_on(events, hot, ["case_id"], "left_anti").withColumn(CHUNK, F.lit(0).cast("bigint"))
     rows = join_on(events, hot, ["case_id"], "left_semi")
-    parts = max(2, -(-int(found["n"]) // hot_events))
-    ranged = rows.repartitionByRange(parts, F.col("case_id").asc_nulls_first(), *log_order(events))
-    return cold.unionByName(store(ranged.withColumn(CHUNK, F.spark_partition_id()))), True
+    parts = max(2, -(-int(found["n"]) // max(hot_events, ROWS_PER_RANGE)))
+    order = [F.col("case_id").asc_nulls_first(), *log_order(events)]
+    # The id counts the sorted rows of a range in its lower 33 bits and names the range above them.
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(CHUNK, F.monotonically_increasing_id())
+    first = F.shiftleft(F.shiftright(F.col(CHUNK), 33), 33)
+    piece = (first + F.floor((F.col(CHUNK) - first) / F.lit(hot_events))).cast("bigint")
+    return cold.unionByName(store(placed.withColumn(CHUNK, piece))), True
 
 
 def with_next(

@@ -33,3 +33,16 @@ def test_packed_case_values_are_joined_without_a_broadcast(spark):
     events = spark.range(0, 60_000_000, 1, 8).select((F.col("id") % 2_000_000).alias("case_id"), F.col("id").alias("seq"))
     plan = attach(events, cases, ["flow_type"])._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_ranges_of_long_cases_follow_the_rows_and_not_the_limit(spark, monkeypatch):
+    events = spark.range(3_000).select((F.col("id") % 7).alias("case_id"), F.lit("a").alias("activity"), F.timestamp_seconds(F.col("id") % 11).alias("ts"), F.col("id").alias("seq"))
+    dealt = []
+    monkeypatch.setattr(ordered, "store", lambda df: dealt.append(df.rdd.getNumPartitions()) or store(df))
+    rows, cut = ordered.chunked(events, 5)
+    assert cut and rows.count() == 3_000 and max(dealt[1:]) == 2
+    assert rows.groupBy("case_id", ordered.CHUNK).count().agg(F.max("count")).first()[0] <= 5
+    placed = ordered.with_next(events, hot_events=5).select("case_id", "seq", "pos", "nxt_ts").collect()
+    for case in range(7):
+        want = sorted((i % 11, i) for i in range(case, 3_000, 7))
+        assert [s for _, s in want] == [r["seq"] for r in sorted((r for r in placed if r["case_id"] == case), key=lambda r: r["pos"])]
