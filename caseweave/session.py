@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings that let AQE split a hot join key even where that costs one
 # more exchange; without the second one a skewed join below a group-by on the
-# same key would stay in a single task.  Packed files are weighed by about the size of
-# their rows in memory, or Spark would broadcast millions of well packed rows through the driver.
+# same key would stay in a single task.  A task takes little of a file or a shuffle, and there
+# are partitions enough to cut a large one that way, so that sorts stay in memory whatever the
+# input.  Packed files are weighed by about the size of their rows in memory, or Spark
+# would broadcast millions of well packed rows through the driver.
 RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.files.maxPartitionBytes": "32m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "600",
     "spark.sql.sources.fileCompressionFactor": "10.0",
     "spark.sql.session.timeZone": "UTC",
 }

@@ -46,3 +46,13 @@ def test_ranges_of_long_cases_follow_the_rows_and_not_the_limit(spark, monkeypat
     for case in range(7):
         want = sorted((i % 11, i) for i in range(case, 3_000, 7))
         assert [s for _, s in want] == [r["seq"] for r in sorted((r for r in placed if r["case_id"] == case), key=lambda r: r["pos"])]
+
+
+def test_large_shuffles_are_cut_by_their_size(spark):
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        rows = spark.range(3_000_000).select((F.col("id") * 3).alias("id"), F.rand(1).alias("x")).groupBy("id").agg(F.max("x").alias("x"))
+        assert rows.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
