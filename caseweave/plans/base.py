@@ -340,7 +340,7 @@ def case_table_o(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_o(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "scored", lambda s, d: score_table(log_o(s, d), norm_o()))
+    return stored(spark, sf_dir, "scored", lambda s, d: score_table(log_o(s, d), norm_o(), bare=log_o(s, d, False)))
 
 
 def stamps(events: DataFrame) -> DataFrame:
@@ -349,11 +349,12 @@ def stamps(events: DataFrame) -> DataFrame:
     return per_stamp.groupBy("case_id").agg(F.sum("one").alias("n_stamps"))
 
 
-def score_table(events: DataFrame, norm: Norm, extra: Sequence[str] = ()) -> DataFrame:
+def score_table(events: DataFrame, norm: Norm, extra: Sequence[str] = (), bare: DataFrame | None = None) -> DataFrame:
+    """``bare`` may bring the same events without their attributes, which the stamps do not need."""
     aggs = aggregates_o(events)
     ship = count_name(["Ship item"])
     aggs.setdefault(ship, F.count_if(F.col("activity") == "Ship item"))
-    rows = join_on(gather(events, norm, aggs), stamps(events), ["case_id"], "left")
+    rows = join_on(gather(events, norm, aggs), stamps(events if bare is None else bare), ["case_id"], "left")
     open_ = right_censored(F.col(ship), F.lit(WINDOW_END).cast("timestamp_ntz"), CENSOR_DAYS)
     rows = rows.withColumns(
         {"censored": open_, "replicated": F.coalesce(F.col("n_events") / F.col("n_stamps") > 2.0, F.lit(False))}

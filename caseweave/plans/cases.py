@@ -177,7 +177,7 @@ def make_typed_o(spark, d):
     events = log_o(spark, d)
     aggs = {**aggregates_o(events), "n_ship": F.count_if(F.col("activity") == "Ship item")}
     cases = C.flow_types(events, FLOW_RULES, "standard", aggs)
-    cases = join_on(cases, stamps(events), ["case_id"], "left")
+    cases = join_on(cases, stamps(log_o(spark, d, False)), ["case_id"], "left")
     return cases.withColumn("censored", C.right_censored(F.col("n_ship"), window_end(), CENSOR_DAYS))
 
 

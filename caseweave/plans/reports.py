@@ -337,8 +337,9 @@ def _(spark, d):
 cte("sf", "SELECT s.*, f.flow_type FROM so s JOIN (SELECT case_id, flow_type FROM ft_o) f USING (case_id)", "so", "ft_o")
 
 
-def scored_flow(spark, d):
-    return store(join_on(scored_o(spark, d), typed_o(spark, d).select("case_id", "flow_type"), ["case_id"]))
+def scored_flow(spark, d, *columns):
+    """The named columns of the scored cases with their flow type; only these are exchanged and stored."""
+    return store(join_on(scored_o(spark, d).select("case_id", *columns), typed_o(spark, d).select("case_id", "flow_type"), ["case_id"]))
 
 
 @register(
@@ -354,7 +355,7 @@ def scored_flow(spark, d):
     with_=["sf"],
 )
 def _(spark, d):
-    return K.flow_comparison(scored_flow(spark, d), ["A", "B"], norm_o())
+    return K.flow_comparison(scored_flow(spark, d, "censored", "score__A", "score__B", *[f"v__{c}" for c in CIDS]), ["A", "B"], norm_o())
 
 
 @register(
@@ -365,7 +366,7 @@ def _(spark, d):
     with_=["sf"],
 )
 def _(spark, d):
-    return K.flow_top_groups(scored_flow(spark, d), NATION, "A", 3, GAMMA)
+    return K.flow_top_groups(scored_flow(spark, d, *NATION, "score__A"), NATION, "A", 3, GAMMA)
 
 
 def _facet_sql(value: str, source: str = "so") -> str:
@@ -382,7 +383,7 @@ _FACET = "share mean_score share_below gap stable_PI open_share exposure"
 def _facet(name: str, value_sql: str, value, source: str = "so") -> None:
     @register(name, f"SELECT * EXCLUDE (n_of) FROM ({_facet_sql(value_sql, source)})", doubles=_FACET, decimals=4, with_=[source, "so"])
     def _(spark, d):
-        scored = scored_flow(spark, d) if source == "sf" else scored_o(spark, d)
+        scored = scored_flow(spark, d, "censored", "exposure", "score__A") if source == "sf" else scored_o(spark, d)
         return K.facets(scored, value(), "A", scored_o(spark, d).agg(F.avg("score__A")).scalar(), GAMMA)
 
 

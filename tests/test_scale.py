@@ -7,9 +7,13 @@ import pytest
 from caseweave.functions import ordered
 from caseweave.operators import explain
 from caseweave.operators.cases import attach
+from caseweave.plans import base as plans_base
+from caseweave.plans import load, reports
 from caseweave.session import store
 from pyspark.sql import functions as F
 
+load()
+
 
 def test_shift_stores_the_values_but_no_pass_over_them(spark, monkeypatch):
     rng = np.random.default_rng(11)
@@ -56,3 +60,36 @@ def test_large_shuffles_are_cut_by_their_size(spark):
         assert rows.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+
+
+def _written(monkeypatch, module):
+    """The tables that a module of plans stores, as it stores them."""
+    kept = []
+    monkeypatch.setattr(module, "store", lambda df: kept.append(store(df)) or kept[-1])
+    return kept
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    """Eighty orders of ten customers, with up to four lines."""
+    root = tmp_path_factory.mktemp("tables")
+    day = F.date_add(F.lit("1995-01-01").cast("date"), F.col("d")).cast("timestamp_ntz")
+    tables = {
+        "nation": spark.range(3).selectExpr("cast(id AS int) AS n_nationkey", "concat('NATION_', id + 6) AS n_name"),
+        "customer": spark.range(10).selectExpr("id AS c_custkey", "cast(id % 3 AS int) AS c_nationkey", "if(id % 2 = 0, 'BUILDING', 'FURNITURE') AS c_mktsegment"),
+        "orders": spark.range(80).selectExpr("id AS o_orderkey", "id % 10 AS o_custkey", "if(id % 4 = 0, 'P', 'F') AS o_orderstatus", "id * 9000.0D AS o_totalprice", "cast(id * 7 AS int) AS d", "if(id % 3 = 0, '5-LOW', '2-HIGH') AS o_orderpriority").withColumn("o_orderdate", day).drop("d"),
+        "lineitem": spark.range(200).selectExpr("id % 75 AS l_orderkey", "id % 11 AS l_partkey", "id % 5 AS l_suppkey", "cast(id div 75 AS int) AS l_linenumber", "id * 400.0D AS l_extendedprice", "if(id % 3 = 0, 'R', 'N') AS l_returnflag", "if(id % 2 = 0, 'O', 'F') AS l_linestatus", "cast(id * 5 AS int) AS d").withColumn("l_shipdate", day).drop("d"),
+    }
+    for name, rows in tables.items():
+        rows.write.parquet(f"{root}/{name}.parquet")
+    return str(root)
+
+
+def test_flow_reports_store_only_the_columns_they_read(spark, monkeypatch, small):
+    kept = _written(monkeypatch, reports)
+    plans_base.REGISTRY["K35_facets_flow_type"].run(spark, small).count()
+    plans_base.REGISTRY["K34_flow_top_groups"].run(spark, small).count()
+    assert [set(df.columns) for df in kept] == [
+        {"case_id", "censored", "exposure", "score__A", "flow_type"},
+        {"case_id", "nation", "score__A", "flow_type"},
+    ]
