@@ -520,9 +520,10 @@ SEL = "nation = 'NATION_7' AND n_return > 0"
 )
 def _(spark, d):
     clause = {"kind": "activity", "op": "contains", "activity": "Return item"}
-    events = log_o(spark, d)
-    hits = resolve(events, [clause], {"n_events": F.count(F.lit(1))}).select("case_id", case_clause(clause).alias("hit"))
-    scored = store(join_on(scored_o(spark, d), hits, ["case_id"]))
+    # The clause reads no attribute of a case.  The narrow side is stored: every reader joins only its columns.
+    hits = resolve(log_o(spark, d, False), [clause], {"n_events": F.count(F.lit(1))})
+    hits = store(hits.select("case_id", case_clause(clause).alias("hit")))
+    scored = join_on(scored_o(spark, d), hits, ["case_id"])
     where = inside() & F.col("hit")
     drivers = K.constraint_drivers(scored, norm_o(), "A", where).select("constraint_id", "mean_penalty", "delta_gap")
     picked = scored.where(where)

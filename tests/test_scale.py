@@ -93,3 +93,9 @@ def test_flow_reports_store_only_the_columns_they_read(spark, monkeypatch, small
         {"case_id", "censored", "exposure", "score__A", "flow_type"},
         {"case_id", "nation", "score__A", "flow_type"},
     ]
+
+
+def test_selection_drivers_store_the_clause_and_not_the_scored_cases(spark, monkeypatch, small):
+    kept = _written(monkeypatch, reports)
+    plans_base.REGISTRY["K44_selection_drivers"].run(spark, small).count()
+    assert [set(df.columns) for df in kept] == [{"case_id", "hit"}]
