@@ -10,7 +10,7 @@ from ..functions.intervals import newcombe, wilson, z_of
 from ..operators import backlog as K
 from ..operators import explain as X
 from ..operators import uncertainty as U
-from ..operators.norm import View, gather, with_scores
+from ..operators.norm import View, evaluate, gather, with_scores
 from ..session import store
 from .base import (
     CIDS,
@@ -509,8 +509,11 @@ def _(spark, d):
 def _envelope(spark, d):
     events = log_o(spark, d)
     norm = norm_o()
+    # What the scaled norm gathers holds what the norm itself needs, so both are read off one table.
     gathered = store(gather(events, U.scaled_norm(norm), aggregates_o(events)))
-    return U.sensitivity(gathered, scored_o(spark, d), norm, "A", NATION, gamma=GAMMA, k=5)
+    scored = with_scores(evaluate(gathered, norm, NATION), norm, [norm.view("A")])
+    kept = ["case_id", *NATION, "score__A", *[f"v__{c}" for c in CIDS]]
+    return U.sensitivity(gathered, store(scored.select(*kept)), norm, "A", NATION, gamma=GAMMA, k=5)
 
 
 def _scaled_v(cid: str, f: float) -> str:

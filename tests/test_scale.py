@@ -8,6 +8,7 @@ from caseweave.functions import ordered
 from caseweave.operators import explain
 from caseweave.operators.cases import attach
 from caseweave.plans import base as plans_base
+from caseweave.plans import explain as plans_explain
 from caseweave.plans import load, reports
 from caseweave.session import store
 from pyspark.sql import functions as F
@@ -99,3 +100,12 @@ def test_selection_drivers_store_the_clause_and_not_the_scored_cases(spark, monk
     kept = _written(monkeypatch, reports)
     plans_base.REGISTRY["K44_selection_drivers"].run(spark, small).count()
     assert [set(df.columns) for df in kept] == [{"case_id", "hit"}]
+
+
+def test_sensitivity_gathers_the_events_once(spark, monkeypatch, small):
+    calls = []
+    for module in (plans_base, plans_explain):
+        monkeypatch.setattr(module, "gather", lambda *a, g=module.gather: calls.append(a) or g(*a))
+    monkeypatch.setattr(plans_base, "_STORED", {})
+    plans_base.REGISTRY["X10_sensitivity"].run(spark, small).count()
+    assert len(calls) == 1
