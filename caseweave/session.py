@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 # more exchange; without the second one a skewed join below a group-by on the
 # same key would stay in a single task.  A task takes little of a file or a shuffle, and there
 # are partitions enough to cut a large one that way, so that sorts stay in memory whatever the
-# input.  Packed files are weighed by about the size of their rows in memory, or Spark
+# input.  A generated method beyond 8,000 bytes of code is never compiled by the JVM, so Spark runs
+# such a stage without it.  Packed files are weighed by about the size of their rows in memory, or Spark
 # would broadcast millions of well packed rows through the driver.
 RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
@@ -20,6 +21,7 @@ RUNTIME = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "600",
     "spark.sql.sources.fileCompressionFactor": "10.0",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
 }
 

@@ -109,3 +109,14 @@ def test_sensitivity_gathers_the_events_once(spark, monkeypatch, small):
     monkeypatch.setattr(plans_base, "_STORED", {})
     plans_base.REGISTRY["X10_sensitivity"].run(spark, small).count()
     assert len(calls) == 1
+
+
+def test_scores_are_not_left_to_code_that_the_jvm_never_compiles(spark, small):
+    limit = int(spark.conf.get("spark.sql.codegen.hugeMethodLimit"))
+    scored = plans_base.score_table(plans_base.log_o(spark, small), plans_base.norm_o())
+    rows = sorted(map(str, scored.collect()))
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    try:
+        assert limit <= 8000 and rows == sorted(map(str, plans_base.score_table(plans_base.log_o(spark, small), plans_base.norm_o()).collect()))
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(limit))
