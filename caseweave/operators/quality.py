@@ -434,17 +434,19 @@ def activity_pairs(labels: DataFrame) -> DataFrame:
 def logging_asymmetry(events: DataFrame, pairs: DataFrame, norm_labels: Sequence[str] = ()) -> DataFrame:
     """Per pair: events on both sides, and cases with a release but no logged setting event."""
     counts = events.where(F.col("activity").isNotNull()).groupBy("activity", "case_id").agg(rows_in(events).alias("n"))
-    counts = counts if _weight(events) else store(counts)
-    zero = F.lit(0).cast("bigint")
-    left = counts.join(pairs, counts.activity == pairs.setting).select("setting", "releasing", "case_id", F.col("n").alias("s"), zero.alias("r"))
-    right = counts.join(pairs, counts.activity == pairs.releasing).select("setting", "releasing", "case_id", zero.alias("s"), F.col("n").alias("r"))
-    both = left.unionByName(right).groupBy("setting", "releasing", "case_id").agg(F.sum("s").alias("s"), F.sum("r").alias("r"))
-    out = both.groupBy("setting", "releasing").agg(
+    # Stored, the few pairs have a known size, so the counts meet them where they are.  Per case, a number stands for both labels.
+    numbered = store(pairs.distinct().withColumn("pair", F.monotonically_increasing_id()))
+    sides = [F.struct(named(c).alias("activity"), F.lit(c == "setting").alias("sets")) for c in ("setting", "releasing")]
+    rows = counts.join(numbered.select("pair", F.inline(F.array(*sides))), "activity")
+    n, zero = F.col("n"), F.lit(0).cast("bigint")
+    both = rows.groupBy("pair", "case_id").agg(F.sum(F.when(F.col("sets"), n).otherwise(zero)).alias("s"), F.sum(F.when(F.col("sets"), zero).otherwise(n)).alias("r"))
+    out = both.groupBy("pair").agg(
         F.sum("s").alias("n_setting_events"),
         F.sum("r").alias("n_releasing_events"),
         F.count_if(F.col("r") > 0).alias("cases_with_release"),
         F.count_if((F.col("r") > 0) & (F.col("s") == 0)).alias("cases_release_without_set"),
     )
+    out = numbered.join(out, "pair").drop("pair")
     labelled = list(norm_labels) or [""]
     return out.withColumns(
         {

@@ -17,8 +17,8 @@ RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.files.maxPartitionBytes": "32m",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.files.maxPartitionBytes": "16m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "600",
     "spark.sql.sources.fileCompressionFactor": "10.0",
     "spark.sql.codegen.hugeMethodLimit": "8000",

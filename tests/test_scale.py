@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from caseweave.functions import ordered
-from caseweave.operators import explain
+from caseweave.operators import explain, quality
 from caseweave.operators.cases import attach
 from caseweave.plans import base as plans_base
 from caseweave.plans import explain as plans_explain
@@ -120,3 +120,14 @@ def test_scores_are_not_left_to_code_that_the_jvm_never_compiles(spark, small):
         assert limit <= 8000 and rows == sorted(map(str, plans_base.score_table(plans_base.log_o(spark, small), plans_base.norm_o()).collect()))
     finally:
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(limit))
+
+
+def test_asymmetry_stores_the_pairs_and_not_the_events(spark, monkeypatch):
+    kept = _written(monkeypatch, quality)
+    rows = [(1, "Set x"), (1, "Release x"), (1, "Release x"), (2, "Release x"), (None, "Release x"), (3, "Set x"), (3, None), (4, "Other")]
+    events = spark.createDataFrame(rows, "case_id long, activity string")
+    pairs = spark.createDataFrame([("Set x", "Release x")] * 2 + [("Set x", "Absent x"), ("No x", "Nor x")], "setting string, releasing string")
+    out = {(r["setting"], r["releasing"]): r for r in quality.logging_asymmetry(events, pairs).collect()}
+    assert [set(df.columns) for df in kept] == [{"setting", "releasing", "pair"}]
+    shown = ("n_setting_events", "n_releasing_events", "cases_with_release", "cases_release_without_set")
+    assert {k: tuple(r[c] for c in shown) for k, r in out.items()} == {("Set x", "Release x"): (2, 4, 3, 2), ("Set x", "Absent x"): (2, 0, 0, 0)}
