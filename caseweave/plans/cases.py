@@ -181,9 +181,14 @@ def make_typed_o(spark, d):
     return cases.withColumn("censored", C.right_censored(F.col("n_ship"), window_end(), CENSOR_DAYS))
 
 
+def only_types(spark, d):
+    """The flow types alone, not stored, so that aggregates which no rule reads are never made."""
+    return make_typed_o(spark, d).select("case_id", "flow_type")
+
+
 @register("C8_flow_types", "SELECT case_id, flow_type FROM ft_o", with_=["ft_o"])
 def _(spark, d):
-    return make_typed_o(spark, d).select("case_id", "flow_type")
+    return only_types(spark, d)
 
 
 @register(
@@ -195,7 +200,7 @@ def _(spark, d):
 def _(spark, d):
     events = log_o(spark, d)
     after = C.flow_types(events, [FLOW_RULES[2]], "standard", {"n_events": F.count(F.lit(1))})
-    return C.assignment_preview(typed_o(spark, d), after)
+    return C.assignment_preview(only_types(spark, d), after)
 
 
 @register(
@@ -291,7 +296,7 @@ def _(spark, d):
     with_=["o", "ft_o"],
 )
 def _(spark, d):
-    out = C.attach(log_o(spark, d, False), typed_o(spark, d), ["flow_type"])
+    out = C.attach(log_o(spark, d, False), only_types(spark, d), ["flow_type"])
     return out.groupBy("case_id", "activity", "ts", "flow_type").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -131,3 +131,12 @@ def test_asymmetry_stores_the_pairs_and_not_the_events(spark, monkeypatch):
     assert [set(df.columns) for df in kept] == [{"setting", "releasing", "pair"}]
     shown = ("n_setting_events", "n_releasing_events", "cases_with_release", "cases_release_without_set")
     assert {k: tuple(r[c] for c in shown) for k, r in out.items()} == {("Set x", "Release x"): (2, 4, 3, 2), ("Set x", "Absent x"): (2, 0, 0, 0)}
+
+
+def test_types_are_not_stored_where_only_the_type_is_read(spark, monkeypatch, small):
+    kept = _written(monkeypatch, plans_base)
+    monkeypatch.setattr(plans_base, "_STORED", {})
+    for name in ("C15_attach_case_values", "C8_assignment_preview"):
+        out = plans_base.REGISTRY[name].run(spark, small)
+        assert out.count() > 0 and "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert kept == []
