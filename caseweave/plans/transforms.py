@@ -12,11 +12,12 @@ from .base import (
     BACKLOG_DOUBLES,
     NORM_DOC,
     backlog_sql,
-    case_table_o,
+    cases_o,
     cte,
     log_o,
     register,
     score_table,
+    stored,
 )
 
 PICK = "segment IN ('BUILDING', 'FURNITURE')"
@@ -24,7 +25,8 @@ COLS = "case_id, activity, ts, seq.line AS line, seq.part AS part, amount"
 
 
 def picked(spark, d):
-    return case_table_o(spark, d).where(PICK)
+    """The selected cases, stored by their ids alone."""
+    return stored(spark, d, "picked", lambda s, x: cases_o(s, x).where(PICK).select("case_id"))
 
 
 def shown(events):

@@ -140,3 +140,12 @@ def test_types_are_not_stored_where_only_the_type_is_read(spark, monkeypatch, sm
         out = plans_base.REGISTRY[name].run(spark, small)
         assert out.count() > 0 and "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
     assert kept == []
+
+
+def test_selected_cases_are_stored_by_their_ids(spark, monkeypatch, small):
+    kept = _written(monkeypatch, plans_base)
+    monkeypatch.setattr(plans_base, "_STORED", {})
+    out = plans_base.REGISTRY["T5_set_attribute"].run(spark, small)
+    assert [df.columns for df in kept] == [["case_id"]]
+    rush = {r["case_id"] for r in out.where("flag = 'x' AND status = 'rush'").collect()}
+    assert rush == set(range(80))
