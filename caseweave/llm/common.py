@@ -17,11 +17,19 @@ __all__ = ["documents", "in_order", "int_lists", "map_batches", "part_offsets",
 
 # Whole texts travel to Python in batches of this many rows; Spark also cuts batches by bytes.
 BATCH_ROWS = 256
+# The sizes that the operators on texts were measured with; their blocks follow the pieces of the files.
+SIZES = {
+    "spark.sql.files.maxPartitionBytes": "32m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.codegen.hugeMethodLimit": "65535",
+}
 
 
 def prepared(spark: SparkSession) -> SparkSession:
     """Session settings of this package; Python workers find it where the driver does."""
     tune(spark)
+    for key, value in SIZES.items():
+        spark.conf.set(key, value)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

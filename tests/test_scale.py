@@ -10,7 +10,7 @@ from caseweave.operators.cases import attach
 from caseweave.plans import base as plans_base
 from caseweave.plans import explain as plans_explain
 from caseweave.plans import load, reports
-from caseweave.session import store
+from caseweave.session import store, tune
 from pyspark.sql import functions as F
 
 load()
@@ -112,7 +112,7 @@ def test_sensitivity_gathers_the_events_once(spark, monkeypatch, small):
 
 
 def test_scores_are_not_left_to_code_that_the_jvm_never_compiles(spark, small):
-    limit = int(spark.conf.get("spark.sql.codegen.hugeMethodLimit"))
+    limit = int(tune(spark).conf.get("spark.sql.codegen.hugeMethodLimit"))
     scored = plans_base.score_table(plans_base.log_o(spark, small), plans_base.norm_o())
     rows = sorted(map(str, scored.collect()))
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
@@ -149,3 +149,15 @@ def test_selected_cases_are_stored_by_their_ids(spark, monkeypatch, small):
     assert [df.columns for df in kept] == [["case_id"]]
     rush = {r["case_id"] for r in out.where("flag = 'x' AND status = 'rush'").collect()}
     assert rush == set(range(80))
+
+
+def test_operators_on_texts_keep_the_sizes_they_were_measured_with(spark):
+    from caseweave.llm.common import SIZES, prepared
+    from caseweave.session import RUNTIME
+
+    try:
+        prepared(spark)
+        assert {k: spark.conf.get(k) for k in SIZES} == SIZES
+    finally:
+        tune(spark)
+    assert all(spark.conf.get(k) == RUNTIME[k] != SIZES[k] for k in SIZES)
