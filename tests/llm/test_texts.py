@@ -280,6 +280,34 @@ def test_suffix_tree_scores_equal_the_plain_definition(stored):
     assert got == pytest.approx({i: plain.score(t or "", suffix_tree.DEPTH) for i, t in rows}, rel=1e-9)
 
 
+@pytest.mark.parametrize("bucket_windows", [40, 400, 3000])
+def test_heavy_contexts_are_parted_without_a_change(stored, bucket_windows):
+    """Frequent words, frequent runs of words and copies are more than one task takes."""
+    rng = random.Random(13)
+    names = [f"w{i}" for i in range(6)] + ["the"] * 6
+    texts = [" ".join(x for _ in range(rng.randint(0, 40)) for x in ([rng.choice(names)] if rng.random() < 0.6 else ["Go", "to", "the", rng.choice(names)])) for _ in range(150)]
+    texts += ["the " * 300] * 3 + ["go to the w1 " * 9] * 40 + ["rare the the seen the once", None]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "go to the w2"), (3, "the the w1")]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    plain = PlainTree([t or "" for i, t in rows if not held(i)], suffix_tree.DEPTH)
+    assert {len(x) for x in plain.tree} == set(range(1, suffix_tree.DEPTH + 1))
+    got = suffix_tree.score(stored(rows), remainder(F.col("doc_id"), 5) == 1, block_tokens=1000, bucket_windows=bucket_windows).select("doc_id", "held_out", "score").collect()
+    key = lambda r: (str(r[0]), r[2])
+    want = sorted(((i, held(i), plain.score(t or "", suffix_tree.DEPTH)) for i, t in rows), key=key)
+    for a, b in zip(sorted(map(tuple, got), key=key), want, strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9)
+
+
+def test_the_suffix_tree_stores_each_token_once(spark, stored, tmp_path, monkeypatch):
+    """Nothing is stored again for each length of context: less than four bytes a token in all."""
+    monkeypatch.setattr("caseweave.session.shared_dir", lambda _: str(tmp_path))
+    rng = random.Random(14)
+    rows = stored([(i, " ".join(f"w{min(int(rng.expovariate(0.004)), 3000)}" for _ in range(400))) for i in range(400)])
+    scored = suffix_tree.score(rows, remainder(F.col("doc_id"), 5) == 1, block_tokens=20_000).agg(F.sum("n_tokens")).first()[0]
+    assert scored == 400 * 401
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 4 * scored
+
+
 def test_next_token_probabilities_sum_to_one(stored):
     rows = stored([(i, "a b c a b d " * 30) for i in range(20)]).select("doc_id", "text")
     counts = rows.sparkSession.createDataFrame([(b"a", 1200), (b"b", 1200), (b"c", 600), (b"d", 600), (b"", 20)], "word binary, c long")
